@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexiweave.llm import simhash
+from lexiweave.llm import simhash, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,9 +16,41 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP2_SQL = r"""
+WITH words AS (
+  SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos
+  FROM (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents)
+), runs AS (
+  SELECT doc_id, pos, word,
+         count(*) OVER w AS n, string_agg(word, ' ') OVER w AS run
+  FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)
+), late AS (
+  SELECT doc_id, pos, word,
+         CASE WHEN n = 20 AND row_number() OVER (PARTITION BY n, run ORDER BY doc_id, pos) > 1 THEN 1 ELSE 0 END AS late
+  FROM runs
+), covered AS (
+  SELECT doc_id, pos, word,
+         max(late) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone
+  FROM late
+), kept AS (
+  SELECT doc_id, count(*) AS n_words, sum(gone) AS n_removed,
+         string_agg(word, ' ' ORDER BY pos) FILTER (gone = 0) AS kept
+  FROM covered GROUP BY doc_id
+)
+SELECT doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN kept USING (doc_id)
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash_near_dedup,)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_substring_dedup": OP2_SQL}
