@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiweave.llm import simhash, substring
+from lexiweave.llm import decontam, simhash, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,9 +48,47 @@ FROM documents LEFT JOIN kept USING (doc_id)
 """
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.find(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+OP6_SQL = r"""
+WITH ws AS (
+  SELECT 'd' AS kind, doc_id AS id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+  UNION ALL
+  SELECT 'b', item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark
+), lists AS (
+  SELECT kind, id, list_filter(regexp_split_to_array(t, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM ws
+), words AS (
+  SELECT kind, id, len(ws) AS total, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM lists
+), sizes AS (
+  SELECT DISTINCT least(10, total) AS size FROM words WHERE kind = 'b'
+), runs AS (
+  SELECT kind, id, pos, total, size,
+         array_to_string(list(word) OVER (PARTITION BY kind, id, size ORDER BY pos ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING)[1:size], ' ') AS run
+  FROM words, sizes
+), patterns AS (
+  SELECT DISTINCT id AS item, size, run FROM runs WHERE kind = 'b' AND size = least(10, total) AND pos + size - 1 <= total
+), hits AS (
+  SELECT r.id, r.pos, r.size, p.item FROM runs r JOIN patterns p USING (size, run) WHERE r.kind = 'd' AND r.pos + r.size - 1 <= r.total
+), hit_words AS (
+  SELECT id, count(DISTINCT w) AS n_hit FROM (SELECT id, unnest(range(pos, pos + size)) AS w FROM hits) GROUP BY id
+), items AS (
+  SELECT id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT id, CAST(item AS VARCHAR) AS item FROM hits) GROUP BY id
+)
+SELECT l.id AS doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM lists l LEFT JOIN hit_words h ON h.id = l.id LEFT JOIN items i ON i.id = l.id WHERE l.kind = 'd'
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_substring_dedup)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_substring_dedup, op6_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": OP2_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op6_benchmark_decontamination": OP6_SQL}
