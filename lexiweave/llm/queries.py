@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiweave.llm import decontam, simhash, substring, urls
+from lexiweave.llm import decontam, embed, simhash, substring, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -113,9 +113,35 @@ FROM lists l LEFT JOIN hit_words h ON h.id = l.id LEFT JOIN items i ON i.id = l.
 """
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+OP10_SQL = r"""
+WITH RECURSIVE good AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), links AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+), reach(a, b) AS (
+  SELECT vec_id, vec_id FROM embeddings
+  UNION
+  SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+), named AS (
+  SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a
+), counts AS (
+  SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a
+)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM named LEFT JOIN counts USING (vec_id)
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_substring_dedup, op5_url_filter, op6_benchmark_decontamination)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_substring_dedup, op5_url_filter, op6_benchmark_decontamination, op10_embedding_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": OP2_SQL, "op5_url_filter": OP5_SQL, "op6_benchmark_decontamination": OP6_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op5_url_filter": OP5_SQL, "op6_benchmark_decontamination": OP6_SQL, "op10_embedding_near_dedup": OP10_SQL}
