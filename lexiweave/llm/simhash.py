@@ -29,6 +29,8 @@ SEED = 42
 BITS = 64
 #: Cells of a group's histogram, as a power of two; wider groups are estimated from as many of their bits.
 CELL_BITS = 16
+#: A probe is a row to shuffle and sort, a candidate one comparison inside the join: so many of these cost as much.
+PROBE = 100
 _BLOCK = 1 << 17
 
 
@@ -115,11 +117,13 @@ def bit_groups(correlation: np.ndarray, m: int) -> list[list[int]]:
 def group_count(n: int, distance: int) -> int:
     """The number of groups with the least probes and expected candidates for n fingerprints, were they random."""
     def cost(m: int) -> float:
-        width = BITS // m
         spare = max(0, distance - m + 1)
-        each = [spare // m + (i < spare % m) for i in range(m)]
-        probes = sum(sum(comb(width, k) for k in range(t + 1)) for t in each)
-        return probes * (1 + n / 2.0**width * 0.1)
+        total = 0.0
+        for i in range(m):
+            width = (BITS + i) // m
+            probes = sum(comb(width, k) for k in range(spare // m + (i < spare % m) + 1))
+            total += probes * (PROBE + n / 2.0**width)
+        return total
 
     return min(range(2, distance + 2), key=cost)
 
@@ -236,8 +240,7 @@ def links(fps: DataFrame, distance: int = 4, groups: int | None = None) -> DataF
                 for i, g in enumerate(dealt):
                     cell = (v[i] & np.uint64((1 << CELL_BITS) - 1)).astype(np.int64)
                     for t in range(levels - 1):
-                        # a probe costs about as much as ten candidates
-                        costs[i, t + 1] = near[i][t][cell] + 10 * sum(comb(len(g), k) for k in range(t + 1))
+                        costs[i, t + 1] = near[i][t][cell] + PROBE * sum(comb(len(g), k) for k in range(t + 1))
                 t = allocate(costs, spare)
                 for i, g in enumerate(dealt):
                     for most in range(levels - 1):
