@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiweave.llm import decontam, embed, hmm, quality, simhash, substring, urls
+from lexiweave.llm import decontam, embed, hmm, langid, quality, simhash, substring, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -122,6 +122,11 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -149,7 +154,7 @@ FROM named LEFT JOIN counts USING (vec_id)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_substring_dedup, op5_url_filter, op6_benchmark_decontamination, op7_quality_classifier, op8_lm_scoring, op10_embedding_near_dedup)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_substring_dedup, op5_url_filter, op6_benchmark_decontamination, op7_quality_classifier, op8_lm_scoring, op9_language_id, op10_embedding_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
