@@ -59,14 +59,14 @@ class Vocabulary:
 
     def _pattern(self) -> str:
         """A pattern whose matches, one after the other, are the units: no piece reaches across two."""
-        kind = lambda c: "_" if c == SPACE else "a" if c.isascii() and c.isalpha() else "d" if c.isascii() and c.isdigit() else "n" if not c.isascii() else "c" if c in "\n\r\t" else "p"
-        met = {kind(a) + kind(b) for p in self.ids for a, b in zip(p, p[1:])}
-        letters, far, punctuation = r"A-Za-z\u0080-▀▂-\U0010ffff", r"\u0080-▀▂-\U0010ffff", r"!-/:-@\[-`{-~"
-        if any(m[1] == "_" and m[0] != "_" for m in met):
-            return r"[\s\S]+"
-        if met & {"ap", "ad", "pa", "pd", "pn", "da", "dd", "dp", "dn", "nd", *(x + y for x in "_adnpc" for y in "c"), *("c" + x for x in "adnpc")}:
-            return rf"{SPACE}*[^{SPACE}]+|{SPACE}+"
-        return rf"{SPACE}*[{letters}]*[{far}][{punctuation}]+|{SPACE}*[{letters}]+|{SPACE}*[{punctuation}]+|{SPACE}*[0-9]|{SPACE}+|[^{letters}{punctuation}0-9{SPACE}]"
+        kinds = {"_": SPACE, "a": "A-Za-z", "d": "0-9", "n": rf"^\x00-\x7f{SPACE}", "r": r"\r", "c": r"\n\t", "p": r"\x00-\x08\x0b\x0c\x0e-/:-@\[-`{-\x7f"}
+        tests = {k: re.compile(f"[{c}]") for k, c in kinds.items()}
+        kind = {c: next(k for k, t in tests.items() if t.match(c)) for p in self.ids for c in p}
+        met = {kind[a] + kind[b] for p in self.ids for a, b in zip(p, p[1:])}
+        run = {k: f"[{c}]" + "++" * (k + k in met) for k, c in kinds.items()}
+        # a run goes on into a run of another kind where some piece has such neighbours
+        on = {k: "|".join(f"[{kinds[j]}]" for j in kinds if j != k and k + j in met) for k in kinds}
+        return "(?:" + "|".join(f"{run[k]}(?={on[k]})" for k in kinds if on[k]) + ")*+(?:" + "|".join(run.values()) + ")"
 
     def units(self, text: str) -> list[str]:
         return self._find(SPACE + text.replace(" ", SPACE)) if text else []
@@ -129,8 +129,7 @@ def vocabulary(model: str) -> Vocabulary:
 
 def _units(text: Column, pattern: str) -> Column:
     marked = F.concat(F.lit(SPACE), F.replace(text, F.lit(" "), F.lit(SPACE)))
-    java = re.sub(r"\\U([0-9a-f]{8})", lambda m: r"\x{" + m[1].lstrip("0") + "}", pattern)
-    return F.when(F.length(text) > 0, F.regexp_extract_all(marked, F.lit(java), F.lit(0)))
+    return F.when(F.length(text) > 0, F.regexp_extract_all(marked, F.lit(pattern), F.lit(0)))
 
 
 def lattice(units: DataFrame, words: Vocabulary) -> DataFrame:

@@ -24,7 +24,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexiweave.llm._spark import stored
 from lexiweave.llm._text import coded, pieces_of, split_words
 
 WINDOW = 20
@@ -138,6 +137,7 @@ def repeated_cells(docs: DataFrame, text: str, window: int, bits: int) -> list[n
     return out
 
 
+#: Candidates have run 0; runs of starts that are known to be later have their length there, and any key.
 #: Rows of candidate windows that a task holds before it sorts and sends them.
 _HELD = 1 << 21
 _FOUND = "k1 long, k2 long, __id long, __tk long, start int, run int"
@@ -171,13 +171,13 @@ def _candidates(docs: DataFrame, window: int, bits: int, twice) -> DataFrame:
             later = ~earliest
             for i in range(0, int(earliest.sum()), 1 << 16):
                 at = np.flatnonzero(earliest)[i : i + (1 << 16)]
-                yield pa.record_batch([pa.array(k1[at].view(np.int64)), pa.array(k2[at].view(np.int64)), pa.array(ids[at]), pa.array(keys[at]), pa.array(starts[at].astype(np.int32)), pa.array(np.ones(len(at), np.int32))], names=["k1", "k2", "__id", "__tk", "start", "run"])
+                yield pa.record_batch([pa.array(k1[at].view(np.int64)), pa.array(k2[at].view(np.int64)), pa.array(ids[at]), pa.array(keys[at]), pa.array(starts[at].astype(np.int32)), pa.array(np.zeros(len(at), np.int32))], names=["k1", "k2", "__id", "__tk", "start", "run"])
             if later.any():
                 ids, keys, starts = ids[later], keys[later], starts[later]
                 order = np.lexsort((starts, keys, ids))
                 ids, keys, starts, length = _runs(ids[order], keys[order], starts[order])
-                none = pa.nulls(len(ids), pa.int64())
-                yield pa.record_batch([none, none, pa.array(ids), pa.array(keys), pa.array(starts.astype(np.int32)), pa.array(length.astype(np.int32))], names=["k1", "k2", "__id", "__tk", "start", "run"])
+                spread = pa.array(ids * np.int64(_INVERSE[0] >> 1) + starts)
+                yield pa.record_batch([spread, spread, pa.array(ids), pa.array(keys), pa.array(starts.astype(np.int32)), pa.array(length.astype(np.int32))], names=["k1", "k2", "__id", "__tk", "start", "run"])
 
         maps = shared.value
         for batch in pieces_of(batches, 2):
@@ -204,13 +204,12 @@ def _candidates(docs: DataFrame, window: int, bits: int, twice) -> DataFrame:
 def later_starts(docs: DataFrame, window: int, bits: int | None = None) -> DataFrame:
     """(__id, __tk, start, run): runs of starts of windows whose words start earlier elsewhere. docs has __id, __tk, __text."""
     bits = bits or sketch_bits(docs.agg(F.sum(F.octet_length("__text"))).first()[0] or 0)
-    found = stored(_candidates(docs, window, bits, repeated_cells(docs, "__text", window, bits)))
-    # a block sends a window once, so a key has at most as many rows as there are blocks (and repeated rows)
-    open_ = found.where("k1 is not null")
+    found = _candidates(docs, window, bits, repeated_cells(docs, "__text", window, bits))
+    # a block sends a window once, so a key has at most as many rows as there are blocks (and rows that share an id)
     order = F.struct("__id", "start")
-    w = Window.partitionBy("k1", "k2")
-    late = open_.withColumn("first", F.min(order).over(w)).where(order > F.col("first"))
-    return late.select("__id", "__tk", "start", "run").unionByName(found.where("k1 is null").select("__id", "__tk", "start", "run"))
+    first = F.min(F.when(F.col("run") == 0, order)).over(Window.partitionBy("k1", "k2"))
+    late = found.withColumn("first", first).where((F.col("run") > 0) | (order > F.col("first")))
+    return late.select("__id", "__tk", "start", F.greatest("run", F.lit(1)).alias("run"))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, bits: int | None = None) -> DataFrame:
@@ -226,7 +225,11 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     stay. An empty table gives no rows.
     """
     own = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_text")]
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE)).alias("__id"), F.xxhash64(text).alias("__tk"), F.struct(*[F.col(f"`{c}`") for c in own]).alias("__row"))
+    ident = F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE))
+    shared = docs.select(ident.alias("i")).groupBy("i").count().where("count > 1").limit(1).count()
+    # where ids are shared, the text tells the rows apart
+    key = F.xxhash64(text) if shared else F.lit(0).cast("long")
+    base = docs.select(ident.alias("__id"), key.alias("__tk"), F.struct(*[F.col(f"`{c}`") for c in own]).alias("__row"))
     late = later_starts(base.select("__id", "__tk", F.col(f"__row.`{text}`").alias("__text")), window, bits)
     gone = late.groupBy("__id", "__tk").agg(F.collect_list(F.struct("start", "run")).alias("__gone"))
     joined = base.join(gone, ["__id", "__tk"], "left").select(F.col(f"__row.`{text}`").alias("__text"), "__gone", "__row")
