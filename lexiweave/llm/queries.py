@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiweave.llm import decontam, embed, hmm, langid, quality, sentencepiece, simhash, substring, urls
+from lexiweave.llm import decontam, embed, hmm, langid, license, quality, sentencepiece, simhash, substring, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,10 @@ FROM documents LEFT JOIN kept USING (doc_id)
 """
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = sentencepiece.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
     back = F.coalesce("decoded", F.lit("")) == F.replace(F.coalesce("text", F.lit("")), F.lit(sentencepiece.SPACE), F.lit(" "))
@@ -160,7 +164,7 @@ FROM named LEFT JOIN counts USING (vec_id)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_substring_dedup, op4_sentencepiece, op5_url_filter, op6_benchmark_decontamination, op7_quality_classifier, op8_lm_scoring, op9_language_id, op10_embedding_near_dedup)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_substring_dedup, op3_license_scan, op4_sentencepiece, op5_url_filter, op6_benchmark_decontamination, op7_quality_classifier, op8_lm_scoring, op9_language_id, op10_embedding_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
