@@ -23,7 +23,7 @@ STATES = 16
 OWN_SYMBOLS, OWN_LEAST = 16_384, 8
 #: Passes of Baum-Welch over all training texts.
 PASSES = 3
-#: Texts (by hash) that the driver starts the states from.
+#: Texts (by hash) whose beginnings the driver starts the states from; the passes after that take all training texts.
 START = 768
 #: Distinct words up to which counts are broadcast (12 bytes each); beyond that, texts meet their words' counts in a join.
 BROADCAST_WORDS = 8_000_000
@@ -32,6 +32,8 @@ _CLASSES = 34
 #: Baum-Welch takes texts in segments of at most so many tokens; scores take them whole.
 _SEGMENT = 1024
 _LANES = 256
+#: Texts that the states' first emissions are chosen among, and lanes of the driver's own passes.
+_SEEDS, _START_LANES = 256, 64
 _END = b""
 
 
@@ -187,11 +189,11 @@ class Model:
         """Start probabilities (K), transitions (K x K) and emissions (symbols x K)."""
         self.first, self.move, self.emit = first, move, emit
 
-    def _lanes(self, seqs: list[np.ndarray]):
+    def _lanes(self, seqs: list[np.ndarray], most: int = _LANES):
         """Groups of sequences by falling length: (indices, lengths, symbols by time, number still running at each time)."""
         order = np.argsort([-len(s) for s in seqs], kind="stable")
-        for i in range(0, len(order), _LANES):
-            group = order[i : i + _LANES]
+        for i in range(0, len(order), most):
+            group = order[i : i + most]
             lengths = np.array([len(seqs[g]) for g in group])
             grid = np.zeros((lengths[0], len(group)), np.int64)
             for lane, g in enumerate(group):
@@ -213,19 +215,19 @@ class Model:
             out[group] = total
         return out
 
-    def expect(self, seqs: list[np.ndarray], first: np.ndarray, move: np.ndarray, emit: np.ndarray, opening: np.ndarray) -> None:
+    def expect(self, seqs: list[np.ndarray], first: np.ndarray, move: np.ndarray, emit: np.ndarray, opening: np.ndarray, lanes: int = _LANES) -> None:
         """Adds the expected counts over the sequences. opening: whether a sequence opens its text."""
         k = len(self.first)
-        for group, lengths, grid, running in self._lanes(seqs):
-            steps, lanes = grid.shape
+        for group, lengths, grid, running in self._lanes(seqs, lanes):
+            steps, width = grid.shape
             e = self.emit[grid]
-            alpha, scale = np.zeros((steps, lanes, k)), np.ones((steps, lanes))
+            alpha, scale = np.zeros((steps, width, k)), np.ones((steps, width))
             for t, n in enumerate(running.tolist()):
                 a = (alpha[t - 1, :n] @ self.move if t else np.where(opening[group][:, None], self.first, 1 / k)) * e[t, :n]
                 c = a.sum(axis=1)
                 alpha[t, :n] = a / c[:, None]
                 scale[t, :n] = c
-            beta, back = np.ones((lanes, k)), np.zeros((k, k))
+            beta, back = np.ones((width, k)), np.zeros((k, k))
             for t in range(steps - 1, -1, -1):
                 n = int(running[t])
                 if t < steps - 1 and (m := int(running[t + 1])):
@@ -257,7 +259,7 @@ def maximised(vocabulary: Vocabulary, first: np.ndarray, move: np.ndarray, emit:
 
 def start(vocabulary: Vocabulary, seqs: list[np.ndarray], states: int, passes: int = 12) -> Model:
     """A model from a bounded number of texts: states start at texts that differ most, then Baum-Welch."""
-    counts = np.stack([np.bincount(s, minlength=vocabulary.size) for s in seqs]).astype(float) if seqs else np.ones((1, vocabulary.size))
+    counts = np.stack([np.bincount(s, minlength=vocabulary.size).astype(np.float32) for s in seqs[:_SEEDS]]) if seqs else np.ones((1, vocabulary.size), np.float32)
     root = np.sqrt(counts / counts.sum(axis=1)[:, None])
     chosen, near = [0], root @ root[0]
     while len(chosen) < states and len(chosen) < len(root):
@@ -271,7 +273,7 @@ def start(vocabulary: Vocabulary, seqs: list[np.ndarray], states: int, passes: i
     model = maximised(vocabulary, np.ones(states), np.ones((states, states)) + 8 * states * np.eye(states), emit)
     for _ in range(passes if seqs else 0):
         sums = np.zeros(states), np.zeros((states, states)), np.zeros((vocabulary.size, states))
-        model.expect(seqs, *sums, np.ones(len(seqs), bool))
+        model.expect(seqs, *sums, np.ones(len(seqs), bool), _START_LANES)
         model = maximised(vocabulary, *sums)
     return model
 
@@ -334,8 +336,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", states: i
     vocabulary.twice = totals["twice"] or 0
     encoded = stored(_encoded(rows, counts, vocabulary, dict(rows.dtypes)["id"], broadcast_words))
     learnt = encoded.where("not held")
-    sample = learnt.select("syms").orderBy(F.xxhash64("syms")).limit(START).toArrow().column("syms").to_pylist()
-    model = start(vocabulary, [np.frombuffer(x, np.uint16)[: 2 * _SEGMENT].astype(np.int64) for x in sample], states)
+    share = max(1, learnt.count() // (8 * START))
+    sample = learnt.where(F.pmod(F.xxhash64("syms", F.lit(1)), F.lit(share)) == 0).select(F.substring("syms", 1, 2 * _SEGMENT).alias("syms")).orderBy(F.xxhash64("syms")).limit(START).toArrow().column("syms").to_pylist()
+    model = start(vocabulary, [np.frombuffer(x, np.uint16)[:_SEGMENT] for x in sample], states)
     for _ in range(passes):
         model = baum_welch(learnt, vocabulary, model)
     shared = docs.sparkSession.sparkContext.broadcast(model)
