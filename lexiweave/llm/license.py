@@ -7,6 +7,8 @@ An interval inside another of the same or a higher priority is suppressed.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,15 +47,28 @@ def _count(normalised: Column) -> Column:
     return F.floor((F.length(normalised) - F.length(F.replace(normalised, F.lit(" "), F.lit("")))) / 2).cast("long")
 
 
-def _gate(text: Column, keywords: list[str]) -> Column:
-    """Whether a keyword's first word may be in the text: plain substring tests, before anything is cut up."""
-    lower = F.lower(text)
-    firsts = sorted({k.split()[0] for k in keywords})
-    least = [k for k in firsts if not any(k != j and j in k for j in firsts)]
-    held = F.lit(False)
-    for k in least:
-        held = held | F.contains(lower, F.lit(k))
-    return held
+def triggers() -> list[str]:
+    """What a text must hold for any rule to fit, all the words of one of them: `licen` where a pattern can't do without, else the keyword."""
+    out = set()
+    for line in LINES.splitlines():
+        _, keyword, *patterns = (x.strip() for x in line.split(" | "))
+        out.update("licen" if "licen" in re.sub(r"\([^()]*\)\??", "", p) else keyword for p in patterns)
+    return sorted(out)
+
+
+def _gate(text: Column) -> Column:
+    """Whether some trigger may be in the text: plain substring tests, before anything is cut up."""
+
+    def any_(low: Column) -> Column:
+        held = F.lit(False)
+        for t in triggers():
+            every = F.lit(True)
+            for word in t.split():
+                every = every & F.contains(low, F.lit(word))
+            held = held | every
+        return held
+
+    return F.exists(F.array(F.lower(text)), any_)  # as an element, the lower-case text is made once
 
 
 def detections(texts: DataFrame, spark: SparkSession) -> DataFrame:
@@ -63,7 +78,7 @@ def detections(texts: DataFrame, spark: SparkSession) -> DataFrame:
     rows = spark.createDataFrame(table, "rule int, label string, keyword string, priority int, pattern string")
     spaced = F.array(*[F.lit("  ".join(k.split())) for k in keywords])
     plain = spark.createDataFrame([("  ".join(k.split()), k) for k in keywords], "spaced string, keyword string")
-    gated = texts.where(_gate(F.col("text"), keywords)).dropDuplicates(["k1", "k2"]).select("k1", "k2", normal(F.col("text")).alias("words"))
+    gated = texts.where(_gate(F.col("text"))).dropDuplicates(["k1", "k2"]).select("k1", "k2", normal(F.col("text")).alias("words"))
     asked = gated.withColumn("spaced", F.explode(F.filter(spaced, lambda k: F.contains("words", F.concat(F.lit(" "), k, F.lit(" "))))))
     paired = asked.join(F.broadcast(plain.join(rows, "keyword").drop("keyword")), "spaced")  # as many rules as are listed here
     found = paired.withColumn("pieces", F.split("words", F.col("pattern"), -1)).where(F.size("pieces") > 1)

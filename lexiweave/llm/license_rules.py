@@ -7,9 +7,11 @@ have its keyword. Patterns that start with `=` are whole names or notices
 """
 
 LINES = """
-mit | mit | =spdx license identifier mit | =the mit license( mit)? | =licen[sc]ed under the( terms of the)? mit licen[sc]e | =released under the( terms of the)? mit licen[sc]e | mit licen[sc]e | mit x11 | ~mit style licen[sc]e
+mit | mit | =spdx license identifier mit | =the mit license( mit)? | =licen[sc]ed under the( terms of the)? mit licen[sc]e | =released under the( terms of the)? mit licen[sc]e | mit licen[sc]e | ~mit style licen[sc]e
+mit | mit x11 | mit x11
 mit | without restriction | =permission is hereby granted free of charge to any person obtaining a copy | including without limitation the rights to use copy modify merge publish distribute
-mit-0 | mit | =spdx license identifier mit 0 | =mit no attribution | mit 0
+mit-0 | mit | =spdx license identifier mit 0 | mit 0 licen[sc]e
+mit-0 | mit no attribution | =mit no attribution
 mit-cmu | cmu | =spdx license identifier mit cmu | =cmu licen[sc]e
 x11 | x11 | =spdx license identifier x11 | =x11 licen[sc]e | ~x consortium
 apache-2.0 | apache | =spdx license identifier apache 2 0 | =licen[sc]ed under the apache licen[sc]e version 2( 0)? | =apache licen[sc]e version 2( 0)? | =apache software licen[sc]e version 2( 0)? | apache 2( 0)?( licen[sc]e)? | asl 2 0 | www apache org licenses license 2 0
@@ -68,7 +70,7 @@ artistic-2.0 | artistic | =artistic licen[sc]e( v| version)? 2( 0)? | =spdx lice
 artistic-1.0 | artistic | =artistic licen[sc]e( v| version)? 1( 0)? | =spdx license identifier artistic 1 0
 artistic | artistic | artistic licen[sc]e | ~same terms as perl itself
 zlib | zlib | =spdx license identifier zlib | =zlib licen[sc]e | =zlib libpng licen[sc]e
-zlib | as is | =this software is provided as is without any express or implied warranty in no event will the authors be held liable
+zlib | held liable | =this software is provided as is without any express or implied warranty in no event will the authors be held liable
 libpng | libpng | =libpng licen[sc]e | =png reference library licen[sc]e
 bsl-1.0 | boost | =spdx license identifier bsl 1 0 | =boost software licen[sc]e( version)?( 1 0)? | boost org license 1 0
 unlicense | unlicense | =spdx license identifier unlicense | =the unlicense | unlicense org
