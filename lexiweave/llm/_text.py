@@ -28,6 +28,7 @@ def pieces_of(batches, column: int = 0, limit: int = 4 << 20) -> Iterator[pa.Rec
             to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, side="right")))
             yield batch.slice(at, to - at)
             at = to
+        pa.default_memory_pool().release_unused()
 
 
 def bytes_of(text: pa.Array) -> tuple[bytes, np.ndarray]:
@@ -61,6 +62,3 @@ def coded(words: pa.Array) -> tuple[np.ndarray, list[bytes]]:
     found = words.dictionary_encode()
     return found.indices.to_numpy().astype(np.int64), found.dictionary.cast(pa.binary()).to_pylist()
 
-
-def ids_of(batch: pa.RecordBatch, column: int) -> pa.Array:
-    return batch.column(column)

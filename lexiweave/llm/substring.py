@@ -2,7 +2,7 @@
 
 First pass: each partition counts its windows in a count-min sketch; the merged
 sketch overestimates, never underestimates. Second pass: only windows estimated
-to occur twice or more are grouped by their 128-bit hash, which finds each
+to occur twice or more are grouped by 128 bits of hash, which finds each
 window's first occurrence exactly.
 
 A window is counted under its minimizer, the least-hashed run of 10 of its
@@ -30,6 +30,8 @@ WINDOW = 20
 _MULTIPLIER = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _MOD = 1 << 64
 _INVERSE = tuple(pow(m, -1, _MOD) for m in _MULTIPLIER)
+#: Bytes of text that a task hashes at a time: a word takes about a hundred bytes meanwhile.
+_SLICE = 2 << 20
 #: Odd factors of the sketch's rows.
 _ROWS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 _CHUNK = 20
@@ -96,30 +98,40 @@ def cells(keys: np.ndarray, bits: int, row: int) -> np.ndarray:
 
 
 def sketch_bits(text_bytes: int) -> int:
-    """Cells in a row of the sketch, as a power of two: about one and a half for each counted place, 2**27 at most.
+    """Cells in a row of the sketch, as a power of two: three or more for each counted place, 2**29 at most.
 
     Beyond that the sketch lets more windows through to the exact grouping.
     """
-    return min(27, max(16, ceil(log2(max(1, text_bytes) / 24))))
+    return min(29, max(16, ceil(log2(max(1, text_bytes) / 12))))
 
 
 def repeated_cells(docs: DataFrame, text: str, window: int, bits: int) -> list[np.ndarray]:
     """For each row of the merged sketch, the bitmap of cells that count two or more: 2**bits / 8 bytes each."""
 
+    step = 1 << min(_CHUNK, bits)
+
+    def partial(keys):
+        """The sketch of some places, by chunks of cells that aren't empty."""
+        for row in range(len(_ROWS)):
+            at, k = np.unique(cells(keys, bits, row), return_counts=True)
+            edges = np.searchsorted(at, np.arange(0, (1 << bits) + 1, step))
+            for chunk, (i, j) in enumerate(zip(edges, edges[1:])):
+                if i < j:
+                    part = np.zeros(step, np.uint8)
+                    part[at[i:j] - chunk * step] = np.minimum(k[i:j], 2)
+                    packed = [zlib.compress(np.packbits(part == n).tobytes(), 1) for n in (1, 2)]
+                    yield pa.record_batch([pa.array([row], pa.int32()), pa.array([chunk], pa.int32()), pa.array([packed[0]]), pa.array([packed[1]])], names=["line", "chunk", "once", "twice"])
+
     def count(batches):
-        rows = [np.zeros(1 << bits, np.uint8) for _ in _ROWS]
-        for batch in pieces_of(batches):
-            _, _, chosen = minimizers(Words(batch.column(0)), window)
-            for row, seen in enumerate(rows):
-                at, k = np.unique(cells(chosen, bits, row), return_counts=True)
-                seen[at] = np.minimum(seen[at] + k, 2)
-        step = 1 << min(_CHUNK, bits)
-        for row, seen in enumerate(rows):
-            for chunk in range(0, 1 << bits, step):
-                part = seen[chunk : chunk + step]
-                if part.any():
-                    packed = [zlib.compress(np.packbits(part == k).tobytes(), 1) for k in (1, 2)]
-                    yield pa.record_batch([pa.array([row], pa.int32()), pa.array([chunk // step], pa.int32()), pa.array([packed[0]]), pa.array([packed[1]])], names=["line", "chunk", "once", "twice"])
+        held, n = [], 0
+        for batch in pieces_of(batches, limit=_SLICE):
+            held.append(minimizers(Words(batch.column(0)), window)[2])
+            n += len(held[-1])
+            if n >= 2 * _HELD:
+                yield from partial(np.concatenate(held))
+                held, n = [], 0
+        if n:
+            yield from partial(np.concatenate(held))
 
     def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         once = twice = None
@@ -131,56 +143,65 @@ def repeated_cells(docs: DataFrame, text: str, window: int, bits: int) -> list[n
 
     merged = docs.select(text).mapInArrow(count, "line int, chunk int, once binary, twice binary").groupBy("line", "chunk").applyInPandas(merge, "line int, chunk int, twice binary")
     out = [np.zeros(1 << (bits - 3), np.uint8) for _ in _ROWS]
-    step = (1 << min(_CHUNK, bits)) >> 3
     for r in merged.toLocalIterator():
-        out[r["line"]][r["chunk"] * step : (r["chunk"] + 1) * step] = np.frombuffer(zlib.decompress(bytes(r["twice"])), np.uint8)
+        out[r["line"]][(r["chunk"] * step) >> 3 : ((r["chunk"] + 1) * step) >> 3] = np.frombuffer(zlib.decompress(bytes(r["twice"])), np.uint8)
     return out
 
 
-#: Candidates have run 0; runs of starts that are known to be later have their length there, and any key.
 #: Rows of candidate windows that a task holds before it sorts and sends them.
-_HELD = 1 << 21
-_FOUND = "k1 long, k2 long, __id long, __tk long, start int, run int"
+_HELD = 1 << 20
+#: A run of consecutive candidate starts of one row that share a minimizer (its hash is `gram`), with the windows' hashes.
+#: A window is known by both hashes, 128 bits. `at` is the first start. Runs of starts that are known to be later have no
+#: hashes but their length in the upper half of `at`, and any gram.
+_FOUND = "gram long, __id long, __tk long, at long, windows array<long>"
+_FOUND_NAMES = ["gram", "__id", "__tk", "at", "windows"]
 #: Null ids sort last.
 _NONE = (1 << 63) - 1
 
 
-def _runs(ids, keys, starts):
-    """Rows sorted by (ids, keys, starts) as runs of consecutive starts."""
-    first = np.ones(len(ids), bool)
-    first[1:] = (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1]) | (starts[1:] != starts[:-1] + 1)
-    at = np.flatnonzero(first)
-    return ids[at], keys[at], starts[at], np.diff(np.append(at, len(ids)))
+def _edges(*columns) -> np.ndarray:
+    """Where runs begin, and the end: of equal values, and in the last column of consecutive ones."""
+    first = np.ones(len(columns[-1]), bool)
+    first[1:] = columns[-1][1:] != columns[-1][:-1] + 1
+    for c in columns[:-1]:
+        first[1:] |= c[1:] != c[:-1]
+    return np.append(np.flatnonzero(first), len(first))
 
 
 def _candidates(docs: DataFrame, window: int, bits: int, twice) -> DataFrame:
-    """Windows estimated to be repeated: the earliest of each in its task's block with its hash, and the others as runs without."""
+    """Windows estimated to be repeated: the earliest of each in its task's block, and the others as runs."""
     shared = docs.sparkSession.sparkContext.broadcast(twice)
 
+    def flush(held):
+        grams, hashes, ids, keys, starts = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        order = np.lexsort((starts, ids, hashes, grams))
+        new = np.ones(len(order), bool)
+        new[1:] = (grams[order[1:]] != grams[order[:-1]]) | (hashes[order[1:]] != hashes[order[:-1]])
+        lead = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        earliest = np.empty(len(order), bool)
+        earliest[order] = (ids[order] == ids[lead]) & (starts[order] == starts[lead])  # rows that share an id may tie
+        # back in the order of the rows, in which starts are consecutive
+        g, h, i, k, s = (x[earliest] for x in (grams, hashes, ids, keys, starts))
+        edges = _edges(g, i, k, s)
+        at = edges[:-1]
+        for a in range(0, len(at), 1 << 15):
+            part = at[a : a + (1 << 15)]
+            ends = edges[a : a + len(part) + 1]
+            lists = pa.ListArray.from_arrays(pa.array((ends - ends[0]).astype(np.int32)), pa.array(h[ends[0] : ends[-1]].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(g[part].view(np.int64)), pa.array(i[part]), pa.array(k[part]), pa.array(s[part].astype(np.int64)), lists], names=_FOUND_NAMES)
+        later = ~earliest
+        if later.any():
+            i, k, s = (x[later] for x in (ids, keys, starts))
+            edges = _edges(i, k, s)
+            at = edges[:-1]
+            s = s[at].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(i[at] * np.int64(_INVERSE[0] >> 1) + s), pa.array(i[at]), pa.array(k[at]), pa.array(s + (np.diff(edges).astype(np.int64) << 32)), pa.nulls(len(at), pa.list_(pa.int64()))], names=_FOUND_NAMES)
+
     def run(batches):
         held, n = [], 0
-
-        def flush():
-            k1, k2, ids, keys, starts = (np.concatenate(x) for x in zip(*held))
-            order = np.lexsort((starts, ids, k2, k1))
-            k1, k2, ids, keys, starts = (x[order] for x in (k1, k2, ids, keys, starts))
-            new = np.ones(len(k1), bool)
-            new[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
-            lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-            earliest = (ids == ids[lead]) & (starts == starts[lead])  # rows that share an id may tie
-            later = ~earliest
-            for i in range(0, int(earliest.sum()), 1 << 16):
-                at = np.flatnonzero(earliest)[i : i + (1 << 16)]
-                yield pa.record_batch([pa.array(k1[at].view(np.int64)), pa.array(k2[at].view(np.int64)), pa.array(ids[at]), pa.array(keys[at]), pa.array(starts[at].astype(np.int32)), pa.array(np.zeros(len(at), np.int32))], names=["k1", "k2", "__id", "__tk", "start", "run"])
-            if later.any():
-                ids, keys, starts = ids[later], keys[later], starts[later]
-                order = np.lexsort((starts, keys, ids))
-                ids, keys, starts, length = _runs(ids[order], keys[order], starts[order])
-                spread = pa.array(ids * np.int64(_INVERSE[0] >> 1) + starts)
-                yield pa.record_batch([spread, spread, pa.array(ids), pa.array(keys), pa.array(starts.astype(np.int32)), pa.array(length.astype(np.int32))], names=["k1", "k2", "__id", "__tk", "start", "run"])
-
         maps = shared.value
-        for batch in pieces_of(batches, 2):
+        for batch in pieces_of(batches, 2, _SLICE):
             words = Words(batch.column(2))
             least, starts, _ = minimizers(words, window)
             at = np.flatnonzero(starts)
@@ -190,13 +211,13 @@ def _candidates(docs: DataFrame, window: int, bits: int, twice) -> DataFrame:
             if len(at):
                 row = np.searchsorted(words.offsets, at, side="right") - 1
                 ids, keys = (batch.column(i).to_numpy(zero_copy_only=False)[row] for i in (0, 1))
-                held.append((words.runs(window)[at], words.runs(window, 1)[at], ids, keys, at - words.offsets[row]))
+                held.append((least[at], words.runs(window, 1)[at], ids, keys, (at - words.offsets[row]).astype(np.int32)))
                 n += len(at)
                 if n >= _HELD:
-                    yield from flush()
-                    held, n = [], 0
+                    yield from flush(held)
+                    n = 0
         if held:
-            yield from flush()
+            yield from flush(held)
 
     return docs.select("__id", "__tk", "__text").mapInArrow(run, _FOUND)
 
@@ -205,10 +226,14 @@ def later_starts(docs: DataFrame, window: int, bits: int | None = None) -> DataF
     """(__id, __tk, start, run): runs of starts of windows whose words start earlier elsewhere. docs has __id, __tk, __text."""
     bits = bits or sketch_bits(docs.agg(F.sum(F.octet_length("__text"))).first()[0] or 0)
     found = _candidates(docs, window, bits, repeated_cells(docs, "__text", window, bits))
-    # a block sends a window once, so a key has at most as many rows as there are blocks (and rows that share an id)
+    # a block sends a window once, so a key has at most as many rows as there are blocks (and rows that share an id);
+    # the windows of a run stay together until they have met those of their minimizer
+    each = found.repartition("gram").select("gram", "__id", "__tk", "at", F.posexplode_outer("windows").alias("k", "window"))
+    run = F.shiftright("at", 32).cast("int")
+    each = each.select("gram", "window", "__id", "__tk", (F.col("at").bitwiseAND(F.lit((1 << 32) - 1)) + F.coalesce("k", F.lit(0))).cast("int").alias("start"), run.alias("run"))
     order = F.struct("__id", "start")
-    first = F.min(F.when(F.col("run") == 0, order)).over(Window.partitionBy("k1", "k2"))
-    late = found.withColumn("first", first).where((F.col("run") > 0) | (order > F.col("first")))
+    first = F.min(F.when(F.col("run") == 0, order)).over(Window.partitionBy("gram", "window"))
+    late = each.withColumn("first", first).where((F.col("run") > 0) | (order > F.col("first")))
     return late.select("__id", "__tk", "start", F.greatest("run", F.lit(1)).alias("run"))
 
 
