@@ -52,6 +52,47 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def _op3_sql() -> str:
+    """The rules as rows, and the same scan without the keywords' gate on whole texts."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rules = ", ".join(f"({n}, {quoted(label)}, {quoted('  '.join(k.split()))}, {p}, {quoted(pattern)})" for n, label, k, p, pattern in license.rules())
+    phrases = ", ".join(f"({quoted(phrase.split()[0])}, {quoted(phrase.split()[1])}, {quoted(' '.join(phrase.split()[2:]))}, {quoted(label)})" for phrase, label in license.BASE.items())
+    sure = " ".join(f"WHEN {p} THEN {c}" for p, c in license.CONFIDENCE.items())
+    return rf"""
+WITH lists AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents
+), words AS (
+  SELECT doc_id, unnest(ws) AS a, generate_subscripts(ws, 1) - 1 AS pos FROM lists
+), triples AS (
+  SELECT doc_id, pos, a, lead(a) OVER w AS b, lead(a, 2) OVER w AS c FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
+), phrases(a, b, c, label) AS (VALUES {phrases}), base AS (
+  SELECT doc_id, count(*) AS n, min(pos) AS first_word, max(pos) AS last_word, list(DISTINCT label) AS labels
+  FROM triples t JOIN phrases p ON t.a = p.a AND t.b = p.b AND (p.c = '' OR t.c = p.c) GROUP BY doc_id
+), norms AS (
+  SELECT doc_id, '  ' || array_to_string(ws, '  ') || '  ' AS w FROM lists
+), rules(rule, label, keyword, priority, pattern) AS (VALUES {rules}), met AS (
+  SELECT doc_id, rule, label, priority, substr(w, 2, length(w) - 2) AS w, pattern FROM norms JOIN rules ON contains(w, ' ' || keyword || ' ')
+), cut AS (
+  SELECT doc_id, rule, label, priority, unnest(regexp_extract_all(w, pattern)) AS hit, unnest(string_split_regex(w, pattern)) AS gap, generate_subscripts(string_split_regex(w, pattern), 1) AS k FROM met
+), sized AS (
+  SELECT doc_id, rule, label, priority, k, (length(gap) - length(replace(gap, ' ', ''))) // 2 AS before, (length(hit) - length(replace(hit, ' ', ''))) // 2 AS n FROM cut WHERE hit IS NOT NULL
+), spans AS (
+  SELECT doc_id, rule, label, priority, sum(before + n) OVER (PARTITION BY doc_id, rule ORDER BY k) - n AS s, sum(before + n) OVER (PARTITION BY doc_id, rule ORDER BY k) AS e FROM sized
+), stand AS (
+  SELECT * FROM spans x WHERE NOT EXISTS (
+    SELECT 1 FROM spans y WHERE y.doc_id = x.doc_id AND y.s <= x.s AND y.e >= x.e AND y.priority >= x.priority
+      AND (y.s < x.s OR y.e > x.e OR y.priority > x.priority OR y.rule < x.rule))
+), found AS (
+  SELECT doc_id, list(DISTINCT label) AS labels, max(CASE priority {sure} END) AS sure FROM stand GROUP BY doc_id
+)
+SELECT l.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, first_word, last_word,
+       coalesce(array_to_string(list_sort(b.labels), ','), '') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(f.labels, [])))), ',') AS labels,
+       CAST(CASE WHEN n > 0 THEN 1 ELSE coalesce(sure, 0) END AS DOUBLE) AS score
+FROM lists l LEFT JOIN base b USING (doc_id) LEFT JOIN found f USING (doc_id)
+"""
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = sentencepiece.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
     back = F.coalesce("decoded", F.lit("")) == F.replace(F.coalesce("text", F.lit("")), F.lit(sentencepiece.SPACE), F.lit(" "))
@@ -168,4 +209,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": OP2_SQL, "op5_url_filter": OP5_SQL, "op6_benchmark_decontamination": OP6_SQL, "op10_embedding_near_dedup": OP10_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op3_license_scan": _op3_sql(), "op5_url_filter": OP5_SQL, "op6_benchmark_decontamination": OP6_SQL, "op10_embedding_near_dedup": OP10_SQL}
