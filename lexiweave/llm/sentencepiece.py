@@ -18,7 +18,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +31,14 @@ SPACE = "▁"
 MASKED = 62
 #: Units up to which the folded lattice is broadcast (16 bytes each); beyond that, texts meet their units in a join.
 BROADCAST_UNITS = 8_000_000
+#: Substrings longer than this are made only where some piece begins with their first so many characters.
+PREFIX = 4
+#: Seed of the units' 64-bit hash.
+SEED = 42
+#: Bytes of text that a task cuts up at a time.
+_SLICE = 1 << 20
+#: Distinct units that a task holds.
+_KNOWN = 250_000
 _CACHE: dict = {}
 
 
@@ -55,6 +63,8 @@ class Vocabulary:
         for b, i in self.bytes.items():
             self.surface[i] = bytes([b])
         self.surface[self.unknown] = " ⁇ ".encode()
+        width = np.fromiter(map(len, self.surface), np.int32, size)
+        self.surfaces = np.frombuffer(b"".join(self.surface), np.uint8), np.concatenate([[0], np.cumsum(width)])[:-1].astype(np.int32), width
         self.pattern = self._pattern()
 
     def _pattern(self) -> str:
@@ -66,7 +76,10 @@ class Vocabulary:
         run = {k: f"[{c}]" + "++" * (k + k in met) for k, c in kinds.items()}
         # a run goes on into a run of another kind where some piece has such neighbours
         on = {k: "|".join(f"[{kinds[j]}]" for j in kinds if j != k and k + j in met) for k in kinds}
-        return "(?:" + "|".join(f"{run[k]}(?={on[k]})" for k in kinds if on[k]) + ")*+(?:" + "|".join(run.values()) + ")"
+        every = "(?:" + "|".join(f"{run[k]}(?={on[k]})" for k in kinds if on[k]) + ")*+(?:" + "|".join(run.values()) + ")"
+        # the common case first, which the general one would match as well: a word of ASCII letters
+        lone = f"(?!{on['a']})" if on["a"] else ""
+        return (f"{SPACE}*+[A-Za-z]++{lone}|" if {"__", "_a", "aa"} <= met else "") + every
 
     def units(self, text: str) -> list[str]:
         return self._find(SPACE + text.replace(" ", SPACE)) if text else []
@@ -99,14 +112,22 @@ class Vocabulary:
 
     def masked(self, unit: str, mask: int) -> list[str]:
         """The pieces of a unit with a boundary before each character whose bit is set."""
-        cuts = [k for k in range(len(unit) + 1) if mask >> k & 1]
-        return [unit[a:b] for a, b in zip(cuts, cuts[1:])]
+        out, a = [], 0
+        mask >>= 1
+        while mask:
+            step = (mask & -mask).bit_length()
+            out.append(unit[a : a + step])
+            a += step
+            mask >>= step
+        return out
 
     def ids_of(self, pieces: list[str]) -> list[int]:
         """Ids; a character without a piece becomes its bytes, or the unknown."""
+        found = [self.ids.get(p) for p in pieces]
+        if None not in found:
+            return found
         out = []
-        for p in pieces:
-            i = self.ids.get(p)
+        for p, i in zip(pieces, found):
             if i is not None:
                 out.append(i)
             elif self.bytes:
@@ -127,67 +148,111 @@ def vocabulary(model: str) -> Vocabulary:
     return _CACHE[model]
 
 
-def _units(text: Column, pattern: str) -> Column:
-    marked = F.concat(F.lit(SPACE), F.replace(text, F.lit(" "), F.lit(SPACE)))
-    return F.when(F.length(text) > 0, F.regexp_extract_all(marked, F.lit(pattern), F.lit(0)))
+def distinct_units(texts: DataFrame, model: str) -> DataFrame:
+    """The distinct units (column unit) of a column of texts, those too long for the lattice left out."""
 
+    def run(batches):
+        words, held = vocabulary(model), set()
 
-def lattice(units: DataFrame, words: Vocabulary) -> DataFrame:
-    """(unit, mask) of distinct units of 1 to MASKED characters: bit k of the mask is set if a piece begins, or the unit ends, at character k."""
-    spark = units.sparkSession
-    table = spark.createDataFrame([(p, k) for p, k in words.order.items() if len(p) > 1], "piece string, place int")
-    spans = (
-        units.withColumn("n", F.length("unit")).where("n > 1")
-        .withColumn("i", F.explode(F.expr("sequence(0, n - 2)")))
-        .withColumn("size", F.explode(F.sequence(F.lit(2), F.least(F.lit(words.longest), F.expr("n - i")))))
-        .select("unit", "i", "size", F.expr("substring(unit, i + 1, size)").alias("piece"))
-    )
-    edges = spans.join(F.broadcast(table), "piece").select(
-        "unit", F.struct("place", F.expr("shiftleft(1L, i) | shiftleft(1L, i + size)").alias("ends"), F.expr("shiftleft(shiftleft(1L, size - 1) - 1, i + 1)").alias("inner")).alias("edge"))
+        def flush():
+            units = list(held)
+            held.clear()
+            for i in range(0, len(units), 1 << 16):
+                yield pa.record_batch([pa.array(units[i : i + (1 << 16)], pa.string())], names=["unit"])
 
-    def step(mask: Column, e: Column) -> Column:
-        joins = (mask.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(mask.bitwiseAND(e["inner"])) == 1)
-        return F.when(joins, mask.bitwiseAND(F.bitwise_not(e["inner"]))).otherwise(mask)
+        for batch in pieces_of(batches, 0, _SLICE):
+            for x in batch.column(0).to_pylist():
+                held.update(words.units(x or ""))
+            if len(held) > 2 * _KNOWN:
+                yield from flush()
+        yield from flush()
 
-    whole = F.expr("shiftleft(1L, length(unit) + 1) - 1")
-    folded = edges.groupBy("unit").agg(F.sort_array(F.collect_list("edge")).alias("edges")).select("unit", F.aggregate("edges", whole, step).alias("mask"))
-    return folded
+    return texts.mapInArrow(run, "unit string").where(F.length("unit") <= MASKED).distinct()
 
 
-def _table(units: DataFrame) -> DataFrame:
-    def hashed(batches):
-        digest = xxhash.xxh3_64_intdigest
-        for batch in batches:
-            words = batch.column(0).cast(pa.binary()).to_pylist()
-            yield pa.record_batch([pa.array(np.fromiter((digest(w) for w in words), np.uint64, len(words)).view(np.int64)), batch.column(1)], names=["h", "mask"])
+def lattice(units: DataFrame, words: Vocabulary) -> DataFrame:
+    """(h, h2, mask) of distinct units of 2 to MASKED characters with an edge: bit k of the mask is set if a piece begins, or the unit ends, at character k.
 
-    return units.mapInArrow(hashed, "h long, mask long")
+    h and h2 are hashes of the unit. An edge is packed as its place in the merge
+    order, start and size, so that packed edges sort in merge order.
+    """
+    spark = units.sparkSession
+    starts: dict[str, int] = {}  # the longest piece by its first PREFIX characters
+    for p in words.order:
+        if len(p) >= PREFIX:
+            starts[p[:PREFIX]] = max(starts.get(p[:PREFIX], 0), len(p))
+    reach = spark.createDataFrame(list(starts.items()), "prefix string, reach int")
+    table = spark.createDataFrame([(p, k) for p, k in words.order.items() if len(p) > 1], "piece string, place long").withColumn("key", F.xxhash64("piece"))
+    spans = (
+        units.select("unit", F.xxhash64("unit").alias("h"), F.hash("unit").alias("h2"), F.length("unit").alias("n")).where("n > 1")
+        .repartition("h", "h2")
+        .withColumn("i", F.explode(F.expr("sequence(0, n - 2)")))
+        .withColumn("prefix", F.expr(f"substring(unit, i + 1, {PREFIX})")).join(F.broadcast(reach), "prefix", "left")
+        .withColumn("size", F.explode(F.sequence(F.lit(2), F.least(F.greatest(F.coalesce("reach", F.lit(0)), F.lit(PREFIX - 1)), F.expr("n - i")))))
+        .select("h", "h2", "n", "i", "size", F.expr("substring(unit, i + 1, size)").alias("part"))
+        .withColumn("key", F.xxhash64("part"))
+    )
+    # a long key makes the smaller hash table; the pieces themselves are compared as well
+    edges = spans.join(F.broadcast(table), ["key"]).where("part = piece").select("h", "h2", "n", F.expr("(shiftleft(place, 12) | shiftleft(i, 6)) | size").alias("edge"))
+    grouped = edges.groupBy("h", "h2", "n").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+    # ends: the boundaries at both ends of the edge; inner: those between
+    step = """aggregate(edges, shiftleft(1L, n + 1) - 1L, (mask, e) ->
+        if((mask & (shiftleft(1L, cast(shiftright(e, 6) & 63 as int)) | shiftleft(1L, cast((shiftright(e, 6) & 63) + (e & 63) as int))))
+             = (shiftleft(1L, cast(shiftright(e, 6) & 63 as int)) | shiftleft(1L, cast((shiftright(e, 6) & 63) + (e & 63) as int)))
+           and bit_count(mask & shiftleft(shiftleft(1L, cast(e & 63 as int) - 1) - 1L, cast(shiftright(e, 6) & 63 as int) + 1)) = 1,
+           mask & ~shiftleft(shiftleft(1L, cast(e & 63 as int) - 1) - 1L, cast(shiftright(e, 6) & 63 as int) + 1),
+           mask))"""
+    return grouped.select("h", "h2", F.expr(step).alias("mask"))
 
 
 _ADDED = [T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("decoded", T.StringType())]
 
 
-def _pack(words: Vocabulary, texts: list, segment) -> list[pa.Array]:
-    """Columns ids and decoded. segment(distinct units) gives the pieces of each."""
-    found = [words.units(x or "") for x in texts]
-    distinct: dict[str, int] = {}
-    codes = [distinct.setdefault(u, len(distinct)) for units in found for u in units]
-    pieces = [words.ids_of(p) for p in segment(list(distinct))]
-    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-    starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-    pool = np.fromiter((i for p in pieces for i in p), np.int32, int(sizes.sum()))
-    codes = np.array(codes, np.int64)
-    length = sizes[codes]
-    ends = np.concatenate([[0], np.cumsum(length)])
-    flat = pool[np.repeat(starts[codes] - ends[:-1], length) + np.arange(ends[-1])] if len(codes) else np.empty(0, np.int32)
-    rows = ends[np.concatenate([[0], np.cumsum([len(u) for u in found])])]
+class Units(dict):
+    """Numbers of units, given as they come, and their ids in one pool."""
+
+    def __init__(self, words: Vocabulary, segment):
+        """segment(units) gives the pieces of each."""
+        super().__init__()
+        self.words, self.segment, self.new = words, segment, []
+        self.sizes, self.pool = np.empty(0, np.int32), np.empty(0, np.int32)
+
+    def __missing__(self, unit: str) -> int:
+        self[unit] = number = len(self)
+        self.new.append(unit)
+        return number
+
+    def codes(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all units of the texts, and n+1 offsets by text. Forgets what it knew when that is too much."""
+        if len(self) > _KNOWN:
+            self.clear()
+            self.sizes, self.pool = np.empty(0, np.int32), np.empty(0, np.int32)
+        flat, ends = [], [0]
+        for x in texts:
+            flat += map(self.__getitem__, self.words.units(x or ""))
+            ends.append(len(flat))
+        if self.new:
+            ids = [self.words.ids_of(p) for p in self.segment(self.new)]
+            sizes = np.fromiter(map(len, ids), np.int32, len(ids))
+            self.sizes = np.concatenate([self.sizes, sizes])
+            self.pool = np.concatenate([self.pool, np.fromiter((i for p in ids for i in p), np.int32, int(sizes.sum()))])
+            self.new.clear()
+        return np.array(flat, np.int64), np.array(ends, np.int64)
+
+
+def _pack(words: Vocabulary, units: Units, texts: list) -> list[pa.Array]:
+    """Columns ids and decoded of the texts of a slice, which is far below 2 GB."""
+    codes, ends_of_rows = units.codes(texts)
+    starts = np.concatenate([[0], np.cumsum(units.sizes)])[:-1].astype(np.int32)
+    length = units.sizes[codes]
+    ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+    flat = units.pool[np.repeat(starts[codes] - ends[:-1], length) + np.arange(ends[-1], dtype=np.int32)] if len(codes) else np.empty(0, np.int32)
+    rows = ends[ends_of_rows]
     # decoding goes through the ids alone
-    surface = np.frombuffer(b"".join(words.surface), np.uint8)
-    width = np.fromiter(map(len, words.surface), np.int64, len(words.surface))
-    at = np.concatenate([[0], np.cumsum(width)])[:-1]
+    surface, at, width = words.surfaces
     w = width[flat]
-    stop = np.concatenate([[0], np.cumsum(w)])
-    data = surface[np.repeat(at[flat] - stop[:-1], w) + np.arange(stop[-1])].tobytes() if len(flat) else b""
+    stop = np.concatenate([[0], np.cumsum(w)]).astype(np.int32)
+    data = surface[np.repeat(at[flat] - stop[:-1], w) + np.arange(stop[-1], dtype=np.int32)].tobytes() if len(flat) else b""
     edge = stop[rows].tolist()
     decoded = [(s[1:] if s[:1] == b" " else s).decode("utf-8", "replace") for s in (data[a:b] for a, b in zip(edge, edge[1:]))]
     return [pa.ListArray.from_arrays(pa.array(rows.astype(np.int32)), pa.array(flat)), pa.array(decoded, pa.string())]
@@ -207,8 +272,7 @@ def encode(docs: DataFrame, text: str = "text", model: str = VOCABULARY, broadca
     at = own.index(text)
     schema = T.StructType([*[docs.schema[c] for c in own], *_ADDED])
     base = docs.select(*[F.col(f"`{c}`") for c in own])
-    distinct = docs.select(F.explode(_units(F.col(f"`{text}`"), words.pattern)).alias("unit")).distinct()
-    masks = stored(lattice(distinct.where(F.length("unit") <= MASKED), words))
+    masks = stored(lattice(distinct_units(docs.select(F.col(f"`{text}`")), model), words))
     n = masks.count()
     context = docs.sparkSession.sparkContext
     shared = context.broadcast(words)
@@ -217,7 +281,7 @@ def encode(docs: DataFrame, text: str = "text", model: str = VOCABULARY, broadca
         return list(unit) if len(unit) <= MASKED else shared.value.fold(unit)
 
     if n <= broadcast_units:
-        known = _table(masks).toArrow()
+        known = masks.select("h", "mask").toArrow()
         h = known.column("h").to_numpy().view(np.uint64)
         order = np.argsort(h)
         table = context.broadcast((h[order], known.column("mask").to_numpy()[order]))
@@ -225,30 +289,33 @@ def encode(docs: DataFrame, text: str = "text", model: str = VOCABULARY, broadca
 
         def run(batches):
             keys, bits = table.value
-            words, digest = shared.value, xxhash.xxh3_64_intdigest
-            held: dict[str, list[str]] = {}
-
-            def segment(units: list[str]) -> list[list[str]]:
-                if len(held) > 300_000:
-                    held.clear()
-                new = [u for u in units if u not in held]
-                if len(keys):
-                    h = np.fromiter((digest(u.encode()) for u in new), np.uint64, len(new))
-                    i = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                    for u, hit, mask in zip(new, (keys[i] == h).tolist(), bits[i].tolist()):
-                        held[u] = words.masked(u, mask) if hit and len(u) <= MASKED else plain(u)  # units without an edge fall into characters
-                else:
-                    held.update((u, plain(u)) for u in new)
-                return [held[u] for u in units]
-
-            for batch in pieces_of(batches, at):
-                yield pa.RecordBatch.from_arrays([*batch.columns, *_pack(words, batch.column(at).to_pylist(), segment)], names=[*own, "ids", "decoded"])
+            words, digest = shared.value, xxhash.xxh64_intdigest
+
+            def segment(new: list[str]) -> list[list[str]]:
+                if not len(keys):
+                    return [plain(u) for u in new]
+                h = np.fromiter((digest(u.encode(), SEED) for u in new), np.uint64, len(new))
+                i = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                # units without an edge aren't listed: they fall into characters
+                return [words.masked(u, mask) if hit and len(u) <= MASKED else plain(u) for u, hit, mask in zip(new, (keys[i] == h).tolist(), bits[i].tolist())]
+
+            units = Units(words, segment)
+            for batch in pieces_of(batches, at, _SLICE):
+                yield pa.RecordBatch.from_arrays([*batch.columns, *_pack(words, units, batch.column(at).to_pylist())], names=[*own, "ids", "decoded"])
 
         return base.mapInArrow(run, schema)
 
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.sha2(F.col(f"`{text}`").cast("binary"), 256).alias("key"))
-    asked = keyed.where("key is not null").select("key", F.explode(F.array_distinct(_units(F.col(f"row.`{text}`"), words.pattern))).alias("unit")).distinct()
-    met = asked.join(masks, "unit").groupBy("key").agg(F.collect_list(F.struct("unit", "mask")).alias("pairs"))
+    def asked_of(batches):
+        words = vocabulary(model)
+        for batch in pieces_of(batches, 1, _SLICE):
+            units = [sorted(set(words.units(x or ""))) for x in batch.column(1).to_pylist()]
+            keys = batch.column(0).take(pa.array(np.repeat(np.arange(len(units)), [len(u) for u in units])))
+            yield pa.RecordBatch.from_arrays([keys, pa.array([u for x in units for u in x], pa.string())], names=["key", "unit"])
+
+    asked = keyed.where("key is not null").select("key", F.col(f"row.`{text}`").alias("text")).mapInArrow(asked_of, "key string, unit string").distinct()
+    hashed = asked.select("key", "unit", F.xxhash64("unit").alias("h"), F.hash("unit").alias("h2"))
+    met = hashed.join(masks, ["h", "h2"]).groupBy("key").agg(F.collect_list(F.struct("unit", "mask")).alias("pairs"))
     joined = keyed.join(met, "key", "left").select(F.col(f"row.`{text}`").alias("text"), "pairs", "row")
 
     def run_joined(batches):
@@ -256,8 +323,8 @@ def encode(docs: DataFrame, text: str = "text", model: str = VOCABULARY, broadca
         for batch in pieces_of(batches):
             for i in range(batch.num_rows):
                 mine = {p["unit"]: p["mask"] for p in batch.column(1)[i].as_py() or []}
-                segment = lambda units, mine=mine: [words.masked(u, mine[u]) if u in mine else plain(u) for u in units]
+                units = Units(words, lambda new, mine=mine: [words.masked(u, mine[u]) if u in mine else plain(u) for u in new])
                 one = batch.slice(i, 1)
-                yield pa.RecordBatch.from_arrays([*one.column(2).flatten(), *_pack(words, one.column(0).to_pylist(), segment)], names=[*own, "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([*one.column(2).flatten(), *_pack(words, units, one.column(0).to_pylist())], names=[*own, "ids", "decoded"])
 
     return joined.mapInArrow(run_joined, schema)
