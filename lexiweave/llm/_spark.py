@@ -54,6 +54,12 @@ def drop_stored(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def by_place(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns named by place, so that no added column clashes, and those names by column."""
+    names = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A star per component of the links a-b: each node that isn't its component's least, and that least."""
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +17,18 @@ _APART = bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *ran
 LOWER_ALNUM = bytes.maketrans(_UP + _APART, _LOW + b" " * len(_APART))
 
 
+def _trim() -> None:
+    """Gives free memory back: workers outlive their tasks, and an executor has several."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def pieces_of(batches, column: int = 0, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts batches into runs of rows with about `limit` bytes of text, one row at least."""
+    _trim()
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -28,7 +39,7 @@ def pieces_of(batches, column: int = 0, limit: int = 4 << 20) -> Iterator[pa.Rec
             to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, side="right")))
             yield batch.slice(at, to - at)
             at = to
-        pa.default_memory_pool().release_unused()
+        _trim()
 
 
 def bytes_of(text: pa.Array) -> tuple[bytes, np.ndarray]:

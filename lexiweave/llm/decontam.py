@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexiweave.llm._spark import by_place
 from lexiweave.llm._text import LOWER_ALNUM, pieces_of
 
 WINDOW = 10
@@ -166,5 +167,5 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """The rows of docs without any window of the benchmark; all columns stay."""
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(f"`{text}`").alias("__text"))
-    return find(whole, benchmark, "__text", **options).where("n_hit = 0").select("__row.*")
+    placed, of = by_place(docs)
+    return find(placed, benchmark, of[text], **options).where("n_hit = 0").select(*of.values()).toDF(*docs.columns)

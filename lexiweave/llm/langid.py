@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexiweave.llm._spark import by_place
 from lexiweave.llm._text import LOWER, coded, pieces_of, split_words
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -58,7 +59,6 @@ class Pieces:
         self.keys, self.ids = keys[order], order
         # where a key of so many leading bits would start among the sorted keys
         self.starts = np.searchsorted(self.keys >> np.uint64(64 - _BITS), np.arange((1 << _BITS) + 1, dtype=np.uint64))
-        self.most = int(np.diff(self.starts).max())
         self.used = np.unique(self.lengths)
 
     @staticmethod
@@ -72,12 +72,17 @@ class Pieces:
     def find(self, h: np.ndarray) -> np.ndarray:
         """Ids of hashed substrings, -1 for none."""
         h = h * _MIX ^ (h >> np.uint64(32))
-        at = self.starts[(h >> np.uint64(64 - _BITS)).astype(np.int64)]
+        bucket = (h >> np.uint64(64 - _BITS)).astype(np.int64)
+        at, end = self.starts[bucket], self.starts[bucket + 1]
         out = np.full(len(h), -1, np.int64)
-        for k in range(self.most):
-            i = np.minimum(at + k, len(self.keys) - 1)
-            same = self.keys[i] == h
-            out[same] = self.ids[i[same]]
+        live = np.flatnonzero(at < end)
+        while len(live):
+            i = at[live]
+            same = self.keys[i] == h[live]
+            out[live[same]] = self.ids[i[same]]
+            live = live[~same]
+            at[live] += 1
+            live = live[at[live] < end[live]]
         return out
 
 
@@ -191,8 +196,8 @@ def train(rows: DataFrame, languages: list[str], model: str) -> np.ndarray:
 
         def flush():
             words = list(held)
-            for i in range(0, len(words), 20_000):
-                some = words[i : i + 20_000]
+            for i in range(0, len(words), 8_000):
+                some = words[i : i + 8_000]
                 total[:] += Lattice(some, vocabulary).expected(first, np.stack([held[w] for w in some]))
             held.clear()
 
@@ -206,7 +211,7 @@ def train(rows: DataFrame, languages: list[str], model: str) -> np.ndarray:
                     held[w] = held[w] + row
                 else:
                     held[w] = row
-            if len(held) > 200_000:
+            if len(held) > 100_000:
                 flush()
         flush()
         at = np.flatnonzero(total.any(axis=1))
@@ -256,14 +261,14 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang:
         for batch in pieces_of(batches, at):
             flat, ends = split_words(batch.column(at), LOWER)
             codes, distinct = coded(flat)
-            if len(known) > 400_000:
+            if len(known) > 250_000:
                 known.clear()
             new = [w for w in distinct if w not in known]
             base = len(known)
             if base + len(new) > len(store):
                 store = np.concatenate([store[:base], np.zeros((base + 2 * len(new), len(languages)))])
-            for i in range(0, len(new), 20_000):
-                some = new[i : i + 20_000]
+            for i in range(0, len(new), 8_000):
+                some = new[i : i + 8_000]
                 store[base + i : base + i + len(some)] = Lattice(some, vocabulary).logs(p)
             known.update(zip(new, range(base, base + len(new))))
             logs = store[np.array([known[w] for w in distinct], np.int64)][codes] if distinct else np.zeros((0, len(languages)))
@@ -282,5 +287,5 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang:
 
 def with_language(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", model: str = VOCABULARY) -> DataFrame:
     """The rows of docs whose text has a language: not those that are null or without a letter. All columns stay."""
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), *[F.col(f"`{c}`").alias(n) for c, n in ((id_col, "__id"), (text, "__text"), (lang, "__lang"))])
-    return identify(whole, "__id", "__text", "__lang", model).where("lang_pred <> 'und'").select("__row.*")
+    placed, of = by_place(docs)
+    return identify(placed, of[id_col], of[text], of[lang], model).where("lang_pred <> 'und'").select(*of.values()).toDF(*docs.columns)
