@@ -40,11 +40,11 @@ class Model:
 
     def decode(self, encoded: DataFrame) -> DataFrame:
         """(idx, s)."""
-        return decode.decode(encoded, self.dictionary)
+        return decode.decode_arrow(encoded, self.tokens)
 
     def lookup(self, encoded: DataFrame, queries: DataFrame) -> DataFrame:
         """(qid, idx, s) for queries (qid, idx)."""
-        return decode.lookup(encoded, self.dictionary, queries)
+        return decode.lookup(encoded, self.tokens, queries)
 
     def space_used(self, encoded: DataFrame) -> DataFrame:
         """One row: stream_bytes, dictionary_bytes, space_bytes (the offsets of strings left out), space_with_offsets_bytes (8 bytes for each)."""

@@ -277,6 +277,12 @@ query("greedy_parse_native", _GREEDY_SQL)(lambda spark, d: _listed(parse.parse_n
 query("greedy_parse_arrow", _GREEDY_SQL)(lambda spark, d: _listed(parse.parse(strings(spark, d, "part"), parse.collected(given_dictionary(spark)))))
 
 
+@query("decode_native", f"SELECT idx, s FROM {strings_sql('part')}")
+def decode_by_array(spark: SparkSession, d: str) -> DataFrame:
+    dictionary = given_dictionary(spark)
+    return decode.decode(parse.parse_native(strings(spark, d, "part"), dictionary), dictionary)
+
+
 @query("decode_relational", f"SELECT idx, s FROM {strings_sql('part')}")
 def decode_by_join(spark: SparkSession, d: str) -> DataFrame:
     dictionary = given_dictionary(spark)

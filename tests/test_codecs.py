@@ -3,7 +3,7 @@
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from lexiweave.operators import parse, train
+from lexiweave.operators import decode, parse, train
 from lexiweave.operators.positions import token_positions
 from lexiweave.plans.codecs import CODECS, codec
 
@@ -114,6 +114,15 @@ def test_encoded_literal_selects_equal_strings(spark):
         assert [r["idx"] for r in model.encode(s).collect() if r["tokens"] == wanted] == [2]
 
 
+def test_every_way_to_decode_agrees(spark):
+    texts = ["日本語日本", "", "é", "aaaa" * 50, "日本"]
+    s = frame(spark, texts)
+    model = codec("pairs", threshold=2).fit(s)
+    encoded = model.encode(s)
+    for back in (decode.decode(encoded, model.dictionary), decode.decode_relational(encoded, model.dictionary), decode.decode_arrow(encoded, model.tokens)):
+        assert rows(back, "s") == texts
+
+
 def test_native_parse_agrees(spark):
     texts = ["old gear old gear", "", "gear", "red old bolt", "x", "old gear old gear"]
     s = frame(spark, texts)
