@@ -35,6 +35,20 @@ def shared_folder(spark: SparkSession) -> str:
     return _FOLDERS[app]
 
 
+#: Bytes of an Arrow batch to a Python worker.
+BATCH = 4 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """From here on this session makes Arrow batches of about BATCH bytes, unless it has a limit of its own.
+
+    Plans are run after the operators return, so the limit stays.
+    """
+    if spark.conf.get(_BATCH_CONF, None) is None:
+        spark.conf.set(_BATCH_CONF, str(BATCH))
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: this cuts the lineage."""
     spark = df.sparkSession

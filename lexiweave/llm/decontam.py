@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexiweave.llm._spark import by_place
+from lexiweave.llm._spark import bounded_batches, by_place
 from lexiweave.llm._text import LOWER_ALNUM, pieces_of
 
 WINDOW = 10
@@ -107,6 +107,7 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     one of them is bounded; the rows stream through one after the other without
     a shuffle.
     """
+    bounded_batches(docs.sparkSession)
     dealt, ids = searchers(benchmark.select(item_id, item_text).toLocalIterator(), window, block)
     names = [str(x) for x in ids]
     own = [c for c in docs.columns if c not in ("n_words", "n_hit", "item_ids", "spans")]

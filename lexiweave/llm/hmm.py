@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiweave.llm._spark import stored
+from lexiweave.llm._spark import bounded_batches, stored
 from lexiweave.llm._text import LOWER, coded, pieces_of, split_words
 
 STATES = 16
@@ -324,6 +324,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", states: i
     Without training rows every token is unknown and both scores are 0. Other
     columns are ignored; an empty table gives no rows.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), held_out(F.col(id_col)).alias("held"), F.col(text).alias("text"))
     counts = stored(word_counts(rows.where("not held").select("text")))
     totals = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.sum((F.col("n") == 2).cast("long")).alias("twice")).first()

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexiweave.llm._spark import bounded_batches
 from lexiweave.llm._text import LOWER, bytes_of, coded, pieces_of, split_words
 
 DIMENSIONS = 1 << 18
@@ -162,6 +163,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     ids are scored each on its own. Other columns stay; an empty table gives no
     rows, and a table without labels the same score for all.
     """
+    bounded_batches(docs.sparkSession)
     marks = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("id")).agg(F.max(label).cast("int").alias("label"))
     if labels.count() <= BROADCAST_LABELS:
         marks = F.broadcast(marks)

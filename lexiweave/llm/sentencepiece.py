@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexiweave.llm._spark import stored
+from lexiweave.llm._spark import bounded_batches, stored
 from lexiweave.llm._text import pieces_of
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -38,7 +38,7 @@ SEED = 42
 #: Bytes of text that a task cuts up at a time.
 _SLICE = 1 << 20
 #: Distinct units that a task holds.
-_KNOWN = 250_000
+_KNOWN = 150_000
 _CACHE: dict = {}
 
 
@@ -267,6 +267,7 @@ def encode(docs: DataFrame, text: str = "text", model: str = VOCABULARY, broadca
     no ids and decode to the empty text. Repeated rows are encoded alike; other
     columns stay; an empty table gives no rows.
     """
+    bounded_batches(docs.sparkSession)
     words = vocabulary(model)
     own = [c for c in docs.columns if c not in ("ids", "decoded")]
     at = own.index(text)
@@ -275,10 +276,9 @@ def encode(docs: DataFrame, text: str = "text", model: str = VOCABULARY, broadca
     masks = stored(lattice(distinct_units(docs.select(F.col(f"`{text}`")), model), words))
     n = masks.count()
     context = docs.sparkSession.sparkContext
-    shared = context.broadcast(words)
 
     def plain(unit: str) -> list[str]:
-        return list(unit) if len(unit) <= MASKED else shared.value.fold(unit)
+        return list(unit) if len(unit) <= MASKED else vocabulary(model).fold(unit)
 
     if n <= broadcast_units:
         known = masks.select("h", "mask").toArrow()
@@ -289,7 +289,7 @@ def encode(docs: DataFrame, text: str = "text", model: str = VOCABULARY, broadca
 
         def run(batches):
             keys, bits = table.value
-            words, digest = shared.value, xxhash.xxh64_intdigest
+            words, digest = vocabulary(model), xxhash.xxh64_intdigest
 
             def segment(new: list[str]) -> list[list[str]]:
                 if not len(keys):
@@ -319,7 +319,7 @@ def encode(docs: DataFrame, text: str = "text", model: str = VOCABULARY, broadca
     joined = keyed.join(met, "key", "left").select(F.col(f"row.`{text}`").alias("text"), "pairs", "row")
 
     def run_joined(batches):
-        words = shared.value
+        words = vocabulary(model)
         for batch in pieces_of(batches):
             for i in range(batch.num_rows):
                 mine = {p["unit"]: p["mask"] for p in batch.column(1)[i].as_py() or []}

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexiweave.llm._spark import components, drop_stored, stored
+from lexiweave.llm._spark import bounded_batches, components, drop_stored, stored
 from lexiweave.llm._text import LOWER, bytes_of, pieces_of
 
 SHINGLE = 4
@@ -84,6 +84,7 @@ def fingerprints_of(text: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
 
 def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "fp", shingle: int = SHINGLE) -> DataFrame:
     """docs with a column `name` (long) in place of any of that name: the fingerprint's 64 bits."""
+    bounded_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c != name]
     at = rest.index(text)
     schema = T.StructType([docs.schema[c] for c in rest] + [T.StructField(name, T.LongType())])
