@@ -39,7 +39,7 @@ def pieces_of(batches, column: int = 0, limit: int = 4 << 20) -> Iterator[pa.Rec
             to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, side="right")))
             yield batch.slice(at, to - at)
             at = to
-        _trim()
+    _trim()
 
 
 def bytes_of(text: pa.Array) -> tuple[bytes, np.ndarray]:

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexiweave.llm._spark import bounded_batches
 from lexiweave.llm._text import coded, pieces_of, split_words
 
 WINDOW = 20
@@ -35,6 +36,10 @@ _SLICE = 2 << 20
 #: Odd factors of the sketch's rows.
 _ROWS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 _CHUNK = 20
+#: A minimizer is hot if it is one place in so many of a task's; how many lists of hot ones are merged apart.
+HOT = 4000
+_CHUNKS_OF_HOT = 8
+_HOT_LINE = -1
 _LAST = np.uint64(_MOD - 1)
 
 
@@ -105,8 +110,14 @@ def sketch_bits(text_bytes: int) -> int:
     return min(29, max(16, ceil(log2(max(1, text_bytes) / 12))))
 
 
-def repeated_cells(docs: DataFrame, text: str, window: int, bits: int) -> list[np.ndarray]:
-    """For each row of the merged sketch, the bitmap of cells that count two or more: 2**bits / 8 bytes each."""
+_SKETCH_NAMES = ["line", "chunk", "once", "twice"]
+
+
+def repeated_cells(docs: DataFrame, text: str, window: int, bits: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each row of the merged sketch, the bitmap of cells that count two or more: 2**bits / 8 bytes each.
+
+    And the hot minimizers, at most _CHUNKS_OF_HOT * HOT, the most frequent.
+    """
 
     step = 1 << min(_CHUNK, bits)
 
@@ -120,7 +131,14 @@ def repeated_cells(docs: DataFrame, text: str, window: int, bits: int) -> list[n
                     part = np.zeros(step, np.uint8)
                     part[at[i:j] - chunk * step] = np.minimum(k[i:j], 2)
                     packed = [zlib.compress(np.packbits(part == n).tobytes(), 1) for n in (1, 2)]
-                    yield pa.record_batch([pa.array([row], pa.int32()), pa.array([chunk], pa.int32()), pa.array([packed[0]]), pa.array([packed[1]])], names=["line", "chunk", "once", "twice"])
+                    yield pa.record_batch([pa.array([row], pa.int32()), pa.array([chunk], pa.int32()), pa.array([packed[0]]), pa.array([packed[1]])], names=_SKETCH_NAMES)
+        found, n = np.unique(keys, return_counts=True)
+        often = n >= max(64, len(keys) // HOT)
+        found, n = found[often], n[often]
+        for chunk in range(_CHUNKS_OF_HOT):
+            mine = found % np.uint64(_CHUNKS_OF_HOT) == chunk
+            if mine.any():
+                yield pa.record_batch([pa.array([_HOT_LINE], pa.int32()), pa.array([chunk], pa.int32()), pa.array([found[mine].tobytes()]), pa.array([n[mine].tobytes()])], names=_SKETCH_NAMES)
 
     def count(batches):
         held, n = [], 0
@@ -134,6 +152,10 @@ def repeated_cells(docs: DataFrame, text: str, window: int, bits: int) -> list[n
             yield from partial(np.concatenate(held))
 
     def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        if key[0] == _HOT_LINE:
+            found, at = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in rows["once"]]), return_inverse=True)
+            n = np.bincount(at, weights=np.concatenate([np.frombuffer(x, np.int64) for x in rows["twice"]]))
+            return pd.DataFrame({"line": [key[0]], "chunk": [key[1]], "twice": [found[np.argsort(-n)[:HOT]].tobytes()]})
         once = twice = None
         for a, b in zip(rows["once"], rows["twice"]):
             a, b = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (a, b))
@@ -143,9 +165,13 @@ def repeated_cells(docs: DataFrame, text: str, window: int, bits: int) -> list[n
 
     merged = docs.select(text).mapInArrow(count, "line int, chunk int, once binary, twice binary").groupBy("line", "chunk").applyInPandas(merge, "line int, chunk int, twice binary")
     out = [np.zeros(1 << (bits - 3), np.uint8) for _ in _ROWS]
+    hot = [np.empty(0, np.uint64)]
     for r in merged.toLocalIterator():
+        if r["line"] == _HOT_LINE:
+            hot.append(np.frombuffer(bytes(r["twice"]), np.uint64))
+            continue
         out[r["line"]][(r["chunk"] * step) >> 3 : ((r["chunk"] + 1) * step) >> 3] = np.frombuffer(zlib.decompress(bytes(r["twice"])), np.uint8)
-    return out
+    return out, np.sort(np.concatenate(hot))
 
 
 #: Rows of candidate windows that a task holds before it sorts and sends them.
@@ -172,7 +198,7 @@ def _candidates(docs: DataFrame, window: int, bits: int, twice) -> DataFrame:
     """Windows estimated to be repeated: the earliest of each in its task's block, and the others as runs."""
     shared = docs.sparkSession.sparkContext.broadcast(twice)
 
-    def flush(held):
+    def flush(held, hot):
         grams, hashes, ids, keys, starts = (np.concatenate(x) for x in zip(*held))
         held.clear()
         order = np.lexsort((starts, ids, hashes, grams))
@@ -183,6 +209,8 @@ def _candidates(docs: DataFrame, window: int, bits: int, twice) -> DataFrame:
         earliest[order] = (ids[order] == ids[lead]) & (starts[order] == starts[lead])  # rows that share an id may tie
         # back in the order of the rows, in which starts are consecutive
         g, h, i, k, s = (x[earliest] for x in (grams, hashes, ids, keys, starts))
+        # a minimizer that is in many places may have more windows than a task should hold: its windows go each for itself
+        g = np.where(np.isin(g, hot), (g ^ (h >> np.uint64(1))) * np.uint64(_ROWS[1]), g)
         edges = _edges(g, i, k, s)
         at = edges[:-1]
         for a in range(0, len(at), 1 << 15):
@@ -200,7 +228,7 @@ def _candidates(docs: DataFrame, window: int, bits: int, twice) -> DataFrame:
 
     def run(batches):
         held, n = [], 0
-        maps = shared.value
+        maps, hot = shared.value
         for batch in pieces_of(batches, 2, _SLICE):
             words = Words(batch.column(2))
             least, starts, _ = minimizers(words, window)
@@ -214,10 +242,10 @@ def _candidates(docs: DataFrame, window: int, bits: int, twice) -> DataFrame:
                 held.append((least[at], words.runs(window, 1)[at], ids, keys, (at - words.offsets[row]).astype(np.int32)))
                 n += len(at)
                 if n >= _HELD:
-                    yield from flush(held)
+                    yield from flush(held, hot)
                     n = 0
         if held:
-            yield from flush(held)
+            yield from flush(held, hot)
 
     return docs.select("__id", "__tk", "__text").mapInArrow(run, _FOUND)
 
@@ -249,6 +277,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     comparison, so repeated rows don't remove each other's words. Other columns
     stay. An empty table gives no rows.
     """
+    bounded_batches(docs.sparkSession)
     own = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_text")]
     ident = F.coalesce(F.col(id_col).cast("long"), F.lit(_NONE))
     shared = docs.select(ident.alias("i")).groupBy("i").count().where("count > 1").limit(1).count()
@@ -257,13 +286,18 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     base = docs.select(ident.alias("__id"), key.alias("__tk"), F.struct(*[F.col(f"`{c}`") for c in own]).alias("__row"))
     late = later_starts(base.select("__id", "__tk", F.col(f"__row.`{text}`").alias("__text")), window, bits)
     gone = late.groupBy("__id", "__tk").agg(F.collect_list(F.struct("start", "run")).alias("__gone"))
-    joined = base.join(gone, ["__id", "__tk"], "left").select(F.col(f"__row.`{text}`").alias("__text"), "__gone", "__row")
+    joined = base.join(gone, ["__id", "__tk"], "left").select("__gone", "__row")
+    at = own.index(text) + 1
     schema = T.StructType([*base.schema["__row"].dataType.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
 
+    def unpacked(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.column(1).flatten()], names=["__gone", *own])
+
     def cut(batches):
-        for batch in pieces_of(batches):
-            texts = batch.column(0).cast(pa.binary()).to_pylist()
-            gone = batch.column(1)
+        for batch in pieces_of(unpacked(batches), at):
+            texts = batch.column(at).cast(pa.binary()).to_pylist()
+            gone = batch.column(0)
             total, removed, kept = [], [], []
             for i, x in enumerate(texts):
                 words = (x or b"").split()
@@ -280,6 +314,6 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                 removed.append(total[-1] - len(words))
                 kept.append(b" ".join(words))
             extra = [pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
-            yield pa.RecordBatch.from_arrays([*batch.column(2).flatten(), *extra], names=[f.name for f in schema.fields])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *extra], names=[f.name for f in schema.fields])
 
     return joined.mapInArrow(cut, schema)

@@ -55,6 +55,17 @@ def test_small_blocks_give_the_same(docs, monkeypatch):
     assert [got[i] for i in range(len(texts))] == [x[1] for x in brute(list(enumerate(texts)))]
 
 
+def test_hot_minimizers_go_apart(docs, monkeypatch):
+    monkeypatch.setattr(substring, "HOT", 1 << 40)  # whatever comes 64 times in a task is hot
+    common = " ".join(words_of(7, 18))
+    texts = [f"{' '.join(words_of(s % 150, 12, 10**6))} {common} {' '.join(words_of(-1 - s % 150, 12, 10**6))}" for s in range(200)]
+    df = docs(texts).coalesce(1)
+    _, hot = substring.repeated_cells(df, "text", 20, 16)
+    assert len(hot)
+    got = {r["doc_id"]: r["n_removed"] for r in substring.without_repeats(df).collect()}
+    assert [got[i] for i in range(len(texts))] == [x[1] for x in brute(list(enumerate(texts)))]
+
+
 def test_shared_and_null_ids(docs):
     a = " ".join(words_of(1, 30))
     rows = [(3, a), (3, a), (3, "zz " + a), (None, a), (None, a), (1, "other words"), (5, a)]
