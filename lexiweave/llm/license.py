@@ -12,6 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexiweave.llm._spark import stored
 from lexiweave.llm.license_rules import LINES
 
 #: Phrases whose places are counted, and their labels.
@@ -138,7 +139,8 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     confidence = F.lit(0.0)
     for p, c in CONFIDENCE.items():
         confidence = F.when(F.col("priority") == p, F.lit(c)).otherwise(confidence)
-    by_text = kept.groupBy("k1", "k2").agg(F.collect_set("label").alias("found"), F.max(confidence).alias("sure"))
+    # stored, so that its size is known to the join, which may split large groups of one text
+    by_text = stored(kept.groupBy("k1", "k2").agg(F.collect_set("label").alias("found"), F.max(confidence).alias("sure")))
     out = main.join(by_text, ["k1", "k2"], "left")
     labels = F.array_sort(F.array_union("base", F.coalesce("found", F.array().cast("array<string>"))))
     score = F.greatest(F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.lit(0.0)), F.coalesce("sure", F.lit(0.0)))
