@@ -38,7 +38,7 @@ SEED = 42
 #: Bytes of text that a task cuts up at a time.
 _SLICE = 1 << 20
 #: Distinct units that a task holds.
-_KNOWN = 150_000
+_KNOWN = 250_000
 _CACHE: dict = {}
 
 
