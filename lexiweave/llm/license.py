@@ -24,6 +24,21 @@ _APART = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def required(pattern: str, keyword: str) -> str:
+    """Words that every match of the pattern holds in a row: the keyword if they have it, else the longest such row."""
+    plain = re.sub(r"\( [^()]*\)\?", " #", pattern.lstrip("=~"))
+    plain = re.sub(r"\S+ \?\S+", "#", re.sub(r"\([^()]*\)\??", "#", plain))
+    runs: list[list[str]] = [[]]
+    for word in plain.split():
+        if re.fullmatch(r"[a-z0-9]+", word):
+            runs[-1].append(word)
+        else:
+            runs.append([])
+    if any(f" {keyword} " in f" {' '.join(run)} " for run in runs):
+        return keyword
+    return " ".join(max(runs, key=lambda run: len(" ".join(run))))
+
+
 def rules() -> list[tuple[int, str, str, int, str]]:
     """(number, label, keyword, priority, pattern over words with a space on either side of each)."""
     out = []
@@ -33,7 +48,7 @@ def rules() -> list[tuple[int, str, str, int, str]]:
             priority = 3 if p[0] == "=" else 1 if p[0] == "~" else 2
             # between two words there are two spaces; ` ?` makes the gap itself optional
             words = "(?:  )?".join(part.replace(" ", "  ") for part in p.lstrip("=~").split(" ?"))
-            out.append((len(out), label, keyword, priority, f" {words} "))
+            out.append((len(out), label, required(p, keyword), priority, f" {words} "))
     return out
 
 
@@ -53,7 +68,7 @@ def triggers() -> list[str]:
     out = set()
     for line in LINES.splitlines():
         _, keyword, *patterns = (x.strip() for x in line.split(" | "))
-        out.update("licen" if "licen" in re.sub(r"\([^()]*\)\??", "", p) else keyword for p in patterns)
+        out.update("licen" if "licen" in re.sub(r"\([^()]*\)\??", "", p) else required(p, keyword) for p in patterns)
     return sorted(out)
 
 
@@ -66,6 +81,8 @@ def _gate(text: Column) -> Column:
             every = F.lit(True)
             for word in t.split():
                 every = every & F.contains(low, F.lit(word))
+            if " " in t and max(map(len, t.split())) < 4:  # such words are within others in most texts
+                every = every & F.rlike(low, F.lit(_APART.join(t.split())))
             held = held | every
         return held
 

@@ -2,7 +2,7 @@
 
 Each line: label | keyword | patterns. A pattern is a regular expression over
 lower-case words with one space between them; it is tried only on texts that
-have its keyword. Patterns that start with `=` are whole names or notices
+have its keyword, or other words that it can't do without if it can without that. Patterns that start with `=` are whole names or notices
 (priority 3), with `~` mere mentions (priority 1); others have priority 2.
 """
 
@@ -138,7 +138,7 @@ elastic-2.0 | elastic | =elastic licen[sc]e( v| version)?( 2 0)?
 busl-1.1 | business | =business source licen[sc]e( v| version)?( 1 1)?
 blueoak-1.0.0 | blue oak | =blue oak model licen[sc]e( 1 0 0)?
 hippocratic | hippocratic | =hippocratic licen[sc]e
-openrail | rail | =open ?rail( m)?( licen[sc]e)? | =creativeml open rail m | responsible ai licen[sc]e
+openrail | rail | =open rail( m)?( licen[sc]e)? | =openrail( m)?( licen[sc]e)? | =creativeml open rail m | responsible ai licen[sc]e
 llama | llama | =llama( 2| 3)? community licen[sc]e( agreement)?
 public-domain | public domain | released into the public domain | dedicated to the public domain | placed in the public domain | ~in the public domain | ~public domain
 all-rights-reserved | rights reserved | =all rights reserved | ~rights reserved

@@ -66,3 +66,31 @@ def test_empty_null_and_repeated(docs, rows):
 def test_no_python_in_the_plan(docs):
     plan = license.scan(docs(TEXTS))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+UNGATED = [
+    "Licensed under GPLv3", "GPLv2", "LGPLv3", "LGPLv2.1", "AGPLv3", "FreeBSD License", "SPDX-License-Identifier: 0BSD", "https://creativecommons.org/licenses", "OpenRAIL", "OpenRAIL-M license", "open rail m",
+    "for noncommercial use only", "for non-commercial use only", "SPDX-License-Identifier: BSL-1.0", "SPDX-License-Identifier: PSF-2.0", "MS-PL", "MS-RL", "SPDX-License-Identifier: GFDL-1.3",
+    "Redistributions of source code must retain the above copyright notice", "under the same terms as Perl itself", "berkeley software distribution", "opendatacommons.org/licenses/odbl",
+]
+
+
+def test_no_keyword_loses_a_match(docs):
+    """Each text has one rule's match and little else; rules are tried here without keywords."""
+    got = {r["text"]: r["labels"].split(",") for r in license.scan(docs(UNGATED)).collect()}
+    for t in UNGATED:
+        norm = "".join(f" {x} " for x in APART.split(t.translate(LOWER)) if x)
+        found = [(len(m.group()), -n, label) for n, label, _, _, p in license.rules() for m in re.finditer(p, norm)]
+        assert found and max(found)[2] in got[t], t
+
+
+def test_keywords_are_in_all_that_patterns_say():
+    """Every way to leave out or choose a part of a pattern has the keyword."""
+    import itertools
+    for *_, keyword, _, pattern in license.rules():
+        parts = re.split(r"(\([^()]*\)\??|\[sc\]|\w\?)", pattern.strip().replace(".{1,80}", "x").replace("[0-9]{4}", "2020").replace("[a-z]{3}", "ork"))
+        ways = [[*x[1 : x.rindex(")")].split("|"), *[""] * x.endswith("?")] if x[:1] == "(" else ["s", "c"] if x == "[sc]" else [x[0], ""] if x.endswith("?") and x else [x] for x in parts]
+        for way in itertools.product(*ways):
+            text = " " + "".join(way).strip() + " "
+            if re.fullmatch(pattern, text):
+                assert " " + "  ".join(keyword.split()) + " " in text, (keyword, text)
