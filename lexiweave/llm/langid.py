@@ -19,8 +19,10 @@ from lexiweave.llm._spark import bounded_batches, by_place
 from lexiweave.llm._text import LOWER, coded, pieces_of, split_words
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-#: A word longer than this is cut into parts of so many bytes, and these are words to the model.
-PART = 48
+#: Ends of pieces that are looked up together; no piece is longer.
+_STEPS = 64
+#: Bytes of distinct words that a task keeps.
+_KEPT = 32 << 20
 _BITS = 17
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -60,6 +62,7 @@ class Pieces:
         # where a key of so many leading bits would start among the sorted keys
         self.starts = np.searchsorted(self.keys >> np.uint64(64 - _BITS), np.arange((1 << _BITS) + 1, dtype=np.uint64))
         self.used = np.unique(self.lengths)
+        assert self.longest <= _STEPS
 
     @staticmethod
     def _hash(piece: bytes) -> int:
@@ -93,61 +96,82 @@ def pieces(model: str) -> Pieces:
     return _CACHE[model]
 
 
-def parts_of(word: bytes) -> list[bytes]:
-    """A word with its opening mark, in parts of PART bytes."""
-    word = _OPEN + word
-    return [word[i : i + PART] for i in range(0, len(word), PART)]
-
-
 class Lattice:
-    """All occurrences of pieces in the parts of some words."""
+    """All occurrences of pieces in some words, each with its opening mark, whatever its length.
+
+    Words go longest first, so that those of t bytes or more are a prefix. The
+    ends of _STEPS bytes are looked up together; after that many, what the
+    recursions still need is scaled anew, by powers of two for each word.
+    """
 
     def __init__(self, words: list[bytes], vocabulary: Pieces):
-        cut = [parts_of(w) for w in words]
-        self.words = len(words)
-        self.word_of = np.repeat(np.arange(len(words)), [len(c) for c in cut])
-        flat = [p for c in cut for p in c]
-        self.size = np.array([len(p) for p in flat], np.int64)
-        self.order = np.argsort(-self.size, kind="stable")  # longest first, so that those still running are a prefix
-        self.size = self.size[self.order]
-        self.word_of = self.word_of[self.order]
+        flat = [_OPEN + w for w in words]
+        size = np.fromiter(map(len, flat), np.int64, len(flat))
+        self.n, self.vocabulary = len(flat), vocabulary
+        self.order = np.argsort(-size, kind="stable")
+        self.size = size[self.order]
+        self.steps = int(self.size[0]) if self.n else 0
+        #: words of t bytes or more, for t from 0 to one more than the longest has
+        self.running = np.searchsorted(-self.size, -np.arange(self.steps + 2), side="right")
+        self.start = np.cumsum(self.size) - self.size
         data = np.frombuffer(b"".join(flat[i] for i in self.order), np.uint8)
-        self.start = np.concatenate([[0], np.cumsum(self.size)[:-1]]) if len(flat) else np.empty(0, np.int64)
-        self.n = len(flat)
-        powers = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(data), _BASE)])) if len(data) else np.ones(1, np.uint64)
         inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        back = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(data), inverse)])) if len(data) else np.ones(1, np.uint64)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[:-1], dtype=np.uint64)])
-        #: for each end within a part, the pieces that end there: (length, parts, ids)
-        self.edges: list[list[tuple[int, np.ndarray, np.ndarray]]] = []
-        for t in range(1, (int(self.size[0]) if self.n else 0) + 1):
-            running = int(np.searchsorted(-self.size, -t, side="right"))
-            here = []
-            for length in vocabulary.used[vocabulary.used <= t].tolist():
-                a = self.start[:running] + t - length
-                ids = vocabulary.find((sums[a + length] - sums[a]) * back[a])
-                at = np.flatnonzero(ids >= 0)
-                if len(at):
-                    here.append((length, at, ids[at]))
-            self.edges.append(here)
-
-    def forward(self, p: np.ndarray) -> np.ndarray:
-        """[t, part, language]: lifted probability of the first t bytes. p: [piece, language], lifted."""
-        steps = len(self.edges)
-        alpha = np.zeros((steps + 1, self.n, p.shape[1]))
-        if self.n:
-            alpha[0] = 1
-        for t, here in enumerate(self.edges, 1):
-            for length, at, ids in here:
-                alpha[t, at] += alpha[t - length, at] * p[ids]
-        return alpha
+        self.back = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(len(data), inverse)]))
+        powers = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(len(data), _BASE)]))[:-1]
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers, dtype=np.uint64)])
+
+    def edges(self, lo: int) -> list[list[tuple[int, np.ndarray, np.ndarray]]]:
+        """For each end from lo + 1 on, _STEPS at most, the pieces that end there: (length, words, ids)."""
+        hi = min(lo + _STEPS, self.steps)
+        live = self.running[lo + 1 : hi + 1]
+        t = np.repeat(np.arange(lo + 1, hi + 1), live)
+        word = np.arange(len(t)) - np.repeat(np.cumsum(live) - live, live)
+        end = self.start[word] + t
+        out: list[list] = [[] for _ in range(hi - lo)]
+        for length in self.vocabulary.used[self.vocabulary.used <= hi].tolist():
+            first = int(np.searchsorted(t, length))
+            a = end[first:] - length
+            ids = self.vocabulary.find((self.sums[a + length] - self.sums[a]) * self.back[a])
+            at = np.flatnonzero(ids >= 0)
+            found, ids = word[first + at], ids[at]
+            cuts = np.searchsorted(t[first + at], np.arange(lo + 1, hi + 2)).tolist()
+            for k, (i, j) in enumerate(zip(cuts, cuts[1:])):
+                if i < j:
+                    out[k].append((length, found[i:j], ids[i:j]))
+        return out
+
+    def _forward(self, p: np.ndarray, keep: bool):
+        """Probabilities of whole words and their powers of two, in the words' order here; with keep, also all rows, the powers of each block of steps, and the blocks' edges."""
+        shape = (self.n, p.shape[1])
+        whole, power = np.zeros(shape), np.zeros(shape, np.int64)
+        rows, kept, powers, edges = [np.ones(shape)], [np.ones(shape)], [], []
+        for lo in range(0, self.steps, _STEPS):
+            if lo:
+                live = int(self.running[lo + 1])
+                rows = [r[:live] for r in rows[-self.vocabulary.longest :]]
+                scale = np.frexp(np.maximum.reduce(rows))[1]
+                rows = [np.ldexp(r, -scale) for r in rows]
+                power[:live] += scale
+            here = self.edges(lo)
+            if keep:
+                powers.append(power.copy())
+                edges.append(here)
+            for t, found in enumerate(here, lo + 1):
+                row = np.zeros((int(self.running[t]), shape[1]))
+                for length, at, ids in found:
+                    row[at] += rows[-length][at] * p[ids]
+                rows.append(row)
+                if keep:
+                    kept.append(row)
+                last = int(self.running[t + 1])
+                whole[last : len(row)] = row[last:]
+        return whole, power, kept, powers, edges
 
     def logs(self, p: np.ndarray) -> np.ndarray:
-        """[word, language]: natural log of the probability, lift taken out."""
-        whole = self.forward(p)[self.size, np.arange(self.n)] if self.n else np.zeros((0, p.shape[1]))
-        each = np.log(np.maximum(whole, 1e-300)) - (self.size * np.log(_LIFT))[:, None]
-        out = np.zeros((self.words, p.shape[1]))
-        np.add.at(out, self.word_of, each)
+        """[word, language]: natural log of the probability, lift taken out. p: [piece, language], lifted."""
+        whole, power, *_ = self._forward(p, False)
+        out = np.zeros((self.n, p.shape[1]))
+        out[self.order] = np.log(whole) + power * np.log(2) - (self.size * np.log(_LIFT))[:, None]
         return out
 
     def expected(self, p: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -155,22 +179,51 @@ class Lattice:
         out = np.zeros((len(p), weight.shape[1]))
         if not self.n:
             return out
-        alpha = self.forward(p[:, None])[:, :, 0]
-        steps = len(self.edges)
-        total = np.maximum(alpha[self.size, np.arange(self.n)], 1e-300)
-        beta = np.zeros((steps + 1, self.n))
-        beta[self.size, np.arange(self.n)] = 1
-        weight = weight[self.word_of] / total[:, None]
-        for t in range(steps, 0, -1):
-            for length, at, ids in self.edges[t - 1]:
-                b = beta[t, at]
-                share = alpha[t - length, at] * p[ids] * b
-                for k in range(weight.shape[1]):
-                    out[:, k] += np.bincount(ids, weights=share * weight[at, k], minlength=len(p))
-                beta[t - length, at] += p[ids] * b
+        whole, power, alpha, powers, edges = self._forward(p[:, None], True)
+        alpha, whole, power = [r[:, 0] for r in alpha], whole[:, 0], power[:, 0]
+        weight, later = weight[self.order], np.zeros(self.n, np.int64)
+        beta: dict[int, np.ndarray] = {}
+
+        def row(t: int) -> np.ndarray:
+            if t not in beta:
+                beta[t] = np.zeros(int(self.running[t]))
+                beta[t][int(self.running[t + 1]) :] = 1
+            return beta[t]
+
+        for block in range(len(edges) - 1, -1, -1):
+            lo = block * _STEPS
+            live = int(self.running[lo + 1])
+            # what makes a share of the product of a row of this block, or of the one before, with one of beta
+            share = [np.ldexp(1 / whole[:live], powers[b][:live, 0] + later[:live] - power[:live]) for b in (max(0, block - 1), block)]
+            for t in range(lo + len(edges[block]), lo, -1):
+                b = row(t)
+                for length, at, ids in edges[block][t - 1 - lo]:
+                    onward = p[ids] * b[at]
+                    part = alpha[t - length][at] * onward * share[t - length > lo][at]
+                    for k in range(weight.shape[1]):
+                        out[:, k] += np.bincount(ids, weights=part * weight[at, k], minlength=len(p))
+                    row(t - length)[at] += onward
+                del beta[t]
+            edges.pop()
+            if block:
+                some = [row(t) for t in range(max(0, lo - self.vocabulary.longest + 1), lo + 1)]
+                scale = np.frexp(np.maximum.reduce([r[:live] for r in some]))[1]
+                later[:live] += scale
+                for r in some:
+                    r[:live] = np.ldexp(r[:live], -scale)
         return out
 
 
+def dealt(words: list[bytes]):
+    """Cuts words into runs for one lattice each: of so many words, and so many bytes unless one word has more."""
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+    at = 0
+    while at < len(words):
+        to = min(at + 20_000, max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 20), side="right"))))
+        yield at, to
+        at = to
+
+
 def prior(vocabulary: Pieces) -> np.ndarray:
     """Probabilities of the pieces before any text is seen: falling with their place in the vocabulary."""
     p = 1 / (np.array(vocabulary.rank) + 100)
@@ -193,13 +246,15 @@ def train(rows: DataFrame, languages: list[str], model: str) -> np.ndarray:
         total, first = np.zeros((size, n)), _lifted(prior(vocabulary), vocabulary)
         place = {name: i for i, name in enumerate(languages)}
         held: dict[bytes, np.ndarray] = {}
+        room = 0
 
         def flush():
+            nonlocal room
             words = list(held)
-            for i in range(0, len(words), 20_000):
-                some = words[i : i + 20_000]
-                total[:] += Lattice(some, vocabulary).expected(first, np.stack([held[w] for w in some]))
+            for i, j in dealt(words):
+                total[:] += Lattice(words[i:j], vocabulary).expected(first, np.stack([held[w] for w in words[i:j]]))
             held.clear()
+            room = 0
 
         for batch in pieces_of(batches):
             flat, ends = split_words(batch.column(0), LOWER)
@@ -211,7 +266,8 @@ def train(rows: DataFrame, languages: list[str], model: str) -> np.ndarray:
                     held[w] = held[w] + row
                 else:
                     held[w] = row
-            if len(held) > 100_000:
+                    room += len(w)
+            if len(held) > 100_000 or room > _KEPT:
                 flush()
         flush()
         at = np.flatnonzero(total.any(axis=1))
@@ -258,19 +314,21 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang:
         vocabulary = pieces(model)
         p = _lifted(shared.value, vocabulary)
         known: dict[bytes, int] = {}  # words seen in this task, and their logs
+        size = 0
         store = np.zeros((1 << 12, len(languages)))
         for batch in pieces_of(batches, at):
             flat, ends = split_words(batch.column(at), LOWER)
             codes, distinct = coded(flat)
-            if len(known) > 250_000:
+            if len(known) > 250_000 or size > _KEPT:
                 known.clear()
+                size = 0
             new = [w for w in distinct if w not in known]
             base = len(known)
             if base + len(new) > len(store):
                 store = np.concatenate([store[:base], np.zeros((base + 2 * len(new), len(languages)))])
-            for i in range(0, len(new), 20_000):
-                some = new[i : i + 20_000]
-                store[base + i : base + i + len(some)] = Lattice(some, vocabulary).logs(p)
+            for i, j in dealt(new):
+                store[base + i : base + j] = Lattice(new[i:j], vocabulary).logs(p)
+            size += sum(map(len, new))
             known.update(zip(new, range(base, base + len(new))))
             logs = store[np.array([known[w] for w in distinct], np.int64)][codes] if distinct else np.zeros((0, len(languages)))
             sums = np.concatenate([np.zeros((1, len(languages))), np.cumsum(logs, axis=0)])

@@ -11,33 +11,75 @@ from .conftest import ODD
 WORDS = langid.pieces(langid.VOCABULARY)
 
 
+IDS = {w: i for i, w in enumerate(WORDS.pieces)}
+LONG = ["日本語の文章には空白がなく一つの文が一つの語になる" * 4, "ภาษาไทยเขียนติดกันโดยไม่เว้นวรรคระหว่างคำ" * 2, "x" * 300, "the" * 90, "a" * 61, "a" * 62, "na" * 63]
+SOME = ["the", "a", "größe", "internationalisation", "x" * 100, "日本", "!!", *LONG]
+
+
 def brute(word, p):
-    """Probability of a part: the sum over all ways to cut it."""
-    ids = {w: i for i, w in enumerate(WORDS.pieces)}
-    ahead = [1.0] + [0.0] * len(word)
+    """Natural log of the probability of a whole word with its mark: the sum over all ways to cut it, in exact fractions of powers of two."""
+    word = "▁".encode() + word
+    ahead, power = [1.0], [0]
     for e in range(1, len(word) + 1):
-        ahead[e] = sum(ahead[s] * p[ids[word[s:e]]] for s in range(max(0, e - WORDS.longest), e) if word[s:e] in ids)
-    return ahead[-1]
+        parts = [(ahead[s] * p[IDS[word[s:e]]], power[s]) for s in range(max(0, e - WORDS.longest), e) if word[s:e] in IDS]
+        top = max(k for _, k in parts)
+        m, k = np.frexp(sum(np.ldexp(x, k - top) for x, k in parts))
+        ahead.append(float(m))
+        power.append(int(k) + top)
+    return np.log(ahead[-1]) + power[-1] * np.log(2)
 
 
 def test_forward_sums_all_segmentations():
     g = np.random.default_rng(0)
     p = g.random((len(WORDS.pieces), 2))
     p /= p.sum(axis=0)
-    words = [b"the", b"a", "größe".encode(), b"internationalisation", b"x" * 100, "日本".encode(), b"!!"]
+    words = [w.encode() for w in SOME]
     got = langid.Lattice(words, WORDS).logs(langid._lifted(p, WORDS))
     for w, row in zip(words, got):
         for k in range(2):
-            assert row[k] == pytest.approx(sum(np.log(brute(part, p[:, k])) for part in langid.parts_of(w)), rel=1e-9)
+            assert row[k] == pytest.approx(brute(w, p[:, k]), rel=1e-9)
+
+
+def test_cutting_a_word_would_leave_segmentations_out():
+    """A word's probability isn't the product of its parts'."""
+    p = langid.prior(WORDS)
+    assert brute(b"the" * 90, p) != pytest.approx(brute(b"the" * 15, p) * 6, abs=0.1)
 
 
 def test_expected_counts_cover_the_bytes():
-    words = [b"hello", b"der", "été".encode()]
-    counts = langid.Lattice(words, WORDS).expected(langid._lifted(langid.prior(WORDS), WORDS), np.array([[2.0], [1.0], [3.0]]))
-    size = sum(n * sum(map(len, langid.parts_of(w))) for w, n in zip(words, (2, 1, 3)))
+    words = [b"hello", b"der", *(w.encode() for w in SOME)]
+    weight = np.arange(1.0, len(words) + 1)[:, None]
+    counts = langid.Lattice(words, WORDS).expected(langid._lifted(langid.prior(WORDS), WORDS), weight)
+    size = sum(n * (3 + len(w)) for w, n in zip(words, weight[:, 0]))
     assert (counts[:, 0] * WORDS.lengths).sum() == pytest.approx(size)
 
 
+@pytest.mark.parametrize("text", ["ththe", "nanana" * 20, "日本語日本"])
+def test_expected_counts_against_all_cuts(text):
+    """The expected occurrences of a piece are the derivative of the word's log probability by the log of its own."""
+    p = langid.prior(WORDS)
+    counts = langid.Lattice([text.encode()], WORDS).expected(langid._lifted(p, WORDS), np.ones((1, 1)))[:, 0]
+    for piece in (b"th", b"the", b"na", b"n", "日".encode(), "本".encode()):
+        up, down = p.copy(), p.copy()
+        up[IDS[piece]] *= 1.0001
+        down[IDS[piece]] /= 1.0001
+        assert counts[IDS[piece]] == pytest.approx((brute(text.encode(), up) - brute(text.encode(), down)) / (2 * np.log(1.0001)), abs=1e-3)
+
+
+def test_words_are_dealt_by_number_and_bytes():
+    words = [b"a"] * 50_000 + [b"b" * (3 << 20), b"c"]
+    runs = list(langid.dealt(words))
+    assert [i for i, _ in runs] == [0, *[j for _, j in runs[:-1]]] and runs[-1][1] == len(words)
+    assert all(j - i <= 20_000 and (j - i == 1 or sum(map(len, words[i:j])) <= 1 << 20) for i, j in runs)
+
+
+def test_equal_languages_tie_by_name(docs):
+    """Texts that fit two languages alike go to the first by name."""
+    df = docs([(i, "one and one") for i in range(12)], lang="xx").unionByName(docs([(i, "one and one") for i in range(12)], lang="bb"))
+    got = langid.identify(df).collect()
+    assert {(r["lang_pred"], r["score"]) for r in got} == {("bb", 0.5)}
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     rows = op9_language_id(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
