@@ -19,7 +19,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
     Where that is unset, a local master gets a temporary folder and any other
-    master a folder in the warehouse.
+    master a folder in the warehouse, if that isn't a machine's own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
@@ -31,7 +31,10 @@ def shared_folder(spark: SparkSession) -> str:
             atexit.register(shutil.rmtree, path, ignore_errors=True)
             _FOLDERS[app] = "file://" + path
         else:
-            _FOLDERS[app] = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_lexiweave"
+            base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+            if "://" not in base or base.startswith("file:"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            _FOLDERS[app] = base + "/_lexiweave"
     return _FOLDERS[app]
 
 
@@ -49,23 +52,31 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH_CONF, str(BATCH))
 
 
+def _files(spark: SparkSession, path: str):
+    """The path and its file system, as Hadoop's objects."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: this cuts the lineage."""
+    """Writes df as Parquet to the shared folder and reads it back: this cuts the lineage. What isn't dropped before goes when the application ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    p, files = _files(spark, path)
+    files.deleteOnExit(p)
     out = spark.read.schema(df.schema).parquet(path)
     out._lexiweave_path = path
     return out
 
 
-def drop_stored(df: DataFrame) -> None:
-    """Deletes what stored() wrote; df must not be used afterwards."""
-    path = getattr(df, "_lexiweave_path", None)
-    if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def drop_stored(*dfs: DataFrame) -> None:
+    """Deletes what stored() wrote; nothing that reads them may be used afterwards."""
+    for df in dfs:
+        path = getattr(df, "_lexiweave_path", None)
+        if path:
+            p, files = _files(df.sparkSession, path)
+            files.delete(p, True)
 
 
 def by_place(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:

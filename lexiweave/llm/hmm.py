@@ -1,10 +1,12 @@
 """Hidden Markov language model: exact likelihoods of texts by the scaled forward recursion.
 
 Tokens are the lower-case words and one end of the text. The states emit
-symbols: the most frequent words by themselves, all other words by classes of
-equal order of frequency, unknown words as one class. Within its class a word
-has a fixed share. Baum-Welch sums its expected counts over all training texts,
-partition by partition.
+symbols: every word seen OWN_LEAST times or more by itself, rarer words by
+classes of equal order of frequency, unknown words as one class. Within its
+class a word has a fixed share. The states start from classes of the most
+frequent words, told apart by their neighbours in all training texts;
+Baum-Welch then sums its expected counts over whole training texts, partition
+by partition.
 """
 
 from __future__ import annotations
@@ -12,28 +14,31 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiweave.llm._spark import bounded_batches, stored
+from lexiweave.llm._spark import bounded_batches, drop_stored, stored
 from lexiweave.llm._text import LOWER, coded, pieces_of, split_words
 
 STATES = 16
-#: Words with a symbol of their own: at most so many, with at least so many occurrences.
-OWN_SYMBOLS, OWN_LEAST = 16_384, 8
+#: Least occurrences of a word with a symbol of its own; a power of two.
+OWN_LEAST = 8
 #: Passes of Baum-Welch over all training texts.
 PASSES = 3
-#: Texts (by hash) whose beginnings the driver starts the states from; the passes after that take all training texts.
-START = 768
-#: Distinct words up to which counts are broadcast (12 bytes each); beyond that, texts meet their words' counts in a join.
+#: Most frequent words whose neighbours part the states at the start.
+HEAD = 512
+#: Distinct words up to which counts are broadcast (8 bytes a rare word, 16 another); beyond that, blocks of texts meet their words' counts in a join.
 BROADCAST_WORDS = 8_000_000
+#: Words with a symbol up to which emissions are broadcast (128 bytes each); beyond that, blocks of texts meet their symbols' emissions in a join.
+BROADCAST_OWN = 500_000
 ADDED = 0.1
-_CLASSES = 34
-#: Baum-Welch takes texts in segments of at most so many tokens; scores take them whole.
-_SEGMENT = 1024
-_LANES = 256
-#: Texts that the states' first emissions are chosen among, and lanes of the driver's own passes.
-_SEEDS, _START_LANES = 256, 64
+#: Symbols that aren't words: rare words by order of frequency, then unknown words. Words' own symbols follow, the most frequent first.
+_RARE = OWN_LEAST.bit_length() - 1
+_UNKNOWN = _RARE
+_CLASSES = _RARE + 1
+#: Tokens that a task works on at once, and those whose states' probabilities it holds meanwhile.
+_TOKENS, _SEGMENT = 2 << 20, 1 << 18
 _END = b""
 
 
@@ -71,46 +76,80 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def own_words(counts: DataFrame) -> DataFrame:
+    """(word, n, sym) of the words with a symbol of their own, stored; symbols follow the order of frequency, then the word's."""
+    ranked = stored(counts.where(F.col("n") >= OWN_LEAST).orderBy(F.desc("n"), "word").withColumn("place", F.monotonically_increasing_id()))
+    # monotonically_increasing_id is a partition's number before 33 bits of a row's: partitions' sizes make it dense
+    part = F.shiftright("place", 33)
+    sizes = sorted((r["part"], r["n"]) for r in ranked.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
+    before = np.cumsum([0, *(n for _, n in sizes)]).tolist()
+    starts = counts.sparkSession.createDataFrame([(p, _CLASSES + b) for (p, _), b in zip(sizes, before)], "part long, start long")
+    placed = ranked.withColumn("part", part).join(F.broadcast(starts), "part")
+    out = stored(placed.select("word", "n", (F.col("start") + F.col("place").bitwiseAND((1 << 33) - 1)).alias("sym")))
+    drop_stored(ranked)
+    return out
+
+
 class Vocabulary:
-    """Symbols of words and what they share; small whatever the corpus."""
-
-    def __init__(self, own: list[bytes], own_counts: list[int], classes: dict[int, tuple[int, int]], total: int, distinct: int):
-        """classes: for each order of frequency, the number and the occurrences of the words without a symbol of their own."""
-        self.total, self.distinct = total, distinct
-        self.own = dict(zip(_hashes(own).tolist(), range(len(own))))
-        self.size = len(own) + _CLASSES
-        self.unknown = self.size - 1
-        self.unit = np.log10(total + ADDED * (distinct + 1)) if total else 0.0
-        #: log10 of what a class has in all, so that a word's share is its base probability over it
-        self.mass = np.zeros(self.size)
-        self.unigram = np.zeros(self.size)
-        whole = max(total + ADDED * (distinct + 1), 1e-9)
-        self.unigram[: len(own)] = (np.array(own_counts, float) + ADDED) / whole
-        for c in range(_CLASSES - 1):
+    """What there is to know of the training tokens but the words themselves; small whatever the corpus."""
+
+    def __init__(self, total: int, distinct: int, own: int, classes: dict[int, tuple[int, int]], twice: int):
+        """classes: for each order of frequency of the rare words, their number and their occurrences."""
+        self.total, self.distinct, self.own = total, distinct, own
+        self.size = _CLASSES + own
+        self.whole = max(total + ADDED * (distinct + 1), 1e-9)
+        self.unit = np.log10(self.whole) if total else 0.0
+        #: base probabilities of the classes, and log10 of what a class has in all, so that a word's share is its base probability over it
+        self.rare, self.mass = np.zeros(_CLASSES), np.zeros(_CLASSES)
+        for c in range(_RARE):
             n, occurrences = classes.get(c, (0, 0))
-            self.unigram[len(own) + c] = (occurrences + ADDED * n) / whole
-            self.mass[len(own) + c] = np.log10(occurrences + ADDED * n) if n else 0.0
-        self.unigram[self.unknown] = ADDED / whole
-        self.once, self.twice = classes.get(0, (0, 0))[0], 0
-
-    def symbols(self, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Symbol, and log10 of its share of the symbol, for distinct words."""
-        sym = self.size - _CLASSES + np.log2(np.maximum(counts, 1)).astype(np.int64)
-        sym[counts == 0] = self.unknown
-        for i, h in enumerate(hashes.tolist()):
-            if h in self.own:
-                sym[i] = self.own[h]
-        share = np.where((sym >= self.size - _CLASSES) & (sym != self.unknown), np.log10(counts + ADDED) - self.mass[sym], 0.0)
-        return sym, share
-
-
-def _encode(vocabulary: Vocabulary, batch: pa.RecordBatch, at: int, counts_of):
-    """Columns syms (uint16, end included), n_tokens, n_known, base and share (log10 sums) for a batch."""
-    words, ends = split_words(batch.column(at), LOWER)
+            self.rare[c] = (occurrences + ADDED * n) / self.whole
+            self.mass[c] = np.log10(occurrences + ADDED * n) if n else 0.0
+        self.rare[_UNKNOWN] = ADDED / self.whole
+        self.once, self.twice = classes.get(0, (0, 0))[0], twice
+
+    def unigram(self, counts: np.ndarray) -> np.ndarray:
+        return (counts + ADDED) / self.whole
+
+    def rare_symbols(self, counts: np.ndarray) -> np.ndarray:
+        return np.where(counts == 0, _UNKNOWN, np.log2(np.maximum(counts, 1)).astype(np.int64))
+
+    def shares(self, counts: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """log10 of the words' shares of their symbols."""
+        rare = symbols < _RARE
+        return np.where(rare, np.log10(counts + ADDED) - self.mass[np.where(rare, symbols, 0)], 0.0)
+
+
+class Known:
+    """Counts and symbols of words by their hash."""
+
+    def __init__(self, vocabulary: Vocabulary, rare: np.ndarray, own: np.ndarray, own_counts: np.ndarray, own_symbols: np.ndarray):
+        """rare: hashes whose last bits are the count instead, sorted; own: hashes, sorted, and their words' counts and symbols."""
+        self.vocabulary, self.rare, self.own, self.own_counts, self.own_symbols = vocabulary, rare, own, own_counts, own_symbols
+
+    @staticmethod
+    def packed(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        return (hashes & ~np.uint64(OWN_LEAST - 1)) | counts.astype(np.uint64)
+
+    def __call__(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        counts, low = np.zeros(len(hashes), np.int64), np.uint64(OWN_LEAST - 1)
+        if len(self.rare):
+            found = self.rare[np.minimum(np.searchsorted(self.rare, hashes & ~low), len(self.rare) - 1)]
+            counts = np.where((found ^ hashes) <= low, found & low, 0).astype(np.int64)
+        symbols = self.vocabulary.rare_symbols(counts)
+        if len(self.own):
+            at = np.minimum(np.searchsorted(self.own, hashes), len(self.own) - 1)
+            hit = np.flatnonzero(self.own[at] == hashes)
+            counts[hit], symbols[hit] = self.own_counts[at[hit]], self.own_symbols[at[hit]]
+        return counts, symbols
+
+
+def _encode(vocabulary: Vocabulary, text: pa.Array, look_up):
+    """Columns syms (uint32, end included), n_tokens, n_known, base and share (log10 sums) of texts."""
+    words, ends = split_words(text, LOWER)
     codes, distinct = coded(words)
-    hashes = _hashes([*distinct, _END])
-    counts = counts_of(hashes)
-    sym, share = vocabulary.symbols(hashes, counts)
+    counts, symbols = look_up([*distinct, _END])
+    share = vocabulary.shares(counts, symbols)
     base = np.log10(counts + ADDED) - vocabulary.unit
     n = len(ends) - 1
     k = np.diff(ends)
@@ -121,67 +160,112 @@ def _encode(vocabulary: Vocabulary, batch: pa.RecordBatch, at: int, counts_of):
     whole[inside] = codes
     starts = stops - k
     add = lambda x: np.add.reduceat(x[whole], starts) if n else np.empty(0)
-    flat = sym[whole].astype(np.uint16)
+    flat = symbols[whole].astype(np.uint32)
     syms = [flat[a : b + 1].tobytes() for a, b in zip(starts.tolist(), stops.tolist())]
     return [pa.array(syms, pa.binary()), pa.array(k + 1), pa.array(add((counts > 0).astype(np.int64))), pa.array(add(base)), pa.array(add(share))]
 
 
-_ENCODED = "id {0}, held boolean, syms binary, n_tokens long, n_known long, base double, share double"
-_NAMES = ["id", "held", "syms", "n_tokens", "n_known", "base", "share"]
+_ENCODED = "id {0}, held boolean, block long, syms binary, n_tokens long, n_known long, base double, share double"
+_NAMES = ["id", "held", "block", "syms", "n_tokens", "n_known", "base", "share"]
 
 
-def _encoded(docs: DataFrame, counts: DataFrame, vocabulary: Vocabulary, kind: str, most: int) -> DataFrame:
-    """docs (id, held, text) as symbols."""
-    context = docs.sparkSession.sparkContext
-    if vocabulary.distinct <= most:
-        known = counts.mapInArrow(_hashed, "h long, n long").toArrow()
-        h = known.column("h").to_numpy().view(np.uint64)
-        order = np.argsort(h)
-        table = context.broadcast((h[order], known.column("n").to_numpy()[order].astype(np.uint32)))
-        del known, h, order
-        shared = context.broadcast(vocabulary)
+def _numbered(batches, column: int):
+    """Pieces of batches with numbers that no other has."""
+    first = TaskContext.get().partitionId() << 32
+    for k, batch in enumerate(pieces_of(batches, column)):
+        yield first + k, batch
 
-        def run(batches):
-            keys, n = table.value
 
-            def counts_of(hashes):
-                if not len(keys):
-                    return np.zeros(len(hashes), np.int64)
-                at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-                return np.where(keys[at] == hashes, n[at], 0).astype(np.int64)
+def _hashed(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(_hashes(batch.column(0).to_pylist()).view(np.int64)), *batch.columns[1:]], names=["h", *batch.schema.names[1:]])
 
-            for batch in pieces_of(batches, 2):
-                yield pa.RecordBatch.from_arrays([*batch.columns[:2], *_encode(shared.value, batch, 2, counts_of)], names=_NAMES)
 
-        return docs.select("id", "held", "text").mapInArrow(run, _ENCODED.format(kind))
+def _encoded(docs: DataFrame, counts: DataFrame, own: DataFrame, vocabulary: Vocabulary, kind: str, most: int) -> DataFrame:
+    """docs (id, held, text) as symbols, in blocks of a few megabytes of text, stored."""
+    context = docs.sparkSession.sparkContext
+    docs = docs.select("id", "held", "text")
     shared = context.broadcast(vocabulary)
+    if vocabulary.distinct <= most:
 
-    def own_words(batches):
-        for batch in pieces_of(batches, 1):
-            words, ends = split_words(batch.column(1), LOWER)
-            codes, distinct = coded(words)
-            pair = np.unique(np.repeat(np.arange(len(ends) - 1), np.diff(ends)) * max(1, len(distinct)) + codes)
-            row, code = pair // max(1, len(distinct)), pair % max(1, len(distinct))
-            key = batch.column(0).take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([key, pa.array(distinct, pa.binary()).take(pa.array(code))], names=["key", "word"])
-
-    def run_joined(batches):
-        for batch in pieces_of(batches, 2):
-            for i in range(batch.num_rows):
-                one, pairs = batch.slice(i, 1), batch.column(3)[i]
-                mine = {} if not pairs.is_valid else dict(zip(_hashes([bytes(w) for w in pairs.values.field(0).cast(pa.binary()).to_pylist()]).tolist(), pairs.values.field(1).to_pylist()))
-                yield pa.RecordBatch.from_arrays([*one.columns[:2], *_encode(shared.value, one, 2, lambda hs, mine=mine: np.array([mine.get(h, 0) for h in hs.tolist()], np.int64))], names=_NAMES)
-
-    keyed = docs.withColumn("key", F.sha2("text", 256))
-    pairs = keyed.where("key is not null").select("key", "text").mapInArrow(own_words, "key string, word binary").distinct()
-    pairs = pairs.unionByName(keyed.select("key").distinct().withColumn("word", F.lit(b"")))
-    met = pairs.join(counts, "word").groupBy("key").agg(F.collect_list(F.struct("word", "n")).alias("pairs"))
-    return keyed.join(met, keyed["key"].eqNullSafe(met["key"]), "left").select("id", "held", "text", "pairs").mapInArrow(run_joined, _ENCODED.format(kind))
+        def rare_of(batches):
+            for batch in batches:
+                yield pa.record_batch([pa.array(Known.packed(_hashes(batch.column(0).to_pylist()), batch.column(1).to_numpy()).view(np.int64))], names=["h"])
 
+        rare = np.sort(counts.where(F.col("n") < OWN_LEAST).mapInArrow(rare_of, "h long").toArrow().column("h").to_numpy().view(np.uint64))
+        mine = own.mapInArrow(_hashed, "h long, n long, sym long").toArrow()
+        h = mine.column("h").to_numpy().view(np.uint64)
+        order = np.argsort(h)
+        table = context.broadcast(Known(vocabulary, rare, h[order], mine.column("n").to_numpy()[order], mine.column("sym").to_numpy()[order].astype(np.uint32)))
+        del rare, mine, h, order
 
-def _hashed(batches):
-    for batch in batches:
-        yield pa.record_batch([pa.array(_hashes(batch.column(0).to_pylist()).view(np.int64)), batch.column(1)], names=["h", "n"])
+        def run(batches):
+            for block, batch in _numbered(batches, 2):
+                numbers = pa.array(np.full(batch.num_rows, block))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], numbers, *_encode(shared.value, batch.column(2), lambda words: table.value(_hashes(words)))], names=_NAMES)
+
+        return stored(docs.mapInArrow(run, _ENCODED.format(kind)))
+
+    def dealt(batches):
+        for block, batch in _numbered(batches, 2):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, block))], names=["id", "held", "text", "block"])
+
+    def words_of(batches):
+        """The distinct words of the texts of a block, some perhaps more than once."""
+        for batch in batches:
+            numbers = batch.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
+            for i, j in zip(cuts, cuts[1:]):
+                _, distinct = coded(split_words(batch.column(0).slice(i, j - i), LOWER)[0])
+                distinct.append(_END)
+                yield pa.record_batch([pa.array(np.full(len(distinct), numbers[i])), pa.array(distinct, pa.binary())], names=["block", "word"])
+
+    blocks = stored(docs.mapInArrow(dealt, f"id {kind}, held boolean, text string, block long"))
+    # a word comes once for each block that has it, so no word has more rows than there are blocks
+    named = counts.join(own.select("word", "sym"), "word", "left")
+    met = blocks.select("text", "block").mapInArrow(words_of, "block long, word binary").distinct().join(named, "word").select("block", "word", "n", "sym")
+
+    def run_joined(left: pa.Table, right: pa.Table) -> pa.Table:
+        n = right.column("n").to_numpy()
+        sym = right.column("sym").to_numpy()
+        sym = np.where(np.isnan(sym), shared.value.rare_symbols(n), sym).astype(np.int64)
+        known = dict(zip(right.column("word").to_pylist(), zip(n.tolist(), sym.tolist())))
+
+        def look_up(words):
+            return tuple(np.array([known.get(w, (0, _UNKNOWN))[k] for w in words], np.int64) for k in (0, 1))
+
+        text = left.column("text").combine_chunks()
+        return pa.Table.from_arrays([left.column("id"), left.column("held"), left.column("block"), *_encode(shared.value, text.chunk(0) if isinstance(text, pa.ChunkedArray) else text, look_up)], names=_NAMES)
+
+    out = stored(blocks.groupBy("block").cogroup(met.groupBy("block")).applyInArrow(run_joined, _ENCODED.format(kind)))
+    drop_stored(blocks)
+    return out
+
+
+class Lanes:
+    """Sequences side by side, the longest first: the symbols at time t are flat[offsets[t] : offsets[t + 1]], those of the sequences that run that long."""
+
+    def __init__(self, flat: np.ndarray, lengths: np.ndarray):
+        """flat: the sequences' symbols, one after the other; each has one at least."""
+        self.order = np.argsort(-lengths, kind="stable")
+        self.lengths = lengths[self.order]
+        steps = int(self.lengths[0]) if len(lengths) else 0
+        self.running = np.searchsorted(-self.lengths, -np.arange(steps + 1), side="left")
+        self.offsets = np.concatenate([[0], np.cumsum(self.running[:steps])])
+        lane = np.empty(len(lengths), np.int64)
+        lane[self.order] = np.arange(len(lengths))
+        time = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        self.flat = np.empty_like(flat)
+        self.flat[self.offsets[time] + np.repeat(lane, lengths)] = flat
+
+    def segments(self) -> list[tuple[int, int]]:
+        """Runs of times with about _SEGMENT tokens, one time at least."""
+        out, a = [], 0
+        while a < len(self.offsets) - 1:
+            b = max(a + 1, int(np.searchsorted(self.offsets, self.offsets[a] + _SEGMENT, side="right")) - 1)
+            out.append((a, b))
+            a = b
+        return out
 
 
 class Model:
@@ -189,130 +273,311 @@ class Model:
         """Start probabilities (K), transitions (K x K) and emissions (symbols x K)."""
         self.first, self.move, self.emit = first, move, emit
 
-    def _lanes(self, seqs: list[np.ndarray], most: int = _LANES):
-        """Groups of sequences by falling length: (indices, lengths, symbols by time, number still running at each time)."""
-        order = np.argsort([-len(s) for s in seqs], kind="stable")
-        for i in range(0, len(order), most):
-            group = order[i : i + most]
-            lengths = np.array([len(seqs[g]) for g in group])
-            grid = np.zeros((lengths[0], len(group)), np.int64)
-            for lane, g in enumerate(group):
-                grid[: lengths[lane], lane] = seqs[g]
-            running = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")
-            yield group, lengths, grid, running
-
-    def likelihoods(self, seqs: list[np.ndarray]) -> np.ndarray:
-        """log10 probability of each sequence (of one symbol at least)."""
-        out = np.zeros(len(seqs))
-        for group, _, grid, running in self._lanes(seqs):
-            total = np.zeros(len(group))
-            a = self.first
-            for t, n in enumerate(running.tolist()):
-                a = (a[:n] @ self.move if t else a) * self.emit[grid[t, :n]]
-                c = a.sum(axis=1)
-                a /= c[:, None]
-                total[:n] += np.log10(c)
-            out[group] = total
+    def _forward(self, lanes: Lanes, a: int, b: int, alpha: np.ndarray):
+        """The states' probabilities given the symbols so far at the times from a to b, and the symbols' own. alpha: those at time a - 1."""
+        at = lanes.offsets[a : b + 1].tolist()
+        emitted = self.emit[lanes.flat[at[0] : at[-1]]]
+        out, scale = np.empty_like(emitted), np.empty(len(emitted), emitted.dtype)
+        for t in range(a, b):
+            i, j = at[t - a] - at[0], at[t - a + 1] - at[0]
+            row, total = out[i:j], scale[i:j]
+            np.multiply(alpha[: j - i] @ self.move if t else np.broadcast_to(self.first, row.shape), emitted[i:j], out=row)
+            np.sum(row, axis=1, out=total)
+            row /= total[:, None]
+            alpha = row
+        return out, scale, emitted
+
+    def likelihoods(self, flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """log10 probability of each of the sequences in flat."""
+        lanes = Lanes(flat, lengths)
+        total, alpha = np.zeros(len(lengths)), np.empty((0, len(self.first)))
+        for a, b in lanes.segments():
+            states, scale, _ = self._forward(lanes, a, b, alpha)
+            lane = np.arange(len(scale)) - np.repeat(lanes.offsets[a:b] - lanes.offsets[a], lanes.running[a:b])
+            total += np.bincount(lane, weights=np.log10(scale), minlength=len(lengths))
+            alpha = states[lanes.offsets[b - 1] - lanes.offsets[a] :].copy()
+        out = np.empty(len(lengths))
+        out[lanes.order] = total
         return out
 
-    def expect(self, seqs: list[np.ndarray], first: np.ndarray, move: np.ndarray, emit: np.ndarray, opening: np.ndarray, lanes: int = _LANES) -> None:
-        """Adds the expected counts over the sequences. opening: whether a sequence opens its text."""
-        k = len(self.first)
-        for group, lengths, grid, running in self._lanes(seqs, lanes):
-            steps, width = grid.shape
-            e = self.emit[grid]
-            alpha, scale = np.zeros((steps, width, k)), np.ones((steps, width))
-            for t, n in enumerate(running.tolist()):
-                a = (alpha[t - 1, :n] @ self.move if t else np.where(opening[group][:, None], self.first, 1 / k)) * e[t, :n]
-                c = a.sum(axis=1)
-                alpha[t, :n] = a / c[:, None]
-                scale[t, :n] = c
-            beta, back = np.ones((width, k)), np.zeros((k, k))
-            for t in range(steps - 1, -1, -1):
-                n = int(running[t])
-                if t < steps - 1 and (m := int(running[t + 1])):
-                    x = e[t + 1, :m] * beta[:m] / scale[t + 1, :m, None]
-                    back += alpha[t, :m].T @ x
-                    beta[:m] = x @ self.move.T
-                alpha[t, :n] *= beta[:n]  # from here on, the states' probabilities
-            move += back * self.move
-            first += alpha[0][opening[group]].sum(axis=0)
-            inside = np.arange(steps)[:, None] < lengths[None, :]
-            symbols, weights = grid[inside], alpha[inside]
+    def expect(self, flat: np.ndarray, lengths: np.ndarray, first: np.ndarray, move: np.ndarray, emit: np.ndarray) -> None:
+        """Adds the expected counts over the sequences in flat. Alpha is kept at the segments' edges and made again within one, beta is carried from one to the one before."""
+        k, lanes = len(self.first), Lanes(flat, lengths)
+        segments = lanes.segments()
+        edges = [np.empty((0, k), self.emit.dtype)]
+        for a, b in segments[:-1]:
+            edges.append(self._forward(lanes, a, b, edges[-1])[0][lanes.offsets[b - 1] - lanes.offsets[a] :].copy())
+        beta, back, onward = np.ones((len(lengths), k), self.emit.dtype), np.zeros((k, k)), None
+        for a, b in reversed(segments):
+            alpha, scale, emitted = self._forward(lanes, a, b, edges.pop())
+            emitted /= scale[:, None]
+            at = (lanes.offsets[a : b + 1] - lanes.offsets[a]).tolist()
+            for t in range(b - 1, a - 1, -1):
+                i, j = at[t - a], at[t - a + 1]
+                row = alpha[i:j]
+                if onward is not None:  # sequences that go on; for those that end here beta is still one
+                    m = len(onward)
+                    back += row[:m].T @ onward
+                    np.matmul(onward, self.move.T, out=beta[:m])
+                onward = emitted[i:j] * beta[: j - i]
+                row *= beta[: j - i]  # from here on, the states' probabilities
+            symbols = lanes.flat[lanes.offsets[a] : lanes.offsets[b]]
             for s in range(k):
-                emit[:, s] += np.bincount(symbols, weights=weights[:, s], minlength=len(emit))
-
-
-def maximised(vocabulary: Vocabulary, first: np.ndarray, move: np.ndarray, emit: np.ndarray) -> Model:
-    """The model of expected counts. Unknown words get what words seen once had, and these what words seen twice suggest."""
-    emit = emit.copy()
-    single = vocabulary.size - _CLASSES
-    if vocabulary.once:
-        emit[vocabulary.unknown] = emit[single]
-        emit[single] = emit[single] * min(1.0, 2 * vocabulary.twice / vocabulary.once)
-    emit += 2.0 * vocabulary.unigram[:, None] + 1e-12 * (vocabulary.unigram[:, None] > 0)
-    emit /= emit.sum(axis=0)
-    move = move + 0.1
-    first = first + 0.1
-    return Model(first / first.sum(), move / move.sum(axis=1)[:, None], emit)
-
-
-def start(vocabulary: Vocabulary, seqs: list[np.ndarray], states: int, passes: int = 12) -> Model:
-    """A model from a bounded number of texts: states start at texts that differ most, then Baum-Welch."""
-    counts = np.stack([np.bincount(s, minlength=vocabulary.size).astype(np.float32) for s in seqs[:_SEEDS]]) if seqs else np.ones((1, vocabulary.size), np.float32)
-    root = np.sqrt(counts / counts.sum(axis=1)[:, None])
-    chosen, near = [0], root @ root[0]
-    while len(chosen) < states and len(chosen) < len(root):
-        chosen.append(int(near.argmin()))
-        near = np.maximum(near, root @ root[chosen[-1]])
-    random = np.random.default_rng(7)
-    emit = np.zeros((vocabulary.size, states))
-    for s in range(states):
-        share = counts[chosen[s % len(chosen)]]
-        emit[:, s] = 200 * share / share.sum() + 800 * vocabulary.unigram * random.uniform(0.5, 1.5, vocabulary.size)
-    model = maximised(vocabulary, np.ones(states), np.ones((states, states)) + 8 * states * np.eye(states), emit)
-    for _ in range(passes if seqs else 0):
-        sums = np.zeros(states), np.zeros((states, states)), np.zeros((vocabulary.size, states))
-        model.expect(seqs, *sums, np.ones(len(seqs), bool), _START_LANES)
-        model = maximised(vocabulary, *sums)
-    return model
-
-
-def baum_welch(encoded: DataFrame, vocabulary: Vocabulary, model: Model) -> Model:
-    """One pass over all sequences (column syms). Sums of K + 1 rows and one for each symbol reach the driver."""
-    states = len(model.first)
-    shared = encoded.sparkSession.sparkContext.broadcast(model)
-    names = [f"s{i}" for i in range(states)]
+                emit[:, s] += np.bincount(symbols, weights=alpha[:, s], minlength=len(emit))
+            if not a:
+                first += alpha[: at[1]].sum(axis=0)
+        move += back * self.move
+
+
+def classes_of(pairs: np.ndarray, counts: np.ndarray, states: int) -> np.ndarray:
+    """A class for each of the most frequent words, from the counts of pairs of neighbours among them: centres far apart, then the nearest mean, in turn."""
+    sides = [x / np.maximum(x.sum(axis=1), 1)[:, None] for x in (pairs, pairs.T)]
+    x = np.sqrt(np.concatenate(sides, axis=1))
+    centres = x[[0]]
+    far = ((x - centres[0]) ** 2).sum(axis=1)
+    while len(centres) < min(states, len(x)):
+        centres = np.concatenate([centres, x[[int((far * np.sqrt(counts)).argmax())]]])
+        far = np.minimum(far, ((x - centres[-1]) ** 2).sum(axis=1))
+    label = np.zeros(len(x), np.int64)
+    for _ in range(20):
+        label = (x @ centres.T - (centres**2).sum(axis=1) / 2).argmax(axis=1)
+        for c in np.unique(label):
+            of = label == c
+            centres[c] = (x[of] * counts[of, None]).sum(axis=0) / counts[of].sum()
+    return label
+
+
+def neighbours(encoded: DataFrame, words: int) -> np.ndarray:
+    """How often each of the `words` most frequent words stands before each: words x words sums, at most, reach the driver."""
 
     def run(batches):
-        first, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros(model_size)
-        for batch in pieces_of(batches, 0, 1 << 20):
-            seqs, opening = [], []
-            for x in batch.column(0).to_pylist():
-                s = np.frombuffer(x, np.uint16)
-                for i in range(0, len(s), _SEGMENT):
-                    seqs.append(s[i : i + _SEGMENT])
-                    opening.append(i == 0)
-            shared.value.expect(seqs, first, move, emit, np.array(opening))
-        at = np.flatnonzero(emit.any(axis=1))
-        keys = np.concatenate([[-1], -2 - np.arange(states), at])
-        rows = np.concatenate([first[None], move, emit[at]])
-        for i in range(0, len(keys), 1 << 14):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + (1 << 14)]), *[pa.array(rows[i : i + (1 << 14), s].copy()) for s in range(states)]], names=["key", *names])
-
-    model_size = model.emit.shape
-    sums = encoded.select("syms").mapInArrow(run, "key long, " + ", ".join(f"{n} double" for n in names)).groupBy("key").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
-    keys, rows = sums["key"].to_numpy(), sums[names].to_numpy()
-    first, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros(model_size)
-    first += rows[keys == -1].sum(axis=0)
-    for key, row in zip(keys, rows):
-        if key < -1:
-            move[-2 - key] = row
-    emit[keys[keys >= 0]] = rows[keys >= 0]
-    return maximised(vocabulary, first, move, emit)
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", states: int = STATES, passes: int = PASSES, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+        total = np.zeros(words * words, np.int64)
+        for flat, lengths in _gathered(batches):
+            rank = flat.astype(np.int64) - _CLASSES
+            good = (rank >= 0) & (rank < words)
+            both = good[:-1] & good[1:]
+            both[np.cumsum(lengths)[:-1] - 1] = False
+            at = np.flatnonzero(both)
+            total += np.bincount(rank[at] * words + rank[at + 1], minlength=words * words)
+        at = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(at), pa.array(total[at])], names=["pair", "n"])
+
+    sums = encoded.select("syms").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(words * words)
+    out[sums.column("pair").to_numpy()] = sums.column("n").to_numpy()
+    return out.reshape(words, words)
+
+
+def _gathered(batches, column: int = 0, most: int = _TOKENS):
+    """Symbols of rows and their lengths, some _TOKENS of them at a time."""
+    held, size = [], 0
+    for batch in pieces_of(batches, column, 4 * most):
+        for x in batch.column(column).to_pylist():
+            if held and size + len(x) > 4 * most:
+                yield np.frombuffer(b"".join(held), np.uint32), np.fromiter(map(len, held), np.int64, len(held)) // 4
+                held, size = [], 0
+            held.append(x)
+            size += len(x)
+    if held:
+        yield np.frombuffer(b"".join(held), np.uint32), np.fromiter(map(len, held), np.int64, len(held)) // 4
+
+
+def local(flat: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct symbols, and the symbols as places among them."""
+    if size > 1 << 24:
+        return np.unique(flat, return_inverse=True)
+    seen = np.zeros(size, bool)
+    seen[flat] = True
+    symbols = np.flatnonzero(seen)
+    place = np.empty(size, np.int32)
+    place[symbols] = np.arange(len(symbols))
+    return symbols, place[flat]
+
+
+def _sums(states: int, most: int = 1 << 14):
+    """Schema and batches of sums: first is row -1, move rows from -2 down, and symbols' emissions."""
+    names = [f"s{i}" for i in range(states)]
+
+    def rows(first, move, symbols, emit):
+        keys, values = np.concatenate([[-1], -2 - np.arange(states), symbols]), np.concatenate([first[None], move, emit])
+        for i in range(0, len(keys), most):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + most]), *[pa.array(values[i : i + most, s].copy()) for s in range(states)]], names=["key", *names])
+
+    return names, "key long, " + ", ".join(f"{n} double" for n in names), rows
+
+
+class Trainer:
+    """Passes of Baum-Welch over learnt (encoded rows); the model has the classes' emissions, and own words' are broadcast or a stored table."""
+
+    def __init__(self, encoded: DataFrame, own: DataFrame, vocabulary: Vocabulary, states: int, most: int):
+        self.encoded, self.learnt, self.own, self.vocabulary, self.states = encoded, encoded.where("not held"), own, vocabulary, states
+        self.joined = vocabulary.own > most
+        self.context = encoded.sparkSession.sparkContext
+        self.names, self.schema, self.rows = _sums(states)
+        if self.joined:
+            self.pairs = stored(encoded.select("block", "syms").mapInArrow(self._own_of, "block long, sym long").distinct())
+        else:
+            self.counts = np.zeros(vocabulary.own)
+            found = own.select("sym", "n").toArrow()
+            self.counts[found.column("sym").to_numpy() - _CLASSES] = found.column("n").to_numpy()
+
+    @staticmethod
+    def _own_of(batches):
+        for batch in pieces_of(batches, 1):
+            numbers = batch.column(0).to_numpy()
+            for block in np.unique(numbers):
+                of = batch.column(1).filter(pa.array(numbers == block)).to_pylist()
+                syms = np.unique(np.frombuffer(b"".join(of), np.uint32))
+                syms = syms[syms >= _CLASSES].astype(np.int64)
+                yield pa.record_batch([pa.array(np.full(len(syms), block)), pa.array(syms)], names=["block", "sym"])
+
+    def start(self) -> Model:
+        """Words of a class lean to its state; all other symbols are in all states alike."""
+        v, k = self.vocabulary, self.states
+        head = self.own.where(F.col("sym") < _CLASSES + HEAD).orderBy("sym").select("n").toArrow().column("n").to_numpy().astype(float)
+        emit = np.ones((_CLASSES + len(head), k)) / k
+        move = np.ones((k, k))
+        if len(head):
+            pairs = neighbours(self.learnt, len(head))
+            label = classes_of(pairs, head, k)
+            lean = np.eye(k)[label]
+            mass = np.maximum(head @ lean, 1e-3 * head.sum())
+            emit[:] = mass / mass.sum()
+            emit[_CLASSES:] = 0.9 * lean + 0.1 * emit[_CLASSES:]
+            move += lean.T @ pairs @ lean
+        emit *= np.random.default_rng(7).uniform(0.9, 1.1, emit.shape)
+        other = emit[:_CLASSES].mean(axis=0)
+        counts = np.concatenate([v.rare, v.unigram(head)]) * v.whole
+        if not self.joined:
+            own = v.unigram(self.counts) * v.whole
+            whole = np.concatenate([emit * counts[:, None], own[len(head) :, None] * other])
+            return self._made(np.ones(k), move, whole[:_CLASSES], whole[_CLASSES:])
+        spark = self.own.sparkSession
+        leans = F.broadcast(spark.createDataFrame([(_CLASSES + i, *map(float, row)) for i, row in enumerate(emit[_CLASSES:])], "sym long, " + ", ".join(f"{n} double" for n in self.names)))
+        base = F.col("n") + ADDED
+        own = self.own.join(leans, "sym", "left").select("sym", "n", *[(base * F.coalesce(n, F.lit(float(other[i])))).alias(n) for i, n in enumerate(self.names)])
+        return self._made(np.ones(k), move, (emit * counts[:, None])[:_CLASSES], own)
+
+    def _made(self, first: np.ndarray, move: np.ndarray, rare: np.ndarray, own) -> Model:
+        """The model of expected counts. Unknown words get what words seen once had, and these what words seen twice suggest."""
+        v = self.vocabulary
+        rare = rare.copy()
+        if v.once:
+            rare[_UNKNOWN] = rare[0]
+            rare[0] = rare[0] * min(1.0, 2 * v.twice / v.once)
+        rare += 2.0 * v.rare[:, None] + 1e-12 * (v.rare[:, None] > 0)
+        move, first = move + 0.1, first + 0.1
+        first, move = first / first.sum(), move / move.sum(axis=1)[:, None]
+        if not self.joined:
+            own = own + 2.0 * v.unigram(self.counts)[:, None]
+            whole = np.concatenate([rare, own])
+            return Model(first, move, whole / whole.sum(axis=0))
+        added = stored(own.select("sym", *[(F.col(n) + 2.0 * (F.col("n") + ADDED) / v.whole).alias(n) for n in self.names]))
+        total = rare.sum(axis=0) + np.array(added.agg(*[F.coalesce(F.sum(n), F.lit(0.0)) for n in self.names]).first())
+        emit = stored(added.select("sym", *[(F.col(n) / float(total[i])).alias(n) for i, n in enumerate(self.names)]))
+        drop_stored(added)
+        model = Model(first, move, rare / total)
+        model.own = emit
+        return model
+
+    def _tables(self, model: Model, encoded: DataFrame):
+        """Blocks of encoded with their symbols' emissions."""
+        rows = self.pairs.join(model.own, "sym").select("block", "sym", *self.names)
+        return encoded.groupBy("block").cogroup(rows.groupBy("block"))
+
+    @staticmethod
+    def _met(model: Model, flat: np.ndarray, right: pa.Table, names) -> tuple[Model, np.ndarray, np.ndarray]:
+        """The model of a block's symbols alone, these symbols, and the symbols as places among them."""
+        symbols, places = np.unique(flat, return_inverse=True)
+        theirs = right.column("sym").to_numpy()
+        emit = np.concatenate([model.emit, np.stack([right.column(n).to_numpy() for n in names], axis=1)])
+        keys = np.concatenate([np.arange(_CLASSES), theirs])
+        order = np.argsort(keys)
+        at = order[np.searchsorted(keys[order], symbols)]
+        return Model(model.first, model.move, emit[at]), symbols, places
+
+    def _shared(self, model: Model, kind=np.float64):
+        return self.context.broadcast(Model(model.first.astype(kind), model.move.astype(kind), model.emit.astype(kind)))
+
+    def improved(self, model: Model) -> Model:
+        """One pass over all training texts."""
+        k, size, rows, names = self.states, self.vocabulary.size, self.rows, self.names
+        shared = self._shared(model, np.float32)
+        if not self.joined:
+
+            def run(batches):
+                first, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((size, k))
+                for flat, lengths in _gathered(batches):
+                    whole = shared.value
+                    symbols, places = local(flat, size)
+                    mine = np.zeros((len(symbols), k))
+                    Model(whole.first, whole.move, whole.emit[symbols]).expect(places, lengths, first, move, mine)
+                    emit[symbols] += mine
+                at = np.flatnonzero(emit.any(axis=1))
+                yield from rows(first, move, at, emit[at])
+
+            parts = self.learnt.select("syms").mapInArrow(run, self.schema)
+        else:
+            met = self._met
+
+            def run_joined(left: pa.Table, right: pa.Table) -> pa.Table:
+                first, move, every = np.zeros(k), np.zeros((k, k)), []
+                for flat, lengths in _gathered(left.select(["syms"]).to_batches()):
+                    mine, symbols, places = met(shared.value, flat, right, names)
+                    emit = np.zeros((len(symbols), k))
+                    Model(mine.first, mine.move, mine.emit.astype(np.float32)).expect(places, lengths, first, move, emit)
+                    every += rows(np.zeros(k), np.zeros((k, k)), symbols, emit)
+                every += rows(first, move, np.empty(0, np.int64), np.empty((0, k)))
+                return pa.Table.from_batches(every)
+
+            parts = self._tables(model, self.learnt.select("block", "syms")).applyInArrow(run_joined, self.schema)
+        summed = parts.groupBy("key").agg(*[F.sum(n).alias(n) for n in names])
+        if self.joined:
+            summed = stored(summed)
+        few = (summed.where(F.col("key") < _CLASSES) if self.joined else summed).select("key", *[F.col(n).cast("float" if not self.joined else "double") for n in names]).toArrow()
+        keys, values = few.column("key").to_numpy(), np.stack([few.column(n).to_numpy() for n in names], axis=1).astype(np.float64)
+        first, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((_CLASSES if self.joined else size, k))
+        first += values[keys == -1].sum(axis=0)
+        moves = keys < -1
+        move[-2 - keys[moves]] = values[moves]
+        emit[keys[keys >= 0]] = values[keys >= 0]
+        if not self.joined:
+            return self._made(first, move, emit[:_CLASSES], emit[_CLASSES:])
+        own = self.own.join(summed.withColumnRenamed("key", "sym"), "sym", "left").select("sym", "n", *[F.coalesce(n, F.lit(0.0)).alias(n) for n in names])
+        out = self._made(first, move, emit, own)
+        drop_stored(summed, model.own)
+        return out
+
+    def scored(self, model: Model, kind: str) -> DataFrame:
+        """(id, held, n_tokens, n_known, base, score) of all encoded rows."""
+        shared, schema = self._shared(model), f"id {kind}, held boolean, n_tokens long, n_known long, base double, score double"
+        out = ["id", "held", "n_tokens", "n_known", "base", "score"]
+        rows = self.encoded.select("id", "held", "n_tokens", "n_known", "base", "share", "syms", "block")
+        size = self.vocabulary.size
+
+        def run(batches):
+            for batch in pieces_of(batches, 6, 4 * _TOKENS):
+                whole = shared.value
+                flat = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint32)
+                symbols, places = local(flat, size)
+                logs = Model(whole.first, whole.move, whole.emit[symbols]).likelihoods(places, batch.column(2).to_numpy())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(logs + batch.column(5).to_numpy())], names=out)
+
+        if not self.joined:
+            return rows.mapInArrow(run, schema)
+        met, names = self._met, self.names
+
+        def run_joined(left: pa.Table, right: pa.Table) -> pa.Table:
+            if not left.num_rows:
+                return left.select(range(5)).append_column("score", pa.array([], pa.float64()))
+            mine, _, places = met(shared.value, np.frombuffer(b"".join(left.column("syms").to_pylist()), np.uint32), right, names)
+            logs = mine.likelihoods(places, left.column("n_tokens").to_numpy())
+            return pa.Table.from_arrays([*left.columns[:5], pa.array(logs + left.column("share").to_numpy())], names=out)
+
+        return self._tables(model, rows).applyInArrow(run_joined, schema)
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", states: int = STATES, passes: int = PASSES, broadcast_words: int = BROADCAST_WORDS, broadcast_own: int = BROADCAST_OWN) -> DataFrame:
     """(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs.
 
     Learns from the rows whose crc32 of the id, as text, modulo 10 isn't 0
@@ -326,30 +591,19 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", states: i
     """
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), held_out(F.col(id_col)).alias("held"), F.col(text).alias("text"))
+    kind = dict(rows.dtypes)["id"]
     counts = stored(word_counts(rows.where("not held").select("text")))
-    totals = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.sum((F.col("n") == 2).cast("long")).alias("twice")).first()
-    own = counts.where(F.col("n") >= OWN_LEAST).orderBy(F.desc("n"), "word").limit(OWN_SYMBOLS).collect()
-    edge = own[-1] if own else None
-    rest = counts.where(F.lit(True) if edge is None else (F.col("n") < edge["n"]) | ((F.col("n") == edge["n"]) & (F.col("word") > F.lit(bytes(edge["word"])))))
-    order = F.least(F.floor(F.log2("n")), F.lit(_CLASSES - 2)).cast("int")
-    classes = {r["c"]: (r["v"], r["n"]) for r in rest.groupBy(order.alias("c")).agg(F.count("*").alias("v"), F.sum("n").alias("n")).collect()}
-    vocabulary = Vocabulary([bytes(r["word"]) for r in own], [r["n"] for r in own], classes, totals["n"] or 0, totals["v"])
-    vocabulary.twice = totals["twice"] or 0
-    encoded = stored(_encoded(rows, counts, vocabulary, dict(rows.dtypes)["id"], broadcast_words))
-    learnt = encoded.where("not held")
-    share = max(1, learnt.count() // (8 * START))
-    sample = learnt.where(F.pmod(F.xxhash64("syms", F.lit(1)), F.lit(share)) == 0).select(F.substring("syms", 1, 2 * _SEGMENT).alias("syms")).orderBy(F.xxhash64("syms")).limit(START).toArrow().column("syms").to_pylist()
-    model = start(vocabulary, [np.frombuffer(x, np.uint16)[:_SEGMENT] for x in sample], states)
+    own = own_words(counts)
+    order = F.when(F.col("n") < OWN_LEAST, F.floor(F.log2("n")).cast("int")).otherwise(_RARE)
+    kinds = {r["c"]: r for r in counts.groupBy(order.alias("c")).agg(F.count("*").alias("v"), F.sum("n").alias("n"), F.sum((F.col("n") == 2).cast("long")).alias("twice")).collect()}
+    total, distinct = (sum(r[x] for r in kinds.values()) for x in ("n", "v"))
+    vocabulary = Vocabulary(total, distinct, kinds[_RARE]["v"] if _RARE in kinds else 0, {c: (r["v"], r["n"]) for c, r in kinds.items() if c < _RARE}, sum(r["twice"] for r in kinds.values()))
+    encoded = _encoded(rows, counts, own, vocabulary, kind, broadcast_words)
+    trainer = Trainer(encoded, own, vocabulary, states, broadcast_own)
+    model = trainer.start()
     for _ in range(passes):
-        model = baum_welch(learnt, vocabulary, model)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    empty = not totals["n"]
-
-    def run(batches):
-        for batch in pieces_of(batches, 2, 2 << 20):
-            logs = shared.value.likelihoods([np.frombuffer(x, np.uint16) for x in batch.column(2).to_pylist()])
-            total = logs + batch.column(6).to_numpy()
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *batch.columns[3:6], pa.array(total * (0.0 if empty else 1.0))], names=["id", "held", "n_tokens", "n_known", "base", "score"])
-
-    out = encoded.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, held boolean, n_tokens long, n_known long, base double, score double")
-    return out.select(F.col("id").alias(id_col), F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(totals["n"] or 0).cast("long").alias("train_tokens"), F.col("base" if not empty else "score").alias("base_score"), "score")
+        model = trainer.improved(model)
+    drop_stored(counts, own)
+    out = trainer.scored(model, kind)
+    scores = ["base", "score"] if total else [F.lit(0.0)] * 2
+    return out.select(F.col("id").alias(id_col), F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), *[F.col(c).alias(n) if total else c.alias(n) for c, n in zip(scores, ("base_score", "score"))])

@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -30,13 +31,40 @@ def made():
 @pytest.mark.parametrize("limit", [10**9, -1], ids=["broadcast", "join"])
 def test_base_scores(docs, limit):
     rows = made()
-    df = docs(rows).withColumn("id", F.lit(1)).withColumn("word", F.lit("x")).withColumn("score", F.lit("own"))
-    out = hmm.score(df, states=3, passes=1, broadcast_words=limit)
+    df = docs(rows).withColumn("id", F.lit(1)).withColumn("word", F.lit("x")).withColumn("score", F.lit("own")).withColumn("block", F.lit(2))
+    out = hmm.score(df, states=3, passes=1, broadcast_words=limit, broadcast_own=limit)
     assert out.columns == COLUMNS
     got = sorted((tuple(r)[:5] + (round(r["base_score"], 6),) for r in out.collect()), key=repr)
     assert got == sorted((x[:5] + (round(x[5], 6),) for x in base(rows)), key=repr)
 
 
+def test_joined_tables_give_the_same_scores(docs):
+    """Counts and emissions that are joined instead of broadcast change nothing."""
+    df = docs(made()).repartition(5)
+    want = {(r["doc_id"], r["n_tokens"]): r["score"] for r in hmm.score(df, states=4, passes=2).collect()}
+    for words, own in ((-1, 10**9), (10**9, -1), (-1, -1)):
+        for r in hmm.score(df, states=4, passes=2, broadcast_words=words, broadcast_own=own).collect():
+            assert r["score"] == pytest.approx(want[r["doc_id"], r["n_tokens"]], rel=1e-5)
+
+
+def test_counts_beyond_32_bits():
+    """A word of more than 4.29 billion occurrences keeps its count."""
+    v = hmm.Vocabulary(9 * 10**9, 2, 1, {0: (1, 1)}, 0)
+    h = hmm._hashes([b"the", b"rare", b"new"])
+    known = hmm.Known(v, hmm.Known.packed(h[1:2], np.array([1])), h[:1], np.array([8 * 10**9]), np.array([hmm._CLASSES], np.uint32))
+    counts, symbols = known(h)
+    assert counts.tolist() == [8 * 10**9, 1, 0]
+    assert symbols.tolist() == [hmm._CLASSES, 0, hmm._UNKNOWN]
+
+
+def test_every_frequent_word_has_its_own_symbol(spark):
+    counts = spark.createDataFrame([(bytearray(f"w{i}".encode()), i % 20 + 1) for i in range(3000)], "word binary, n long").repartition(7)
+    got = hmm.own_words(counts).orderBy("sym").collect()
+    want = sorted(((i % 20 + 1, f"w{i}".encode()) for i in range(3000) if i % 20 + 1 >= 8), key=lambda x: (-x[0], x[1]))
+    assert [(r["n"], bytes(r["word"])) for r in got] == want
+    assert [r["sym"] for r in got] == list(range(hmm._CLASSES, hmm._CLASSES + len(want)))
+
+
 def test_scores_are_probabilities_and_beat_the_base(spark):
     sf = "/root/testdata/sf0.01"
     rows = hmm.score(spark.read.parquet(f"{sf}/documents.parquet")).collect()
@@ -64,19 +92,29 @@ def likelihood(model, seq):
     return total
 
 
-def test_forward_is_exact():
+def flat(seqs):
+    return np.concatenate(seqs).astype(np.int64), np.array([len(s) for s in seqs])
+
+
+@pytest.fixture(params=[1, 5, 1 << 18], ids=["each time apart", "small segments", "one segment"])
+def segment(request, monkeypatch):
+    monkeypatch.setattr(hmm, "_SEGMENT", request.param)
+
+
+def test_forward_is_exact(segment):
     model, r = random_model(3, 5), random.Random(1)
-    seqs = [np.array([r.randrange(5) for _ in range(n)], np.uint16) for n in (1, 2, 5, 3, 7, 1)]
-    assert np.allclose(model.likelihoods(seqs), [math.log10(likelihood(model, s)) for s in seqs])
-    whole = sum(10 ** x for x in model.likelihoods([np.array(s, np.uint16) for s in itertools.product(range(5), repeat=4)]))
+    seqs = [np.array([r.randrange(5) for _ in range(n)]) for n in (1, 2, 5, 3, 7, 1)]
+    assert np.allclose(model.likelihoods(*flat(seqs)), [math.log10(likelihood(model, s)) for s in seqs])
+    whole = sum(10 ** x for x in model.likelihoods(*flat([np.array(s) for s in itertools.product(range(5), repeat=4)])))
     assert abs(whole - 1) < 1e-9
 
 
-def test_expected_counts_are_those_of_all_paths():
+def test_expected_counts_are_those_of_all_paths(segment):
+    """Over whole sequences, wherever the segments part them."""
     model, r = random_model(2, 4), random.Random(2)
-    seqs = [np.array([r.randrange(4) for _ in range(n)], np.uint16) for n in (4, 1, 6)]
+    seqs = [np.array([r.randrange(4) for _ in range(n)]) for n in (4, 1, 9, 6, 6)]
     first, move, emit = np.zeros(2), np.zeros((2, 2)), np.zeros((4, 2))
-    model.expect(seqs, first, move, emit, np.ones(3, bool))
+    model.expect(*flat(seqs), first, move, emit)
     want_first, want_move, want_emit = np.zeros(2), np.zeros((2, 2)), np.zeros((4, 2))
     for s in seqs:
         whole = likelihood(model, s)
@@ -90,15 +128,47 @@ def test_expected_counts_are_those_of_all_paths():
     assert np.allclose(first, want_first) and np.allclose(move, want_move) and np.allclose(emit, want_emit)
 
 
+def test_one_long_text_takes_memory_in_proportion_to_its_tokens():
+    model = random_model(4, 50)
+    g = np.random.default_rng(3)
+    lengths = np.array([200_000, *[20] * 255])
+    symbols = g.integers(0, 50, lengths.sum())
+    tracemalloc.start()
+    sums = np.zeros(4), np.zeros((4, 4)), np.zeros((50, 4))
+    model.expect(symbols, lengths, *sums)
+    logs = model.likelihoods(symbols, lengths)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400 * len(symbols)
+    assert sums[0].sum() == pytest.approx(256) and sums[2].sum() == pytest.approx(len(symbols)) and sums[1].sum() == pytest.approx(len(symbols) - 256)
+    assert logs[1] == pytest.approx(model.likelihoods(symbols[200_000:200_020], np.array([20]))[0])
+
+
 def test_one_state_is_a_distribution(docs):
     """The scores of all outcomes of one token sum to one."""
-    v = hmm.Vocabulary([b"a", b"b"], [20, 10], {0: (3, 3), 2: (2, 9)}, 42, 7)
-    v.twice = 0
-    model = hmm.maximised(v, np.ones(2), np.ones((2, 2)), np.random.default_rng(0).random((v.size, 2)) * (v.unigram[:, None] > 0))
+    v = hmm.Vocabulary(42, 7, 2, {0: (3, 3), 2: (2, 9)}, 0)
+    trainer = hmm.Trainer.__new__(hmm.Trainer)
+    trainer.vocabulary, trainer.joined, trainer.counts = v, False, np.array([20.0, 10.0])
+    g = np.random.default_rng(0)
+    model = trainer._made(np.ones(2), np.ones((2, 2)), g.random((hmm._CLASSES, 2)) * (v.rare[:, None] > 0), g.random((2, 2)))
     counts = np.array([20, 10, 1, 1, 1, 4, 5, 0])
-    sym, share = v.symbols(hmm._hashes([b"a", b"b", b"c", b"d", b"e", b"f", b"g", b"?"]), counts)
+    symbols = np.array([hmm._CLASSES, hmm._CLASSES + 1, 0, 0, 0, 2, 2, hmm._UNKNOWN])
+    share = v.shares(counts, symbols)
     for s in range(2):
-        assert abs(sum(model.emit[k, s] * 10**x for k, x in zip(sym, share)) - 1) < 1e-9
+        assert abs(sum(model.emit[k, s] * 10**x for k, x in zip(symbols, share)) - 1) < 1e-9
+
+
+def test_neighbours_count_pairs_within_texts(spark):
+    texts = [[4, 5, 4, 0, 4], [5, 5], [4]]
+    df = spark.createDataFrame([(bytearray(np.array(t, np.uint32).tobytes()),) for t in texts], "syms binary").repartition(2)
+    assert hmm.neighbours(df, 2).tolist() == [[0, 1], [1, 1]]
+
+
+def test_each_pass_makes_the_training_texts_likelier(docs):
+    """Baum-Welch never loses likelihood, but for what the smoothing takes."""
+    rows = [(i, " ".join(words_of(i % 3, 200, 25 + 10 * (i % 3)))) for i in range(40)]
+    sums = [sum(r["score"] for r in hmm.score(docs(rows), states=3, passes=p).collect() if not r["held_out"]) for p in (0, 1, 4)]
+    assert sums[0] < sums[1] < sums[2]
 
 
 def test_no_documents(docs):
