@@ -30,8 +30,10 @@ PASSES = 3
 HEAD = 512
 #: Distinct words up to which counts are broadcast (8 bytes a rare word, 16 another); beyond that, blocks of texts meet their words' counts in a join.
 BROADCAST_WORDS = 8_000_000
-#: Words with a symbol up to which emissions are broadcast (128 bytes each); beyond that, blocks of texts meet their symbols' emissions in a join.
-BROADCAST_OWN = 500_000
+#: Words with a symbol up to which emissions are broadcast (64 bytes each); beyond that, blocks of texts meet their symbols' emissions in a join.
+BROADCAST_OWN = 1_000_000
+#: Bytes of text in a block: the larger it is, the fewer times a word is sent.
+BLOCK = 32 << 20
 ADDED = 0.1
 #: Symbols that aren't words: rare words by order of frequency, then unknown words. Words' own symbols follow, the most frequent first.
 _RARE = OWN_LEAST.bit_length() - 1
@@ -170,10 +172,13 @@ _NAMES = ["id", "held", "block", "syms", "n_tokens", "n_known", "base", "share"]
 
 
 def _numbered(batches, column: int):
-    """Pieces of batches with numbers that no other has."""
-    first = TaskContext.get().partitionId() << 32
-    for k, batch in enumerate(pieces_of(batches, column)):
-        yield first + k, batch
+    """Pieces of batches, with a number for those that make a block."""
+    block, size = TaskContext.get().partitionId() << 32, 0
+    for batch in pieces_of(batches, column):
+        if size > BLOCK:
+            block, size = block + 1, 0
+        size += batch.column(column).nbytes
+        yield block, batch
 
 
 def _hashed(batches):
@@ -182,7 +187,7 @@ def _hashed(batches):
 
 
 def _encoded(docs: DataFrame, counts: DataFrame, own: DataFrame, vocabulary: Vocabulary, kind: str, most: int) -> DataFrame:
-    """docs (id, held, text) as symbols, in blocks of a few megabytes of text, stored."""
+    """docs (id, held, text) as symbols, in blocks of some BLOCK bytes of text, stored."""
     context = docs.sparkSession.sparkContext
     docs = docs.select("id", "held", "text")
     shared = context.broadcast(vocabulary)
@@ -399,11 +404,11 @@ def _sums(states: int, most: int = 1 << 14):
     names = [f"s{i}" for i in range(states)]
 
     def rows(first, move, symbols, emit):
-        keys, values = np.concatenate([[-1], -2 - np.arange(states), symbols]), np.concatenate([first[None], move, emit])
+        keys, values = np.concatenate([[-1], -2 - np.arange(states), symbols]), np.concatenate([first[None], move, emit]).astype(np.float32)
         for i in range(0, len(keys), most):
             yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + most]), *[pa.array(values[i : i + most, s].copy()) for s in range(states)]], names=["key", *names])
 
-    return names, "key long, " + ", ".join(f"{n} double" for n in names), rows
+    return names, "key long, " + ", ".join(f"{n} float" for n in names), rows
 
 
 class Trainer:
@@ -525,7 +530,8 @@ class Trainer:
                 for flat, lengths in _gathered(left.select(["syms"]).to_batches()):
                     mine, symbols, places = met(shared.value, flat, right, names)
                     emit = np.zeros((len(symbols), k))
-                    Model(mine.first, mine.move, mine.emit.astype(np.float32)).expect(places, lengths, first, move, emit)
+                    mine.emit = mine.emit.astype(np.float32)
+                    mine.expect(places, lengths, first, move, emit)
                     every += rows(np.zeros(k), np.zeros((k, k)), symbols, emit)
                 every += rows(first, move, np.empty(0, np.int64), np.empty((0, k)))
                 return pa.Table.from_batches(every)
