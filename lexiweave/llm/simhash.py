@@ -14,14 +14,13 @@ from itertools import combinations
 from math import comb, log2
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexiweave.llm._spark import bounded_batches, components, drop_stored, stored
+from lexiweave.llm._spark import bounded_batches, by_place, components, drop_stored, forest, stored
 from lexiweave.llm._text import LOWER, bytes_of, pieces_of
 
 SHINGLE = 4
@@ -32,54 +31,64 @@ CELL_BITS = 16
 #: A probe is a row to shuffle and sort, a candidate one comparison inside the join: so many of these cost as much.
 PROBE = 100
 _BLOCK = 1 << 17
+#: Each byte's bits as the bytes of a word.
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0].copy()
+#: A cell of more fingerprints than this (and than eight times the mean) is hot: its entries are salted into blocks of so many, its probes into _WIDE such blocks.
+HOT = 1024
+_WIDE = 64
+#: Rows of a fingerprint from which on it isn't joined but broadcast: more than so many, and than a ten-thousandth of all, so there are at most 10,000 of them.
+OFTEN = 10_000
+#: Rows that go, up to which they are broadcast (16 bytes each, and their ids); more are joined.
+BROADCAST_LOST = 1_000_000
+
+
+def bit_votes(h: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How many hashes of each row have each bit set: rows are h[ends[i] : ends[i + 1]].
+
+    The bits of a byte are spread over the bytes of a word, so that a word adds
+    up eight counts; runs of 255 hashes can't overflow them.
+    """
+    lengths = np.diff(ends)
+    out = np.zeros((len(lengths), BITS), np.int64)
+    runs = -(-lengths // 255)
+    row = np.repeat(np.arange(len(lengths)), runs)
+    start = ends[row] + 255 * (np.arange(len(row)) - np.repeat(np.cumsum(runs) - runs, runs))
+    a = 0
+    while a < len(row):
+        b = max(a + 1, int(np.searchsorted(start, start[a] + _BLOCK, side="right")) - 1)
+        end = int(start[b]) if b < len(row) else int(ends[-1])
+        spread = _SPREAD[h[start[a] : end].view(np.uint8).reshape(-1, 8)]
+        counts = np.add.reduceat(spread, start[a:b] - start[a], axis=0).view(np.uint8)
+        rows, first = np.unique(row[a:b], return_index=True)
+        out[rows] += np.add.reduceat(counts, first, axis=0, dtype=np.int64)
+        a = b
+    return out
+
+
+def majority(votes: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """A bit is set that more than half of the hashes have, as uint64."""
+    return np.packbits(votes * 2 > totals[:, None], axis=1, bitorder="little").view(np.uint64).reshape(-1)
 
 
 def fingerprints_of(text: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     """SimHash of each text (null: of no words) over its word shingles, repeats included, as uint64."""
     data, ends = bytes_of(text)
     data = data.translate(LOWER)
-    rows = [data[a:b].split() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
-    out = np.zeros(len(rows), np.uint64)
-    votes = np.zeros((len(rows), BITS), np.int64)
-    totals = np.zeros(len(rows), np.int64)
-    hashes, owners, held = [], [], 0
-
-    def count() -> None:
-        nonlocal hashes, owners, held
-        if not hashes:
-            return
-        h = np.concatenate(hashes)
-        lengths = np.array([len(x) for x in hashes])
-        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        for i in range(0, len(h), _BLOCK):
-            j = min(len(h), i + _BLOCK)
-            bits = np.unpackbits(h[i:j].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            first = int(np.searchsorted(starts, i, side="right")) - 1
-            last = int(np.searchsorted(starts, j, side="left"))
-            cut = np.maximum(starts[first:last] - i, 0)
-            np.add.at(votes, owners[first:last], np.add.reduceat(bits, cut, axis=0, dtype=np.int64))
-        hashes, owners, held = [], [], 0
-
-    digest = xxhash.xxh64_intdigest
-    for row, words in enumerate(rows):
-        rows[row] = None
+    digest, hashes, totals = xxhash.xxh64_intdigest, [], []
+    for i, j in zip(ends[:-1].tolist(), ends[1:].tolist()):
+        words = data[i:j].split()
+        n = max(1, len(words) - shingle + 1) if words else 0
+        totals.append(n)
         if not words:
             continue
-        n = max(1, len(words) - shingle + 1)
-        totals[row] = n
         joined = b" ".join(words)
         after = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
         a = np.concatenate([[0], after[: n - 1]]).tolist()
         b = (after[min(shingle, len(words)) - 1 :] - 1).tolist()
-        hashes.append(np.fromiter((digest(joined[i:j], SEED) for i, j in zip(a, b)), np.uint64, n))
-        owners.append(row)
-        held += n
-        if held > 4 * _BLOCK:
-            count()
-    count()
-    on = (votes * 2 > totals[:, None]).astype(np.uint8)
-    out[:] = np.packbits(on, axis=1, bitorder="little").view(np.uint64)[:, 0] if len(rows) else out
-    return out
+        hashes.append(np.fromiter((digest(joined[x:y], SEED) for x, y in zip(a, b)), np.uint64, n))
+    totals = np.array(totals, np.int64)
+    h = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
+    return majority(bit_votes(h, np.concatenate([[0], np.cumsum(totals)])), totals)
 
 
 def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "fp", shingle: int = SHINGLE) -> DataFrame:
@@ -206,11 +215,34 @@ def correlation_of(fps: DataFrame) -> tuple[np.ndarray, int]:
     return (both - np.outer(mean, mean)) / np.outer(sd, sd), n
 
 
-def links(fps: DataFrame, distance: int = 4, groups: int | None = None) -> DataFrame:
+def _salt(fps: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """A number below parts for each fingerprint."""
+    h = fps.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((h ^ (h >> np.uint64(32))) % parts.astype(np.uint64)).astype(np.int32)
+
+
+def _block_links(distance: int):
+    """Links between the probes and the entries of one block of a hot value: a spanning forest of them, not all."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = left.column("a").to_numpy(), right.column("b").to_numpy()
+        heads = tails = np.empty(0, np.int64)
+        for i in range(0, len(a) if len(b) else 0, 1 << 10):
+            some = a[i : i + (1 << 10)]
+            x, y = np.nonzero(np.bitwise_count(some.view(np.uint64)[:, None] ^ b.view(np.uint64)[None, :]) <= distance)
+            heads, tails = forest(np.concatenate([heads, some[x]]), np.concatenate([tails, b[y]]))
+        return pa.table({"a": np.minimum(heads, tails), "b": np.maximum(heads, tails)})
+
+    return run
+
+
+def links(fps: DataFrame, distance: int = 4, groups: int | None = None, hot: int = HOT) -> DataFrame:
     """Pairs (a, b), a < b, of distinct fingerprints fp (long) that differ in at most `distance` bits.
 
-    A pair may come more than once. Nothing but the 64 x 64 correlations and at
-    most m x 65,536 histogram cells reaches the driver or a broadcast.
+    A pair may come more than once. All pairs come but those within a block of
+    a hot value, of which a spanning forest comes instead: it connects the same
+    fingerprints. Nothing but the 64 x 64 correlations and at most m x 65,536
+    histogram cells reaches the driver or a broadcast.
     """
     correlation, n = correlation_of(fps)
     m = groups or group_count(max(n, 1), distance)
@@ -230,6 +262,25 @@ def links(fps: DataFrame, distance: int = 4, groups: int | None = None) -> DataF
         histogram[part][rows["cell"].to_numpy()] = rows["n"].to_numpy()
     levels = max(0, spare) + 2 if spare >= 0 else 2
     near = [ball_counts(h, levels - 2) / 2.0 ** max(0, len(g) - CELL_BITS) for h, g in zip(histogram, dealt)]
+    # blocks of entries, and of probes, that the values of a cell are dealt into; 0: the cell isn't hot
+    most = [max(hot, 8 * h.mean()) for h in histogram]
+    blocks = [np.where(h > k, np.ceil(h / hot), 0).astype(np.int32) for h, k in zip(histogram, most)]
+    wide = [np.ceil(x / _WIDE).astype(np.int32) for x in blocks]
+    low = np.uint64((1 << CELL_BITS) - 1)
+
+    def placed(part: int, value: np.ndarray, fps: np.ndarray, name: str, entry: bool):
+        """Rows for the join: those of a hot cell go to all blocks of the other side."""
+        cell = (value & low).astype(np.int64)
+        parts, others = blocks[part][cell], wide[part][cell]
+        mine, theirs = (parts, others) if entry else (others, parts)
+        times = np.maximum(theirs, 1)
+        row = np.repeat(np.arange(len(value)), times)
+        k = (np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)).astype(np.int32)
+        own = np.where(mine > 0, _salt(fps, np.maximum(mine, 1)), -1).astype(np.int32)[row]
+        salt, slice_ = (own, k) if entry else (k, own)
+        cold = (parts == 0)[row]
+        salt, slice_ = np.where(cold, -1, salt).astype(np.int32), np.where(cold, -1, slice_).astype(np.int32)
+        return pa.record_batch([pa.array(np.full(len(row), part, np.int32)), pa.array(value.view(np.int64)[row]), pa.array(salt), pa.array(slice_), pa.array(fps[row])], names=["part", "value", "salt", "slice", name])
 
     def probes(batches):
         for batch in batches:
@@ -239,39 +290,44 @@ def links(fps: DataFrame, distance: int = 4, groups: int | None = None) -> DataF
                 v = [values_of(f.view(np.uint64), g) for g in dealt]
                 costs = np.zeros((m, levels, len(f)))
                 for i, g in enumerate(dealt):
-                    cell = (v[i] & np.uint64((1 << CELL_BITS) - 1)).astype(np.int64)
+                    cell = (v[i] & low).astype(np.int64)
                     for t in range(levels - 1):
                         costs[i, t + 1] = near[i][t][cell] + PROBE * sum(comb(len(g), k) for k in range(t + 1))
                 t = allocate(costs, spare)
                 for i, g in enumerate(dealt):
-                    for most in range(levels - 1):
-                        here = t[i] == most
+                    for level in range(levels - 1):
+                        here = t[i] == level
                         if here.any():
-                            flips = masks(len(g), most)
-                            value = (v[i][here][:, None] ^ flips[None, :]).ravel().view(np.int64)
-                            yield pa.record_batch([pa.array(np.full(len(value), i, np.int32)), pa.array(value), pa.array(np.repeat(f[here], len(flips)))], names=["part", "value", "a"])
+                            flips = masks(len(g), level)
+                            value = (v[i][here][:, None] ^ flips[None, :]).ravel()
+                            yield placed(i, value, np.repeat(f[here], len(flips)), "a", False)
 
     def entries(batches):
         for batch in batches:
             f = batch.column(0).to_numpy(zero_copy_only=False)
             for i, g in enumerate(dealt):
-                yield pa.record_batch([pa.array(np.full(len(f), i, np.int32)), pa.array(values_of(f.view(np.uint64), g).view(np.int64)), pa.array(f)], names=["part", "value", "b"])
-
-    asked = fps.select("fp").mapInArrow(probes, "part int, value long, a long")
-    held = fps.select("fp").mapInArrow(entries, "part int, value long, b long")
-    return asked.join(held, ["part", "value"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)).select("a", "b")
-
-
-def _labelled(docs: DataFrame, id_col: str, distance: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (id, fp), stored; and (fp, component_id, lead) of every distinct fingerprint, lead being its component's least fingerprint of that id."""
-    rows = stored(docs.select(F.col(id_col).alias("id"), "fp"))
-    distinct = rows.groupBy("fp").agg(F.min("id").alias("least"))
-    known = stored(distinct)
-    tree = components(links(known, distance))
-    named = known.join(tree.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    # nulls sort last among the ids
-    first = named.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least"), F.col("fp"))).alias("f"))
-    return rows, named.join(first, "root").select("fp", F.col("f.least").alias("component_id"), F.col("f.fp").alias("lead"))
+                yield placed(i, values_of(f.view(np.uint64), g), f, "b", True)
+
+    keys = ["part", "value", "salt", "slice"]
+    schema = "part int, value long, salt int, slice int, {} long"
+    asked = fps.select("fp").mapInArrow(probes, schema.format("a"))
+    held = fps.select("fp").mapInArrow(entries, schema.format("b"))
+    cold = F.col("salt") < 0
+    near_ = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
+    out = asked.where(cold).join(held.where(cold), ["part", "value"]).where(near_).select("a", "b")
+    if not any(x.any() for x in blocks):
+        return out
+    dense = asked.where(~cold).groupBy(*keys).cogroup(held.where(~cold).groupBy(*keys)).applyInArrow(_block_links(distance), "a long, b long")
+    return out.unionByName(dense.where("a < b"))
+
+
+def _with_often(rows: DataFrame, named: DataFrame, key: str) -> DataFrame:
+    """rows joined with named, which has each key once and the number of rows that have it (column rows): frequent keys' rows stay where they are."""
+    n = named.agg(F.sum("rows")).first()[0] or 0
+    often = F.col("rows") > max(OFTEN, n // 10_000)
+    few = F.broadcast(named.where(often).drop("rows"))
+    rest = rows.join(few.select(key), key, "left_anti").join(named.where(~often).drop("rows"), key)
+    return rest.unionByName(rows.join(few, key).select(*rest.columns))
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", distance: int = 4, shingle: int = SHINGLE) -> DataFrame:
@@ -282,21 +338,55 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", distance
     count for nothing in component_id, which is null if a component has no
     other. Other columns of docs are ignored. An empty table gives no rows.
     """
-    rows, named = _labelled(with_fingerprint(docs.select(id_col, text), text, shingle=shingle), id_col, distance)
-    return rows.join(named, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    base = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    rows = stored(with_fingerprint(base, shingle=shingle).select("id", "fp"))
+    known = stored(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("rows")))
+    tree = components(links(known, distance))
+    named = known.join(tree.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    first = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    met = _with_often(rows, named.join(first, "root").select("fp", "rows", "component_id"), "fp")
+    return met.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", distance: int = 4, shingle: int = SHINGLE) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", distance: int = 4, shingle: int = SHINGLE, least: tuple[int, int] | None = None) -> DataFrame:
     """docs without the near-duplicates of another row: one row of each group stays.
 
-    That is a row with the group's least id (nulls last) and, among those, its
-    least fingerprint; one of them stays if there are several. All columns stay.
+    Groups are those of `distance`, or, with `least` (a fraction), of texts
+    whose sets of word shingles have a Jaccard similarity of that or more:
+    longer fingerprints propose the pairs and the sets themselves decide (see
+    `similar`). The row that stays has the group's least id (nulls last) and,
+    among those, its least key and text by hash; one of them stays if there are
+    several. Rows without words are one group. All columns stay, whatever their
+    names. An empty table gives no rows.
     """
-    marked = with_fingerprint(docs, text, "__fp", shingle)
-    rows, named = _labelled(marked.select(id_col, F.col("__fp").alias("fp")), id_col, distance)
-    leads = named.where("fp = lead").join(rows, "fp").where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("id", "fp").agg(F.count("*").alias("__copies"))
-    leads = leads.select(F.col("id").alias("__id"), F.col("fp").alias("__lead"), "__copies")
-    kept = marked.join(leads, (F.col("__fp") == F.col("__lead")) & F.col(id_col).eqNullSafe(F.col("__id")), "inner")
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    many = kept.where("__copies > 1").dropDuplicates(["__id", "__fp"])
-    return kept.where("__copies = 1").select(*cols).unionByName(many.select(*cols))
+    placed, of = by_place(docs)
+    base = placed.select(F.col(of[id_col]).alias("id"), F.xxhash64(of[text]).alias("h"), F.col(of[text]).alias("text"))
+    if least is None:
+        rows = stored(with_fingerprint(base, name="key", shingle=shingle).select("id", "h", "key"))
+        known = stored(rows.groupBy("key").agg(F.count("*").alias("rows")))
+        tree = components(links(known.select(F.col("key").alias("fp")), distance))
+        drop_stored(known)
+    else:
+        from lexiweave.llm import similar
+
+        rows, tree = similar.groups(base, shingle, least)
+    # nulls sort last among the ids
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "key", "h")
+    named = rows.groupBy("key").agg(F.min(order).alias("f")).join(tree.withColumnRenamed("node", "key"), "key", "left")
+    leads = stored(named.groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("f").alias("f")).select("f.id", "f.h"))
+    # a text has one group, so a row that is some lead's (id, h) is that lead or its copy
+    each = rows.groupBy("id", "h").agg(F.count("*").alias("rows"))
+    same = lambda x, y: x["id"].eqNullSafe(y["id"]) & (x["h"] == y["h"])
+    lost = stored(each.join(leads, same(each, leads), "left_anti").select("id", "h"))
+    again = stored(each.where("rows > 1").join(leads, same(each, leads), "left_semi").select("id", "h"))
+    marked = placed.withColumn("h", F.xxhash64(of[text])).withColumn("id", F.col(of[id_col]))
+
+    def small(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.count() <= BROADCAST_LOST else df
+
+    kept = marked.join(small(lost), same(marked, lost), "left_anti")
+    if again.limit(1).count():
+        copies = small(again)
+        kept = kept.join(copies, same(kept, again), "left_anti").unionByName(kept.join(copies, same(kept, again), "left_semi").dropDuplicates(["id", "h"]))
+    drop_stored(leads, rows)
+    return kept.select(*of.values()).toDF(*docs.columns)

@@ -94,6 +94,56 @@ def test_null_and_repeated_ids(docs):
     assert sorted(r["doc_id"] if r["doc_id"] is not None else -1 for r in simhash.keep_one(docs(rows)).collect()) == [-1, 2, 4]
 
 
+def test_clashing_columns(docs):
+    rows = [(0, "a b c d e"), (1, "a b c d e"), (1, "A b  c d e"), (2, None), (2, "other words that are here")]
+    names = ["__fp", "__copies", "__id", "__lead", "fp", "id", "h", "key", "rows", "root", "node", "none", "f"]
+    df = docs(rows)
+    for n in names:
+        df = df.withColumn(n, F.concat(F.lit(n), F.col("doc_id").cast("string")))
+    for out in (simhash.keep_one(df), simhash.keep_one(df, shingle=5, least=(4, 5))):
+        assert out.columns == df.columns
+        got = sorted(out.collect(), key=lambda r: (r["doc_id"], r["text"] or ""))
+        assert [(r["doc_id"], r["text"]) for r in got] == [(0, "a b c d e"), (2, None), (2, "other words that are here")]
+        assert all(r[n] == f"{n}{r['doc_id']}" for r in got for n in names)
+    for name in ("fp", "id", "text2", "rows"):
+        got = simhash.groups(docs(rows).withColumnRenamed("doc_id", name), id_col=name).collect()
+        assert sorted((r[name], r["component_id"]) for r in got) == [(0, 0), (1, 0), (1, 0), (2, 2), (2, 2)]
+
+
+def test_many_near_fingerprints_in_one_group(spark):
+    """20,000 different fingerprints that are equal in 40 bits: their value is hot, its blocks are compared apart."""
+    g = np.random.default_rng(2)
+    chain = [0]
+    for _ in range(6_000):  # each differs in one bit from some earlier one, and in more than four from most
+        chain.append(int(chain[g.integers(max(0, len(chain) - 50), len(chain))]) ^ 1 << int(g.integers(0, 24)))
+    far = g.integers(0, 1 << 24, 14_000)
+    fps = np.unique(np.concatenate([np.array(chain), far, far ^ (1 << 40)])).astype(np.int64)
+    df = spark.createDataFrame([(int(f),) for f in fps], "fp long").repartition(4)
+    got = {r["node"]: r["root"] for r in components(simhash.links(df, 4, hot=512)).collect()}
+    heads, tails = [], []
+    for i in range(0, len(fps), 500):
+        x, y = np.nonzero(np.bitwise_count(fps[i : i + 500, None] ^ fps[None, :]) <= 4)
+        heads.append(fps[i : i + 500][x])
+        tails.append(fps[y])
+    nodes, low = forest(np.concatenate(heads), np.concatenate(tails))
+    want = dict(zip(nodes.tolist(), low.tolist()))
+    assert {k: v for k, v in got.items() if k != v} == want
+
+
+def test_frequent_fingerprints_stay_where_they_are(docs, monkeypatch):
+    monkeypatch.setattr(simhash, "OFTEN", 3)
+    texts = [None, ""] * 10 + ["a b c d e f"] * 10 + ["one two three four", "five six seven eight nine"] * 2
+    got = sorted((r["doc_id"], r["component_id"]) for r in simhash.groups(docs(texts)).collect())
+    assert got == [(i, texts.index(t) if t else 0) for i, t in enumerate(texts)]
+
+
+def test_lost_rows_that_are_joined(docs, monkeypatch):
+    rows = list(enumerate(variants(1, 20) + variants(2, 20)))
+    want = sorted(r["doc_id"] for r in simhash.keep_one(docs(rows)).collect())
+    monkeypatch.setattr(simhash, "BROADCAST_LOST", -1)
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs(rows)).collect()) == want
+
+
 def test_no_documents(docs):
     assert simhash.groups(docs([])).count() == 0
     assert simhash.keep_one(docs([])).count() == 0

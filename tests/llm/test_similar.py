@@ -1,8 +1,10 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
-from lexiweave.llm import similar
+from lexiweave.llm import similar, simhash
+from lexiweave.llm._text import LOWER
 from pyspark.sql import functions as F
 
 from .conftest import ODD, words_of
@@ -10,7 +12,7 @@ from .test_simhash import roots
 
 
 def shingles(text):
-    w = (text or "").encode().translate(similar.LOWER).split()
+    w = (text or "").encode().translate(LOWER).split()
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
@@ -53,7 +55,42 @@ def test_null_and_repeated_ids(docs):
     text = " ".join(words_of(1, 50))
     rows = [(5, text), (2, text), (2, text), (None, "other words"), (None, "other words"), (4, "a b"), (3, None), (6, " ")]
     df = docs(rows).withColumn("key", F.lit(1))
-    out = similar.keep_one(df)
+    out = simhash.keep_one(df, shingle=5, least=(4, 5))
     assert out.columns == df.columns
     assert sorted(r["doc_id"] if r["doc_id"] is not None else -1 for r in out.collect()) == [-1, 2, 3, 4]
-    assert similar.keep_one(docs([])).count() == 0
+    assert simhash.keep_one(docs([]), shingle=5, least=(4, 5)).count() == 0
+
+
+def test_fingerprints_are_votes_of_the_sets():
+    sets = [np.unique(np.random.default_rng(i).integers(0, 1 << 63, n, np.uint64)) for i, n in enumerate([1, 7, 300, 0, 1000])]
+    got = similar.fingerprints(sets)
+    for x, row in zip(sets, got):
+        for seed, word in zip(similar._SEEDS, row):
+            h = similar._mixed(x ^ seed)
+            assert int(word) == sum(1 << b for b in range(64) if 2 * sum(int(v) >> b & 1 for v in h) > len(h))
+
+
+def test_equal_groups_share_a_bucket():
+    groups = similar.bit_groups(1000, 0.8)
+    words = np.random.default_rng(0).integers(0, 1 << 63, (6, similar.WORDS), np.uint64)
+    bits = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")
+    bits[1] = bits[0]
+    bits[1, np.setdiff1d(np.arange(bits.shape[1]), groups[9])] ^= 1
+    words = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+    found = similar.buckets(words, groups)
+    assert [k for k in range(len(groups)) if found[0, k] == found[1, k]] == [9]
+    assert len(np.unique(found[2:])) == found[2:].size
+
+
+@pytest.mark.parametrize("least, more", [(0.8, 0.97), (0.9, 0.999)])
+def test_share_of_pairs_proposed(least, more):
+    """Sets of this similarity share a bucket as often as the README says."""
+    g, groups, met = np.random.default_rng(1), similar.bit_groups(200_000, 0.8), 0
+    for _ in range(300):
+        n = 400
+        extra = round(n * (1 - least) / (2 * least))
+        both = g.integers(0, 1 << 63, n, np.uint64)
+        sets = [np.unique(np.concatenate([both, g.integers(0, 1 << 63, extra, np.uint64)])) for _ in range(2)]
+        a, b = similar.buckets(similar.fingerprints(sets), groups)
+        met += bool((a == b).any())
+    assert met / 300 >= more
