@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -58,11 +59,29 @@ def _files(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+_CLEAN_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def tidy(spark: SparkSession):
+    """Within it, an action's shuffle files go as soon as it ends. For actions whose shuffles nothing else reads: each plans its own."""
+    before = spark.conf.get(_CLEAN_CONF, None)
+    spark.conf.set(_CLEAN_CONF, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN_CONF)
+        else:
+            spark.conf.set(_CLEAN_CONF, before)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: this cuts the lineage. What isn't dropped before goes when the application ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with tidy(spark):
+        df.write.option("compression", "zstd").parquet(path)
     p, files = _files(spark, path)
     files.deleteOnExit(p)
     out = spark.read.schema(df.schema).parquet(path)

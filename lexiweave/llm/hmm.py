@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiweave.llm._spark import bounded_batches, drop_stored, stored
+from lexiweave.llm._spark import bounded_batches, drop_stored, stored, tidy
 from lexiweave.llm._text import LOWER, coded, pieces_of, split_words
 
 STATES = 16
@@ -540,7 +540,9 @@ class Trainer:
         summed = parts.groupBy("key").agg(*[F.sum(n).alias(n) for n in names])
         if self.joined:
             summed = stored(summed)
-        few = (summed.where(F.col("key") < _CLASSES) if self.joined else summed).select("key", *[F.col(n).cast("float" if not self.joined else "double") for n in names]).toArrow()
+        some = (summed.where(F.col("key") < _CLASSES) if self.joined else summed).select("key", *[F.col(n).cast("float" if not self.joined else "double") for n in names])
+        with tidy(self.own.sparkSession):
+            few = some.toArrow()
         keys, values = few.column("key").to_numpy(), np.stack([few.column(n).to_numpy() for n in names], axis=1).astype(np.float64)
         first, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((_CLASSES if self.joined else size, k))
         first += values[keys == -1].sum(axis=0)
