@@ -17,14 +17,14 @@ import zlib
 from math import ceil, log2
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexiweave.llm._spark import bounded_batches
+from lexiweave.llm._spark import bounded_batches, stored
 from lexiweave.llm._text import coded, pieces_of, split_words
 
 WINDOW = 20
@@ -110,10 +110,12 @@ def sketch_bits(text_bytes: int) -> int:
     return min(29, max(16, ceil(log2(max(1, text_bytes) / 12))))
 
 
-_SKETCH_NAMES = ["line", "chunk", "once", "twice"]
+_SKETCH_NAMES = ["line", "chunk", "part", "once", "twice"]
+#: Sketches of about so many bytes of text each meet in one task at a time: so many of them.
+_FANNED, _FAN = 16 << 20, 64
 
 
-def repeated_cells(docs: DataFrame, text: str, window: int, bits: int) -> tuple[list[np.ndarray], np.ndarray]:
+def repeated_cells(docs: DataFrame, text: str, window: int, bits: int, text_bytes: int = 0) -> tuple[list[np.ndarray], np.ndarray]:
     """For each row of the merged sketch, the bitmap of cells that count two or more: 2**bits / 8 bytes each.
 
     And the hot minimizers, at most _CHUNKS_OF_HOT * HOT, the most frequent.
@@ -123,6 +125,7 @@ def repeated_cells(docs: DataFrame, text: str, window: int, bits: int) -> tuple[
 
     def partial(keys):
         """The sketch of some places, by chunks of cells that aren't empty."""
+        number = TaskContext.get().partitionId()
         for row in range(len(_ROWS)):
             at, k = np.unique(cells(keys, bits, row), return_counts=True)
             edges = np.searchsorted(at, np.arange(0, (1 << bits) + 1, step))
@@ -131,14 +134,14 @@ def repeated_cells(docs: DataFrame, text: str, window: int, bits: int) -> tuple[
                     part = np.zeros(step, np.uint8)
                     part[at[i:j] - chunk * step] = np.minimum(k[i:j], 2)
                     packed = [zlib.compress(np.packbits(part == n).tobytes(), 1) for n in (1, 2)]
-                    yield pa.record_batch([pa.array([row], pa.int32()), pa.array([chunk], pa.int32()), pa.array([packed[0]]), pa.array([packed[1]])], names=_SKETCH_NAMES)
+                    yield pa.record_batch([pa.array([row], pa.int32()), pa.array([chunk], pa.int32()), pa.array([number]), pa.array([packed[0]]), pa.array([packed[1]])], names=_SKETCH_NAMES)
         found, n = np.unique(keys, return_counts=True)
         often = n >= max(64, len(keys) // HOT)
         found, n = found[often], n[often]
         for chunk in range(_CHUNKS_OF_HOT):
             mine = found % np.uint64(_CHUNKS_OF_HOT) == chunk
             if mine.any():
-                yield pa.record_batch([pa.array([_HOT_LINE], pa.int32()), pa.array([chunk], pa.int32()), pa.array([found[mine].tobytes()]), pa.array([n[mine].tobytes()])], names=_SKETCH_NAMES)
+                yield pa.record_batch([pa.array([_HOT_LINE], pa.int32()), pa.array([chunk], pa.int32()), pa.array([number]), pa.array([found[mine].tobytes()]), pa.array([n[mine].tobytes()])], names=_SKETCH_NAMES)
 
     def count(batches):
         held, n = [], 0
@@ -151,24 +154,39 @@ def repeated_cells(docs: DataFrame, text: str, window: int, bits: int) -> tuple[
         if n:
             yield from partial(np.concatenate(held))
 
-    def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        if key[0] == _HOT_LINE:
-            found, at = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in rows["once"]]), return_inverse=True)
-            n = np.bincount(at, weights=np.concatenate([np.frombuffer(x, np.int64) for x in rows["twice"]]))
-            return pd.DataFrame({"line": [key[0]], "chunk": [key[1]], "twice": [found[np.argsort(-n)[:HOT]].tobytes()]})
-        once = twice = None
-        for a, b in zip(rows["once"], rows["twice"]):
-            a, b = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (a, b))
-            twice = b if once is None else twice | b | (once & a)
-            once = a if once is None else once | a
-        return pd.DataFrame({"line": [key[0]], "chunk": [key[1]], "twice": [zlib.compress(twice.tobytes(), 1)]})
-
-    merged = docs.select(text).mapInArrow(count, "line int, chunk int, once binary, twice binary").groupBy("line", "chunk").applyInPandas(merge, "line int, chunk int, twice binary")
+    def merge(table: pa.Table) -> pa.Table:
+        line, chunk, salt = (table.column(c)[0].as_py() for c in ("line", "chunk", "salt"))
+        parts = zip(table.column("once").to_pylist(), table.column("twice").to_pylist())
+        if line == _HOT_LINE:
+            held = list(parts)
+            found, at = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x, _ in held]), return_inverse=True)
+            n = np.zeros(len(found), np.int64)
+            np.add.at(n, at, np.concatenate([np.frombuffer(x, np.int64) for _, x in held]))
+            most = np.argsort(-n, kind="stable")[: HOT if salt == 0 else 4 * HOT]
+            packed = found[most].tobytes(), n[most].tobytes()
+        else:
+            once = twice = None
+            for pair in parts:
+                a, b = (np.frombuffer(zlib.decompress(x), np.uint8) for x in pair)
+                twice = b if once is None else twice | b | (once & a)
+                once = a if once is None else once | a
+            packed = tuple(zlib.compress(x.tobytes(), 1) for x in (once, twice))
+        return pa.table({"line": pa.array([line], pa.int32()), "chunk": pa.array([chunk], pa.int32()), "part": pa.array([salt], pa.int64()), "once": [packed[0]], "twice": [packed[1]]})
+
+    columns = "line int, chunk int, part long, once binary, twice binary"
+    merged = docs.select(text).mapInArrow(count, columns)
+    # the sketches of some _FAN * _FANNED bytes of text meet at a time, so a task holds as much of a chunk whatever there is in all
+    parts = max(1, text_bytes // _FANNED)
+    while True:
+        parts = -(-parts // _FAN)
+        merged = merged.withColumn("salt", F.pmod("part", F.lit(parts)).cast("int")).groupBy("line", "chunk", "salt").applyInArrow(merge, columns)
+        if parts == 1:
+            break
     out = [np.zeros(1 << (bits - 3), np.uint8) for _ in _ROWS]
     hot = [np.empty(0, np.uint64)]
-    for r in merged.toLocalIterator():
+    for r in stored(merged).toLocalIterator():
         if r["line"] == _HOT_LINE:
-            hot.append(np.frombuffer(bytes(r["twice"]), np.uint64))
+            hot.append(np.frombuffer(bytes(r["once"]), np.uint64))
             continue
         out[r["line"]][(r["chunk"] * step) >> 3 : ((r["chunk"] + 1) * step) >> 3] = np.frombuffer(zlib.decompress(bytes(r["twice"])), np.uint8)
     return out, np.sort(np.concatenate(hot))
@@ -252,8 +270,9 @@ def _candidates(docs: DataFrame, window: int, bits: int, twice) -> DataFrame:
 
 def later_starts(docs: DataFrame, window: int, bits: int | None = None) -> DataFrame:
     """(__id, __tk, start, run): runs of starts of windows whose words start earlier elsewhere. docs has __id, __tk, __text."""
-    bits = bits or sketch_bits(docs.agg(F.sum(F.octet_length("__text"))).first()[0] or 0)
-    found = _candidates(docs, window, bits, repeated_cells(docs, "__text", window, bits))
+    size = docs.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
+    bits = bits or sketch_bits(size)
+    found = _candidates(docs, window, bits, repeated_cells(docs, "__text", window, bits, size))
     # a block sends a window once, so a key has at most as many rows as there are blocks (and rows that share an id);
     # the windows of a run stay together until they have met those of their minimizer
     each = found.repartition("gram").select("gram", "__id", "__tk", "at", F.posexplode_outer("windows").alias("k", "window"))
@@ -285,6 +304,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     key = F.xxhash64(text) if shared else F.lit(0).cast("long")
     base = docs.select(ident.alias("__id"), key.alias("__tk"), F.struct(*[F.col(f"`{c}`") for c in own]).alias("__row"))
     late = later_starts(base.select("__id", "__tk", F.col(f"__row.`{text}`").alias("__text")), window, bits)
+    if shared:  # rows of one id and text have the same starts: once is enough
+        late = late.distinct()
     gone = late.groupBy("__id", "__tk").agg(F.collect_list(F.struct("start", "run")).alias("__gone"))
     joined = base.join(gone, ["__id", "__tk"], "left").select("__gone", "__row")
     at = own.index(text) + 1

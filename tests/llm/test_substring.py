@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 import pytest
 from lexiweave.llm import substring
@@ -74,6 +75,25 @@ def test_shared_and_null_ids(docs):
     assert got == want
 
 
+def test_sketches_meet_in_steps(docs, monkeypatch):
+    """Whatever the steps, the merged sketch is the same."""
+    df = docs(passages()).repartition(7)
+    want, hot = substring.repeated_cells(df, "text", 20, 16)
+    monkeypatch.setattr(substring, "_FAN", 2)
+    got, hot2 = substring.repeated_cells(df, "text", 20, 16, 7 * substring._FANNED)
+    assert all((a == b).all() for a, b in zip(want, got)) and hot.tolist() == hot2.tolist()
+
+
+def test_many_rows_of_one_id_and_text(docs):
+    """20,000 copies without an id take work in proportion to their number."""
+    a = " ".join(words_of(1, 30))
+    rows = [(None, a)] * 20_000 + [(1, "x " + a)]
+    start = time.perf_counter()
+    got = substring.without_repeats(docs(rows)).groupBy("doc_id").agg(F.min("n_removed").alias("least"), F.max("n_removed").alias("most"), F.count("*").alias("n")).collect()
+    assert {(r["doc_id"], r["least"], r["most"], r["n"]) for r in got} == {(None, 30, 30, 20_000), (1, 0, 0, 1)}
+    assert time.perf_counter() - start < 40
+
+
 def test_no_documents(docs):
     assert substring.without_repeats(docs([])).count() == 0
 
