@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiweave.llm._spark import bounded_batches, drop_stored, stored, tidy
+from lexiweave.llm._spark import bounded_batches, drop_stored, stored
 from lexiweave.llm._text import LOWER, coded, pieces_of, split_words
 
 STATES = 16
@@ -39,8 +39,8 @@ ADDED = 0.1
 _RARE = OWN_LEAST.bit_length() - 1
 _UNKNOWN = _RARE
 _CLASSES = _RARE + 1
-#: Tokens that a task works on at once, and those whose states' probabilities it holds meanwhile.
-_TOKENS, _SEGMENT = 2 << 20, 1 << 18
+#: Tokens that a task works on at once, those whose states' probabilities it holds meanwhile, and those that it takes counts of.
+_TOKENS, _SEGMENT, _PART = 1 << 20, 1 << 20, 1 << 17
 _END = b""
 
 
@@ -278,59 +278,99 @@ class Model:
         """Start probabilities (K), transitions (K x K) and emissions (symbols x K)."""
         self.first, self.move, self.emit = first, move, emit
 
-    def _forward(self, lanes: Lanes, a: int, b: int, alpha: np.ndarray):
-        """The states' probabilities given the symbols so far at the times from a to b, and the symbols' own. alpha: those at time a - 1."""
-        at = lanes.offsets[a : b + 1].tolist()
-        emitted = self.emit[lanes.flat[at[0] : at[-1]]]
-        out, scale = np.empty_like(emitted), np.empty(len(emitted), emitted.dtype)
+    @property
+    def _every(self) -> int:
+        """Steps after which probabilities are scaled: a step may make them some 1e-9 of what they were."""
+        return 2 if self.emit.dtype == np.float32 else 16
+
+    def _forward(self, lanes: Lanes, a: int, b: int, alpha: np.ndarray, logs: np.ndarray | None = None):
+        """The states' scaled forward probabilities at the times from a to b, and the symbols' own, which add up to one. alpha: those at time a - 1.
+
+        Adds log10 of all that is divided by to logs, a number for each sequence.
+        """
+        at = (lanes.offsets[a : b + 1] - lanes.offsets[a]).tolist()
+        emitted = self.emit[lanes.flat[lanes.offsets[a] : lanes.offsets[b]]]
+        whole = emitted.sum(axis=1)
+        emitted /= whole[:, None]
+        out, every, move = np.empty_like(emitted), self._every, self.move
         for t in range(a, b):
-            i, j = at[t - a] - at[0], at[t - a + 1] - at[0]
-            row, total = out[i:j], scale[i:j]
-            np.multiply(alpha[: j - i] @ self.move if t else np.broadcast_to(self.first, row.shape), emitted[i:j], out=row)
-            np.sum(row, axis=1, out=total)
-            row /= total[:, None]
+            i, j = at[t - a], at[t - a + 1]
+            row = out[i:j]
+            if t:
+                np.matmul(alpha[: j - i], move, out=row)
+                row *= emitted[i:j]
+            else:
+                np.multiply(emitted[i:j], self.first, out=row)
+            if t % every == 0:
+                total = row.sum(axis=1)
+                row /= total[:, None]
+                if logs is not None:
+                    logs[: j - i] += np.log10(total)
             alpha = row
-        return out, scale, emitted
+        if logs is not None:
+            lane = np.arange(len(whole)) - np.repeat(lanes.offsets[a:b] - lanes.offsets[a], lanes.running[a:b])
+            logs += np.bincount(lane, weights=np.log10(whole), minlength=len(logs))
+        return out, emitted
 
     def likelihoods(self, flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """log10 probability of each of the sequences in flat."""
         lanes = Lanes(flat, lengths)
-        total, alpha = np.zeros(len(lengths)), np.empty((0, len(self.first)))
+        logs, alpha = np.zeros(len(lengths)), np.empty((0, len(self.first)))
         for a, b in lanes.segments():
-            states, scale, _ = self._forward(lanes, a, b, alpha)
-            lane = np.arange(len(scale)) - np.repeat(lanes.offsets[a:b] - lanes.offsets[a], lanes.running[a:b])
-            total += np.bincount(lane, weights=np.log10(scale), minlength=len(lengths))
+            states, _ = self._forward(lanes, a, b, alpha, logs)
+            # sequences that end here: what is left of their probability
+            ends = np.flatnonzero((lanes.lengths > a) & (lanes.lengths <= b))
+            logs[ends] += np.log10(states[lanes.offsets[lanes.lengths[ends] - 1] - lanes.offsets[a] + ends].sum(axis=1))
             alpha = states[lanes.offsets[b - 1] - lanes.offsets[a] :].copy()
         out = np.empty(len(lengths))
-        out[lanes.order] = total
+        out[lanes.order] = logs
         return out
 
     def expect(self, flat: np.ndarray, lengths: np.ndarray, first: np.ndarray, move: np.ndarray, emit: np.ndarray) -> None:
-        """Adds the expected counts over the sequences in flat. Alpha is kept at the segments' edges and made again within one, beta is carried from one to the one before."""
+        """Adds the expected counts over the sequences in flat.
+
+        Alpha is kept at the segments' edges and made again within one, beta is
+        carried from one to the one before. What a time's symbol and all after
+        it bring, times what the states before it predict, is the states'
+        probability, but for a factor that they add up to: so only the
+        recursions go step by step.
+        """
         k, lanes = len(self.first), Lanes(flat, lengths)
-        segments = lanes.segments()
+        segments, every, back_move = lanes.segments(), self._every, np.ascontiguousarray(self.move.T)
         edges = [np.empty((0, k), self.emit.dtype)]
         for a, b in segments[:-1]:
             edges.append(self._forward(lanes, a, b, edges[-1])[0][lanes.offsets[b - 1] - lanes.offsets[a] :].copy())
         beta, back, onward = np.ones((len(lengths), k), self.emit.dtype), np.zeros((k, k)), None
         for a, b in reversed(segments):
-            alpha, scale, emitted = self._forward(lanes, a, b, edges.pop())
-            emitted /= scale[:, None]
+            edge = edges.pop()
+            alpha, onwards = self._forward(lanes, a, b, edge)
             at = (lanes.offsets[a : b + 1] - lanes.offsets[a]).tolist()
             for t in range(b - 1, a - 1, -1):
-                i, j = at[t - a], at[t - a + 1]
-                row = alpha[i:j]
                 if onward is not None:  # sequences that go on; for those that end here beta is still one
-                    m = len(onward)
-                    back += row[:m].T @ onward
-                    np.matmul(onward, self.move.T, out=beta[:m])
-                onward = emitted[i:j] * beta[: j - i]
-                row *= beta[: j - i]  # from here on, the states' probabilities
+                    np.matmul(onward, back_move, out=beta[: len(onward)])
+                    if t % every == 0:
+                        beta[: len(onward)] /= beta[: len(onward)].sum(axis=1)[:, None]
+                onward = onwards[at[t - a] : at[t - a + 1]]
+                onward *= beta[: len(onward)]
+            onward = onward.copy()
+            before = np.arange(at[1], at[-1]) - np.repeat(lanes.running[a : b - 1], lanes.running[a + 1 : b])
+            for i in range(0, at[-1], _PART):
+                j = min(at[-1], i + _PART)
+                x = onwards[i:j]
+                opening = np.broadcast_to(edge[: at[1]] if a else np.zeros((1, k), x.dtype), (at[1], k))[i:j]
+                states = np.concatenate([opening, alpha[before[max(0, i - at[1]) : max(0, j - at[1])]]])
+                both = states @ self.move
+                if not a:
+                    both[: len(opening)] = self.first
+                both *= x
+                total = both.sum(axis=1)[:, None]
+                back += states.T @ (x / total)
+                np.divide(both, total, out=x)  # from here on, the states' probabilities
             symbols = lanes.flat[lanes.offsets[a] : lanes.offsets[b]]
             for s in range(k):
-                emit[:, s] += np.bincount(symbols, weights=alpha[:, s], minlength=len(emit))
+                emit[:, s] += np.bincount(symbols, weights=onwards[:, s], minlength=len(emit))
             if not a:
-                first += alpha[: at[1]].sum(axis=0)
+                first += onwards[: at[1]].sum(axis=0)
         move += back * self.move
 
 
@@ -537,12 +577,8 @@ class Trainer:
                 return pa.Table.from_batches(every)
 
             parts = self._tables(model, self.learnt.select("block", "syms")).applyInArrow(run_joined, self.schema)
-        summed = parts.groupBy("key").agg(*[F.sum(n).alias(n) for n in names])
-        if self.joined:
-            summed = stored(summed)
-        some = (summed.where(F.col("key") < _CLASSES) if self.joined else summed).select("key", *[F.col(n).cast("float" if not self.joined else "double") for n in names])
-        with tidy(self.own.sparkSession):
-            few = some.toArrow()
+        summed = stored(parts.groupBy("key").agg(*[F.sum(n).cast("float").alias(n) for n in names]))
+        few = (summed.where(F.col("key") < _CLASSES) if self.joined else summed).select("key", *names).toArrow()
         keys, values = few.column("key").to_numpy(), np.stack([few.column(n).to_numpy() for n in names], axis=1).astype(np.float64)
         first, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((_CLASSES if self.joined else size, k))
         first += values[keys == -1].sum(axis=0)
@@ -550,6 +586,7 @@ class Trainer:
         move[-2 - keys[moves]] = values[moves]
         emit[keys[keys >= 0]] = values[keys >= 0]
         if not self.joined:
+            drop_stored(summed)
             return self._made(first, move, emit[:_CLASSES], emit[_CLASSES:])
         own = self.own.join(summed.withColumnRenamed("key", "sym"), "sym", "left").select("sym", "n", *[F.coalesce(n, F.lit(0.0)).alias(n) for n in names])
         out = self._made(first, move, emit, own)
