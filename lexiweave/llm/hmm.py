@@ -439,16 +439,67 @@ def local(flat: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return symbols, place[flat]
 
 
-def _sums(states: int, most: int = 1 << 14):
-    """Schema and batches of sums: first is row -1, move rows from -2 down, and symbols' emissions."""
-    names = [f"s{i}" for i in range(states)]
+#: Symbols of a bucket of sums.
+_BUCKET = 1 << 13
+_SUMS = "bucket long, sums binary"
 
-    def rows(first, move, symbols, emit):
-        keys, values = np.concatenate([[-1], -2 - np.arange(states), symbols]), np.concatenate([first[None], move, emit]).astype(np.float32)
-        for i in range(0, len(keys), most):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + most]), *[pa.array(values[i : i + most, s].copy()) for s in range(states)]], names=["key", *names])
 
-    return names, "key long, " + ", ".join(f"{n} float" for n in names), rows
+def _packed(first: np.ndarray, move: np.ndarray, symbols: np.ndarray, emit: np.ndarray):
+    """Sums of a task by bucket of symbols; symbols rise. Bucket -1 has the starts, moves and classes as they are.
+
+    Another has, for each symbol, its place, its sum over the states, and the
+    states' shares of that in steps of 1 / 65,535, their high bytes first.
+    """
+    states, rare = len(first), np.zeros((_CLASSES, len(first)))
+    few = int(np.searchsorted(symbols, _CLASSES))
+    rare[symbols[:few]] = emit[:few]
+    yield -1, np.concatenate([first[None], move, rare]).tobytes()
+    total = emit.sum(axis=1)
+    at = few + np.flatnonzero(total[few:] > 0)
+    buckets = symbols[at].astype(np.int64) // _BUCKET
+    cuts = [0, *(np.flatnonzero(np.diff(buckets)) + 1).tolist(), len(at)]
+    for i, j in zip(cuts, cuts[1:]):
+        if i < j:
+            here = at[i:j]
+            shares = np.rint(emit[here] * (65_535 / total[here])[:, None]).astype(">u2")
+            places = (symbols[here] - buckets[i] * _BUCKET).astype("<u2")
+            yield int(buckets[i]), places.tobytes() + total[here].astype("<f4").tobytes() + shares.view(np.uint8).reshape(-1, states, 2).transpose(2, 0, 1).tobytes()
+
+
+def _unpacked(sums: bytes, states: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the bucket, and sums by state."""
+    n = len(sums) // (6 + 2 * states)
+    planes = np.frombuffer(sums, np.uint8, offset=6 * n).reshape(2, n, states)
+    shares = planes[0] * 256.0 + planes[1]
+    total = np.frombuffer(sums, "<f4", n, 2 * n)
+    return np.frombuffer(sums, "<u2", n), shares * (total / shares.sum(axis=1))[:, None]
+
+
+def _batches(packed):
+    for bucket, sums in packed:
+        yield pa.record_batch([pa.array([bucket], pa.int64()), pa.array([sums], pa.binary())], names=["bucket", "sums"])
+
+
+def _added(states: int, names: list[str]):
+    """Adds up the sums of a partition's buckets: (key, s0..), a key being a symbol, -1 for the starts, and from -2 down for the moves."""
+
+    def run(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for bucket, sums in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if bucket < 0:
+                    held[bucket] = held.get(bucket, 0) + np.frombuffer(sums).reshape(-1, states)
+                    continue
+                places, values = _unpacked(sums, states)
+                if bucket not in held:
+                    held[bucket] = np.zeros((_BUCKET, states))
+                held[bucket][places] += values
+        for bucket, values in held.items():
+            keys = bucket * _BUCKET + np.arange(_BUCKET) if bucket >= 0 else np.concatenate([-1 - np.arange(states + 1), np.arange(_CLASSES)])
+            some = np.flatnonzero(values.any(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[some]), *[pa.array(values[some, s].astype(np.float32)) for s in range(states)]], names=["key", *names])
+
+    return run
 
 
 class Trainer:
@@ -458,7 +509,8 @@ class Trainer:
         self.encoded, self.learnt, self.own, self.vocabulary, self.states = encoded, encoded.where("not held"), own, vocabulary, states
         self.joined = vocabulary.own > most
         self.context = encoded.sparkSession.sparkContext
-        self.names, self.schema, self.rows = _sums(states)
+        self.names = [f"s{i}" for i in range(states)]
+        self.summed = "key long, " + ", ".join(f"{n} float" for n in self.names)
         if self.joined:
             self.pairs = stored(encoded.select("block", "syms").mapInArrow(self._own_of, "block long, sym long").distinct())
         else:
@@ -546,7 +598,7 @@ class Trainer:
 
     def improved(self, model: Model) -> Model:
         """One pass over all training texts."""
-        k, size, rows, names = self.states, self.vocabulary.size, self.rows, self.names
+        k, size, names = self.states, self.vocabulary.size, self.names
         shared = self._shared(model, np.float32)
         if not self.joined:
 
@@ -559,9 +611,9 @@ class Trainer:
                     Model(whole.first, whole.move, whole.emit[symbols]).expect(places, lengths, first, move, mine)
                     emit[symbols] += mine
                 at = np.flatnonzero(emit.any(axis=1))
-                yield from rows(first, move, at, emit[at])
+                yield from _batches(_packed(first, move, at, emit[at]))
 
-            parts = self.learnt.select("syms").mapInArrow(run, self.schema)
+            parts = self.learnt.select("syms").mapInArrow(run, _SUMS)
         else:
             met = self._met
 
@@ -572,12 +624,12 @@ class Trainer:
                     emit = np.zeros((len(symbols), k))
                     mine.emit = mine.emit.astype(np.float32)
                     mine.expect(places, lengths, first, move, emit)
-                    every += rows(np.zeros(k), np.zeros((k, k)), symbols, emit)
-                every += rows(first, move, np.empty(0, np.int64), np.empty((0, k)))
+                    every += _batches(_packed(np.zeros(k), np.zeros((k, k)), symbols, emit))
+                every += _batches(_packed(first, move, np.empty(0, np.int64), np.empty((0, k))))
                 return pa.Table.from_batches(every)
 
-            parts = self._tables(model, self.learnt.select("block", "syms")).applyInArrow(run_joined, self.schema)
-        summed = stored(parts.groupBy("key").agg(*[F.sum(n).cast("float").alias(n) for n in names]))
+            parts = self._tables(model, self.learnt.select("block", "syms")).applyInArrow(run_joined, _SUMS)
+        summed = stored(parts.repartition("bucket").mapInArrow(_added(k, names), self.summed))
         few = (summed.where(F.col("key") < _CLASSES) if self.joined else summed).select("key", *names).toArrow()
         keys, values = few.column("key").to_numpy(), np.stack([few.column(n).to_numpy() for n in names], axis=1).astype(np.float64)
         first, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((_CLASSES if self.joined else size, k))

@@ -159,6 +159,20 @@ def test_one_state_is_a_distribution(docs):
         assert abs(sum(model.emit[k, s] * 10**x for k, x in zip(symbols, share)) - 1) < 1e-9
 
 
+def test_sums_travel_packed():
+    g = np.random.default_rng(4)
+    symbols = np.unique(np.concatenate([np.arange(3), g.integers(0, 5 * hmm._BUCKET, 3000)]))
+    emit = g.random((len(symbols), 3)) ** 4 * 10.0 ** g.integers(-3, 6, (len(symbols), 1))
+    first, move = g.random(3), g.random((3, 3))
+    names = ["s0", "s1", "s2"]
+    rows = [r for b in hmm._added(3, names)(iter([*hmm._batches(hmm._packed(first, move, symbols, emit)), *hmm._batches(hmm._packed(first, move, symbols[5:], emit[5:]))])) for r in b.to_pylist()]
+    got = {r["key"]: np.array([r[n] for n in names]) for r in rows}
+    assert np.allclose(got[-1], 2 * first) and all(np.allclose(got[-2 - i], 2 * move[i]) for i in range(3))
+    for i, (symbol, row) in enumerate(zip(symbols, emit)):
+        want = row * (1 if i < 5 else 2)
+        assert np.abs(got[symbol] - want).max() <= 2e-5 * want.sum() and got[symbol].sum() == pytest.approx(want.sum(), rel=1e-6)
+
+
 def test_neighbours_count_pairs_within_texts(spark):
     texts = [[4, 5, 4, 0, 4], [5, 5], [4]]
     df = spark.createDataFrame([(bytearray(np.array(t, np.uint32).tobytes()),) for t in texts], "syms binary").repartition(2)
