@@ -10,9 +10,12 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiweave.llm._text import pieces_of
+
 _FOLDERS: dict[str, str] = {}
 
 
@@ -98,6 +101,16 @@ def drop_stored(*dfs: DataFrame) -> None:
             files.delete(p, True)
 
 
+def numbered(batches, column: int, size: int):
+    """Pieces of a task's batches, each with the number of its block: pieces of about `size` bytes together make one, in no other task."""
+    block, held = TaskContext.get().partitionId() << 32, 0
+    for batch in pieces_of(batches, column):
+        if held > size:
+            block, held = block + 1, 0
+        held += batch.column(column).nbytes
+        yield block, batch
+
+
 def by_place(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """docs with columns named by place, so that no added column clashes, and those names by column."""
     names = {c: f"__c{i}" for i, c in enumerate(docs.columns)}

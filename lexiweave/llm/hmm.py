@@ -14,11 +14,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiweave.llm._spark import bounded_batches, drop_stored, stored
+from lexiweave.llm._spark import bounded_batches, drop_stored, numbered, stored
 from lexiweave.llm._text import LOWER, coded, pieces_of, split_words
 
 STATES = 16
@@ -171,16 +170,6 @@ _ENCODED = "id {0}, held boolean, block long, syms binary, n_tokens long, n_know
 _NAMES = ["id", "held", "block", "syms", "n_tokens", "n_known", "base", "share"]
 
 
-def _numbered(batches, column: int):
-    """Pieces of batches, with a number for those that make a block."""
-    block, size = TaskContext.get().partitionId() << 32, 0
-    for batch in pieces_of(batches, column):
-        if size > BLOCK:
-            block, size = block + 1, 0
-        size += batch.column(column).nbytes
-        yield block, batch
-
-
 def _hashed(batches):
     for batch in batches:
         yield pa.RecordBatch.from_arrays([pa.array(_hashes(batch.column(0).to_pylist()).view(np.int64)), *batch.columns[1:]], names=["h", *batch.schema.names[1:]])
@@ -205,14 +194,14 @@ def _encoded(docs: DataFrame, counts: DataFrame, own: DataFrame, vocabulary: Voc
         del rare, mine, h, order
 
         def run(batches):
-            for block, batch in _numbered(batches, 2):
+            for block, batch in numbered(batches, 2, BLOCK):
                 numbers = pa.array(np.full(batch.num_rows, block))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:2], numbers, *_encode(shared.value, batch.column(2), lambda words: table.value(_hashes(words)))], names=_NAMES)
 
         return stored(docs.mapInArrow(run, _ENCODED.format(kind)))
 
     def dealt(batches):
-        for block, batch in _numbered(batches, 2):
+        for block, batch in numbered(batches, 2, BLOCK):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, block))], names=["id", "held", "text", "block"])
 
     def words_of(batches):
@@ -439,31 +428,33 @@ def local(flat: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return symbols, place[flat]
 
 
-#: Symbols of a bucket of sums.
-_BUCKET = 1 << 13
+#: Words of a bucket of sums: every so manieth of them, so that frequent and rare ones are in all.
+_BUCKET = 1 << 12
 _SUMS = "bucket long, sums binary"
 
 
-def _packed(first: np.ndarray, move: np.ndarray, symbols: np.ndarray, emit: np.ndarray):
-    """Sums of a task by bucket of symbols; symbols rise. Bucket -1 has the starts, moves and classes as they are.
+def _packed(first: np.ndarray, move: np.ndarray, symbols: np.ndarray, emit: np.ndarray, buckets: int):
+    """Sums of a task by bucket of words. Bucket -1 has the starts, moves and classes as they are.
 
-    Another has, for each symbol, its place, its sum over the states, and the
+    Another has, for each word, its place, its sum over the states, and the
     states' shares of that in steps of 1 / 65,535, their high bytes first.
     """
     states, rare = len(first), np.zeros((_CLASSES, len(first)))
-    few = int(np.searchsorted(symbols, _CLASSES))
-    rare[symbols[:few]] = emit[:few]
+    few = symbols < _CLASSES
+    rare[symbols[few]] = emit[few]
     yield -1, np.concatenate([first[None], move, rare]).tobytes()
     total = emit.sum(axis=1)
-    at = few + np.flatnonzero(total[few:] > 0)
-    buckets = symbols[at].astype(np.int64) // _BUCKET
-    cuts = [0, *(np.flatnonzero(np.diff(buckets)) + 1).tolist(), len(at)]
+    at = np.flatnonzero(~few & (total > 0))
+    word = symbols[at].astype(np.int64) - _CLASSES
+    bucket = word % buckets
+    order = np.argsort(bucket, kind="stable")
+    at, place, bucket = at[order], (word // buckets)[order].astype("<u2"), bucket[order]
+    cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(at)]
     for i, j in zip(cuts, cuts[1:]):
         if i < j:
             here = at[i:j]
             shares = np.rint(emit[here] * (65_535 / total[here])[:, None]).astype(">u2")
-            places = (symbols[here] - buckets[i] * _BUCKET).astype("<u2")
-            yield int(buckets[i]), places.tobytes() + total[here].astype("<f4").tobytes() + shares.view(np.uint8).reshape(-1, states, 2).transpose(2, 0, 1).tobytes()
+            yield int(bucket[i]), place[i:j].tobytes() + total[here].astype("<f4").tobytes() + shares.view(np.uint8).reshape(-1, states, 2).transpose(2, 0, 1).tobytes()
 
 
 def _unpacked(sums: bytes, states: int) -> tuple[np.ndarray, np.ndarray]:
@@ -480,7 +471,7 @@ def _batches(packed):
         yield pa.record_batch([pa.array([bucket], pa.int64()), pa.array([sums], pa.binary())], names=["bucket", "sums"])
 
 
-def _added(states: int, names: list[str]):
+def _added(states: int, names: list[str], buckets: int):
     """Adds up the sums of a partition's buckets: (key, s0..), a key being a symbol, -1 for the starts, and from -2 down for the moves."""
 
     def run(batches):
@@ -492,10 +483,10 @@ def _added(states: int, names: list[str]):
                     continue
                 places, values = _unpacked(sums, states)
                 if bucket not in held:
-                    held[bucket] = np.zeros((_BUCKET, states))
+                    held[bucket] = np.zeros((_BUCKET + 1, states))
                 held[bucket][places] += values
         for bucket, values in held.items():
-            keys = bucket * _BUCKET + np.arange(_BUCKET) if bucket >= 0 else np.concatenate([-1 - np.arange(states + 1), np.arange(_CLASSES)])
+            keys = _CLASSES + bucket + buckets * np.arange(len(values)) if bucket >= 0 else np.concatenate([-1 - np.arange(states + 1), np.arange(_CLASSES)])
             some = np.flatnonzero(values.any(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(keys[some]), *[pa.array(values[some, s].astype(np.float32)) for s in range(states)]], names=["key", *names])
 
@@ -599,6 +590,7 @@ class Trainer:
     def improved(self, model: Model) -> Model:
         """One pass over all training texts."""
         k, size, names = self.states, self.vocabulary.size, self.names
+        buckets = max(1, -(-self.vocabulary.own // _BUCKET))
         shared = self._shared(model, np.float32)
         if not self.joined:
 
@@ -611,7 +603,7 @@ class Trainer:
                     Model(whole.first, whole.move, whole.emit[symbols]).expect(places, lengths, first, move, mine)
                     emit[symbols] += mine
                 at = np.flatnonzero(emit.any(axis=1))
-                yield from _batches(_packed(first, move, at, emit[at]))
+                yield from _batches(_packed(first, move, at, emit[at], buckets))
 
             parts = self.learnt.select("syms").mapInArrow(run, _SUMS)
         else:
@@ -624,12 +616,12 @@ class Trainer:
                     emit = np.zeros((len(symbols), k))
                     mine.emit = mine.emit.astype(np.float32)
                     mine.expect(places, lengths, first, move, emit)
-                    every += _batches(_packed(np.zeros(k), np.zeros((k, k)), symbols, emit))
-                every += _batches(_packed(first, move, np.empty(0, np.int64), np.empty((0, k))))
+                    every += _batches(_packed(np.zeros(k), np.zeros((k, k)), symbols, emit, buckets))
+                every += _batches(_packed(first, move, np.empty(0, np.int64), np.empty((0, k)), buckets))
                 return pa.Table.from_batches(every)
 
             parts = self._tables(model, self.learnt.select("block", "syms")).applyInArrow(run_joined, _SUMS)
-        summed = stored(parts.repartition("bucket").mapInArrow(_added(k, names), self.summed))
+        summed = stored(parts.repartition("bucket").mapInArrow(_added(k, names, buckets), self.summed))
         few = (summed.where(F.col("key") < _CLASSES) if self.joined else summed).select("key", *names).toArrow()
         keys, values = few.column("key").to_numpy(), np.stack([few.column(n).to_numpy() for n in names], axis=1).astype(np.float64)
         first, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((_CLASSES if self.joined else size, k))

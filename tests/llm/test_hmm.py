@@ -165,7 +165,8 @@ def test_sums_travel_packed():
     emit = g.random((len(symbols), 3)) ** 4 * 10.0 ** g.integers(-3, 6, (len(symbols), 1))
     first, move = g.random(3), g.random((3, 3))
     names = ["s0", "s1", "s2"]
-    rows = [r for b in hmm._added(3, names)(iter([*hmm._batches(hmm._packed(first, move, symbols, emit)), *hmm._batches(hmm._packed(first, move, symbols[5:], emit[5:]))])) for r in b.to_pylist()]
+    sums = [*hmm._batches(hmm._packed(first, move, symbols, emit, 5)), *hmm._batches(hmm._packed(first, move, symbols[5:], emit[5:], 5))]
+    rows = [r for b in hmm._added(3, names, 5)(iter(sums)) for r in b.to_pylist()]
     got = {r["key"]: np.array([r[n] for n in names]) for r in rows}
     assert np.allclose(got[-1], 2 * first) and all(np.allclose(got[-2 - i], 2 * move[i]) for i in range(3))
     for i, (symbol, row) in enumerate(zip(symbols, emit)):
