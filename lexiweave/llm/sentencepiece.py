@@ -2,18 +2,21 @@
 
 A text is cut into units that no piece reaches across. The distinct units make a
 lattice: their substrings of bounded length, joined with the piece table, and
-grouped by unit. A fold over each unit's edges, best piece first and leftmost
-first among equals, joins two neighbours wherever an edge spans exactly the two:
-that is the order in which the vocabulary (of byte-pair kind) merges. The result
-is a bit for each boundary that is left.
-
-A best path by the pieces' scores would be another segmentation than the
-vocabulary's own, so the fold isn't a Viterbi one; see the README.
+grouped by unit. A Viterbi fold over each unit's edges, in the order of their
+ends, keeps the best path to every place; the path is then read backwards. The
+best path has the largest sum of the pieces' scores; among equals the last
+piece is the longest. A character without a piece counts as a piece whose score
+is 10 less than the least.
+
+The vocabulary at hand is of byte-pair kind: its scores are the order of its
+merges, and its own library joins neighbours in that order, which often is
+another segmentation. With order="merges" that one is made instead.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -22,23 +25,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexiweave.llm._spark import bounded_batches, stored
+from lexiweave.llm._spark import bounded_batches, drop_stored, numbered, stored
 from lexiweave.llm._text import pieces_of
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Most characters of a unit in the lattice: its boundaries are bits of a long. Longer ones are folded where they occur.
-MASKED = 62
-#: Units up to which the folded lattice is broadcast (16 bytes each); beyond that, texts meet their units in a join.
+#: Characters of a chunk of a unit: the lattice and the fold take a longer unit chunk by chunk. An end in it has 6 bits.
+CHUNK = 63
+#: Units up to which their ids are broadcast (18 bytes each and more for long ones); beyond that, blocks of texts meet their units in a join.
 BROADCAST_UNITS = 8_000_000
 #: Substrings longer than this are made only where some piece begins with their first so many characters.
 PREFIX = 4
+#: Bytes of text in a block: the larger it is, the fewer times a unit is sent.
+BLOCK = 32 << 20
 #: Seed of the units' 64-bit hash.
 SEED = 42
 #: Bytes of text that a task cuts up at a time.
 _SLICE = 1 << 20
 #: Distinct units that a task holds.
 _KNOWN = 250_000
+#: Bits of an edge, from the lowest: what it stands for, its cost, its size; then its end in the chunk. Of a place in the fold: what, size; then the cost.
+_WHAT, _COST, _SIZE = 21, 30, 6
 _CACHE: dict = {}
 
 
@@ -56,6 +63,17 @@ class Vocabulary:
         self.unknown = source.unk_id()
         self.order = {p: k for k, p in enumerate(sorted(self.ids, key=lambda p: (-source.get_score(self.ids[p]), self.ids[p])))}
         self.longest = max(map(len, self.ids))
+        score = {p: source.get_score(i) for p, i in self.ids.items()}
+        most, least = max(score.values()), min(score.values())
+        #: what pieces cost: how far their scores are from the best, in thousandths (or as fine as fits) unless all are whole numbers
+        self.scale = 1 if all(x == int(x) for x in score.values()) else min(1000, ((1 << _COST) - 1) / (max(abs(most), 1) + most - least + 10))
+        self.cost = {p: round((most - x) * self.scale) for p, x in score.items()}
+        # a path of more pieces has more of what is left out of the costs: it is put back here
+        self.each = round(-most * self.scale)
+        self.unknown_cost = round((most - least + 10) * self.scale)
+        self.size = size
+        if self.unknown_cost + self.each >= 1 << _COST or self.longest > CHUNK or size + 0x110000 > 1 << _WHAT:
+            raise ValueError(f"{model} doesn't fit: scores {least} to {most}, pieces of {self.longest} characters, {size} ids")
         # what each id decodes to
         self.surface = [b""] * size
         for p, i in self.ids.items():
@@ -99,7 +117,7 @@ class Vocabulary:
         return sorted((order[s], i, j) for i in range(n) for j in range(i + 2, min(n, i + longest) + 1) if (s := unit[i:j]) in order)
 
     def fold(self, unit: str) -> list[str]:
-        """The pieces of a unit of any length, by the same fold."""
+        """The pieces of a unit of any length, by merging: the best piece first, and leftmost first among equals, joins two neighbours that it spans."""
         n = len(unit)
         after, before, stands = list(range(1, n + 2)), list(range(-1, n)), [True] * (n + 1)
         for _, i, j in self.edges(unit):
@@ -110,17 +128,6 @@ class Vocabulary:
         cuts = [k for k in range(n + 1) if stands[k]]
         return [unit[a:b] for a, b in zip(cuts, cuts[1:])]
 
-    def masked(self, unit: str, mask: int) -> list[str]:
-        """The pieces of a unit with a boundary before each character whose bit is set."""
-        out, a = [], 0
-        mask >>= 1
-        while mask:
-            step = (mask & -mask).bit_length()
-            out.append(unit[a : a + step])
-            a += step
-            mask >>= step
-        return out
-
     def ids_of(self, pieces: list[str]) -> list[int]:
         """Ids; a character without a piece becomes its bytes, or the unknown."""
         found = [self.ids.get(p) for p in pieces]
@@ -136,6 +143,12 @@ class Vocabulary:
                 out.append(self.unknown)
         return out
 
+    def spelled(self, what: int) -> list[int]:
+        """Ids of what a place of the fold stands for: a piece, or a character without one."""
+        if what < self.size:
+            return [what]
+        return [self.bytes[b] for b in chr(what - self.size).encode()] if self.bytes else [self.unknown]
+
     def decode(self, ids) -> str:
         """Text of ids: pieces joined, the opening space dropped. Bytes that aren't UTF-8 become U+FFFD."""
         out = b"".join(self.surface[i] for i in ids)
@@ -148,33 +161,64 @@ def vocabulary(model: str) -> Vocabulary:
     return _CACHE[model]
 
 
-def distinct_units(texts: DataFrame, model: str) -> DataFrame:
-    """The distinct units (column unit) of a column of texts, those too long for the lattice left out."""
+_UNITS = "unit string, chunk int, h long, h2 long, n int"
+
+
+def _identity(unit: str) -> tuple[int, int]:
+    """The unit's hashes, the first as a signed long."""
+    data = unit.encode()
+    h = xxhash.xxh64_intdigest(data, SEED)
+    return h - (1 << 64) if h >> 63 else h, zlib.crc32(data)
+
+
+def chunks(unit: str, longest: int) -> list[tuple]:
+    """Rows of _UNITS of a unit: itself, or its chunks, each with the characters before it that its pieces may begin at."""
+    if len(unit) <= CHUNK:
+        return [(unit, 0, None, None, None)]
+    h, h2 = _identity(unit)
+    return [(unit[max(0, k * CHUNK - longest) : (k + 1) * CHUNK], k, h, h2, len(unit)) for k in range(-(-len(unit) // CHUNK))]
+
+
+def distinct_units(texts: DataFrame, model: str, whole: bool = False) -> DataFrame:
+    """The distinct units of a column of texts, long ones in chunks (_UNITS) unless they are wanted whole (column unit)."""
 
     def run(batches):
-        words, held = vocabulary(model), set()
+        words, held, size = vocabulary(model), set(), 0
 
         def flush():
             units = list(held)
             held.clear()
             for i in range(0, len(units), 1 << 16):
-                yield pa.record_batch([pa.array(units[i : i + (1 << 16)], pa.string())], names=["unit"])
-
+                some = units[i : i + (1 << 16)]
+                short = some if whole else [u for u in some if len(u) <= CHUNK]
+                if whole:
+                    yield pa.record_batch([pa.array(short, pa.string())], names=["unit"])
+                    continue
+                none = pa.nulls(len(short), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(short, pa.string()), pa.array(np.zeros(len(short), np.int32)), none, none, pa.nulls(len(short), pa.int32())], names=names)
+                for u in some:
+                    if len(u) > CHUNK:
+                        rows = list(zip(*chunks(u, words.longest)))
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int32()))], names=names)
+
+        names = ["unit", "chunk", "h", "h2", "n"]
         for batch in pieces_of(batches, 0, _SLICE):
             for x in batch.column(0).to_pylist():
-                held.update(words.units(x or ""))
-            if len(held) > 2 * _KNOWN:
+                units = words.units(x or "")
+                held.update(units)
+            size += batch.column(0).nbytes
+            if len(held) > 2 * _KNOWN or size > 64 * _SLICE:
                 yield from flush()
+                size = 0
         yield from flush()
 
-    return texts.mapInArrow(run, "unit string").where(F.length("unit") <= MASKED).distinct()
+    return texts.mapInArrow(run, "unit string" if whole else _UNITS).distinct()
 
 
 def lattice(units: DataFrame, words: Vocabulary) -> DataFrame:
-    """(h, h2, mask) of distinct units of 2 to MASKED characters with an edge: bit k of the mask is set if a piece begins, or the unit ends, at character k.
+    """(h, h2, n, edges) of each chunk of the distinct units (_UNITS), and its number: all pieces that end in it, packed, in the order of their ends and then sizes.
 
-    h and h2 are hashes of the unit. An edge is packed as its place in the merge
-    order, start and size, so that packed edges sort in merge order.
+    Each place has an edge of size 1, be it that of a character without a piece.
     """
     spark = units.sparkSession
     starts: dict[str, int] = {}  # the longest piece by its first PREFIX characters
@@ -182,64 +226,159 @@ def lattice(units: DataFrame, words: Vocabulary) -> DataFrame:
         if len(p) >= PREFIX:
             starts[p[:PREFIX]] = max(starts.get(p[:PREFIX], 0), len(p))
     reach = spark.createDataFrame(list(starts.items()), "prefix string, reach int")
-    table = spark.createDataFrame([(p, k) for p, k in words.order.items() if len(p) > 1], "piece string, place long").withColumn("key", F.xxhash64("piece"))
+    pieces = [(p, (words.cost[p] + words.each << _WHAT) | i) for p, i in words.ids.items()]
+    table = spark.createDataFrame(pieces, "piece string, worth long").withColumn("key", F.xxhash64("piece"))
     spans = (
-        units.select("unit", F.xxhash64("unit").alias("h"), F.hash("unit").alias("h2"), F.length("unit").alias("n")).where("n > 1")
+        units.select("unit", "chunk", F.coalesce("h", F.xxhash64("unit")).alias("h"), F.coalesce("h2", F.crc32(F.col("unit").cast("binary"))).alias("h2"), F.coalesce("n", F.length("unit")).alias("n"))
         .repartition("h", "h2")
-        .withColumn("i", F.explode(F.expr("sequence(0, n - 2)")))
+        .withColumn("lead", F.least(F.lit(words.longest), F.col("chunk") * CHUNK)).withColumn("m", F.length("unit"))
+        .withColumn("i", F.explode(F.expr("sequence(0, m - 1)")))
         .withColumn("prefix", F.expr(f"substring(unit, i + 1, {PREFIX})")).join(F.broadcast(reach), "prefix", "left")
-        .withColumn("size", F.explode(F.sequence(F.lit(2), F.least(F.greatest(F.coalesce("reach", F.lit(0)), F.lit(PREFIX - 1)), F.expr("n - i")))))
-        .select("h", "h2", "n", "i", "size", F.expr("substring(unit, i + 1, size)").alias("part"))
+        .withColumn("size", F.explode(F.sequence(F.lit(1), F.least(F.greatest(F.coalesce("reach", F.lit(0)), F.lit(PREFIX - 1)), F.expr("m - i")))))
+        .where("i + size > lead")
+        .select("h", "h2", "n", "chunk", (F.col("i") + F.col("size") - F.col("lead")).alias("end"), "size", F.expr("substring(unit, i + 1, size)").alias("part"))
         .withColumn("key", F.xxhash64("part"))
     )
     # a long key makes the smaller hash table; the pieces themselves are compared as well
-    edges = spans.join(F.broadcast(table), ["key"]).where("part = piece").select("h", "h2", "n", F.expr("(shiftleft(place, 12) | shiftleft(i, 6)) | size").alias("edge"))
-    grouped = edges.groupBy("h", "h2", "n").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
-    # ends: the boundaries at both ends of the edge; inner: those between
-    step = """aggregate(edges, shiftleft(1L, n + 1) - 1L, (mask, e) ->
-        if((mask & (shiftleft(1L, cast(shiftright(e, 6) & 63 as int)) | shiftleft(1L, cast((shiftright(e, 6) & 63) + (e & 63) as int))))
-             = (shiftleft(1L, cast(shiftright(e, 6) & 63 as int)) | shiftleft(1L, cast((shiftright(e, 6) & 63) + (e & 63) as int)))
-           and bit_count(mask & shiftleft(shiftleft(1L, cast(e & 63 as int) - 1) - 1L, cast(shiftright(e, 6) & 63 as int) + 1)) = 1,
-           mask & ~shiftleft(shiftleft(1L, cast(e & 63 as int) - 1) - 1L, cast(shiftright(e, 6) & 63 as int) + 1),
-           mask))"""
-    return grouped.select("h", "h2", F.expr(step).alias("mask"))
+    met = spans.join(F.broadcast(table), ["key"], "left").withColumn("hit", F.coalesce(F.col("part") == F.col("piece"), F.lit(False))).where("hit or size = 1")
+    foreign = F.lit(words.unknown_cost + words.each << _WHAT) + words.size + F.ascii("part")
+    worth = F.when(F.col("hit"), F.col("worth")).otherwise(foreign)
+    edge = F.shiftleft(F.col("end").cast("long"), _WHAT + _COST + _SIZE).bitwiseOR(F.shiftleft(F.col("size").cast("long"), _WHAT + _COST)).bitwiseOR(worth)
+    return met.groupBy("h", "h2", "n", "chunk").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+
+
+def best_paths(edges: DataFrame, words: Vocabulary) -> DataFrame:
+    """(h, h2, places) of the lattice's units: for the end of each character the last piece of the best path there, as what it stands for and its size.
+
+    The fold's state is the best cost of each place so far and of the one being
+    worked on, each with its last piece; an edge of size 1 opens a place. From
+    one chunk to the next it needs as many places as the longest piece has
+    characters.
+    """
+    longest, low = words.longest, _WHAT + _SIZE
+    what = f"(e & {(1 << _WHAT) - 1}L)"
+    cost = f"(shiftright(e, {_WHAT}) & {(1 << _COST) - 1}L)"
+    size = f"(shiftright(e, {_WHAT + _COST}) & {(1 << _SIZE) - 1}L)"
+
+    def place(before: str) -> str:
+        """A place's cost and last piece if edge e comes after the place `before`; the larger the piece, the less the number."""
+        return f"(shiftleft(shiftright({before}, {low}) + {cost}, {low}) + shiftleft({(1 << _SIZE) - 1}L - {size}, {_WHAT}) + {what})"
+
+    opened = f"named_struct('w', concat(t.w, array(t.cur)), 'cur', {place('t.cur')})"
+    bettered = f"named_struct('w', t.w, 'cur', least(t.cur, {place(f'element_at(t.w, -cast({size} as int))')}))"
+    taken = f"shiftleft(shiftright(t.cur, {low}), {low})"  # costs are counted from the end of the chunk before
+    kept = f"slice(t.w, greatest(1, size(t.w) - {longest - 1}), {longest})"
+    ends = f"transform(slice(concat(t.w, array(t.cur)), size(s.w) + 2, {CHUNK}), x -> cast(x & {(1 << low) - 1}L as int))"
+    packed = F.expr(f"""aggregate(chunks, named_struct('w', cast(array() as array<bigint>), 'cur', 0L, 'done', cast(array() as array<array<int>>)),
+        (s, c) -> aggregate(c.edges, named_struct('w', s.w, 'cur', s.cur), (t, e) -> if({size} = 1, {opened}, {bettered}),
+                            t -> named_struct('w', transform({kept}, x -> x - {taken}), 'cur', t.cur - {taken}, 'done', concat(s.done, array({ends})))),
+        s -> flatten(s.done))""")
+    whole = edges.groupBy("h", "h2", "n").agg(F.sort_array(F.collect_list(F.struct("chunk", "edges"))).alias("chunks"))
+    return whole.select("h", "h2", packed.alias("places"))
+
+
+def traced(paths: DataFrame, model: str) -> DataFrame:
+    """(h, h2, ids) of best paths, read backwards."""
+    what, size = (1 << _WHAT) - 1, (1 << _SIZE) - 1
+
+    def run(batches):
+        words = vocabulary(model)
+        known = words.size
+        for batch in batches:
+            lists = batch.column(2)
+            flat, ends = lists.flatten(), (lists.offsets.to_numpy() - lists.offsets[0].as_py()).tolist()
+            flat = flat.to_numpy()
+            ids, sizes = (flat & what).tolist(), (size - (flat >> _WHAT)).tolist()
+            out, stops = [], [0]
+            for a, b in zip(ends, ends[1:]):
+                path = []
+                while b > a:
+                    i = ids[b - 1]
+                    if i < known:
+                        path.append(i)
+                    else:
+                        path += reversed(words.spelled(i))
+                    b -= sizes[b - 1]
+                path.reverse()
+                out += path
+                stops.append(len(out))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(out, pa.int32()))], names=["h", "h2", "ids"])
+
+    return paths.mapInArrow(run, "h long, h2 long, ids array<int>")
+
+
+def merged(units: DataFrame, model: str) -> DataFrame:
+    """(h, h2, ids) of distinct units by merging, as the library of a byte-pair vocabulary does."""
+
+    def run(batches):
+        words = vocabulary(model)
+        for batch in pieces_of(batches, 0, _SLICE):
+            units = batch.column(0).to_pylist()
+            h, h2 = zip(*map(_identity, units))
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(h2, pa.int64()), pa.array([words.ids_of(words.fold(u)) for u in units], pa.list_(pa.int32()))], names=["h", "h2", "ids"])
+
+    return units.mapInArrow(run, "h long, h2 long, ids array<int>")
 
 
-_ADDED = [T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("decoded", T.StringType())]
+_ADDED = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
 
 
 class Units(dict):
     """Numbers of units, given as they come, and their ids in one pool."""
 
-    def __init__(self, words: Vocabulary, segment):
-        """segment(units) gives the pieces of each."""
+    def __init__(self, words: Vocabulary, ids_of):
+        """ids_of(units) gives the sizes of their ids, and these one after the other."""
         super().__init__()
-        self.words, self.segment, self.new = words, segment, []
+        self.words, self.ids_of, self.new, self.room = words, ids_of, [], 0
         self.sizes, self.pool = np.empty(0, np.int32), np.empty(0, np.int32)
 
     def __missing__(self, unit: str) -> int:
         self[unit] = number = len(self)
         self.new.append(unit)
+        self.room += len(unit)
         return number
 
     def codes(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of all units of the texts, and n+1 offsets by text. Forgets what it knew when that is too much."""
-        if len(self) > _KNOWN:
+        if len(self) > _KNOWN or self.room > 32 * _SLICE:
             self.clear()
+            self.room = 0
             self.sizes, self.pool = np.empty(0, np.int32), np.empty(0, np.int32)
         flat, ends = [], [0]
         for x in texts:
             flat += map(self.__getitem__, self.words.units(x or ""))
             ends.append(len(flat))
         if self.new:
-            ids = [self.words.ids_of(p) for p in self.segment(self.new)]
-            sizes = np.fromiter(map(len, ids), np.int32, len(ids))
+            sizes, ids = self.ids_of(self.new)
             self.sizes = np.concatenate([self.sizes, sizes])
-            self.pool = np.concatenate([self.pool, np.fromiter((i for p in ids for i in p), np.int32, int(sizes.sum()))])
+            self.pool = np.concatenate([self.pool, ids])
             self.new.clear()
         return np.array(flat, np.int64), np.array(ends, np.int64)
 
 
+class Pool:
+    """Ids of units by hash: keys sorted, and where in one pool each one's ids are."""
+
+    def __init__(self, table: pa.Table):
+        h, lists = table.column("h").to_numpy().view(np.uint64), table.column("ids").combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        order = np.argsort(h)
+        ends = lists.offsets.to_numpy() - (lists.offsets[0].as_py() if len(lists) else 0)
+        flat = lists.flatten().to_numpy()
+        self.keys, self.starts, self.sizes = h[order], ends[:-1][order], np.diff(ends)[order].astype(np.int32)
+        self.pool = flat.astype(np.uint16) if not len(flat) or flat.max() < 1 << 16 else flat
+
+    def __call__(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        digest = xxhash.xxh64_intdigest
+        h = np.fromiter((digest(u.encode(), SEED) for u in units), np.uint64, len(units))
+        at = np.searchsorted(self.keys, h)
+        if len(units) and (not len(self.keys) or (self.keys[np.minimum(at, len(self.keys) - 1)] != h).any()):
+            raise ValueError("a text has a unit that it did not have when the units were collected")
+        sizes = self.sizes[at]
+        ends = np.cumsum(sizes)
+        return sizes, self.pool[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)].astype(np.int32)
+
+
 def _pack(words: Vocabulary, units: Units, texts: list) -> list[pa.Array]:
     """Columns ids and decoded of the texts of a slice, which is far below 2 GB."""
     codes, ends_of_rows = units.codes(texts)
@@ -258,73 +397,74 @@ def _pack(words: Vocabulary, units: Units, texts: list) -> list[pa.Array]:
     return [pa.ListArray.from_arrays(pa.array(rows.astype(np.int32)), pa.array(flat)), pa.array(decoded, pa.string())]
 
 
-def encode(docs: DataFrame, text: str = "text", model: str = VOCABULARY, broadcast_units: int = BROADCAST_UNITS) -> DataFrame:
+def encode(docs: DataFrame, text: str = "text", model: str = VOCABULARY, order: str = "scores", broadcast_units: int = BROADCAST_UNITS) -> DataFrame:
     """docs with columns ids and decoded added (or replaced, if docs has such columns).
 
-    ids (array of int) are the vocabulary's own segmentation, without special
-    tokens; characters that it lacks become bytes. decoded is made from ids
-    alone: the text again, with U+2581 become a space. Null and empty texts have
-    no ids and decode to the empty text. Repeated rows are encoded alike; other
-    columns stay; an empty table gives no rows.
+    ids (array of int) are the path of the best sum of scores, without special
+    tokens, or, with order="merges", the segmentation of a byte-pair
+    vocabulary's own library; characters that the vocabulary lacks become
+    bytes. decoded is made from ids alone: the text again, with U+2581 become a
+    space. Null and empty texts have no ids and decode to the empty text.
+    Repeated rows are encoded alike; other columns stay; an empty table gives no
+    rows.
     """
+    if order not in ("scores", "merges"):
+        raise ValueError(f"order is scores or merges, not {order!r}")
     bounded_batches(docs.sparkSession)
     words = vocabulary(model)
     own = [c for c in docs.columns if c not in ("ids", "decoded")]
     at = own.index(text)
     schema = T.StructType([*[docs.schema[c] for c in own], *_ADDED])
     base = docs.select(*[F.col(f"`{c}`") for c in own])
-    masks = stored(lattice(distinct_units(docs.select(F.col(f"`{text}`")), model), words))
-    n = masks.count()
+    texts = docs.select(F.col(f"`{text}`"))
+    if order == "scores":
+        known = stored(traced(best_paths(lattice(distinct_units(texts, model), words), words), model))
+    else:
+        known = stored(merged(distinct_units(texts, model, whole=True), model))
     context = docs.sparkSession.sparkContext
-
-    def plain(unit: str) -> list[str]:
-        return list(unit) if len(unit) <= MASKED else vocabulary(model).fold(unit)
-
-    if n <= broadcast_units:
-        known = masks.select("h", "mask").toArrow()
-        h = known.column("h").to_numpy().view(np.uint64)
-        order = np.argsort(h)
-        table = context.broadcast((h[order], known.column("mask").to_numpy()[order]))
-        del known, h, order
+    if known.count() <= broadcast_units:
+        table = context.broadcast(Pool(known.select("h", "ids").toArrow()))
+        drop_stored(known)
 
         def run(batches):
-            keys, bits = table.value
-            words, digest = vocabulary(model), xxhash.xxh64_intdigest
-
-            def segment(new: list[str]) -> list[list[str]]:
-                if not len(keys):
-                    return [plain(u) for u in new]
-                h = np.fromiter((digest(u.encode(), SEED) for u in new), np.uint64, len(new))
-                i = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                # units without an edge aren't listed: they fall into characters
-                return [words.masked(u, mask) if hit and len(u) <= MASKED else plain(u) for u, hit, mask in zip(new, (keys[i] == h).tolist(), bits[i].tolist())]
-
-            units = Units(words, segment)
+            words, units = vocabulary(model), Units(vocabulary(model), table.value)
             for batch in pieces_of(batches, at, _SLICE):
                 yield pa.RecordBatch.from_arrays([*batch.columns, *_pack(words, units, batch.column(at).to_pylist())], names=[*own, "ids", "decoded"])
 
         return base.mapInArrow(run, schema)
 
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.sha2(F.col(f"`{text}`").cast("binary"), 256).alias("key"))
+    def dealt(batches):
+        for block, batch in numbered(batches, at, BLOCK):
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(batch.columns, own), batch.column(at), pa.array(np.full(batch.num_rows, block))], names=["row", "text", "block"])
+
     def asked_of(batches):
-        words = vocabulary(model)
-        for batch in pieces_of(batches, 1, _SLICE):
-            units = [sorted(set(words.units(x or ""))) for x in batch.column(1).to_pylist()]
-            keys = batch.column(0).take(pa.array(np.repeat(np.arange(len(units)), [len(u) for u in units])))
-            yield pa.RecordBatch.from_arrays([keys, pa.array([u for x in units for u in x], pa.string())], names=["key", "unit"])
+        words, held, last = vocabulary(model), set(), None
 
-    asked = keyed.where("key is not null").select("key", F.col(f"row.`{text}`").alias("text")).mapInArrow(asked_of, "key string, unit string").distinct()
-    hashed = asked.select("key", "unit", F.xxhash64("unit").alias("h"), F.hash("unit").alias("h2"))
-    met = hashed.join(masks, ["h", "h2"]).groupBy("key").agg(F.collect_list(F.struct("unit", "mask")).alias("pairs"))
-    joined = keyed.join(met, "key", "left").select(F.col(f"row.`{text}`").alias("text"), "pairs", "row")
+        def rows():
+            found = [_identity(u) for u in held]
+            held.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), last)), pa.array([h for h, _ in found], pa.int64()), pa.array([h for _, h in found], pa.int64())], names=["block", "h", "h2"])
 
-    def run_joined(batches):
-        words = vocabulary(model)
-        for batch in pieces_of(batches):
-            for i in range(batch.num_rows):
-                mine = {p["unit"]: p["mask"] for p in batch.column(1)[i].as_py() or []}
-                units = Units(words, lambda new, mine=mine: [words.masked(u, mine[u]) if u in mine else plain(u) for u in new])
-                one = batch.slice(i, 1)
-                yield pa.RecordBatch.from_arrays([*one.column(2).flatten(), *_pack(words, units, one.column(0).to_pylist())], names=[*own, "ids", "decoded"])
-
-    return joined.mapInArrow(run_joined, schema)
+        for batch in pieces_of(batches, 1, _SLICE):
+            for block, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if held and (block != last or len(held) > 2 * _KNOWN):
+                    yield from rows()
+                last = block
+                held.update(words.units(x or ""))
+        if held:
+            yield from rows()
+
+    row = T.StructType([docs.schema[c] for c in own])
+    blocks = stored(base.mapInArrow(dealt, T.StructType([T.StructField("row", row), T.StructField("text", T.StringType()), T.StructField("block", T.LongType())])))
+    # a unit comes once for each block that has it, so no unit has more rows than there are blocks
+    asked = blocks.select("block", "text").mapInArrow(asked_of, "block long, h long, h2 long").distinct()
+    met = asked.join(known, ["h", "h2"]).select("block", "h", "ids")
+
+    def run_joined(left: pa.Table, right: pa.Table) -> pa.Table:
+        words, units, out = vocabulary(model), Units(vocabulary(model), Pool(right)), []
+        for batch in left.combine_chunks().to_batches():
+            for part in pieces_of([batch], 1, _SLICE):
+                out.append(pa.RecordBatch.from_arrays([*part.column(0).flatten(), *_pack(words, units, part.column(1).to_pylist())], names=[*own, "ids", "decoded"]))
+        return pa.Table.from_batches(out)
+
+    return blocks.groupBy("block").cogroup(met.groupBy("block")).applyInArrow(run_joined, schema)

@@ -9,17 +9,74 @@ from .conftest import ODD
 
 REAL = library.SentencePieceProcessor(model_file=sentencepiece.VOCABULARY)
 WORDS = sentencepiece.vocabulary(sentencepiece.VOCABULARY)
-TEXTS = [*ODD, "  two  spaces  ", "tab\tnew\nline\r\nend", "▁literal ▁▁ mark", "<s> </s> <unk> <0x0A>", "don't f(x)={}; 3.14 x²”. .”", "Zażółć gęślą jaźń", "x" * 62 + " " + "the" * 40, "a\x00b", " "]
+LONG = ["日本語の文章には空白がなく一つの文が一つの語になる" * 6, "x" * 200, "the" * 120, "naïve" + "é" * 70 + "\U0001f600" * 3 + "a" * 64, "=" * 62, "=" * 63, "=" * 64, "\U0001f600" * 200 + "a", "▁" * 90 + "\U0001f9ff" * 70 + "▁" * 70, "a" * 128 + " " + "ab" * 64]
+TEXTS = [*ODD, *LONG, "  two  spaces  ", "tab\tnew\nline\r\nend", "▁literal ▁▁ mark", "<s> </s> <unk> <0x0A>", "don't f(x)={}; 3.14 x²”. .”", "Zażółć gęślą jaźń", "x" * 62 + " " + "the" * 40, "a\x00b", " "]
 
 
-@pytest.mark.parametrize("limit", [10**9, 0], ids=["broadcast", "join"])
-def test_ids_are_the_librarys_and_decode(docs, limit):
-    df = docs([t if t is None else t[:5000] for t in TEXTS]).withColumn("ids", F.lit("own")).withColumn("key", F.lit(1))
+SCORES = {p: REAL.get_score(i) for p, i in WORDS.ids.items()}
+FOREIGN = min(SCORES.values()) - 10
+
+
+def best(unit):
+    """The pieces of the path of the best sum of scores, by trying every piece at every place: the longest last piece among equals."""
+    n = len(unit)
+    paths = [(0.0, [])]
+    for j in range(1, n + 1):
+        found = []
+        for i in range(max(0, j - WORDS.longest), j):
+            s = unit[i:j]
+            if s in WORDS.ids:
+                found.append((paths[i][0] + SCORES[s], j - i, i, [WORDS.ids[s]]))
+            elif j - i == 1:
+                found.append((paths[i][0] + FOREIGN, 1, i, [WORDS.bytes[b] for b in s.encode()]))
+        total, _, i, ids = max(found, key=lambda x: x[:2])
+        paths.append((total, (i, ids)))
+    out, j = [], n
+    while j:
+        i, ids = paths[j][1]
+        out = ids + out
+        j = i
+    return out
+
+
+def best_ids(text):
+    return [i for u in WORDS.units(text or "") for i in best(u)]
+
+
+@pytest.mark.parametrize("limit", [10**9, -1], ids=["broadcast", "join"])
+def test_ids_are_the_best_path_and_decode(docs, limit):
+    """Whole texts, units of any length among them."""
+    df = docs(TEXTS).withColumn("ids", F.lit("own")).withColumn("key", F.lit(1)).withColumn("block", F.lit(2)).withColumn("h", F.lit(3))
     out = sentencepiece.encode(df, broadcast_units=limit)
-    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "key", "ids", "decoded"]
-    for r in out.collect():
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "key", "block", "h", "ids", "decoded"]
+    rows = out.collect()
+    assert len(rows) == len(TEXTS) and all(r["h"] == 3 for r in rows)
+    known = {}
+    for r in rows:
+        assert r["decoded"] == (r["text"] or "").replace("▁", " ")
+        want = [i for u in WORDS.units(r["text"] or "") for i in (known.get(u) or known.setdefault(u, best(u)))]
+        assert r["ids"] == want, r["text"][:40]
+
+
+@pytest.mark.parametrize("limit", [10**9, -1], ids=["broadcast", "join"])
+def test_merges_are_the_librarys(docs, limit):
+    for r in sentencepiece.encode(docs(TEXTS), order="merges", broadcast_units=limit).collect():
         assert r["ids"] == REAL.encode(r["text"] or "")
         assert r["decoded"] == (r["text"] or "").replace("▁", " ")
+    with pytest.raises(ValueError, match="scores or merges"):
+        sentencepiece.encode(docs(TEXTS), order="size")
+
+
+def test_documents_of_all_kinds(spark):
+    """Every document of a table, whole, against all paths, and no path of the library's sums up to more."""
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    known = {}
+    for r in sentencepiece.encode(df).collect():
+        units = WORDS.units(r["text"] or "")
+        assert r["ids"] == [i for u in units for i in (known.get(u) or known.setdefault(u, best(u)))]
+        assert r["decoded"] == (r["text"] or "").replace("▁", " ")
+        total = lambda ids: sum(map(REAL.get_score, ids))
+        assert total(r["ids"]) >= total(REAL.encode(r["text"] or ""))
 
 
 @settings(max_examples=300, deadline=None)
@@ -41,16 +98,19 @@ def test_decoding_foreign_ids():
     assert WORDS.decode([]) == ""
 
 
-def test_lattice_masks(spark):
-    units = ["▁hello", "▁world", "é", "zz", "▁" * 20, "▁internationalisation"]
-    df = spark.createDataFrame([(u,) for u in units], "unit string")
-    hashes = {u: df.where(F.col("unit") == u).select(F.xxhash64("unit")).first()[0] for u in units}
-    got = {r["h"]: r["mask"] for r in sentencepiece.lattice(df, WORDS).collect()}
-    for u in units:
-        if hashes[u] in got:
-            assert WORDS.masked(u, got[hashes[u]]) == WORDS.fold(u)
-        else:
-            assert WORDS.fold(u) == list(u)
+def test_chunks_overlap_by_the_longest_piece():
+    unit = "".join(chr(0x4E00 + i) for i in range(200))
+    rows = sentencepiece.chunks(unit, WORDS.longest)
+    assert [r[1] for r in rows] == list(range(-(-200 // sentencepiece.CHUNK))) and {r[2:] for r in rows} == {(*sentencepiece._identity(unit), 200)}
+    for part, k, *_ in rows:
+        assert part == unit[max(0, sentencepiece.CHUNK * k - WORDS.longest) : sentencepiece.CHUNK * (k + 1)]
+    assert sentencepiece.chunks("▁short", WORDS.longest) == [("▁short", 0, None, None, None)]
+
+
+def test_hashes_are_sparks(spark):
+    for u in ("▁hello", "日本語", "a" * 300, "\U0001f600"):
+        r = spark.createDataFrame([(u,)], "u string").select(F.xxhash64("u").alias("h"), F.crc32(F.col("u").cast("binary")).alias("h2")).first()
+        assert (r["h"], r["h2"]) == sentencepiece._identity(u)
 
 
 def test_no_documents(docs):
