@@ -42,8 +42,8 @@ BLOCK = 32 << 20
 SEED = 42
 #: Bytes of text that a task cuts up at a time.
 _SLICE = 1 << 20
-#: Distinct units that a task holds.
-_KNOWN = 250_000
+#: Distinct units that a task holds, and those whose lattice it makes.
+_KNOWN, _MADE = 250_000, 40_000
 #: Bits of an edge, from the lowest: what it stands for, its cost, its size; then its end in the chunk. Of a place in the fold: what, size; then the cost.
 _WHAT, _COST, _SIZE = 21, 30, 6
 _CACHE: dict = {}
@@ -161,7 +161,7 @@ def vocabulary(model: str) -> Vocabulary:
     return _CACHE[model]
 
 
-_UNITS = "unit string, chunk int, h long, h2 long, n int"
+_UNITS = "unit string, chunk int, h long, h2 long"
 
 
 def _identity(unit: str) -> tuple[int, int]:
@@ -174,9 +174,9 @@ def _identity(unit: str) -> tuple[int, int]:
 def chunks(unit: str, longest: int) -> list[tuple]:
     """Rows of _UNITS of a unit: itself, or its chunks, each with the characters before it that its pieces may begin at."""
     if len(unit) <= CHUNK:
-        return [(unit, 0, None, None, None)]
+        return [(unit, 0, None, None)]
     h, h2 = _identity(unit)
-    return [(unit[max(0, k * CHUNK - longest) : (k + 1) * CHUNK], k, h, h2, len(unit)) for k in range(-(-len(unit) // CHUNK))]
+    return [(unit[max(0, k * CHUNK - longest) : (k + 1) * CHUNK], k, h, h2) for k in range(-(-len(unit) // CHUNK))]
 
 
 def distinct_units(texts: DataFrame, model: str, whole: bool = False) -> DataFrame:
@@ -195,13 +195,13 @@ def distinct_units(texts: DataFrame, model: str, whole: bool = False) -> DataFra
                     yield pa.record_batch([pa.array(short, pa.string())], names=["unit"])
                     continue
                 none = pa.nulls(len(short), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(short, pa.string()), pa.array(np.zeros(len(short), np.int32)), none, none, pa.nulls(len(short), pa.int32())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(short, pa.string()), pa.array(np.zeros(len(short), np.int32)), none, none], names=names)
                 for u in some:
                     if len(u) > CHUNK:
                         rows = list(zip(*chunks(u, words.longest)))
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int32()))], names=names)
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.string(), pa.int32(), pa.int64(), pa.int64()))], names=names)
 
-        names = ["unit", "chunk", "h", "h2", "n"]
+        names = ["unit", "chunk", "h", "h2"]
         for batch in pieces_of(batches, 0, _SLICE):
             for x in batch.column(0).to_pylist():
                 units = words.units(x or "")
@@ -215,11 +215,12 @@ def distinct_units(texts: DataFrame, model: str, whole: bool = False) -> DataFra
     return texts.mapInArrow(run, "unit string" if whole else _UNITS).distinct()
 
 
-def lattice(units: DataFrame, words: Vocabulary) -> DataFrame:
-    """(h, h2, n, edges) of each chunk of the distinct units (_UNITS), and its number: all pieces that end in it, packed, in the order of their ends and then sizes.
+def lattice(units: DataFrame, words: Vocabulary, parts: int = 1, chunked: bool = False) -> DataFrame:
+    """(h, h2, edges) of the distinct units (_UNITS), and with chunked also chunk: all pieces that end there, packed, in the order of their ends and then sizes.
 
     Each place has an edge of size 1, be it that of a character without a piece.
     """
+    keys = ["h", "h2", *["chunk"] * chunked]
     spark = units.sparkSession
     starts: dict[str, int] = {}  # the longest piece by its first PREFIX characters
     for p in words.order:
@@ -229,14 +230,14 @@ def lattice(units: DataFrame, words: Vocabulary) -> DataFrame:
     pieces = [(p, (words.cost[p] + words.each << _WHAT) | i) for p, i in words.ids.items()]
     table = spark.createDataFrame(pieces, "piece string, worth long").withColumn("key", F.xxhash64("piece"))
     spans = (
-        units.select("unit", "chunk", F.coalesce("h", F.xxhash64("unit")).alias("h"), F.coalesce("h2", F.crc32(F.col("unit").cast("binary"))).alias("h2"), F.coalesce("n", F.length("unit")).alias("n"))
-        .repartition("h", "h2")
+        units.select("unit", "chunk", F.coalesce("h", F.xxhash64("unit")).alias("h"), F.coalesce("h2", F.crc32(F.col("unit").cast("binary"))).alias("h2"))
+        .repartition(parts, "h", "h2")
         .withColumn("lead", F.least(F.lit(words.longest), F.col("chunk") * CHUNK)).withColumn("m", F.length("unit"))
         .withColumn("i", F.explode(F.expr("sequence(0, m - 1)")))
         .withColumn("prefix", F.expr(f"substring(unit, i + 1, {PREFIX})")).join(F.broadcast(reach), "prefix", "left")
         .withColumn("size", F.explode(F.sequence(F.lit(1), F.least(F.greatest(F.coalesce("reach", F.lit(0)), F.lit(PREFIX - 1)), F.expr("m - i")))))
         .where("i + size > lead")
-        .select("h", "h2", "n", "chunk", (F.col("i") + F.col("size") - F.col("lead")).alias("end"), "size", F.expr("substring(unit, i + 1, size)").alias("part"))
+        .select(*keys, (F.col("i") + F.col("size") - F.col("lead")).alias("end"), "size", F.expr("substring(unit, i + 1, size)").alias("part"))
         .withColumn("key", F.xxhash64("part"))
     )
     # a long key makes the smaller hash table; the pieces themselves are compared as well
@@ -244,11 +245,11 @@ def lattice(units: DataFrame, words: Vocabulary) -> DataFrame:
     foreign = F.lit(words.unknown_cost + words.each << _WHAT) + words.size + F.ascii("part")
     worth = F.when(F.col("hit"), F.col("worth")).otherwise(foreign)
     edge = F.shiftleft(F.col("end").cast("long"), _WHAT + _COST + _SIZE).bitwiseOR(F.shiftleft(F.col("size").cast("long"), _WHAT + _COST)).bitwiseOR(worth)
-    return met.groupBy("h", "h2", "n", "chunk").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    return met.groupBy(*keys).agg(F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
-def best_paths(edges: DataFrame, words: Vocabulary) -> DataFrame:
-    """(h, h2, places) of the lattice's units: for the end of each character the last piece of the best path there, as what it stands for and its size.
+def best_paths(units: DataFrame, words: Vocabulary) -> DataFrame:
+    """(h, h2, places) of the distinct units (_UNITS, a table that may be read twice): for the end of each character the last piece of the best path there, as what it stands for and its size.
 
     The fold's state is the best cost of each place so far and of the one being
     worked on, each with its last piece; an edge of size 1 opens a place. From
@@ -273,8 +274,13 @@ def best_paths(edges: DataFrame, words: Vocabulary) -> DataFrame:
         (s, c) -> aggregate(c.edges, named_struct('w', s.w, 'cur', s.cur), (t, e) -> if({size} = 1, {opened}, {bettered}),
                             t -> named_struct('w', transform({kept}, x -> x - {taken}), 'cur', t.cur - {taken}, 'done', concat(s.done, array({ends})))),
         s -> flatten(s.done))""")
-    whole = edges.groupBy("h", "h2", "n").agg(F.sort_array(F.collect_list(F.struct("chunk", "edges"))).alias("chunks"))
-    return whole.select("h", "h2", packed.alias("places"))
+    sizes = units.agg(F.count("*").alias("n"), F.count("h").alias("long")).first()
+    short = lattice(units.where("h is null"), words, max(1, sizes["n"] // _MADE)).select("h", "h2", F.array(F.struct("edges")).alias("chunks"))
+    if sizes["long"]:
+        each = lattice(units.where("h is not null"), words, max(1, sizes["long"] * CHUNK // _MADE), chunked=True)
+        ordered = each.groupBy("h", "h2").agg(F.sort_array(F.collect_list(F.struct("chunk", "edges"))).alias("chunks"))
+        short = short.unionByName(ordered.select("h", "h2", F.transform("chunks", lambda c: F.struct(c["edges"].alias("edges"))).alias("chunks")))
+    return short.select("h", "h2", packed.alias("places"))
 
 
 def traced(paths: DataFrame, model: str) -> DataFrame:
@@ -418,7 +424,9 @@ def encode(docs: DataFrame, text: str = "text", model: str = VOCABULARY, order:
     base = docs.select(*[F.col(f"`{c}`") for c in own])
     texts = docs.select(F.col(f"`{text}`"))
     if order == "scores":
-        known = stored(traced(best_paths(lattice(distinct_units(texts, model), words), words), model))
+        units = stored(distinct_units(texts, model))
+        known = stored(traced(best_paths(units, words), model))
+        drop_stored(units)
     else:
         known = stored(merged(distinct_units(texts, model, whole=True), model))
     context = docs.sparkSession.sparkContext
