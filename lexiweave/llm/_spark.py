@@ -62,28 +62,29 @@ def _files(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-_CLEAN_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
 @contextmanager
-def tidy(spark: SparkSession):
-    """Within it, an action's shuffle files go as soon as it ends. For actions whose shuffles nothing else reads: each plans its own."""
-    before = spark.conf.get(_CLEAN_CONF, None)
-    spark.conf.set(_CLEAN_CONF, "true")
+def setting(spark: SparkSession, name: str, value):
+    """Within it, the session has this setting; for actions that end within it."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(value))
     try:
         yield
     finally:
         if before is None:
-            spark.conf.unset(_CLEAN_CONF)
+            spark.conf.unset(name)
         else:
-            spark.conf.set(_CLEAN_CONF, before)
+            spark.conf.set(name, before)
+
+
+#: The shuffle files of an action go as soon as it ends: each plans its own, so nothing else reads them.
+_CLEAN_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def stored(df: DataFrame) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: this cuts the lineage. What isn't dropped before goes when the application ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    with tidy(spark):
+    with setting(spark, _CLEAN_CONF, "true"):
         df.write.option("compression", "zstd").parquet(path)
     p, files = _files(spark, path)
     files.deleteOnExit(p)

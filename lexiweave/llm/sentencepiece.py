@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexiweave.llm._spark import bounded_batches, drop_stored, numbered, stored
+from lexiweave.llm._spark import bounded_batches, drop_stored, numbered, setting, stored
 from lexiweave.llm._text import pieces_of
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -226,7 +226,8 @@ def lattice(units: DataFrame, words: Vocabulary, parts: int = 1, chunked: bool =
     for p in words.order:
         if len(p) >= PREFIX:
             starts[p[:PREFIX]] = max(starts.get(p[:PREFIX], 0), len(p))
-    reach = spark.createDataFrame(list(starts.items()), "prefix string, reach int")
+    # by hash, as it makes the smaller table: two prefixes of one hash would only make some substrings in vain
+    reach = spark.createDataFrame(list(starts.items()), "prefix string, reach int").groupBy(F.xxhash64("prefix").alias("prefix")).agg(F.max("reach").alias("reach"))
     pieces = [(p, (words.cost[p] + words.each << _WHAT) | i) for p, i in words.ids.items()]
     table = spark.createDataFrame(pieces, "piece string, worth long").withColumn("key", F.xxhash64("piece"))
     spans = (
@@ -234,7 +235,7 @@ def lattice(units: DataFrame, words: Vocabulary, parts: int = 1, chunked: bool =
         .repartition(parts, "h", "h2")
         .withColumn("lead", F.least(F.lit(words.longest), F.col("chunk") * CHUNK)).withColumn("m", F.length("unit"))
         .withColumn("i", F.explode(F.expr("sequence(0, m - 1)")))
-        .withColumn("prefix", F.expr(f"substring(unit, i + 1, {PREFIX})")).join(F.broadcast(reach), "prefix", "left")
+        .withColumn("prefix", F.expr(f"xxhash64(substring(unit, i + 1, {PREFIX}))")).join(F.broadcast(reach), "prefix", "left")
         .withColumn("size", F.explode(F.sequence(F.lit(1), F.least(F.greatest(F.coalesce("reach", F.lit(0)), F.lit(PREFIX - 1)), F.expr("m - i")))))
         .where("i + size > lead")
         .select(*keys, (F.col("i") + F.col("size") - F.col("lead")).alias("end"), "size", F.expr("substring(unit, i + 1, size)").alias("part"))
@@ -284,7 +285,7 @@ def best_paths(units: DataFrame, words: Vocabulary) -> DataFrame:
 
 
 def traced(paths: DataFrame, model: str) -> DataFrame:
-    """(h, h2, ids) of best paths, read backwards."""
+    """(h, h2, ids) of best paths, read backwards: the last pieces of all units of a batch, then those before them, and so on."""
     what, size = (1 << _WHAT) - 1, (1 << _SIZE) - 1
 
     def run(batches):
@@ -292,23 +293,35 @@ def traced(paths: DataFrame, model: str) -> DataFrame:
         known = words.size
         for batch in batches:
             lists = batch.column(2)
-            flat, ends = lists.flatten(), (lists.offsets.to_numpy() - lists.offsets[0].as_py()).tolist()
-            flat = flat.to_numpy()
-            ids, sizes = (flat & what).tolist(), (size - (flat >> _WHAT)).tolist()
-            out, stops = [], [0]
-            for a, b in zip(ends, ends[1:]):
-                path = []
-                while b > a:
-                    i = ids[b - 1]
-                    if i < known:
-                        path.append(i)
-                    else:
-                        path += reversed(words.spelled(i))
-                    b -= sizes[b - 1]
-                path.reverse()
-                out += path
-                stops.append(len(out))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(out, pa.int32()))], names=["h", "h2", "ids"])
+            flat, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy().astype(np.int64)
+            ends -= ends[0]
+            ids, sizes = flat & what, size - (flat >> _WHAT)
+            live, at = np.arange(batch.num_rows), ends[1:].copy()
+            taken = []  # (units, ids) from the last pieces on
+            count = np.zeros(batch.num_rows, np.int64)
+            while len(live):
+                here = at[live] - 1
+                taken.append((live, ids[here]))
+                count[live] += 1
+                at[live] -= sizes[here]
+                live = live[at[live] > ends[live]]
+            stops = np.concatenate([[0], np.cumsum(count)])
+            out = np.empty(int(stops[-1]), np.int64)
+            for k, (units, pieces) in enumerate(taken):
+                out[stops[units + 1] - 1 - k] = pieces
+            foreign = np.flatnonzero(out >= known)
+            if len(foreign):
+                spelled = [words.spelled(i) for i in out[foreign].tolist()]
+                more = np.ones(len(out), np.int64)
+                more[foreign] = [len(x) for x in spelled]
+                first = np.cumsum(more) - more
+                whole = np.empty(int(more.sum()), np.int64)
+                plain = np.flatnonzero(out < known)
+                whole[first[plain]] = out[plain]
+                for i, x in zip(first[foreign].tolist(), spelled):
+                    whole[i : i + len(x)] = x
+                stops, out = np.concatenate([[0], np.cumsum(more)])[stops], whole
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.ListArray.from_arrays(pa.array(stops.astype(np.int32)), pa.array(out.astype(np.int32)))], names=["h", "h2", "ids"])
 
     return paths.mapInArrow(run, "h long, h2 long, ids array<int>")
 
@@ -425,7 +438,9 @@ def encode(docs: DataFrame, text: str = "text", model: str = VOCABULARY, order:
     texts = docs.select(F.col(f"`{text}`"))
     if order == "scores":
         units = stored(distinct_units(texts, model))
-        known = stored(traced(best_paths(units, words), model))
+        # a task has some _MADE units, so their edges may be grouped in memory, without a sort
+        with setting(docs.sparkSession, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", 4 * _MADE):
+            known = stored(traced(best_paths(units, words), model))
         drop_stored(units)
     else:
         known = stored(merged(distinct_units(texts, model, whole=True), model))
