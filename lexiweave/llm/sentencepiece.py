@@ -5,7 +5,7 @@ lattice: their substrings of bounded length, joined with the piece table, and
 grouped by unit. A Viterbi fold over each unit's edges, in the order of their
 ends, keeps the best path to every place; the path is then read backwards. The
 best path has the largest sum of the pieces' scores; among equals the last
-piece is the longest. A character without a piece counts as a piece whose score
+piece is the one of the least id. A character without a piece counts as a piece whose score
 is 10 less than the least.
 
 The vocabulary at hand is of byte-pair kind: its scores are the order of its
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexiweave.llm._spark import bounded_batches, drop_stored, numbered, setting, stored
+from lexiweave.llm._spark import bounded_batches, drop_stored, numbered, stored
 from lexiweave.llm._text import pieces_of
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -44,7 +45,7 @@ SEED = 42
 _SLICE = 1 << 20
 #: Distinct units that a task holds, and those whose lattice it makes.
 _KNOWN, _MADE = 250_000, 40_000
-#: Bits of an edge, from the lowest: what it stands for, its cost, its size; then its end in the chunk. Of a place in the fold: what, size; then the cost.
+#: Bits of an edge, from the lowest: what it stands for, its cost, its size; then its end in the chunk. Of a place in the fold: what its last piece stands for; then the cost.
 _WHAT, _COST, _SIZE = 21, 30, 6
 _CACHE: dict = {}
 
@@ -74,6 +75,10 @@ class Vocabulary:
         self.size = size
         if self.unknown_cost + self.each >= 1 << _COST or self.longest > CHUNK or size + 0x110000 > 1 << _WHAT:
             raise ValueError(f"{model} doesn't fit: scores {least} to {most}, pieces of {self.longest} characters, {size} ids")
+        #: characters of each id's piece
+        self.lengths = np.ones(size, np.int64)
+        for p, i in self.ids.items():
+            self.lengths[i] = len(p)
         # what each id decodes to
         self.surface = [b""] * size
         for p, i in self.ids.items():
@@ -81,9 +86,8 @@ class Vocabulary:
         for b, i in self.bytes.items():
             self.surface[i] = bytes([b])
         self.surface[self.unknown] = " ⁇ ".encode()
-        width = np.fromiter(map(len, self.surface), np.int32, size)
-        self.surfaces = np.frombuffer(b"".join(self.surface), np.uint8), np.concatenate([[0], np.cumsum(width)])[:-1].astype(np.int32), width
         self.pattern = self._pattern()
+        self.compile()
 
     def _pattern(self) -> str:
         """A pattern whose matches, one after the other, are the units: no piece reaches across two."""
@@ -95,21 +99,23 @@ class Vocabulary:
         # a run goes on into a run of another kind where some piece has such neighbours
         on = {k: "|".join(f"[{kinds[j]}]" for j in kinds if j != k and k + j in met) for k in kinds}
         every = "(?:" + "|".join(f"{run[k]}(?={on[k]})" for k in kinds if on[k]) + ")*+(?:" + "|".join(run.values()) + ")"
+        # words that units make up whole, where spaces open units, and line ends and tabs are units
+        plain = not any(k + "_" in met for k in kinds if k != "_") and not any("c" in pair for pair in met)
+        self.word_pattern = rf"{SPACE}*+[^{SPACE}\n\t]++|{SPACE}++|[\n\t]" if plain else None
         # the common case first, which the general one would match as well: a word of ASCII letters
         lone = f"(?!{on['a']})" if on["a"] else ""
         return (f"{SPACE}*+[A-Za-z]++{lone}|" if {"__", "_a", "aa"} <= met else "") + every
 
     def units(self, text: str) -> list[str]:
-        return self._find(SPACE + text.replace(" ", SPACE)) if text else []
+        return self.units_of(SPACE + text.replace(" ", SPACE)) if text else []
 
-    @property
-    def _find(self):
-        if "_compiled" not in self.__dict__:
-            self._compiled = re.compile(self.pattern)
-        return self._compiled.findall
+    def words(self, text: str) -> list[str]:
+        """Runs of whole units, fewer and with fewer different ones than their occurrences; together the text."""
+        return self._in_words(SPACE + text.replace(" ", SPACE)) if text else []
 
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_compiled"}
+    def compile(self) -> None:
+        self.units_of = re.compile(self.pattern).findall
+        self._in_words = re.compile(self.word_pattern or self.pattern).findall
 
     def edges(self, unit: str) -> list[tuple[int, int, int]]:
         """(place in the merge order, start, end) of the pieces of two characters or more in a unit."""
@@ -183,11 +189,11 @@ def distinct_units(texts: DataFrame, model: str, whole: bool = False) -> DataFra
     """The distinct units of a column of texts, long ones in chunks (_UNITS) unless they are wanted whole (column unit)."""
 
     def run(batches):
-        words, held, size = vocabulary(model), set(), 0
+        words, met, size = vocabulary(model), set(), 0
 
         def flush():
-            units = list(held)
-            held.clear()
+            units = list({u for w in met for u in words.units_of(w)})
+            met.clear()
             for i in range(0, len(units), 1 << 16):
                 some = units[i : i + (1 << 16)]
                 short = some if whole else [u for u in some if len(u) <= CHUNK]
@@ -204,10 +210,9 @@ def distinct_units(texts: DataFrame, model: str, whole: bool = False) -> DataFra
         names = ["unit", "chunk", "h", "h2"]
         for batch in pieces_of(batches, 0, _SLICE):
             for x in batch.column(0).to_pylist():
-                units = words.units(x or "")
-                held.update(units)
+                met.update(words.words(x or ""))
             size += batch.column(0).nbytes
-            if len(held) > 2 * _KNOWN or size > 64 * _SLICE:
+            if len(met) > 2 * _KNOWN or size > 64 * _SLICE:
                 yield from flush()
                 size = 0
         yield from flush()
@@ -250,27 +255,21 @@ def lattice(units: DataFrame, words: Vocabulary, parts: int = 1, chunked: bool =
 
 
 def best_paths(units: DataFrame, words: Vocabulary) -> DataFrame:
-    """(h, h2, places) of the distinct units (_UNITS, a table that may be read twice): for the end of each character the last piece of the best path there, as what it stands for and its size.
+    """(h, h2, places) of the distinct units (_UNITS, a table that may be read twice): for the end of each character the last piece of the best path there, as what it stands for.
 
     The fold's state is the best cost of each place so far and of the one being
     worked on, each with its last piece; an edge of size 1 opens a place. From
     one chunk to the next it needs as many places as the longest piece has
     characters.
     """
-    longest, low = words.longest, _WHAT + _SIZE
-    what = f"(e & {(1 << _WHAT) - 1}L)"
-    cost = f"(shiftright(e, {_WHAT}) & {(1 << _COST) - 1}L)"
-    size = f"(shiftright(e, {_WHAT + _COST}) & {(1 << _SIZE) - 1}L)"
-
-    def place(before: str) -> str:
-        """A place's cost and last piece if edge e comes after the place `before`; the larger the piece, the less the number."""
-        return f"(shiftleft(shiftright({before}, {low}) + {cost}, {low}) + shiftleft({(1 << _SIZE) - 1}L - {size}, {_WHAT}) + {what})"
-
-    opened = f"named_struct('w', concat(t.w, array(t.cur)), 'cur', {place('t.cur')})"
-    bettered = f"named_struct('w', t.w, 'cur', least(t.cur, {place(f'element_at(t.w, -cast({size} as int))')}))"
-    taken = f"shiftleft(shiftright(t.cur, {low}), {low})"  # costs are counted from the end of the chunk before
+    longest, costs, worth = words.longest, ~((1 << _WHAT) - 1), (1 << _WHAT + _COST) - 1
+    size = f"cast(shiftright(e, {_WHAT + _COST}) & {(1 << _SIZE) - 1} as int)"
+    # what an edge adds lies in it as a place does: its cost, and what it stands for
+    opened = f"named_struct('w', concat(t.w, array(t.cur)), 'cur', (t.cur & {costs}L) + (e & {worth}L))"
+    bettered = f"named_struct('w', t.w, 'cur', least(t.cur, (element_at(t.w, -{size}) & {costs}L) + (e & {worth}L)))"
+    taken = f"(t.cur & {costs}L)"  # costs are counted from the end of the chunk before
     kept = f"slice(t.w, greatest(1, size(t.w) - {longest - 1}), {longest})"
-    ends = f"transform(slice(concat(t.w, array(t.cur)), size(s.w) + 2, {CHUNK}), x -> cast(x & {(1 << low) - 1}L as int))"
+    ends = f"transform(slice(concat(t.w, array(t.cur)), size(s.w) + 2, {CHUNK}), x -> cast(x & {~costs}L as int))"
     packed = F.expr(f"""aggregate(chunks, named_struct('w', cast(array() as array<bigint>), 'cur', 0L, 'done', cast(array() as array<array<int>>)),
         (s, c) -> aggregate(c.edges, named_struct('w', s.w, 'cur', s.cur), (t, e) -> if({size} = 1, {opened}, {bettered}),
                             t -> named_struct('w', transform({kept}, x -> x - {taken}), 'cur', t.cur - {taken}, 'done', concat(s.done, array({ends})))),
@@ -286,22 +285,21 @@ def best_paths(units: DataFrame, words: Vocabulary) -> DataFrame:
 
 def traced(paths: DataFrame, model: str) -> DataFrame:
     """(h, h2, ids) of best paths, read backwards: the last pieces of all units of a batch, then those before them, and so on."""
-    what, size = (1 << _WHAT) - 1, (1 << _SIZE) - 1
 
     def run(batches):
         words = vocabulary(model)
-        known = words.size
+        known, length = words.size, np.append(words.lengths, 1)
         for batch in batches:
             lists = batch.column(2)
             flat, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy().astype(np.int64)
             ends -= ends[0]
-            ids, sizes = flat & what, size - (flat >> _WHAT)
+            sizes = length[np.minimum(flat, known)]
             live, at = np.arange(batch.num_rows), ends[1:].copy()
             taken = []  # (units, ids) from the last pieces on
             count = np.zeros(batch.num_rows, np.int64)
             while len(live):
                 here = at[live] - 1
-                taken.append((live, ids[here]))
+                taken.append((live, flat[here]))
                 count[live] += 1
                 at[live] -= sizes[here]
                 live = live[at[live] > ends[live]]
@@ -342,37 +340,52 @@ def merged(units: DataFrame, model: str) -> DataFrame:
 _ADDED = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
 
 
-class Units(dict):
-    """Numbers of units, given as they come, and their ids in one pool."""
+class Known(dict):
+    """Numbers of words, given as they come, their ids in one pool, and the bytes that these decode to."""
 
     def __init__(self, words: Vocabulary, ids_of):
         """ids_of(units) gives the sizes of their ids, and these one after the other."""
         super().__init__()
-        self.words, self.ids_of, self.new, self.room = words, ids_of, [], 0
-        self.sizes, self.pool = np.empty(0, np.int32), np.empty(0, np.int32)
+        self.words, self.ids_of, self.new = words, ids_of, []
+        self._forget()
+
+    def _forget(self) -> None:
+        self.clear()
+        self.room, self.sizes, self.pool, self.surface = 0, np.empty(0, np.int32), np.empty(0, np.int32), []
 
-    def __missing__(self, unit: str) -> int:
-        self[unit] = number = len(self)
-        self.new.append(unit)
-        self.room += len(unit)
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        self.new.append(word)
+        self.room += len(word)
         return number
 
-    def codes(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of all units of the texts, and n+1 offsets by text. Forgets what it knew when that is too much."""
+    def codes(self, texts: list) -> list[list[int]]:
+        """Numbers of the words of each text. Forgets what it knew when that is too much."""
         if len(self) > _KNOWN or self.room > 32 * _SLICE:
-            self.clear()
-            self.room = 0
-            self.sizes, self.pool = np.empty(0, np.int32), np.empty(0, np.int32)
-        flat, ends = [], [0]
-        for x in texts:
-            flat += map(self.__getitem__, self.words.units(x or ""))
-            ends.append(len(flat))
+            self._forget()
+        number, cut = self.__getitem__, self.words.words
+        out = [list(map(number, cut(x))) if x else [] for x in texts]
         if self.new:
-            sizes, ids = self.ids_of(self.new)
-            self.sizes = np.concatenate([self.sizes, sizes])
-            self.pool = np.concatenate([self.pool, ids])
-            self.new.clear()
-        return np.array(flat, np.int64), np.array(ends, np.int64)
+            self._learn()
+        return out
+
+    def _learn(self) -> None:
+        units = [self.words.units_of(w) for w in self.new]
+        number: dict[str, int] = {}
+        flat = [number.setdefault(u, len(number)) for x in units for u in x]
+        sizes, pool = self.ids_of(list(number))
+        starts = np.cumsum(sizes) - sizes
+        flat = np.array(flat, np.int64)
+        length = sizes[flat]
+        stop = np.cumsum(length)
+        ids = pool[np.repeat(starts[flat] - (stop - length), length) + np.arange(stop[-1])]
+        per_word = np.add.reduceat(length, np.cumsum([0, *map(len, units[:-1])]))
+        # decoding goes through the ids alone
+        surface, ends = list(map(self.words.surface.__getitem__, ids.tolist())), np.cumsum(per_word).tolist()
+        self.surface += [b"".join(surface[a:b]) for a, b in zip([0, *ends], ends)]
+        self.sizes = np.concatenate([self.sizes, per_word.astype(np.int32)])
+        self.pool = np.concatenate([self.pool, ids.astype(np.int32)])
+        self.new.clear()
 
 
 class Pool:
@@ -398,22 +411,18 @@ class Pool:
         return sizes, self.pool[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)].astype(np.int32)
 
 
-def _pack(words: Vocabulary, units: Units, texts: list) -> list[pa.Array]:
+def _pack(known: Known, texts: list) -> list[pa.Array]:
     """Columns ids and decoded of the texts of a slice, which is far below 2 GB."""
-    codes, ends_of_rows = units.codes(texts)
-    starts = np.concatenate([[0], np.cumsum(units.sizes)])[:-1].astype(np.int32)
-    length = units.sizes[codes]
+    codes = known.codes(texts)
+    starts = np.cumsum(known.sizes) - known.sizes
+    ends_of_rows = np.cumsum([0, *map(len, codes)])
+    flat = np.fromiter(chain.from_iterable(codes), np.int64, int(ends_of_rows[-1]))
+    length = known.sizes[flat]
     ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
-    flat = units.pool[np.repeat(starts[codes] - ends[:-1], length) + np.arange(ends[-1], dtype=np.int32)] if len(codes) else np.empty(0, np.int32)
-    rows = ends[ends_of_rows]
-    # decoding goes through the ids alone
-    surface, at, width = words.surfaces
-    w = width[flat]
-    stop = np.concatenate([[0], np.cumsum(w)]).astype(np.int32)
-    data = surface[np.repeat(at[flat] - stop[:-1], w) + np.arange(stop[-1], dtype=np.int32)].tobytes() if len(flat) else b""
-    edge = stop[rows].tolist()
-    decoded = [(s[1:] if s[:1] == b" " else s).decode("utf-8", "replace") for s in (data[a:b] for a, b in zip(edge, edge[1:]))]
-    return [pa.ListArray.from_arrays(pa.array(rows.astype(np.int32)), pa.array(flat)), pa.array(decoded, pa.string())]
+    ids = known.pool[np.repeat((starts[flat] - ends[:-1]).astype(np.int32), length) + np.arange(ends[-1], dtype=np.int32)]
+    surface = known.surface.__getitem__
+    decoded = [(s[1:] if s[:1] == b" " else s).decode("utf-8", "replace") for s in (b"".join(map(surface, x)) for x in codes)]
+    return [pa.ListArray.from_arrays(pa.array(ends[ends_of_rows]), pa.array(ids)), pa.array(decoded, pa.string())]
 
 
 def encode(docs: DataFrame, text: str = "text", model: str = VOCABULARY, order: str = "scores", broadcast_units: int = BROADCAST_UNITS) -> DataFrame:
@@ -438,9 +447,7 @@ def encode(docs: DataFrame, text: str = "text", model: str = VOCABULARY, order:
     texts = docs.select(F.col(f"`{text}`"))
     if order == "scores":
         units = stored(distinct_units(texts, model))
-        # a task has some _MADE units, so their edges may be grouped in memory, without a sort
-        with setting(docs.sparkSession, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", 4 * _MADE):
-            known = stored(traced(best_paths(units, words), model))
+        known = stored(traced(best_paths(units, words), model))
         drop_stored(units)
     else:
         known = stored(merged(distinct_units(texts, model, whole=True), model))
@@ -450,9 +457,9 @@ def encode(docs: DataFrame, text: str = "text", model: str = VOCABULARY, order:
         drop_stored(known)
 
         def run(batches):
-            words, units = vocabulary(model), Units(vocabulary(model), table.value)
+            met = Known(vocabulary(model), table.value)
             for batch in pieces_of(batches, at, _SLICE):
-                yield pa.RecordBatch.from_arrays([*batch.columns, *_pack(words, units, batch.column(at).to_pylist())], names=[*own, "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, *_pack(met, batch.column(at).to_pylist())], names=[*own, "ids", "decoded"])
 
         return base.mapInArrow(run, schema)
 
@@ -484,10 +491,10 @@ def encode(docs: DataFrame, text: str = "text", model: str = VOCABULARY, order:
     met = asked.join(known, ["h", "h2"]).select("block", "h", "ids")
 
     def run_joined(left: pa.Table, right: pa.Table) -> pa.Table:
-        words, units, out = vocabulary(model), Units(vocabulary(model), Pool(right)), []
+        met, out = Known(vocabulary(model), Pool(right)), []
         for batch in left.combine_chunks().to_batches():
             for part in pieces_of([batch], 1, _SLICE):
-                out.append(pa.RecordBatch.from_arrays([*part.column(0).flatten(), *_pack(words, units, part.column(1).to_pylist())], names=[*own, "ids", "decoded"]))
+                out.append(pa.RecordBatch.from_arrays([*part.column(0).flatten(), *_pack(met, part.column(1).to_pylist())], names=[*own, "ids", "decoded"]))
         return pa.Table.from_batches(out)
 
     return blocks.groupBy("block").cogroup(met.groupBy("block")).applyInArrow(run_joined, schema)

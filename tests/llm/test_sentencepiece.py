@@ -18,7 +18,7 @@ FOREIGN = min(SCORES.values()) - 10
 
 
 def best(unit):
-    """The pieces of the path of the best sum of scores, by trying every piece at every place: the longest last piece among equals."""
+    """The pieces of the path of the best sum of scores, by trying every piece at every place: the last piece of the least id among equals."""
     n = len(unit)
     paths = [(0.0, [])]
     for j in range(1, n + 1):
@@ -26,9 +26,9 @@ def best(unit):
         for i in range(max(0, j - WORDS.longest), j):
             s = unit[i:j]
             if s in WORDS.ids:
-                found.append((paths[i][0] + SCORES[s], j - i, i, [WORDS.ids[s]]))
+                found.append((paths[i][0] + SCORES[s], -WORDS.ids[s], i, [WORDS.ids[s]]))
             elif j - i == 1:
-                found.append((paths[i][0] + FOREIGN, 1, i, [WORDS.bytes[b] for b in s.encode()]))
+                found.append((paths[i][0] + FOREIGN, -WORDS.size - ord(s), i, [WORDS.bytes[b] for b in s.encode()]))
         total, _, i, ids = max(found, key=lambda x: x[:2])
         paths.append((total, (i, ids)))
     out, j = [], n
@@ -91,6 +91,13 @@ def test_units_join_to_the_text():
     for t in TEXTS:
         if t:
             assert "".join(WORDS.units(t)) == "▁" + t.replace(" ", "▁")
+            assert [u for w in WORDS.words(t) for u in WORDS.units_of(w)] == WORDS.units(t)
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text(alphabet="ab é\n\r\t▁.,(0日\U0001f600", max_size=40))
+def test_words_are_whole_units(text):
+    assert [u for w in WORDS.words(text) for u in WORDS.units_of(w)] == WORDS.units(text)
 
 
 def test_decoding_foreign_ids():
