@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +26,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexiweave.llm._spark import bounded_batches, drop_stored, numbered, stored
-from lexiweave.llm._text import pieces_of
+from lexiweave.llm._text import bytes_of, pieces_of
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
+_SPACE = SPACE.encode()
 #: Characters of a chunk of a unit: the lattice and the fold take a longer unit chunk by chunk. An end in it has 6 bits.
 CHUNK = 63
 #: Units up to which their ids are broadcast (18 bytes each and more for long ones); beyond that, blocks of texts meet their units in a join.
@@ -42,7 +42,7 @@ BLOCK = 32 << 20
 #: Seed of the units' 64-bit hash.
 SEED = 42
 #: Bytes of text that a task cuts up at a time.
-_SLICE = 1 << 20
+_SLICE = 4 << 20
 #: Distinct units that a task holds, and those whose lattice it makes.
 _KNOWN, _MADE = 250_000, 40_000
 #: Bits of an edge, from the lowest: what it stands for, its cost, its size; then its end in the chunk. Of a place in the fold: what its last piece stands for; then the cost.
@@ -86,8 +86,9 @@ class Vocabulary:
         for b, i in self.bytes.items():
             self.surface[i] = bytes([b])
         self.surface[self.unknown] = " ⁇ ".encode()
+        width = np.fromiter(map(len, self.surface), np.int32, size)
+        self.surfaces = np.frombuffer(b"".join(self.surface), np.uint8), np.concatenate([[0], np.cumsum(width)])[:-1].astype(np.int32), width
         self.pattern = self._pattern()
-        self.compile()
 
     def _pattern(self) -> str:
         """A pattern whose matches, one after the other, are the units: no piece reaches across two."""
@@ -99,23 +100,39 @@ class Vocabulary:
         # a run goes on into a run of another kind where some piece has such neighbours
         on = {k: "|".join(f"[{kinds[j]}]" for j in kinds if j != k and k + j in met) for k in kinds}
         every = "(?:" + "|".join(f"{run[k]}(?={on[k]})" for k in kinds if on[k]) + ")*+(?:" + "|".join(run.values()) + ")"
-        # words that units make up whole, where spaces open units, and line ends and tabs are units
-        plain = not any(k + "_" in met for k in kinds if k != "_") and not any("c" in pair for pair in met)
-        self.word_pattern = rf"{SPACE}*+[^{SPACE}\n\t]++|{SPACE}++|[\n\t]" if plain else None
+        #: the kind of each byte of UTF-8, a space standing for U+2581, and which kinds may stand side by side in a unit
+        names = list(kinds)
+        self.kind_of = np.array([names.index("_" if i == 32 else "n" if i > 127 else next(k for k, t in tests.items() if t.match(chr(i)))) for i in range(256)], np.uint8)
+        self.beside = np.array([a + b in met for a in names for b in names + [""] * (8 - len(names))] + [False] * (64 - 8 * len(names)))
         # the common case first, which the general one would match as well: a word of ASCII letters
         lone = f"(?!{on['a']})" if on["a"] else ""
         return (f"{SPACE}*+[A-Za-z]++{lone}|" if {"__", "_a", "aa"} <= met else "") + every
 
     def units(self, text: str) -> list[str]:
-        return self.units_of(SPACE + text.replace(" ", SPACE)) if text else []
-
-    def words(self, text: str) -> list[str]:
-        """Runs of whole units, fewer and with fewer different ones than their occurrences; together the text."""
-        return self._in_words(SPACE + text.replace(" ", SPACE)) if text else []
-
-    def compile(self) -> None:
-        self.units_of = re.compile(self.pattern).findall
-        self._in_words = re.compile(self.word_pattern or self.pattern).findall
+        if "_find" not in self.__dict__:
+            self._find = re.compile(self.pattern).findall
+        return self._find(SPACE + text.replace(" ", SPACE)) if text else []
+
+    def cut(self, text: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+        """The units of texts as codes, the distinct ones (U+2581 perhaps as a space), and n+1 offsets by text."""
+        data, ends = bytes_of(text)
+        ends = ends.astype(np.int64)
+        full = np.diff(ends) > 0
+        b = np.insert(np.frombuffer(data, np.uint8), ends[:-1][full], 32)  # the space that opens a text
+        ends = ends + np.concatenate([[0], np.cumsum(full)])
+        if not len(b):
+            return np.empty(0, np.int64), [], np.zeros(len(ends), np.int64)
+        kind = self.kind_of[b]
+        if _SPACE in data:
+            at = np.flatnonzero((b[:-2] == _SPACE[0]) & (b[1:-1] == _SPACE[1]) & (b[2:] == _SPACE[2]))
+            for k in range(3):
+                kind[at + k] = 0
+        start = np.ones(len(b), bool)
+        start[1:] = ~(self.beside[kind[:-1] * 8 + kind[1:]] | ((b[1:] & 0xC0) == 0x80))
+        start[ends[:-1][full]] = True
+        at = np.flatnonzero(start)
+        flat = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.append(at, len(b)).astype(np.int32)), pa.py_buffer(b)]).dictionary_encode()
+        return flat.indices.to_numpy(), flat.dictionary.to_pylist(), np.searchsorted(at, ends)
 
     def edges(self, unit: str) -> list[tuple[int, int, int]]:
         """(place in the merge order, start, end) of the pieces of two characters or more in a unit."""
@@ -170,9 +187,8 @@ def vocabulary(model: str) -> Vocabulary:
 _UNITS = "unit string, chunk int, h long, h2 long"
 
 
-def _identity(unit: str) -> tuple[int, int]:
-    """The unit's hashes, the first as a signed long."""
-    data = unit.encode()
+def _identity(data: bytes) -> tuple[int, int]:
+    """A unit's hashes, the first as a signed long."""
     h = xxhash.xxh64_intdigest(data, SEED)
     return h - (1 << 64) if h >> 63 else h, zlib.crc32(data)
 
@@ -181,7 +197,7 @@ def chunks(unit: str, longest: int) -> list[tuple]:
     """Rows of _UNITS of a unit: itself, or its chunks, each with the characters before it that its pieces may begin at."""
     if len(unit) <= CHUNK:
         return [(unit, 0, None, None)]
-    h, h2 = _identity(unit)
+    h, h2 = _identity(unit.encode())
     return [(unit[max(0, k * CHUNK - longest) : (k + 1) * CHUNK], k, h, h2) for k in range(-(-len(unit) // CHUNK))]
 
 
@@ -192,7 +208,7 @@ def distinct_units(texts: DataFrame, model: str, whole: bool = False) -> DataFra
         words, met, size = vocabulary(model), set(), 0
 
         def flush():
-            units = list({u for w in met for u in words.units_of(w)})
+            units = [u.replace(b" ", _SPACE).decode() for u in met]
             met.clear()
             for i in range(0, len(units), 1 << 16):
                 some = units[i : i + (1 << 16)]
@@ -209,10 +225,9 @@ def distinct_units(texts: DataFrame, model: str, whole: bool = False) -> DataFra
 
         names = ["unit", "chunk", "h", "h2"]
         for batch in pieces_of(batches, 0, _SLICE):
-            for x in batch.column(0).to_pylist():
-                met.update(words.words(x or ""))
+            met.update(words.cut(batch.column(0))[1])
             size += batch.column(0).nbytes
-            if len(met) > 2 * _KNOWN or size > 64 * _SLICE:
+            if len(met) > 2 * _KNOWN or size > 16 * _SLICE:
                 yield from flush()
                 size = 0
         yield from flush()
@@ -331,7 +346,7 @@ def merged(units: DataFrame, model: str) -> DataFrame:
         words = vocabulary(model)
         for batch in pieces_of(batches, 0, _SLICE):
             units = batch.column(0).to_pylist()
-            h, h2 = zip(*map(_identity, units))
+            h, h2 = zip(*(_identity(u.encode()) for u in units))
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(h2, pa.int64()), pa.array([words.ids_of(words.fold(u)) for u in units], pa.list_(pa.int32()))], names=["h", "h2", "ids"])
 
     return units.mapInArrow(run, "h long, h2 long, ids array<int>")
@@ -341,7 +356,7 @@ _ADDED = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("dec
 
 
 class Known(dict):
-    """Numbers of words, given as they come, their ids in one pool, and the bytes that these decode to."""
+    """Numbers of units, given as they come, and their ids in one pool."""
 
     def __init__(self, words: Vocabulary, ids_of):
         """ids_of(units) gives the sizes of their ids, and these one after the other."""
@@ -351,41 +366,25 @@ class Known(dict):
 
     def _forget(self) -> None:
         self.clear()
-        self.room, self.sizes, self.pool, self.surface = 0, np.empty(0, np.int32), np.empty(0, np.int32), []
+        self.room, self.sizes, self.pool = 0, np.empty(0, np.int32), np.empty(0, np.int32)
 
-    def __missing__(self, word: str) -> int:
-        self[word] = number = len(self)
-        self.new.append(word)
-        self.room += len(word)
+    def __missing__(self, unit: bytes) -> int:
+        self[unit] = number = len(self)
+        self.new.append(unit)
+        self.room += len(unit)
         return number
 
-    def codes(self, texts: list) -> list[list[int]]:
-        """Numbers of the words of each text. Forgets what it knew when that is too much."""
-        if len(self) > _KNOWN or self.room > 32 * _SLICE:
+    def codes(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all units of the texts, and n+1 offsets by text. Forgets what it knew when that is too much."""
+        if len(self) > _KNOWN or self.room > 8 * _SLICE:
             self._forget()
-        number, cut = self.__getitem__, self.words.words
-        out = [list(map(number, cut(x))) if x else [] for x in texts]
+        codes, distinct, ends = self.words.cut(text)
+        number = np.fromiter(map(self.__getitem__, distinct), np.int64, len(distinct))
         if self.new:
-            self._learn()
-        return out
-
-    def _learn(self) -> None:
-        units = [self.words.units_of(w) for w in self.new]
-        number: dict[str, int] = {}
-        flat = [number.setdefault(u, len(number)) for x in units for u in x]
-        sizes, pool = self.ids_of(list(number))
-        starts = np.cumsum(sizes) - sizes
-        flat = np.array(flat, np.int64)
-        length = sizes[flat]
-        stop = np.cumsum(length)
-        ids = pool[np.repeat(starts[flat] - (stop - length), length) + np.arange(stop[-1])]
-        per_word = np.add.reduceat(length, np.cumsum([0, *map(len, units[:-1])]))
-        # decoding goes through the ids alone
-        surface, ends = list(map(self.words.surface.__getitem__, ids.tolist())), np.cumsum(per_word).tolist()
-        self.surface += [b"".join(surface[a:b]) for a, b in zip([0, *ends], ends)]
-        self.sizes = np.concatenate([self.sizes, per_word.astype(np.int32)])
-        self.pool = np.concatenate([self.pool, ids.astype(np.int32)])
-        self.new.clear()
+            sizes, ids = self.ids_of([u.replace(b" ", _SPACE) for u in self.new])
+            self.sizes, self.pool = np.concatenate([self.sizes, sizes]), np.concatenate([self.pool, ids])
+            self.new.clear()
+        return number[codes], ends
 
 
 class Pool:
@@ -400,9 +399,9 @@ class Pool:
         self.keys, self.starts, self.sizes = h[order], ends[:-1][order], np.diff(ends)[order].astype(np.int32)
         self.pool = flat.astype(np.uint16) if not len(flat) or flat.max() < 1 << 16 else flat
 
-    def __call__(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         digest = xxhash.xxh64_intdigest
-        h = np.fromiter((digest(u.encode(), SEED) for u in units), np.uint64, len(units))
+        h = np.fromiter((digest(u, SEED) for u in units), np.uint64, len(units))
         at = np.searchsorted(self.keys, h)
         if len(units) and (not len(self.keys) or (self.keys[np.minimum(at, len(self.keys) - 1)] != h).any()):
             raise ValueError("a text has a unit that it did not have when the units were collected")
@@ -411,18 +410,22 @@ class Pool:
         return sizes, self.pool[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)].astype(np.int32)
 
 
-def _pack(known: Known, texts: list) -> list[pa.Array]:
+def _pack(known: Known, text: pa.Array) -> list[pa.Array]:
     """Columns ids and decoded of the texts of a slice, which is far below 2 GB."""
-    codes = known.codes(texts)
-    starts = np.cumsum(known.sizes) - known.sizes
-    ends_of_rows = np.cumsum([0, *map(len, codes)])
-    flat = np.fromiter(chain.from_iterable(codes), np.int64, int(ends_of_rows[-1]))
-    length = known.sizes[flat]
+    codes, ends_of_rows = known.codes(text)
+    starts = (np.cumsum(known.sizes) - known.sizes).astype(np.int32)
+    length = known.sizes[codes]
     ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
-    ids = known.pool[np.repeat((starts[flat] - ends[:-1]).astype(np.int32), length) + np.arange(ends[-1], dtype=np.int32)]
-    surface = known.surface.__getitem__
-    decoded = [(s[1:] if s[:1] == b" " else s).decode("utf-8", "replace") for s in (b"".join(map(surface, x)) for x in codes)]
-    return [pa.ListArray.from_arrays(pa.array(ends[ends_of_rows]), pa.array(ids)), pa.array(decoded, pa.string())]
+    flat = known.pool[np.repeat(starts[codes] - ends[:-1], length) + np.arange(ends[-1], dtype=np.int32)]
+    rows = ends[ends_of_rows]
+    # decoding goes through the ids alone
+    surface, at, width = known.words.surfaces
+    w = width[flat]
+    stop = np.concatenate([[0], np.cumsum(w)]).astype(np.int32)
+    data = surface[np.repeat(at[flat] - stop[:-1], w) + np.arange(stop[-1], dtype=np.int32)].tobytes()
+    edge = stop[rows].tolist()
+    decoded = [(s[1:] if s[:1] == b" " else s).decode("utf-8", "replace") for s in (data[a:b] for a, b in zip(edge, edge[1:]))]
+    return [pa.ListArray.from_arrays(pa.array(rows.astype(np.int32)), pa.array(flat)), pa.array(decoded, pa.string())]
 
 
 def encode(docs: DataFrame, text: str = "text", model: str = VOCABULARY, order: str = "scores", broadcast_units: int = BROADCAST_UNITS) -> DataFrame:
@@ -459,7 +462,7 @@ def encode(docs: DataFrame, text: str = "text", model: str = VOCABULARY, order:
         def run(batches):
             met = Known(vocabulary(model), table.value)
             for batch in pieces_of(batches, at, _SLICE):
-                yield pa.RecordBatch.from_arrays([*batch.columns, *_pack(met, batch.column(at).to_pylist())], names=[*own, "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, *_pack(met, batch.column(at))], names=[*own, "ids", "decoded"])
 
         return base.mapInArrow(run, schema)
 
@@ -468,21 +471,13 @@ def encode(docs: DataFrame, text: str = "text", model: str = VOCABULARY, order:
             yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(batch.columns, own), batch.column(at), pa.array(np.full(batch.num_rows, block))], names=["row", "text", "block"])
 
     def asked_of(batches):
-        words, held, last = vocabulary(model), set(), None
-
-        def rows():
-            found = [_identity(u) for u in held]
-            held.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), last)), pa.array([h for h, _ in found], pa.int64()), pa.array([h for _, h in found], pa.int64())], names=["block", "h", "h2"])
-
+        words = vocabulary(model)
         for batch in pieces_of(batches, 1, _SLICE):
-            for block, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if held and (block != last or len(held) > 2 * _KNOWN):
-                    yield from rows()
-                last = block
-                held.update(words.units(x or ""))
-        if held:
-            yield from rows()
+            numbers = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
+            for i, j in zip(cuts, cuts[1:]):
+                found = [_identity(u.replace(b" ", _SPACE)) for u in words.cut(batch.column(1).slice(i, j - i))[1]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), numbers[i])), pa.array([h for h, _ in found], pa.int64()), pa.array([h for _, h in found], pa.int64())], names=["block", "h", "h2"])
 
     row = T.StructType([docs.schema[c] for c in own])
     blocks = stored(base.mapInArrow(dealt, T.StructType([T.StructField("row", row), T.StructField("text", T.StringType()), T.StructField("block", T.LongType())])))
@@ -494,7 +489,7 @@ def encode(docs: DataFrame, text: str = "text", model: str = VOCABULARY, order:
         met, out = Known(vocabulary(model), Pool(right)), []
         for batch in left.combine_chunks().to_batches():
             for part in pieces_of([batch], 1, _SLICE):
-                out.append(pa.RecordBatch.from_arrays([*part.column(0).flatten(), *_pack(met, part.column(1).to_pylist())], names=[*own, "ids", "decoded"]))
+                out.append(pa.RecordBatch.from_arrays([*part.column(0).flatten(), *_pack(met, part.column(1))], names=[*own, "ids", "decoded"]))
         return pa.Table.from_batches(out)
 
     return blocks.groupBy("block").cogroup(met.groupBy("block")).applyInArrow(run_joined, schema)

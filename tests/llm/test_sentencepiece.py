@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 import sentencepiece as library
 from hypothesis import given, settings
@@ -91,13 +92,23 @@ def test_units_join_to_the_text():
     for t in TEXTS:
         if t:
             assert "".join(WORDS.units(t)) == "▁" + t.replace(" ", "▁")
-            assert [u for w in WORDS.words(t) for u in WORDS.units_of(w)] == WORDS.units(t)
+
+
+def cut(texts):
+    codes, distinct, ends = WORDS.cut(pa.array(texts, pa.string()))
+    names = [u.decode().replace(" ", "▁") for u in distinct]
+    return [[names[c] for c in codes[a:b]] for a, b in zip(ends, ends[1:])]
+
+
+def test_texts_are_cut_into_units():
+    assert cut(TEXTS) == [WORDS.units(t or "") for t in TEXTS]
+    assert cut([]) == [] and cut([None, ""]) == [[], []]
 
 
 @settings(max_examples=500, deadline=None)
-@given(st.text(alphabet="ab é\n\r\t▁.,(0日\U0001f600", max_size=40))
-def test_words_are_whole_units(text):
-    assert [u for w in WORDS.words(text) for u in WORDS.units_of(w)] == WORDS.units(text)
+@given(st.lists(st.text(alphabet="ab é\n\r\t▁.,(0日\U0001f600", max_size=30), max_size=4))
+def test_texts_are_cut_as_the_pattern_says(texts):
+    assert cut(texts) == [WORDS.units(t) for t in texts]
 
 
 def test_decoding_foreign_ids():
@@ -108,7 +119,7 @@ def test_decoding_foreign_ids():
 def test_chunks_overlap_by_the_longest_piece():
     unit = "".join(chr(0x4E00 + i) for i in range(200))
     rows = sentencepiece.chunks(unit, WORDS.longest)
-    assert [r[1] for r in rows] == list(range(-(-200 // sentencepiece.CHUNK))) and {r[2:] for r in rows} == {sentencepiece._identity(unit)}
+    assert [r[1] for r in rows] == list(range(-(-200 // sentencepiece.CHUNK))) and {r[2:] for r in rows} == {sentencepiece._identity(unit.encode())}
     for part, k, *_ in rows:
         assert part == unit[max(0, sentencepiece.CHUNK * k - WORDS.longest) : sentencepiece.CHUNK * (k + 1)]
     assert sentencepiece.chunks("▁short", WORDS.longest) == [("▁short", 0, None, None)]
@@ -117,7 +128,7 @@ def test_chunks_overlap_by_the_longest_piece():
 def test_hashes_are_sparks(spark):
     for u in ("▁hello", "日本語", "a" * 300, "\U0001f600"):
         r = spark.createDataFrame([(u,)], "u string").select(F.xxhash64("u").alias("h"), F.crc32(F.col("u").cast("binary")).alias("h2")).first()
-        assert (r["h"], r["h2"]) == sentencepiece._identity(u)
+        assert (r["h"], r["h2"]) == sentencepiece._identity(u.encode())
 
 
 def test_no_documents(docs):
