@@ -22,6 +22,8 @@ from lexiweave.llm._text import LOWER_ALNUM, pieces_of
 WINDOW = 10
 #: Most patterns of one searcher; more are dealt to several, one after the other.
 BLOCK = 200_000
+#: Bytes of benchmark text that come to the driver at a time.
+SLAB = 32 << 20
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -31,7 +33,7 @@ def words_of(text: bytes | None) -> list[bytes]:
 class Searcher:
     """Patterns of one length, each with the items that it comes from."""
 
-    def __init__(self, patterns: dict[tuple, set[int]]):
+    def __init__(self, patterns: dict[tuple, set]):
         self.length = len(next(iter(patterns)))
         self.block = min(2, self.length)
         self.default = self.length - self.block + 1
@@ -41,13 +43,13 @@ class Searcher:
             for end in range(self.block, self.length + 1):
                 key = self._key(words, end - 1)
                 self.shift[key] = min(self.shift.get(key, self.default), self.length - end)
-            self.buckets[self._key(words, self.length - 1)].append((list(words), sorted(items)))
+            self.buckets[self._key(words, self.length - 1)].append((list(words), _ordered(items)))
         self.buckets = dict(self.buckets)
 
     def _key(self, words, end: int):
         return words[end] if self.block == 1 else (words[end - 1], words[end])
 
-    def search(self, words: list[bytes], starts: list[int], items: set[int]) -> None:
+    def search(self, words: list[bytes], starts: list[int], items: set) -> None:
         """Appends the places where a pattern starts, and adds the items."""
         n, m, default, shift, buckets = len(words), self.length, self.default, self.shift, self.buckets
         at = m - 1
@@ -70,27 +72,28 @@ class Searcher:
                         items.update(of)
 
 
-def searchers(rows, window: int, block: int) -> tuple[list[list[Searcher]], list]:
-    """Searchers for each block of patterns, and the item ids by number. rows: (item_id, text)."""
-    ids: dict = {}
-    patterns: dict[tuple, set[int]] = defaultdict(set)
+def searchers(rows, window: int, block: int) -> list[list[Searcher]]:
+    """Searchers for each block of patterns, by length. rows: (item_id, text)."""
+    patterns: dict[tuple, set] = defaultdict(set)
     for item, text in rows:
         words = words_of(text.encode() if isinstance(text, str) else text)
-        if not words or item is None:
-            continue
-        number = ids.setdefault(item, len(ids))
-        for i in range(max(1, len(words) - window + 1)):
-            patterns[tuple(words[i : i + window])].add(number)
+        for i in range(max(1, len(words) - window + 1) if words else 0):
+            patterns[tuple(words[i : i + window])].add(None if item is None else str(item))
     every, out = list(patterns.items()), []
     for i in range(0, len(every), block):
         by_length = defaultdict(dict)
         for words, items in every[i : i + block]:
             by_length[len(words)][words] = items
         out.append([Searcher(by_length[k]) for k in sorted(by_length)])
-    return out, list(ids)
+    return out
+
+
+def _ordered(items) -> list:
+    """As strings, no id last."""
+    return sorted(items, key=lambda x: (x is None, x or ""))
 
 
-def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block: int = BLOCK) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block: int = BLOCK, slab: int = SLAB) -> DataFrame:
     """docs with columns n_words, n_hit, item_ids and spans added (or replaced, if docs has such columns).
 
     Words are runs of ASCII letters and digits and of all non-ASCII, A-Z in
@@ -98,33 +101,35 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     fewer words, but not none, is one window. A document's word inside any
     occurrence of a window is hit: n_hit counts these words, spans are the runs
     of them (start, end), item_ids the items with an occurring window, sorted as
-    strings. Null texts have no words. Items that are null, without words or
-    without id count for nothing; repeated items are one; with no items nothing
-    is hit. Other columns of docs stay; an empty table gives no rows.
-
-    The benchmark is read to the driver; its patterns are dealt into searchers
-    of at most `block` patterns, each broadcast, so that a worker's memory for
-    one of them is bounded; the rows stream through one after the other without
-    a shuffle.
+    strings. Null texts have no words. Items that are null or without words
+    count for nothing; items without an id are one item, whose id is null and
+    comes last; repeated items are one; with no items nothing is hit. Other
+    columns of docs stay; an empty table gives no rows.
+
+    The benchmark comes to the driver in slabs of about `slab` bytes of text, by
+    hash, one after the other; a slab's patterns are dealt into searchers of at
+    most `block` patterns, each broadcast. So a worker's memory for one of them
+    is bounded, and the driver's for a slab; the rows stream through one
+    searcher after the other without a shuffle.
     """
     bounded_batches(docs.sparkSession)
-    dealt, ids = searchers(benchmark.select(item_id, item_text).toLocalIterator(), window, block)
-    names = [str(x) for x in ids]
+    items = benchmark.select(F.col(f"`{item_id}`").alias("item"), F.col(f"`{item_text}`").alias("text")).where("text is not null")
+    slabs = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // slab))
     own = [c for c in docs.columns if c not in ("n_words", "n_hit", "item_ids", "spans")]
     at = own.index(text)
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-    added = [T.StructField("__spans", T.ArrayType(span)), T.StructField("__items", T.ArrayType(T.IntegerType())), T.StructField("n_words", T.LongType())]
+    added = [T.StructField("__spans", T.ArrayType(span)), T.StructField("__items", T.ArrayType(T.StringType())), T.StructField("n_words", T.LongType())]
     base = T.StructType([docs.schema[c] for c in own])
     out = docs.select(*[F.col(f"`{c}`") for c in own])
     context = docs.sparkSession.sparkContext
     pair = pa.struct([("start", pa.int64()), ("end", pa.int64())])
-
-    named = context.broadcast(names)
     final = [added[2], T.StructField("n_hit", T.LongType()), T.StructField("item_ids", T.ArrayType(T.StringType())), T.StructField("spans", T.ArrayType(span))]
-
-    groups = dealt or [[]]
-    for k, group in enumerate(groups):
-        shared = context.broadcast(group)
+    groups = []
+    for k in range(slabs):
+        mine = items.where(F.pmod(F.xxhash64("text"), F.lit(slabs)) == k) if slabs > 1 else items
+        groups += [context.broadcast(group) for group in searchers(mine.toLocalIterator(), window, block)]
+    groups = groups or [context.broadcast([])]
+    for k, shared in enumerate(groups):
         last = k == len(groups) - 1
         then = final if last else added
 
@@ -135,7 +140,7 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
                 spans, items, totals = [], [], []
                 for i, x in enumerate(texts):
                     words = words_of(x)
-                    found: set[int] = set()
+                    found: set = set()
                     marks: list[tuple[int, int]] = []
                     for s in group:
                         starts: list[int] = []
@@ -151,14 +156,13 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
                         else:
                             joined.append([a, b])
                     spans.append([{"start": a, "end": b} for a, b in joined])
-                    items.append(sorted(found))
+                    items.append(_ordered(found))
                     totals.append(len(words))
-                places, total = pa.array(spans, pa.list_(pair)), pa.array(totals, pa.int64())
+                places, total, names = pa.array(spans, pa.list_(pair)), pa.array(totals, pa.int64()), pa.array(items, pa.list_(pa.string()))
                 if last:
-                    hit = pa.array([sum(r["end"] - r["start"] for r in x) for x in spans], pa.int64())
-                    new = [total, hit, pa.array([sorted(named.value[i] for i in x) for x in items], pa.list_(pa.string())), places]
+                    new = [total, pa.array([sum(r["end"] - r["start"] for r in x) for x in spans], pa.int64()), names, places]
                 else:
-                    new = [places, pa.array(items, pa.list_(pa.int32())), total]
+                    new = [places, names, total]
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], *new], names=[*own, *(f.name for f in then)])
 
         out = out.mapInArrow(run, T.StructType([*base.fields, *then]))

@@ -14,12 +14,12 @@ from __future__ import annotations
 from math import sqrt
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lexiweave.llm._spark import components, forest, stored
+from lexiweave.llm._spark import components, drop_stored, forest, stored
 
 #: Most points of a block.
 BLOCK = 4096
@@ -130,16 +130,33 @@ def centres_of(sample: np.ndarray, most: int) -> np.ndarray:
     return sample[chosen]
 
 
+def packed(cells, block: int) -> np.ndarray:
+    """The pack of each of a label's cells (its points): neighbours share one while they have `block` points at most."""
+    pack, room, out = -1, block + 1, np.zeros(len(cells), np.int64)
+    for i, n in enumerate(cells):
+        if room + n > block:
+            pack, room = pack + 1, 0
+        room += n
+        out[i] = pack
+    return out
+
+
 def _dealt(points: DataFrame, least: float, block: int, centres: int) -> DataFrame:
-    """points with `task` and `second` (the side of a comparison of two blocks), once for each task that needs them."""
+    """points with `task` and `second` (the side of a comparison of two blocks), once for each task that needs them.
+
+    The driver sees the labels of more than `block` points, their centres and
+    the cells around them: ALL_CENTRES rows at most, and the pairs of one
+    label's cells. Blocks, and pairs of them, come from these by joins.
+    """
     spark = points.sparkSession
-    hot = points.groupBy("label", "dim").count().where(F.col("count") > block).toPandas()
-    small = points.join(F.broadcast(spark.createDataFrame(hot, "label int, dim int, n long").select("label", "dim")), ["label", "dim"], "left_anti") if len(hot) else points
-    small = small.select("label", "dim", F.lit(-1).cast("long").alias("task"), F.lit(False).alias("second"), "rep", "size", "vector")
-    if not len(hot):
-        return small
+    kind = T.StructType([points.schema["label"], T.StructField("dim", T.IntegerType())])
+    hot = points.groupBy("label", "dim").count().where(F.col("count") > block).orderBy(F.desc("count"), "label", "dim").collect()
+    none = F.lit(None).cast("string")
+    if not hot:
+        return points.select("label", "dim", none.alias("task"), F.lit(False).alias("second"), "rep", "size", "vector")
     most = max(2, min(centres, ALL_CENTRES // len(hot)))
-    numbers = F.broadcast(spark.createDataFrame([(int(r.label), int(r.dim), int(r.count_), k) for k, r in enumerate(hot.rename(columns={"count": "count_"}).itertuples())], "label int, dim int, n long, number int"))
+    numbers = F.broadcast(spark.createDataFrame([(r["label"], r["dim"], r["count"], k) for k, r in enumerate(hot)], T.StructType([*kind.fields, T.StructField("n", T.LongType()), T.StructField("number", T.IntegerType())])))
+    small = points.join(numbers, ["label", "dim"], "left_anti").select("label", "dim", none.alias("task"), F.lit(False).alias("second"), "rep", "size", "vector")
     mine = points.join(numbers, ["label", "dim"])
     drawn = mine.where(F.pmod(F.xxhash64("vector"), F.greatest(F.lit(1), F.floor(F.col("n") / SAMPLE)).cast("long")) == 0).select("number", "vector")
 
@@ -150,8 +167,8 @@ def _dealt(points: DataFrame, least: float, block: int, centres: int) -> DataFra
     found: dict[int, np.ndarray] = {}
     for number, rows in drawn.groupBy("number").applyInArrow(choose, "number int, centre array<double>").toPandas().groupby("number"):
         found[int(number)] = np.stack(rows["centre"].to_numpy())
-    for number in range(len(hot)):  # a sample may be empty
-        found.setdefault(number, np.eye(1, int(hot["dim"][number])))
+    for number, r in enumerate(hot):  # a sample may be empty
+        found.setdefault(number, np.eye(1, r["dim"]))
     shared = spark.sparkContext.broadcast(found)
 
     def nearest(batches):
@@ -165,48 +182,43 @@ def _dealt(points: DataFrame, least: float, block: int, centres: int) -> DataFra
                 far[at] = np.sqrt(np.maximum(0, 2 - 2 * cosine.max(axis=1)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(far)], names=["number", "rep", "size", "vector", "label", "dim", "cell", "far"])
 
-    kinds = dict(points.dtypes)
-    placed = stored(mine.select("number", "rep", "size", "vector", "label", "dim").mapInArrow(nearest, f"number int, rep long, size long, vector {kinds['vector']}, label int, dim int, cell int, far double"))
-    cells = placed.groupBy("number", "cell").agg(F.max("far").alias("radius"), F.count("*").alias("n")).toPandas()
-    plan = []  # number, cell, salt, parts, task, second
+    asked = mine.select("number", "rep", "size", "vector", "label", "dim")
+    placed = stored(asked.mapInArrow(nearest, T.StructType([*asked.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("far", T.DoubleType())])))
+    cells = placed.groupBy("number", "cell").agg(F.max("far").alias("radius"), F.count("*").alias("n")).orderBy("number", "cell").toPandas()
+    # a pack is some small cells, or one that is salted into blocks; two packs are compared if any of their cells meet
+    packs, meetings = [], []  # (number, cell, pack, blocks), (number, pack, other, side, blocks of the other)
     apart = sqrt(max(0.0, 2 - 2 * least)) + _SLACK
-    task = 0
     for number, rows in cells.groupby("number"):
-        c = found[int(number)][rows["cell"].to_numpy()]
+        c, n = found[int(number)][rows["cell"].to_numpy()], rows["n"].to_numpy()
         radius = rows["radius"].to_numpy() + _SLACK
+        pack = packed(n, block)
+        of = np.eye(pack.max() + 1, dtype=bool)[pack]
         meets = np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T))) <= apart + radius[:, None] + radius[None, :]
-        np.fill_diagonal(meets, True)
-        # cells are packed into blocks by number of points; blocks of one packing are compared if any of their cells meet
-        parts = [(int(x), s, p) for x, n in zip(rows["cell"], rows["n"]) for p in [-(-int(n) // block)] for s in range(p)]
-        place = {int(x): i for i, x in enumerate(rows["cell"])}
-        sizes = dict(zip(rows["cell"], rows["n"]))
-        packs, room = [], 0
-        for part in sorted(parts, key=lambda x: x[0]):
-            n = int(sizes[part[0]]) / part[2]
-            if not packs or room + n > block:
-                packs.append([])
-                room = 0
-            packs[-1].append(part)
-            room += n
-        for i, a in enumerate(packs):
-            for j in range(i, len(packs)):
-                if i == j or any(meets[place[x[0]], place[y[0]]] for x in a for y in packs[j]):
-                    plan += [(int(number), *x, task, False) for x in a]
-                    if j > i:
-                        plan += [(int(number), *x, task, True) for x in packs[j]]
-                    task += 1
-    wanted = spark.createDataFrame(plan, "number int, cell int, salt int, parts int, task long, second boolean")
-    by_cell = wanted.groupBy("number", "cell", "parts").agg(F.collect_list(F.struct("salt", "task", "second")).alias("to"))
-    dealt = placed.join(F.broadcast(by_cell) if len(plan) < 200_000 else by_cell, ["number", "cell"])
-    mine = F.filter("to", lambda t: t["salt"] == F.pmod(F.xxhash64("rep"), F.col("parts")))
-    out = dealt.withColumn("t", F.explode(mine))
-    return small.unionByName(out.select("label", "dim", F.col("t.task").alias("task"), F.col("t.second").alias("second"), "rep", "size", "vector"))
+        blocks = -(-(of * n[:, None]).sum(axis=0) // block)
+        packs += [(int(number), int(x), int(p), int(blocks[p])) for x, p in zip(rows["cell"], pack)]
+        for x, y in zip(*np.nonzero(of.T @ meets @ of)):
+            if x != y:
+                meetings.append((int(number), int(x), int(y), bool(x > y), int(blocks[y])))
+    block_of = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    packs = F.broadcast(spark.createDataFrame(packs, "number int, cell int, pack int, blocks int"))
+    dealt = placed.join(packs, ["number", "cell"]).withColumn("mine", block_of).drop("cell", "far")
+    # within a pack: a block with itself, and with each other one, the lesser of the two being the first side
+    own = dealt.withColumn("other", F.col("pack")).withColumn("theirs", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("second", F.col("mine") > F.col("theirs"))
+    out = own
+    if meetings:
+        others = F.broadcast(spark.createDataFrame(meetings, "number int, pack int, other int, second boolean, of int"))
+        across = dealt.join(others, ["number", "pack"]).withColumn("theirs", F.explode(F.expr("sequence(0, of - 1)"))).drop("of")
+        out = own.unionByName(across)
+    sides = [F.struct("pack", "mine"), F.struct(F.col("other").alias("pack"), F.col("theirs").alias("mine"))]
+    names = [F.when(F.col("second"), sides[1 - k]).otherwise(sides[k]) for k in (0, 1)]
+    task = F.concat_ws(" ", "number", *[x[c].cast("string") for x in names for c in ("pack", "mine")])
+    return small.unionByName(out.select("label", "dim", task.alias("task"), "second", "rep", "size", "vector"))
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.98, block: int = BLOCK, centres: int = CENTRES) -> DataFrame:
     """(id_col, n_links, component_id, kept) for each row of vectors.
 
-    Vectors link if their labels are equal and not null, they have as many
+    Vectors link if their labels, of any type that can be compared, are equal and not null, they have as many
     components and their cosine in double precision is `least` or more. Null
     vectors, vectors of zeroes (or none) and those with a null or non-finite
     component link with nothing. n_links counts the other rows that a row links
@@ -217,7 +229,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
     """
     numbers = F.transform(vector, lambda x: x.cast("double"))
     good = F.col(label).isNotNull() & F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf"))) & F.exists(vector, lambda x: x != 0)
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("label"), F.when(good, numbers).alias("vector"))
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(f"`{label}`").alias("label"), F.when(good, numbers).alias("vector"))
     whole = rows.where("vector is not null")
     points = stored(whole.groupBy("label", "vector").agg(F.count("*").alias("size"), F.min("id").alias("least")).withColumn("dim", F.size("vector")).withColumn("rep", F.monotonically_increasing_id()))
     tasks = _dealt(points.select("label", "dim", "rep", "size", "vector"), least, block, centres)

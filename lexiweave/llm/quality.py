@@ -97,25 +97,38 @@ def log_ratios(rows: DataFrame) -> tuple[np.ndarray, int, int]:
     return ratio, ones, zeroes
 
 
-def descend(rows: list[tuple[np.ndarray, np.ndarray]], signs: np.ndarray, size: int, bound: float = 1.0, passes: int = 10) -> np.ndarray:
-    """Linear hinge-loss model by dual coordinate descent; rows are (cells, values); the last weight is the bias."""
+def descend(rows: list[tuple[np.ndarray, np.ndarray]], signs: np.ndarray, size: int, bound: float = 1.0, passes: int = 300, tolerance: float = 1e-3) -> np.ndarray:
+    """Linear hinge-loss model by dual coordinate descent; rows are (cells, values); the last weight is the bias.
+
+    Ends when no row's slope leads further than the tolerance. A row that is at
+    a bound and leads well beyond it is left out until the others are done.
+    """
     w, alpha = np.zeros(size + 1), np.zeros(len(rows))
     norm = np.array([v @ v + 1 for _, v in rows])
-    random = np.random.default_rng(0)
+    random, live, far = np.random.default_rng(0), np.arange(len(rows)), np.inf
     for _ in range(passes):
-        largest = 0.0
-        for i in random.permutation(len(rows)):
+        worst, stay = 0.0, np.ones(len(live), bool)
+        order = random.permutation(len(live))
+        for k in order:
+            i = live[k]
             at, v = rows[i]
             slope = signs[i] * (w[at] @ v + w[-1]) - 1
+            leads = min(slope, 0.0) if alpha[i] == 0 else max(slope, 0.0) if alpha[i] == bound else slope
+            if not leads:
+                stay[k] = abs(slope) <= far
+                continue
+            worst = max(worst, abs(leads))
             new = min(max(alpha[i] - slope / norm[i], 0.0), bound)
             step = (new - alpha[i]) * signs[i]
-            if step:
-                w[at] += step * v
-                w[-1] += step
-                alpha[i] = new
-                largest = max(largest, abs(step))
-        if largest < 1e-3 * bound:
+            w[at] += step * v
+            w[-1] += step
+            alpha[i] = new
+        if worst >= tolerance:
+            live, far = live[stay], worst
+        elif len(live) == len(rows):
             break
+        else:
+            live, far = np.arange(len(rows)), np.inf
     return w
 
 
@@ -127,27 +140,36 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
     """Weights by cell (ratios included) and the bias, from training rows (id, text, label 0 or 1).
 
     Without rows of both labels the weights are zero and the bias tells the
-    label that there is, or nothing.
+    label that there is, or nothing. The one task that fits gets the sampled
+    rows' cells, DIMENSIONS + 4 of them at most for each, and no text.
     """
     ratio, ones, zeroes = log_ratios(rows)
     if not ones or not zeroes:
         return np.zeros_like(ratio), float(bool(ones)) - float(bool(zeroes))
     share = sample / (ones + zeroes)
-    chosen = rows.withColumn("h", F.xxhash64("id", "text"))
+    chosen = rows.select(F.xxhash64("id", "text").alias("h"), "text", "label")
     if share < 1:  # cut to about the sample before its exact order
         chosen = chosen.where((F.pmod("h", F.lit(1 << 20)) < int(share * 1.2 * (1 << 20)) + 1))
-    chosen = chosen.orderBy("h").limit(sample).select("text", "label")
+
+    def cells(batches):
+        for batch in pieces_of(batches, 1):
+            grams, shape = zip(*features(batch.column(1)))
+            lists = [pa.array([x.astype(np.int32) for x in side], pa.list_(pa.int32())) for side in (grams, shape)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *lists], names=["h", "label", "grams", "shape"])
+
+    told = chosen.mapInArrow(cells, "h long, label int, grams array<int>, shape array<int>").orderBy("h").limit(sample)
     shared = rows.sparkSession.sparkContext.broadcast(ratio)
 
     def solve(key: tuple, table: pa.Table) -> pa.Table:
-        label = table.column("label").to_pylist()
+        table = table.sort_by("h")
         ratio, data = shared.value, []
-        for batch in pieces_of(table.select(["text"]).to_batches()):
-            data += [_values(ratio, *f) for f in features(batch.column(0))]
-        w = descend(data, np.where(np.array(label) > 0, 1.0, -1.0), len(ratio))
+        for batch in table.to_batches():
+            sides = [(x.flatten().to_numpy(), x.offsets.to_numpy() - x.offsets[0].as_py()) for x in (batch.column("grams"), batch.column("shape"))]
+            data += [_values(ratio, *[flat[ends[i] : ends[i + 1]] for flat, ends in sides]) for i in range(batch.num_rows)]
+        w = descend(data, np.where(table.column("label").to_numpy() > 0, 1.0, -1.0), len(ratio))
         return pa.table({"w": pa.array([w.tolist()], pa.list_(pa.float64()))})
 
-    w = np.array(chosen.groupBy(F.lit(0).alias("all")).applyInArrow(solve, "w array<double>").first()["w"])
+    w = np.array(told.groupBy(F.lit(0).alias("all")).applyInArrow(solve, "w array<double>").first()["w"])
     return w[:-1] * ratio, float(w[-1])
 
 

@@ -92,15 +92,17 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", otherwise: str =
         return base.select("__row.*", F.col("__host").alias("host"), F.col("__path").alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(otherwise).alias("verdict"))
     blocks = min(MOST_BLOCKS, max(1, -(-shape["n"] // KEYS)))
     filter_ = bloom(listed, blocks)
-    count = F.size(F.split("__host", r"\."))
-    ends = [F.when(count >= k, F.substring_index("__host", ".", -k)) for k in sorted(shape["labels"])]
-    starts = [F.when(F.length("__path") >= n, F.substring("__path", 1, n)) for n in sorted(shape["lengths"])]
-    keys = F.array_compact(F.array(*[F.concat(h, F.lit("\n"), p) for h in ends for p in starts]))
-    probed = _with_hits(base.withColumn("keys", keys), "keys", filter_, blocks).drop("keys")
+    count, size = F.size(F.split("__host", r"\.")), F.length("__path")
+    labels, lengths = (F.array(*[F.lit(x) for x in sorted(shape[c])]) for c in ("labels", "lengths"))
+    end = lambda k: F.call_function("substring_index", F.col("__host"), F.lit("."), -k)
+    every = F.transform(F.filter(labels, lambda k: k <= count), lambda k: F.transform(F.filter(lengths, lambda n: n <= size), lambda n: F.concat(end(k), F.lit("\n"), F.substring("__path", F.lit(1), n))))
+    probed = _with_hits(base.withColumn("keys", F.flatten(every)), "keys", filter_, blocks).drop("keys")
     exact = listed.select("key", F.struct((F.length("host") + F.length("path")).alias("size"), F.length("host").alias("of_host"), (F.col("rule_verdict") == "allow").alias("allows"), F.concat("host", "path").alias("rule"), "rule_verdict").alias("hit"))
     if shape["n"] <= BROADCAST_RULES:
         exact = F.broadcast(exact)
-    # the hits of a row leave its partition together, so that the sums below meet in the task that made them
-    met = probed.withColumn("__n", F.monotonically_increasing_id()).withColumn("key", F.explode_outer("hits")).join(exact, "key", "left")
-    out = met.groupBy("__n").agg(F.max("hit").alias("hit"), *[F.first(c).alias(c) for c in ("__row", "__host", "__path")])
+    # rows without a hit stay where they are
+    own_columns = ("__row", "__host", "__path")
+    clear = probed.where(F.size("hits") == 0).select(F.lit(None).cast(exact.schema["hit"].dataType).alias("hit"), *own_columns)
+    met = probed.where(F.size("hits") > 0).withColumn("__n", F.monotonically_increasing_id()).withColumn("key", F.explode("hits")).drop("hits").join(exact, "key", "left")
+    out = met.groupBy("__n").agg(F.max("hit").alias("hit"), *[F.first(c).alias(c) for c in own_columns]).drop("__n").unionByName(clear)
     return out.select("__row.*", F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("hit.rule").alias("rule"), F.coalesce("hit.rule_verdict", F.lit(otherwise)).alias("verdict"))

@@ -22,31 +22,30 @@ def brute(text):
     w, hit, items = words(text), set(), set()
     for i, t in ITEMS:
         p = words(t)
-        if i is None or not p:
+        if not p:
             continue
         for s in range(max(1, len(p) - 9)):
             run = p[s : s + 10]
             for k in range(len(w) - len(run) + 1):
                 if w[k : k + len(run)] == run:
                     hit.update(range(k, k + len(run)))
-                    items.add(str(i))
-    return len(w), len(hit), sorted(items)
+                    items.add(None if i is None else str(i))
+    return len(w), len(hit), sorted(items, key=lambda x: (x is None, x or ""))
 
 
 TEXTS = [
     *ODD, "x " + " ".join(words_of(1, 30)) + " y", " ".join(words_of(1, 30)[3:13]).upper(), " ".join(words_of(1, 30)[3:12]), " ".join(words_of(2, 10)) * 2, "a short item here, a short-item-here",
     "one two one", "aa " * 9, "aa " * 10, "aa " * 50, "été d où!", " ".join(words_of(5, 3000)), " ".join(words_of(3, 9)), " ".join(words_of(3, 9)[:8]),
+    "some words without an id, one",
 ]
 
 
-@pytest.mark.parametrize("block", [10**6, 7, 1])
-def test_against_brute_force(spark, docs, block):
+@pytest.mark.parametrize("block, slab", [(10**6, 10**6), (7, 10**6), (10**6, 100), (5, 200)])
+def test_against_brute_force(spark, docs, block, slab):
     items = spark.createDataFrame(ITEMS, "item_id long, text string").repartition(3)
-    df = docs(TEXTS).withColumn("spans", F.lit("own")).withColumn("extra", F.lit(1))
-    out = decontam.find(df, items, block=block) if block > 1 else decontam.find(df, items.where("item_id in (1, 3)"), block=8)
-    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "extra", "n_words", "n_hit", "item_ids", "spans"]
-    if block == 1:
-        return
+    df = docs(TEXTS).withColumn("spans", F.lit("own")).withColumn("extra", F.lit(1)).withColumn("item", F.lit(2))
+    out = decontam.find(df, items, block=block, slab=slab)
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "extra", "item", "n_words", "n_hit", "item_ids", "spans"]
     got = {r["doc_id"]: r for r in out.collect()}
     for i, t in enumerate(TEXTS):
         r = got[i]

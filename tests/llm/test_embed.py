@@ -1,3 +1,4 @@
+import datetime
 import math
 
 import numpy as np
@@ -61,6 +62,44 @@ def test_repeated_rows_and_null_ids(spark):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("block", [4096, 16])
+def test_labels_of_any_type(spark, block):
+    rows = data(60)
+    want = brute(rows)
+    for kind, cast in (("string", lambda k: f"label {k}"), ("date", lambda k: datetime.date(2020, 1, 1 + k)), ("boolean", bool), ("struct<a:int,b:string>", lambda k: (k, "x"))):
+        df = spark.createDataFrame([(i, x, None if k is None else cast(k)) for i, x, k in rows], f"vec_id long, embedding array<float>, label {kind}")
+        assert sorted((tuple(r) for r in embed.near_duplicates(df, block=block, centres=8).collect()), key=repr) == want
+
+
+def test_packs_are_bounded():
+    g = np.random.default_rng(0)
+    for _ in range(50):
+        cells = g.integers(1, 40, 30)
+        pack = embed.packed(cells, 25)
+        assert (np.diff(pack) >= 0).all() and pack[0] == 0 and set(pack) == set(range(pack[-1] + 1))
+        for p in range(pack[-1] + 1):
+            assert cells[pack == p].sum() <= 25 or (pack == p).sum() == 1
+
+
+def test_each_pair_of_blocks_meets_once(spark):
+    """Every two points whose cells may hold a link meet in one task, and no task has more than two blocks."""
+    g = np.random.default_rng(5)
+    x = g.normal(size=(300, 4))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(0, 4, i, 1, v.tolist()) for i, v in enumerate(x)], "label int, dim int, rep long, size long, vector array<double>")
+    tasks = {}
+    for r in embed._dealt(df, 0.9, 20, 6).collect():
+        tasks.setdefault(r["task"], ([], []))[r["second"]].append(r["rep"])
+    met = {}
+    for left, right in tasks.values():
+        for i in left:
+            for j in right or left:
+                if i != j:
+                    met[frozenset((i, j))] = met.get(frozenset((i, j)), 0) + (1 if right else 0.5)
+    assert set(met.values()) == {1}
+    assert all(frozenset((i, j)) in met for i in range(300) for j in range(i) if x[i] @ x[j] >= 0.9)
+
+
 def test_no_vectors(spark):
     assert embed.near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
     assert embed.near_duplicates(spark.createDataFrame([(1, None, None)], VECTORS)).collect()[0]["kept"]
