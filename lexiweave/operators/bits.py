@@ -1,14 +1,18 @@
 """Bit vectors as rows (word_idx BIGINT, word BIGINT), 64 bits a word, the least significant first.
 
-A vector's length isn't in its rows; functions that need it take it. Bits beyond
-it are zero.
+A vector's length isn't in its rows; functions that need it take it, and a
+BitVector carries it. Bits beyond it are zero.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
+#: Words of a block of the searches that go over all words.
+BLOCK = 1 << 16
 EMPTY = "word_idx long, word long"
 
 
@@ -117,17 +121,24 @@ def positions_of(words: DataFrame, length: int, bit: int, start: int = 0) -> Dat
     return bits_of(words, length).where((F.col("bit") == bit) & (F.col("pos") >= start)).select("pos")
 
 
-def neighbours(words: DataFrame, length: int) -> DataFrame:
+def neighbours(words: DataFrame, length: int, block: int = BLOCK) -> DataFrame:
     """(pos, prev_one, next_one) of every set bit: the set bits strictly before and after it, null if there is none.
 
-    In two steps: within each word, and over the words' first and last set bits.
+    In three steps: within each word, over the words of a block, and over the
+    blocks' first and last set bits; only these meet in one task.
     """
-    on = positions_of(words, length, 1).withColumn("_w", F.floor(F.col("pos") / 64))
+    on = positions_of(words, length, 1).withColumn("_w", F.floor(F.col("pos") / 64)).withColumn("_b", F.floor(F.col("_w") / block))
+    edges = F.min("pos").alias("_first"), F.max("pos").alias("_last")
+
+    def beside(df: DataFrame, along: WindowSpec, names: tuple[str, str]) -> DataFrame:
+        """The last set bit before a group and the first after it."""
+        return df.withColumn(names[0], F.lag("_last").over(along)).withColumn(names[1], F.lead("_first").over(along)).drop("_first", "_last")
+
+    of_words = beside(on.groupBy("_b", "_w").agg(*edges), Window.partitionBy("_b").orderBy("_w"), ("_p1", "_n1")).drop("_b")
+    of_blocks = beside(on.groupBy("_b").agg(*edges), Window.orderBy("_b"), ("_p2", "_n2"))
     inside = Window.partitionBy("_w").orderBy("pos")
-    along = Window.orderBy("_w")
-    edges = on.groupBy("_w").agg(F.min("pos").alias("_first"), F.max("pos").alias("_last")).select("_w", F.lag("_last").over(along).alias("_before"), F.lead("_first").over(along).alias("_after"))
-    near = on.withColumn("_p", F.lag("pos").over(inside)).withColumn("_n", F.lead("pos").over(inside)).join(edges, "_w")
-    return near.select("pos", F.coalesce("_p", "_before").alias("prev_one"), F.coalesce("_n", "_after").alias("next_one"))
+    near = on.withColumn("_p0", F.lag("pos").over(inside)).withColumn("_n0", F.lead("pos").over(inside)).join(of_words, "_w").join(of_blocks, "_b")
+    return near.select("pos", F.coalesce("_p0", "_p1", "_p2").alias("prev_one"), F.coalesce("_n0", "_n1", "_n2").alias("next_one"))
 
 
 def next_one(words: DataFrame, length: int, pos: int) -> int | None:
@@ -142,3 +153,63 @@ def prev_one(words: DataFrame, length: int, pos: int) -> int | None:
 
 def count_ones(words: DataFrame) -> DataFrame:
     return words.agg(F.coalesce(F.sum(F.bit_count("word")), F.lit(0)).cast("long").alias("ones"))
+
+
+@dataclass(frozen=True)
+class BitVector:
+    """Words and the number of bits in them."""
+
+    words: DataFrame
+    length: int = 0
+
+    @classmethod
+    def new(cls, spark: SparkSession) -> BitVector:
+        return cls(empty(spark))
+
+    @classmethod
+    def filled(cls, spark: SparkSession, n: int, bit: int) -> BitVector:
+        return cls(ones(spark, n) if bit else zeroes(spark, n), n)
+
+    def append(self, value: int, width: int) -> BitVector:
+        return BitVector(*append(self.words, self.length, value, width))
+
+    def push(self, bit: int) -> BitVector:
+        return self.append(bit, 1)
+
+    def extend(self, n: int, bit: int) -> BitVector:
+        return BitVector(*extend(self.words, self.length, n, bit))
+
+    def set(self, changes: DataFrame) -> BitVector:
+        """Places beyond the vector raise."""
+        inside = (F.col("pos") >= 0) & (F.col("pos") < self.length)
+        checked = changes.withColumn("pos", F.when(inside, F.col("pos")).otherwise(F.raise_error(F.lit(f"a place is beyond the {self.length} bits")).cast("long")))
+        return BitVector(set_bits(self.words, checked), self.length)
+
+    def get(self, asked: DataFrame, at: str, width: int = 1) -> DataFrame:
+        return get_bits(self.words, asked, at, width, self.length)
+
+    def positions(self, bit: int, start: int = 0) -> DataFrame:
+        return positions_of(self.words, self.length, bit, start)
+
+    def neighbours(self) -> DataFrame:
+        return neighbours(self.words, self.length)
+
+    def next_one(self, pos: int) -> int | None:
+        return next_one(self.words, self.length, pos)
+
+    def prev_one(self, pos: int) -> int | None:
+        return prev_one(self.words, self.length, pos)
+
+    def count_ones(self) -> int:
+        return count_ones(self.words).first()["ones"]
+
+    def __len__(self) -> int:
+        return self.length
+
+    @property
+    def is_empty(self) -> bool:
+        return not self.length
+
+    def metadata(self) -> DataFrame:
+        """One row: length, words, ones, bytes."""
+        return self.words.agg(F.lit(self.length).cast("long").alias("length"), F.count("*").alias("words"), F.coalesce(F.sum(F.bit_count("word")), F.lit(0)).cast("long").alias("ones"), (8 * F.count("*")).alias("bytes"))

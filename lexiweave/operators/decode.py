@@ -24,6 +24,16 @@ def decode_relational(encoded: DataFrame, dictionary: DataFrame) -> DataFrame:
     return together.select("idx", F.unhex(F.array_join(F.col("p.h"), "")).cast("string").alias("s"))
 
 
+def _parts(batch: pa.RecordBatch, column: int, most: int = 1 << 20):
+    """Runs of rows with about so many tokens, one row at least."""
+    ends = batch.column(column).offsets.to_numpy()
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, side="right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def decode_arrow(encoded: DataFrame, tokens: list[bytes]) -> DataFrame:
     """The same by an Arrow function: the bytes of a batch's tokens are gathered at once from the broadcast dictionary."""
     sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
@@ -35,8 +45,7 @@ def decode_arrow(encoded: DataFrame, tokens: list[bytes]) -> DataFrame:
         data, starts, sizes = shared.value
         data = np.frombuffer(data, np.uint8)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for part in _parts(batch, len(rest)):
                 lists = part.column(len(rest))
                 ids = lists.flatten().to_numpy(zero_copy_only=False)
                 width = sizes[ids]

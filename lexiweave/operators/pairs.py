@@ -49,6 +49,7 @@ def merge_rounds(strings: DataFrame, rounds: int) -> tuple[DataFrame, list[tuple
             break
         merges.append((token, int(best["pair"][1:5], 16), int(best["pair"][6:10], 16), best["cnt"]))
         tokens = tokens.withColumn("t", F.replace("t", F.lit(best["pair"]), F.lit(f"x{token:04X}")))
+    now.unpersist()
     return tokens, merges
 
 

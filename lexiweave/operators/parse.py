@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,12 +16,27 @@ def collected(dictionary: DataFrame) -> list[bytes]:
     return [bytes(r["token"]) for r in dictionary.select("token_id", "token").orderBy("token_id").collect()]
 
 
+#: Bytes of strings that a task parses before it sends their tokens.
+_SLICE = 4 << 20
+
+
+def slices(batches, column: int = 1, limit: int = _SLICE):
+    """Batches cut into runs of rows with about `limit` bytes in a column, one row at least."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, side="right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def _mapped(strings: DataFrame, parse_with) -> DataFrame:
     """(idx, tokens) by an Arrow function; a task parses a string that comes again once."""
 
     def run(batches):
         parse, held = parse_with(), {}
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for data in batch.column(1).cast(pa.binary()).to_pylist():
                 tokens = held.get(data)
@@ -51,13 +68,17 @@ def parse_native(strings: DataFrame, dictionary: DataFrame) -> DataFrame:
     found = spans.withColumn("token", F.expr("substring(b, pos, len)")).join(F.broadcast(dictionary.select("token", "token_id")), "token")
     best = found.groupBy("s", "pos").agg(F.max(F.struct("len", "token_id")).alias("best"))
     path = best.groupBy("s").agg(F.sort_array(F.collect_list(F.struct("pos", F.col("best.len").alias("len"), F.col("best.token_id").alias("token_id")))).alias("path"))
-    start = F.struct(F.lit(1).alias("next"), F.array().cast("array<int>").alias("tokens"))
+    # tokens are appended to a short list that is put away when it is full, so that a step copies little
+    start = F.struct(F.lit(1).alias("next"), F.array().cast("array<array<int>>").alias("done"), F.array().cast("array<int>").alias("tokens"))
 
     def step(state, p):
-        taken = F.struct((state["next"] + p["len"]).alias("next"), F.concat(state["tokens"], F.array(p["token_id"])).alias("tokens"))
+        full = F.size(state["tokens"]) >= 64
+        done = F.when(full, F.concat(state["done"], F.array(state["tokens"]))).otherwise(state["done"])
+        tokens = F.when(full, F.array(p["token_id"])).otherwise(F.concat(state["tokens"], F.array(p["token_id"])))
+        taken = F.struct((state["next"] + p["len"]).alias("next"), done.alias("done"), tokens.alias("tokens"))
         return F.when(p["pos"] == state["next"], taken).otherwise(state)
 
-    walked = path.select("s", F.aggregate("path", start, step, lambda state: state["tokens"]).alias("tokens"))
+    walked = path.select("s", F.aggregate("path", start, step, lambda state: F.flatten(F.concat(state["done"], F.array(state["tokens"])))).alias("tokens"))
     return strings.join(walked, "s", "left").select("idx", F.coalesce("tokens", F.array().cast("array<int>")).alias("tokens"))
 
 

@@ -1,4 +1,4 @@
-"""Dictionary trainers. Both walk their input in order, so each runs as one task over one group.
+"""Dictionary trainers. Both walk their input in order, so each runs as one task: the online pass over a sorted stream that ends when the dictionary is full, byte pairs over the distinct strings.
 
 A dictionary is a list of byte strings, token ids being places in it; the first
 256 are the single bytes.
@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BASE = [bytes([b]) for b in range(256)]
+#: Bytes of strings that an online pass is first tried on.
+FIRST_BYTES = 16 << 20
 #: Token, its halves, and how often the pair was seen when it was merged; nothing for base tokens.
 DICTIONARY = "token_id int, token binary, token_len int, left_id int, right_id int, freq long"
 
@@ -144,24 +146,32 @@ def _table(rows: list) -> pa.Table:
     })
 
 
-def online_dictionary(strings: DataFrame, threshold: int, max_tokens: int, max_len: int | None = None, seed: int | None = 42, sample_bytes: int | None = None) -> DataFrame:
+def online_dictionary(strings: DataFrame, threshold: int, max_tokens: int, max_len: int | None = None, seed: int | None = 42, first_bytes: int = FIRST_BYTES) -> DataFrame:
     """Dictionary (DICTIONARY) of an online pass over (idx, s) in the order of a seeded hash of idx; seed None: in order of idx.
 
-    sample_bytes: train on about that much of the strings, those first by hash;
-    by default on all, which must then fit in one task's memory.
+    The pass ends when there are max_tokens, so it needs the strings up to
+    there alone: it runs over the first of them by hash, about first_bytes, and
+    if these don't fill the dictionary over eight times as many, until they do
+    or are all. The dictionary is that of a pass over everything. The task
+    reads its strings as a stream that Spark has sorted; it holds the
+    dictionary and the counts of pairs.
     """
-    hashed = strings.select(F.xxhash64(F.lit(seed), "idx").alias("h"), "idx", F.col("s").cast("binary").alias("b")) if seed is not None else strings.select(F.col("idx").alias("h"), "idx", F.col("s").cast("binary").alias("b"))
-    some = hashed.where(F.octet_length("b") > 0)
-    if sample_bytes is not None and seed is not None:
-        total = some.agg(F.sum(F.octet_length("b"))).first()[0] or 0
-        if total > sample_bytes:
-            some = some.where(F.pmod("h", F.lit(1 << 20)) < int(sample_bytes / total * (1 << 20)))
-
-    def run(table: pa.Table) -> pa.Table:
-        ordered = table.sort_by([("h", "ascending"), ("idx", "ascending")])
-        return _table(train_online((x.as_py() for x in ordered.column("b")), threshold, max_tokens, max_len))
-
-    return _base_if_empty(some.groupBy(F.lit(0).alias("g")).applyInArrow(run, DICTIONARY), strings)
+    place = F.xxhash64(F.lit(seed), "idx") if seed is not None else F.col("idx")
+    some = strings.where(F.octet_length("s") > 0).select(place.alias("h"), "idx", F.col("s").cast("binary").alias("b"))
+    about = some.agg(F.sum(F.octet_length("b")).alias("size"), F.min("h").alias("low"), F.max("h").alias("high")).first()
+
+    def run(batches):
+        each = (x for batch in batches for x in batch.column(2).to_pylist())
+        yield from _table(train_online(each, threshold, max_tokens, max_len)).to_batches()
+
+    share = first_bytes / max(1, about["size"] or 0)
+    while True:
+        part = some if share >= 1 else some.where(F.col("h") <= about["low"] + int(share * (about["high"] - about["low"])))
+        rows = part.repartition(1).sortWithinPartitions("h", "idx").mapInArrow(run, DICTIONARY).collect()
+        if share >= 1 or len(rows) >= max_tokens:
+            break
+        share *= 8
+    return strings.sparkSession.createDataFrame(rows, DICTIONARY)
 
 
 def bpe_dictionary(strings: DataFrame, max_tokens: int, min_freq: int = 1) -> DataFrame:

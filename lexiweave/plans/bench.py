@@ -15,14 +15,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiweave.plans.codecs import CODECS, codec, data_bytes
-from lexiweave.plans.report import print_report
+from lexiweave.plans.report import MIB, print_report, rates
 from lexiweave.sources.results import append_results, read_results, reset_results
 from lexiweave.sources.results import SCHEMA as RESULTS
 from lexiweave.sources.strings import load_json
 
 QUERIES = 1_000_000
 RUNS = 15
-MIB = 1024.0 * 1024.0
+#: One timed run.
+RUN = "dataset_name string, compressor_name string, data_bytes long, space_bytes long, encode_s double, decode_s double, lookup_s double, lookups long"
 
 
 def random_queries(spark: SparkSession, n: int, count: int = QUERIES, seed: int = 42) -> DataFrame:
@@ -47,7 +48,7 @@ def _run(df: DataFrame) -> None:
 
 
 def measure(strings: DataFrame, name: str, dataset: str, queries: int = QUERIES, seed: int = 42) -> dict:
-    """One run of a codec over a data set: a row of results. Raises if a string doesn't come back as it was.
+    """One run of a codec over a data set: a row of results (`report.rates`). Raises if a string doesn't come back as it was.
 
     The time of an access is that of the whole batch of lookups over their
     number, not the latency of one.
@@ -77,11 +78,8 @@ def measure(strings: DataFrame, name: str, dataset: str, queries: int = QUERIES,
     space = model.space_used(encoded).first()["space_bytes"]
     for df in (strings, encoded, asked):
         df.unpersist()
-    return {
-        "dataset_name": dataset, "compressor_name": CODECS[name].label, "compression_rate": size / space if size else None,
-        "compression_speed": size / MIB / compressing, "decompression_speed": size / MIB / decompressing,
-        "average_random_access_time": int(looking * 1e9) // queries if n else None,
-    }
+    run = (dataset, CODECS[name].label, size, space, compressing, decompressing, looking, queries if n else 0)
+    return rates(spark.createDataFrame([run], RUN)).first().asDict()
 
 
 def suite(spark: SparkSession, directory: str, results: str, codecs=tuple(CODECS), runs: int = RUNS, queries: int = QUERIES) -> DataFrame:
@@ -110,6 +108,23 @@ def pin(core: int) -> None:
         print(f"not pinned to core {core}: {error}", file=sys.stderr)
 
 
+def complaint(given: argparse.Namespace) -> str | None:
+    """What is wrong with the arguments, if anything; looked at before Spark starts. Paths with a scheme are Spark's to judge."""
+    path, one = (given.dataset, True) if given.which == "one" else (given.directory, False)
+    if "://" not in path:
+        if not os.path.exists(path):
+            return f"{path} doesn't exist"
+        if one and not os.path.isfile(path):
+            return f"{path} isn't a file"
+        if not one and not os.path.isdir(path):
+            return f"{path} isn't a directory"
+    if given.core is not None and given.core < 0:
+        return f"core {given.core} isn't a core's number"
+    if not one and (unknown := [c for c in given.codecs.split(",") if c not in CODECS]):
+        return f"unknown codec {unknown[0]!r}; there are {', '.join(CODECS)}"
+    return None
+
+
 def main(args: list[str]) -> int:
     parser = argparse.ArgumentParser(prog="lexiweave.plans.bench")
     which = parser.add_subparsers(dest="which", required=True)
@@ -127,6 +142,9 @@ def main(args: list[str]) -> int:
     for p in (one, every):
         p.add_argument("--queries", type=int, default=QUERIES)
     given = parser.parse_args(args)
+    if wrong := complaint(given):
+        print(f"error: {wrong}", file=sys.stderr)
+        return 1
     if given.core is not None:
         pin(given.core)
     spark = SparkSession.builder.master("local[1]" if given.core is not None else "local[*]").config("spark.ui.enabled", "false").getOrCreate()

@@ -101,7 +101,8 @@ class Codec:
     than max_tokens. max_len: longest token of an online dictionary. seed: order
     of the online pass (None: order of idx). threshold: pair count at which the
     online pass merges, by default from the size of the strings. min_freq: least
-    pair count that byte-pair encoding merges.
+    pair count that byte-pair encoding merges. first_bytes: strings that the online
+    pass is first tried on; the dictionary doesn't depend on it.
     """
 
     name: str
@@ -113,7 +114,7 @@ class Codec:
     seed: int | None = 42
     threshold: int | None = None
     min_freq: int = 1
-    sample_bytes: int | None = None
+    first_bytes: int = train.FIRST_BYTES
 
     def fit(self, strings: DataFrame) -> Model:
         if self.kind == "raw":
@@ -123,7 +124,7 @@ class Codec:
         threshold = self.threshold
         if threshold is None:
             threshold = strings.agg(merge_threshold(F.coalesce(F.sum(F.octet_length("s")), F.lit(0)).cast("double"))).first()[0]
-        return Model(self, train.online_dictionary(strings, threshold, self.max_tokens, self.max_len, self.seed, self.sample_bytes))
+        return Model(self, train.online_dictionary(strings, threshold, self.max_tokens, self.max_len, self.seed, self.first_bytes))
 
 
 #: By name: the identity; byte-pair encoding; the online pass with 16-bit ids, with tokens of 16 bytes at most, and with packed 13-bit ids.

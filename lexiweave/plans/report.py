@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+MIB = 1024.0 * 1024.0
 _RATES = ("compression_rate", "compression_speed", "decompression_speed")
 _TIME = "average_random_access_time"
 
@@ -42,6 +43,16 @@ def print_report(results: DataFrame) -> str:
     return text
 
 
+def rates(runs: DataFrame) -> DataFrame:
+    """Results of timed runs (dataset_name, compressor_name, data_bytes, space_bytes, encode_s, decode_s, lookup_s, lookups): MiB a second, and whole ns an access; null where there is nothing to divide."""
+    over = lambda a, b: F.when(F.col(b) > 0, a / F.col(b))
+    size = F.col("data_bytes") / F.lit(MIB)
+    return runs.select(
+        "dataset_name", "compressor_name", F.when(F.col("data_bytes") > 0, over(F.col("data_bytes").cast("double"), "space_bytes")).alias("compression_rate"),
+        over(size, "encode_s").alias("compression_speed"), over(size, "decode_s").alias("decompression_speed"),
+        F.when(F.col("lookups") > 0, F.floor(F.floor(F.col("lookup_s") * 1e9) / F.col("lookups"))).cast("long").alias(_TIME))
+
+
 def ratio(strings: DataFrame, space: DataFrame) -> DataFrame:
     """One row: data_bytes, space_bytes, ratio (null without data)."""
     n = strings.agg(F.coalesce(F.sum(F.octet_length("s")), F.lit(0)).cast("long").alias("data_bytes"))

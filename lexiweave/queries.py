@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +26,7 @@ COLUMNS = {
     "conversations": ("conversations", "text", ("conv_id", "turn")),
     "events": ("events", "props", ("event_id",)),
     "documents": ("documents", "text", ("doc_id",)),
+    "supplier": ("supplier", "s_name", ("s_suppkey",)),
 }
 
 
@@ -188,25 +192,17 @@ def raw_space_ratio(spark: SparkSession, d: str) -> DataFrame:
 
 # whole codecs: back to the strings, and lookups
 
-#: Tokens of the byte-pair codec in the queries over longer columns; the codec's own bound is 65,536.
-_BPE_TOKENS = 4096
-
-
-def _codec(name: str):
-    return codec(name, max_tokens=_BPE_TOKENS) if name == "bpe" else codec(name)
-
-
 def _roundtrip(name: str, column: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
         s = strings(spark, d, column).select("idx", "s")
-        model = _codec(name).fit(s)
+        model = codec(name).fit(s)
         return model.decode(model.encode(s))
 
     return run
 
 
 for _c in CODECS:
-    for _n in ("part", "customer", "url", "conversations"):
+    for _n in ("part", "customer", "url", "conversations", *(["documents"] if _c != "bpe" else [])):
         query(f"{_c}_roundtrip_{_n}", f"SELECT idx, s FROM {strings_sql(_n)}")(_roundtrip(_c, _n))
 
 LOOKUPS = 500
@@ -221,7 +217,7 @@ def lookup_queries(spark: SparkSession, n: int) -> DataFrame:
 def _lookup(name: str, column: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
         s = strings(spark, d, column).select("idx", "s")
-        model = _codec(name).fit(s)
+        model = codec(name).fit(s)
         return model.lookup(model.encode(s), lookup_queries(spark, s.count()))
 
     return run
@@ -236,11 +232,121 @@ for _c in CODECS:
         query(f"{_c}_lookup_{_n}", _lookup_sql(_n))(_lookup(_c, _n))
 
 
-@query("verify_roundtrip_count", "SELECT CAST(0 AS BIGINT) AS mismatches")
+@query("verify_roundtrip_count", f"SELECT count(*) AS strings, count(*) AS same, CAST(sum(strlen(s)) AS BIGINT) AS decoded_bytes, CAST(0 AS BIGINT) AS mismatches FROM {strings_sql('part')}")
 def verify_roundtrip_count(spark: SparkSession, d: str) -> DataFrame:
     s = strings(spark, d, "part").select("idx", "s")
     model = codec("pairs").fit(s)
-    return spark.createDataFrame([(bench.mismatches(s, model.decode(model.encode(s))),)], "mismatches long")
+    back = model.decode(model.encode(s))
+    found = s.join(back.select("idx", F.col("s").alias("s2")), "idx", "left").agg(
+        F.count("*").alias("strings"), F.count(F.when(F.col("s") == F.col("s2"), 1)).alias("same"), F.sum(F.octet_length("s2")).cast("long").alias("decoded_bytes"))
+    return found.withColumn("mismatches", F.lit(bench.mismatches(s, back)).cast("long"))
+
+
+# what the trainers learn, in the strings' own order: dictionaries, tokens and space, against a walk over the strings in SQL
+
+
+def _online_sql(name: str, column: str, most: int | None = None) -> str:
+    """CTEs of an online pass, a step for each token: x (idx, s) and learnt (token_id, e) with e the token (h, as hex), its halves l and r, and its count f.
+
+    A step finds the longest token m at pos; lid and lh are its left neighbour,
+    seen the pairs met since they were last merged, d the dictionary.
+    """
+    c = CODECS[name]
+    fits = "TRUE" if c.max_len is None else f"length(lh) + length(m) <= {2 * c.max_len}"
+    return f"""
+    x AS {strings_sql(column)}, threshold AS (SELECT {_THRESHOLD_SQL} AS n FROM x), texts AS (SELECT idx, hex(encode(s)) AS h FROM x),
+    pass(step, idx, pos, lid, lh, seen, d) AS (
+      SELECT 0, CAST(0 AS BIGINT), 1, CAST(NULL AS INT), CAST(NULL AS VARCHAR), CAST([] AS VARCHAR[]), CAST([] AS STRUCT(h VARCHAR, l INT, r INT, f BIGINT)[])
+      UNION ALL
+      SELECT step + 1, CASE WHEN m IS NULL THEN idx + 1 ELSE idx END, CASE WHEN m IS NULL THEN 1 ELSE pos + length(m) END,
+             CASE WHEN m IS NULL THEN NULL WHEN merges THEN 256 + len(d) ELSE mid END,
+             CASE WHEN m IS NULL THEN NULL WHEN merges THEN lh || m ELSE m END,
+             CASE WHEN merges THEN list_filter(seen, lambda k: k <> pair) WHEN pair IS NOT NULL THEN list_append(seen, pair) ELSE seen END,
+             CASE WHEN merges THEN list_append(d, {{'h': lh || m, 'l': lid, 'r': mid, 'f': n}}) ELSE d END
+      FROM (
+        SELECT *, coalesce(n >= (SELECT n FROM threshold) AND {fits}, FALSE) AS merges FROM (
+          SELECT *, CASE WHEN lid IS NOT NULL AND m IS NOT NULL THEN lid || ',' || mid END AS pair, len(list_filter(seen, lambda k: k = lid || ',' || mid)) + 1 AS n
+          FROM (
+            SELECT *, CASE WHEN length(m) > 2 THEN 255 + list_position(list_transform(d, lambda e: e.h), m) WHEN m IS NOT NULL THEN CAST(('0x' || m) AS INT) END AS mid
+            FROM (
+              SELECT p.*, CASE WHEN pos <= length(t.h) THEN coalesce(
+                       list_aggregate(list_transform(list_filter(d, lambda e: starts_with(substr(t.h, pos), e.h)), lambda e: {{'n': length(e.h), 'h': e.h}}), 'max').h, substr(t.h, pos, 2)) END AS m
+              FROM pass p JOIN texts t USING (idx) WHERE 256 + len(d) < {most or c.max_tokens}))))
+    ), learnt AS (SELECT unnest(range(len(d))) + 256 AS token_id, unnest(d) AS e FROM (SELECT d FROM pass ORDER BY step DESC LIMIT 1))"""
+
+
+_LEARNT = "SELECT CAST(token_id AS INT) AS token_id, e.h AS token, CAST(length(e.h) // 2 AS INT) AS token_len, e.l AS left_id, e.r AS right_id, e.f AS freq FROM learnt"
+#: CTEs that parse x with learnt: walk (s, h, pos, step, id), a step for each token.
+_PARSED = """
+    d(id, h) AS (SELECT CAST(range AS INT), printf('%02X', range) FROM range(256) UNION ALL SELECT CAST(token_id AS INT), e.h FROM learnt),
+    walk(s, h, pos, step, id) AS (
+      SELECT s, hex(encode(s)), 1, 0, NULL::INT FROM (SELECT DISTINCT s FROM x)
+      UNION ALL
+      SELECT s, h, pos + len, step + 1, nid FROM (
+        SELECT w.s, w.h, w.pos, w.step, length(d.h) AS len, d.id AS nid, row_number() OVER (PARTITION BY w.s ORDER BY length(d.h) DESC) AS r
+        FROM walk w JOIN d ON substr(w.h, w.pos, length(d.h)) = d.h WHERE w.pos <= length(w.h)) WHERE r = 1
+    ), lists AS (SELECT s, count(*) AS n, string_agg(CAST(id AS VARCHAR), ',' ORDER BY step) AS tokens FROM walk WHERE step > 0 GROUP BY s)"""
+
+
+def _fitted(spark: SparkSession, d: str, name: str, column: str, **changes):
+    s = strings(spark, d, column).select("idx", "s")
+    return s, codec(name, seed=None, **changes).fit(s)
+
+
+def _learnt(name: str, column: str, **changes):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        rows = _fitted(spark, d, name, column, **changes)[1].dictionary.where("token_id >= 256")
+        return rows.select("token_id", F.hex("token").alias("token"), "token_len", "left_id", "right_id", "freq")
+
+    return run
+
+
+def _tokens(name: str, column: str):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        s, model = _fitted(spark, d, name, column)
+        return _listed(model.encode(s))
+
+    return run
+
+
+def _space(name: str, column: str):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        s, model = _fitted(spark, d, name, column)
+        return model.space_used(model.encode(s))
+
+    return run
+
+
+for _c in ("pairs", "pairs16", "pairs13"):
+    for _n in ("part", "supplier"):
+        _sql = f"WITH RECURSIVE {_online_sql(_c, _n)}"
+        query(f"{_c}_dictionary_{_n}", f"{_sql} {_LEARNT}")(_learnt(_c, _n))
+        query(f"{_c}_tokens_{_n}", f"{_sql}, {_PARSED} SELECT idx, coalesce(tokens, '') AS tokens FROM x LEFT JOIN lists USING (s)")(_tokens(_c, _n))
+        query(f"{_c}_space_{_n}", f"""{_sql}, {_PARSED},
+            sizes AS (SELECT CAST((SELECT sum(n) FROM x JOIN lists USING (s)) AS BIGINT) * {CODECS[_c].bits} // 8 AS stream_bytes,
+                             CAST((SELECT sum(length(h) // 2) FROM d) + 4 * (1 + (SELECT count(*) FROM d)) AS BIGINT) AS dictionary_bytes)
+            SELECT stream_bytes, dictionary_bytes, stream_bytes + dictionary_bytes AS space_bytes, stream_bytes + dictionary_bytes + 8 * (1 + (SELECT count(*) FROM x)) AS space_with_offsets_bytes FROM sizes""")(_space(_c, _n))
+#: A bound that the pass over part reaches.
+_FULL = 300
+query("pairs_dictionary_full", f"WITH RECURSIVE {_online_sql('pairs', 'part', _FULL)} {_LEARNT}")(_learnt("pairs", "part", max_tokens=_FULL))
+
+
+@query("bpe_dictionary_supplier", f"""
+    WITH RECURSIVE x AS {strings_sql('supplier')}, rounds(step, ts, best) AS (
+      SELECT 0, list({{'t': t, 'n': n}}), CAST(NULL AS STRUCT(pair VARCHAR, cnt BIGINT))
+      FROM (SELECT regexp_replace(hex(encode(s)), '(..)', 'x00\\1', 'g') AS t, count(*) AS n FROM x WHERE s <> '' GROUP BY 1)
+      UNION ALL
+      SELECT step + 1, list_transform(ts, lambda e: {{'t': replace(e.t, now.pair, 'x' || printf('%04X', 256 + step)), 'n': e.n}}), now
+      FROM (SELECT step, ts, (
+              SELECT {{'pair': p.pair, 'cnt': CAST(sum(p.n) AS BIGINT)}}
+              FROM (SELECT unnest(flatten(list_transform(ts, lambda e: list_transform(range(length(e.t) // 5 - 1), lambda i: {{'pair': substr(e.t, CAST(5 * i + 1 AS BIGINT), 10), 'n': e.n}})))) AS p)
+              GROUP BY p.pair ORDER BY sum(p.n) DESC, p.pair DESC LIMIT 1) AS now FROM rounds WHERE step < {CODECS['bpe'].max_tokens - 256})
+      WHERE now IS NOT NULL)
+    SELECT CAST(255 + step AS INT) AS token_id, CAST(('0x' || substr(best.pair, 2, 4)) AS INT) AS left_id, CAST(('0x' || substr(best.pair, 7, 4)) AS INT) AS right_id, best.cnt AS freq FROM rounds WHERE step > 0""")
+def bpe_dictionary_supplier(spark: SparkSession, d: str) -> DataFrame:
+    """Byte pairs to the codec's own end: frequency 1 or 65,536 tokens."""
+    model = codec("bpe").fit(strings(spark, d, "supplier").select("idx", "s"))
+    return model.dictionary.where("token_id >= 256").select("token_id", "left_id", "right_id", "freq")
 
 
 # parsing with a given dictionary
@@ -337,7 +443,20 @@ def bit_get_set(spark: SparkSession, d: str) -> DataFrame:
     return bits.get(bits.set_bits(_vector(spark), changes), spark.range(LENGTH + 40).select(F.col("id").alias("pos")), "pos", LENGTH).fillna(-1)
 
 
-query("next_prev_one", f"SELECT pos, coalesce(lag(pos) OVER (ORDER BY pos), -1) AS prev_one, coalesce(lead(pos) OVER (ORDER BY pos), -1) AS next_one FROM {_BITS} WHERE bit = 1")(lambda spark, d: bits.neighbours(_vector(spark), LENGTH).fillna(-1))
+@query("bit_append", f"""WITH v AS (SELECT pos, bit FROM {_BITS} UNION ALL SELECT {LENGTH} + range, (2989 >> range) & 1 FROM range(12) UNION ALL SELECT {LENGTH} + 12, 1
+      UNION ALL SELECT {LENGTH} + 13 + range, 1 FROM range(70) UNION ALL SELECT {LENGTH} + 83 + range, 0 FROM range(5)) SELECT CAST(pos AS BIGINT) AS pos, CAST(bit AS INT) AS bit FROM v""")
+def bit_append(spark: SparkSession, d: str) -> DataFrame:
+    """A vector that grows by a value of 12 bits, a bit, 70 ones and 5 zeroes, and goes through storage as its words and length."""
+    v = bits.BitVector(_vector(spark), LENGTH).append(2989, 12).push(1).extend(70, 1).extend(5, 0)
+    path = _folder(spark, "bits")
+    v.words.write.parquet(path)
+    back = bits.BitVector(spark.read.parquet(path), len(v))
+    return bits.bits_of(back.words, len(back))
+
+
+query("bit_vector_metadata", f"SELECT CAST({LENGTH} + 13 AS BIGINT) AS length, CAST(({LENGTH} + 13 + 63) // 64 AS BIGINT) AS words, CAST(sum(bit) + 3 AS BIGINT) AS ones, CAST(8 * (({LENGTH} + 13 + 63) // 64) AS BIGINT) AS bytes FROM {_BITS}")(
+    lambda spark, d: bits.BitVector(_vector(spark), LENGTH).append(0b1011, 13).metadata())
+query("next_prev_one", f"SELECT pos, coalesce(lag(pos) OVER (ORDER BY pos), -1) AS prev_one, coalesce(lead(pos) OVER (ORDER BY pos), -1) AS next_one FROM {_BITS} WHERE bit = 1")(lambda spark, d: bits.neighbours(_vector(spark), LENGTH, 4).fillna(-1))
 query("ones_zeroes", f"SELECT pos, bit FROM {_BITS} WHERE pos >= 100")(
     lambda spark, d: bits.positions_of(_vector(spark), LENGTH, 1, 100).withColumn("bit", F.lit(1)).unionByName(bits.positions_of(_vector(spark), LENGTH, 0, 100).withColumn("bit", F.lit(0))))
 query("bit_ranges", f"SELECT pos, CASE WHEN pos >= 70 AND pos < 200 THEN 1 ELSE 0 END AS bit FROM (SELECT CAST(range AS BIGINT) AS pos FROM range(230))")(
@@ -358,7 +477,7 @@ def _sizes(spark: SparkSession, d: str) -> DataFrame:
     return strings(spark, d, "part").select("idx", F.octet_length("s").cast("long").alias("size"))
 
 
-query("block_assign", _BLOCKS_SQL + " SELECT idx, size, CAST(block_id AS BIGINT) AS block_id FROM b")(lambda spark, d: blocks.assign(_sizes(spark, d), BLOCK))
+query("block_assign", _BLOCKS_SQL + " SELECT idx, size, CAST(block_id AS BIGINT) AS block_id FROM b")(lambda spark, d: blocks.assign(_sizes(spark, d), BLOCK, 64))
 query("block_metadata", _BLOCKS_SQL + """
     SELECT CAST(block_id AS BIGINT) AS block_id, CAST(sum(sum(size)) OVER (ORDER BY block_id) AS BIGINT) AS end_position, CAST(sum(count(*)) OVER (ORDER BY block_id) AS BIGINT) AS num_items_psum, CAST(sum(size) AS INT) AS uncompressed_size
     FROM b GROUP BY block_id""")(lambda spark, d: blocks.metadata(blocks.assign(_sizes(spark, d), BLOCK)))
@@ -378,6 +497,16 @@ def block_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return blocks.decompress(blocks.compress(s, assigned))
 
 
+@query("block_cache", _BLOCKS_SQL + f" SELECT idx, s, CAST(block_id AS BIGINT) AS block_id FROM b JOIN {strings_sql('part')} USING (idx) WHERE block_id IN (0, 2, 3)")
+def block_cache(spark: SparkSession, d: str) -> DataFrame:
+    """Three blocks, one of them asked for twice, out of a cache of inflated blocks."""
+    s = strings(spark, d, "part").select("idx", "s")
+    assigned = blocks.assign(s.select("idx", F.octet_length("s").alias("size")), BLOCK)
+    cache = blocks.BlockCache(blocks.compress(s, assigned), assigned)
+    cache.load(2)
+    return cache.load(0, 2, 3)
+
+
 @query("block_get", _lookup_sql("part"))
 def block_get(spark: SparkSession, d: str) -> DataFrame:
     s = strings(spark, d, "part").select("idx", "s")
@@ -403,11 +532,105 @@ def _results(spark: SparkSession, d: str) -> DataFrame:
 
 _BY_SQL = f"SELECT compressor_name, dataset_name, {_MEANS} FROM {_RESULTS_SQL} GROUP BY ALL"
 _OVERALL_SQL = f"SELECT compressor_name, {_MEANS} FROM ({_BY_SQL}) GROUP BY ALL"
+_RUNS_SQL = """(SELECT 'd' || (p_partkey % 3) AS dataset_name, 'A' AS compressor_name, CAST(p_partkey % 5 * 1000003 AS BIGINT) AS data_bytes, CAST(p_partkey % 4 * 4099 AS BIGINT) AS space_bytes,
+      CAST(p_size AS DOUBLE) / 8 AS encode_s, CAST(p_partkey % 3 AS DOUBLE) / 4 AS decode_s, CAST(p_partkey % 7 AS DOUBLE) / 16 AS lookup_s, CAST(p_partkey % 6 * 10 AS BIGINT) AS lookups FROM part)"""
+
+
+@query("throughput", f"""SELECT dataset_name, compressor_name, CASE WHEN data_bytes > 0 AND space_bytes > 0 THEN CAST(data_bytes AS DOUBLE) / space_bytes END AS compression_rate,
+    CASE WHEN encode_s > 0 THEN data_bytes / 1048576.0::DOUBLE / encode_s END AS compression_speed, CASE WHEN decode_s > 0 THEN data_bytes / 1048576.0::DOUBLE / decode_s END AS decompression_speed,
+    CASE WHEN lookups > 0 THEN CAST(lookup_s * 1e9 AS BIGINT) // lookups END AS average_random_access_time FROM {_RUNS_SQL}""")
+def throughput(spark: SparkSession, d: str) -> DataFrame:
+    """Rates of timed runs made of the parts."""
+    k = F.col("p_partkey")
+    runs = spark.read.parquet(f"{d}/part.parquet").select(
+        F.concat(F.lit("d"), (k % 3).cast("string")).alias("dataset_name"), F.lit("A").alias("compressor_name"), (k % 5 * 1000003).cast("long").alias("data_bytes"), (k % 4 * 4099).cast("long").alias("space_bytes"),
+        (F.col("p_size").cast("double") / 8).alias("encode_s"), ((k % 3).cast("double") / 4).alias("decode_s"), ((k % 7).cast("double") / 16).alias("lookup_s"), (k % 6 * 10).cast("long").alias("lookups"))
+    return report.rates(runs)
+
+
+@query("random_queries", "SELECT CAST(1000000 AS BIGINT) AS queries, CAST(1000000 AS BIGINT) AS inside, count(*) AS asked, TRUE AS even FROM part")
+def random_queries(spark: SparkSession, d: str) -> DataFrame:
+    """As many lookups as a run makes, by default, over the parts: all inside, every part asked for, none far more often than the mean (12 standard deviations)."""
+    n = spark.read.parquet(f"{d}/part.parquet").count()
+    asked = bench.random_queries(spark, n).groupBy("idx").agg(F.count("*").alias("n"))
+    mean = bench.QUERIES / n
+    inside = F.sum(F.when((F.col("idx") >= 0) & (F.col("idx") < n), F.col("n")).otherwise(0)).cast("long")
+    return asked.agg(F.sum("n").cast("long").alias("queries"), inside.alias("inside"), F.count("*").alias("asked"), (F.max(F.abs(F.col("n") - mean)) < 12 * mean**0.5).alias("even"))
+
+
 query("report_by_dataset", _BY_SQL)(lambda spark, d: report.by_dataset(_results(spark, d)))
 query("report_overall", _OVERALL_SQL)(lambda spark, d: report.overall(_results(spark, d)))
 query("report_table", f"{_BY_SQL} UNION ALL BY NAME SELECT *, 'AVERAGE' AS dataset_name FROM ({_OVERALL_SQL})")(lambda spark, d: report.report(_results(spark, d)))
 
 
+_TEXTS = ['["a", "b"]', "[]", '["a", 1]', '["a", null]', "[true]", '[{"a": "b"}]', '[["a"]]', '{"a": "b"}', '"a"', "[1", "7", "", '["é", "\\u0041", "q\\"\\\\"]', ' [ "x" ] ', "null"]
+
+
+@query("json_types", "SELECT * FROM (VALUES " + ", ".join(f"({i}, {str(i in (0, 1, 12, 13)).upper()})" for i in range(len(_TEXTS))) + ") AS t(id, strings)")
+def json_types(spark: SparkSession, d: str) -> DataFrame:
+    """Which texts are arrays of nothing but strings."""
+    from lexiweave.sources.strings import is_string_array
+
+    return spark.createDataFrame(list(enumerate(_TEXTS)), "id int, value string").select("id", is_string_array("value").alias("strings"))
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share: under spark.checkpoint.dir, else the warehouse's."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
+
+_NAMED = {"nation": ("n_name", "n_nationkey"), "region": ("r_name", "r_regionkey")}
+
+
+@query("json_directory", "\nUNION ALL\n".join(f"SELECT '{t}' AS dataset_name, row_number() OVER (ORDER BY {k}) - 1 AS idx, {c} AS s FROM {t}" for t, (c, k) in _NAMED.items()))
+def json_directory(spark: SparkSession, d: str) -> DataFrame:
+    """Names as files of a directory that has others as well: only *.json at its top count."""
+    from lexiweave.sources.strings import load_json_directory
+
+    folder = _folder(spark, "json")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    files = hadoop.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for t, (c, k) in _NAMED.items():
+        names = [r[0] for r in spark.read.parquet(f"{d}/{t}.parquet").orderBy(k).select(c).collect()]
+        for name in (f"{t}.json", f"{t}.JSON", f"{t}.txt", f"sub/{t}.json"):
+            out = files.create(hadoop.Path(f"{folder}/{name}"))
+            out.write(bytearray(json.dumps(names).encode()))
+            out.close()
+    return load_json_directory(spark, folder)
+
+
+@query("results_kept", f"SELECT * FROM {_RESULTS_SQL}")
+def results_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Measurements appended in three goes to results that were reset, after one that the reset took away."""
+    from lexiweave.sources.results import append_results, read_results, reset_results
+
+    path, rows = _folder(spark, "results"), _results(spark, d)
+    append_results(rows.limit(1), path)
+    reset_results(spark, path)
+    part = F.pmod(F.xxhash64(*rows.columns), F.lit(3))
+    for k in range(3):
+        append_results(rows.where(part == k), path)
+    return read_results(spark, path)
+
+
+@query("results_missing", "SELECT CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS reset, CAST(0 AS BIGINT) AS broken")
+def results_missing(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of results that aren't there, that were reset, and that can't be parsed."""
+    from lexiweave.sources.results import read_results, reset_results
+
+    path = _folder(spark, "results")
+    missing = read_results(spark, path).count()
+    reset_results(spark, path)
+    reset = read_results(spark, path).count()
+    spark.createDataFrame([('{"dataset_name": ',)], "value string").write.mode("append").text(path)
+    return spark.createDataFrame([(missing, reset, read_results(spark, path).count())], "missing long, reset long, broken long")
+
+
 @query("json_load", f"SELECT idx, s FROM {strings_sql('part')}")
 def json_load(spark: SparkSession, d: str) -> DataFrame:
     """The part names as one JSON array, as the loader of such files parses it."""

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import sys
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -19,13 +21,22 @@ SCHEMA = T.StructType([
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """The rows at path (JSON lines, or files with one array each); none if there is nothing."""
+    """The rows at path (JSON lines, or files with one array each); none if there is nothing, or, with a warning, if something there can't be parsed."""
+    none = spark.createDataFrame([], SCHEMA)
+    reader = spark.read.schema(SCHEMA).option("mode", "FAILFAST").option("multiLine", path.endswith(".json"))
     try:
-        return spark.read.schema(SCHEMA).option("multiLine", True).json(path) if path.endswith(".json") else spark.read.schema(SCHEMA).json(path)
+        rows = reader.json(path)
+        rows.write.format("noop").mode("overwrite").save()
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], SCHEMA)
+        return none
+    except (PySparkException, Py4JJavaError) as error:
+        if "MALFORMED_RECORD_IN_PARSING" not in str(error):
+            raise
+        print(f"results at {path} can't be parsed; starting without any", file=sys.stderr)
+        return none
+    return rows
 
 
 def append_results(results: DataFrame, path: str) -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Keys in a block of the two-step running sums.
@@ -16,18 +16,21 @@ def _files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame
     return reader.text(path).select(F.col("_metadata.file_name").alias("file"), "value")
 
 
+def is_string_array(value: str) -> Column:
+    """Whether a column of texts holds a JSON array of nothing but strings: a plain cast would turn numbers, nulls and objects into text."""
+    kinds = F.transform(F.expr(f"try_variant_get(try_parse_json({value}), '$', 'array<variant>')"), F.schema_of_variant)
+    good = F.startswith(F.schema_of_variant(F.try_parse_json(value)), F.lit("ARRAY")) & F.forall(kinds, lambda k: k == "STRING")
+    return F.coalesce(good, F.lit(False))
+
+
 def parse_arrays(texts: DataFrame) -> DataFrame:
     """(file, idx, s) of JSON arrays of strings (file, value).
 
     Fails the job on a text that isn't an array and on an element that isn't a
-    string: a plain cast to strings would turn numbers, nulls and objects into
-    text.
+    string.
     """
-    json = F.try_parse_json("value")
-    kinds = F.transform(F.expr("try_variant_get(try_parse_json(value), '$', 'array<variant>')"), F.schema_of_variant)
-    good = F.startswith(F.schema_of_variant(json), F.lit("ARRAY")) & F.forall(kinds, lambda k: k == "STRING")
     message = F.concat(F.lit("not an array of strings: "), "file")
-    checked = F.when(F.coalesce(good, F.lit(False)), F.from_json("value", "array<string>")).otherwise(F.raise_error(message).cast("array<string>"))
+    checked = F.when(is_string_array("value"), F.from_json("value", "array<string>")).otherwise(F.raise_error(message).cast("array<string>"))
     return texts.select("file", F.posexplode(checked).alias("idx", "s")).select("file", F.col("idx").cast("long").alias("idx"), "s")
 
 

@@ -57,6 +57,14 @@ def test_results(spark, tmp_path):
     assert results.read_results(spark, path).count() == 0
 
 
+@pytest.mark.parametrize("name", ["r.json", "r"])
+def test_results_that_cannot_be_parsed(spark, tmp_path, capsys, name):
+    write(tmp_path / name, "[{\"dataset_name\": \"d\"" if name == "r.json" else "{\"dataset_name\": \n nothing")
+    got = results.read_results(spark, str(tmp_path / name))
+    assert got.collect() == [] and got.columns == results.SCHEMA.names
+    assert "can't be parsed" in capsys.readouterr().err
+
+
 def test_positions_over_many_blocks(spark):
     df = spark.range(1000).select(F.col("id").alias("idx"), F.expr("repeat('é', cast(id % 5 as int))").alias("s"))
     got = [tuple(r) for r in positions.running_sum(df.withColumn("n", F.octet_length("s")), "n", "end", block=64).orderBy("idx").select("idx", "end").collect()]
@@ -121,6 +129,29 @@ def test_extend(spark):
     assert n == 65 and bits.count_ones(v).first()["ones"] == 65
 
 
+def test_neighbours_over_many_blocks(spark):
+    places = [0, 5, 64, 700, 701, 5000, 5100, 9_999]
+    v = vector(spark, places, 10_000)
+    got = [tuple(r) for r in bits.neighbours(v, 10_000, block=3).orderBy("pos").collect()]
+    assert got == [(p, a, b) for p, a, b in zip(places, [None, *places], [*places[1:], None])]
+
+
+def test_a_vector_carries_its_length(spark):
+    v = bits.BitVector.new(spark)
+    assert v.is_empty and len(v) == 0
+    v = v.append(0b1011, 7).push(1).extend(130, 1).extend(5, 0)
+    assert len(v) == 143 and not v.is_empty and v.count_ones() == 3 + 1 + 130
+    assert v.metadata().first().asDict() == {"length": 143, "words": 3, "ones": 134, "bytes": 24}
+    assert (v.next_one(3), v.prev_one(7)) == (7, 3)
+    asked = spark.createDataFrame([(0,), (7,), (142,), (143,), (-1,)], "at long")
+    assert [r["value"] for r in v.get(asked, "at").orderBy("at").collect()] == [None, 1, 1, 0, None]
+    v = v.set(spark.createDataFrame([(0, 0), (142, 1)], "pos long, bit int"))
+    assert v.positions(1, 138).count() == 1 and v.neighbours().count() == 134
+    with pytest.raises(Exception, match="beyond the 143 bits"):
+        v.set(spark.createDataFrame([(143, 1)], "pos long, bit int")).count_ones()
+    assert bits.BitVector.filled(spark, 70, 1).count_ones() == 70 and bits.BitVector.filled(spark, 70, 0).count_ones() == 0
+
+
 SIZES = [5, 1, 3, 1, 6, 2]
 
 
@@ -134,8 +165,44 @@ def test_blocks(spark):
     asked = spark.createDataFrame([(i, i) for i in range(6)], "qid long, idx long")
     assert [r["block_id"] for r in blocks.block_of(blocks.metadata(assigned), asked).orderBy("qid").collect()] == [1, 2, 2, 3, 4, 5]
     assert [r["offset"] for r in blocks.offsets(assigned).orderBy("idx").collect()] == [0, 0, 1, 0, 0, 0]
-    whole = blocks.assign(items, 1000, segment=2)
-    assert [r["block_id"] for r in whole.orderBy("idx").collect()] == [0, 0, 1, 1, 2, 2]
+
+
+@pytest.mark.parametrize("block_size, segment", [(4, 2), (4, 4), (10, 3), (1000, 2), (25, 7), (1, 1)])
+def test_blocks_do_not_depend_on_segments(spark, block_size, segment):
+    sizes = SIZES + [0, 0, 9, 0, 30, 0, 2] + [(i * 7) % 13 for i in range(60)]
+    items = spark.createDataFrame(list(enumerate(sizes)), "idx long, size long").repartition(3)
+    block, held, want = 0, 0, []
+    for size in sizes:
+        if held + size > block_size:
+            block, held = block + 1, 0
+        held += size
+        want.append(block)
+    for seg in (segment, None):
+        assert [r["block_id"] for r in blocks.assign(items, block_size, seg).orderBy("idx").collect()] == want
+    assigned = blocks.assign(items, block_size, segment)
+    asked = spark.createDataFrame([(i, i) for i in range(len(sizes))], "qid long, idx long")
+    assert [r["block_id"] for r in blocks.block_of(blocks.metadata(assigned), asked, width=5).orderBy("qid").collect()] == want
+    assert blocks.assign(items.limit(0), block_size, segment).count() == 0
+
+
+def test_queries_find_their_block_by_equality(spark):
+    items = spark.range(1000).select(F.col("id").alias("idx"), F.lit(3).cast("long").alias("size"))
+    plan = blocks.block_of(blocks.metadata(blocks.assign(items, 100)), spark.range(5).select(F.col("id").alias("qid"), F.col("id").alias("idx")))
+    assert "NestedLoop" not in plan._jdf.queryExecution().toString() and "Cartesian" not in plan._jdf.queryExecution().toString()
+
+
+def test_block_cache(spark):
+    texts = [f"text {i}" for i in range(40)]
+    s = spark.createDataFrame(list(enumerate(texts)), "idx long, s string")
+    assigned = blocks.assign(s.select("idx", F.octet_length("s").alias("size")), 30)
+    cache = blocks.BlockCache(blocks.compress(s, assigned), assigned)
+    block = {r["idx"]: r["block_id"] for r in assigned.collect()}
+    assert cache.get(block[7], 7) == "text 7" and cache.get(block[7], 30) is None and cache.get(10_000, 0) is None
+    held = cache.held[block[7]]
+    assert {r["s"] for r in cache.load(block[7], block[30]).collect()} == {t for i, t in enumerate(texts) if block[i] in (block[7], block[30])}
+    assert cache.held[block[7]] is held and held.is_cached
+    cache.drop()
+    assert not cache.held and not held.is_cached
 
 
 def test_report(spark):
@@ -159,6 +226,47 @@ def test_measure_and_suite(spark, tmp_path):
     assert all(0 <= r["idx"] < 7 for r in bench.random_queries(spark, 7, 100).collect())
 
 
+@pytest.mark.parametrize("args, message", [
+    (["one", "{t}/none.json", "raw", "out"], "doesn't exist"), (["one", "{t}", "raw", "out"], "isn't a file"), (["one", "{t}/a.json", "raw", "out", "-1"], "isn't a core's number"),
+    (["suite", "{t}/none", "out"], "doesn't exist"), (["suite", "{t}/a.json", "out"], "isn't a directory"), (["suite", "{t}", "out", "--codecs", "raw,zip"], "unknown codec 'zip'"),
+])
+def test_wrong_arguments_end_before_spark_starts(tmp_path, capsys, monkeypatch, args, message):
+    write(tmp_path / "a.json", ["x"])
+    monkeypatch.setattr(bench, "SparkSession", None)
+    # a negative number would be taken for an option
+    args = [a.format(t=tmp_path) for a in args]
+    assert bench.main([*args[:-1], "--", args[-1]] if args[-1] == "-1" else args) == 1
+    assert message in capsys.readouterr().err
+
+
+@pytest.mark.parametrize("args", [["one", "x.json", "zip", "out"], ["one", "x.json", "raw", "out", "first"], ["one"], []])
+def test_arguments_that_cannot_be_read(args, capsys):
+    with pytest.raises(SystemExit) as stop:
+        bench.main(args)
+    assert stop.value.code == 2 and "usage" in capsys.readouterr().err
+
+
+def test_pinning(monkeypatch, capsys):
+    held = []
+    monkeypatch.setattr(bench.os, "sched_setaffinity", lambda pid, cores: held.append((pid, cores)))
+    bench.pin(3)
+    assert held == [(0, {3})]
+
+    def fails(pid, cores):
+        raise OSError("no such core")
+
+    monkeypatch.setattr(bench.os, "sched_setaffinity", fails)
+    bench.pin(10_000)
+    assert "not pinned to core 10000" in capsys.readouterr().err
+
+
+def test_command_line(spark, tmp_path, capsys):
+    write(tmp_path / "a.json", [f"user_{i % 9}" for i in range(40)])
+    assert bench.main(["one", str(tmp_path / "a.json"), "pairs", str(tmp_path / "out"), "--queries", "20"]) == 0
+    row = results.read_results(spark, str(tmp_path / "out")).first()
+    assert (row["dataset_name"], row["compressor_name"]) == ("a", "Pairs")
+
+
 def test_stream(spark, tmp_path):
     s = spark.createDataFrame([(i, f"user_{i % 9}") for i in range(40)], "idx long, s string")
     model = codec("pairs").fit(s)
