@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heappush
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -90,21 +92,25 @@ def replay(strings: DataFrame, merges: list[tuple[int, int, int]]) -> DataFrame:
         of = {(left, right): token for token, left, right in shared.value}
 
         def one(data: bytes) -> list[int]:
-            tokens = list(data)
-            while len(tokens) > 1:
-                token = min((of[p] for p in set(zip(tokens, tokens[1:])) if p in of), default=None)
-                if token is None:
-                    break
-                out, i = [], 0
-                while i < len(tokens):
-                    if i + 1 < len(tokens) and of.get((tokens[i], tokens[i + 1])) == token:
-                        out.append(token)
-                        i += 2
-                    else:
-                        out.append(tokens[i])
-                        i += 1
-                tokens = out
-            return tokens
+            """Pairs wait by token, then place; a merge puts the pairs with its neighbours in line. These make later tokens."""
+            n = len(data)
+            tokens, after, before = list(data), list(range(1, n + 1)), list(range(-1, n - 1))
+            line = [(of[p], i) for i, p in enumerate(zip(tokens, tokens[1:])) if p in of]
+            heapify(line)
+            while line:
+                token, i = heappop(line)
+                j = after[i] if tokens[i] is not None else n
+                if j >= n or of.get((tokens[i], tokens[j])) != token:
+                    continue  # one of the two has been merged since
+                tokens[i], tokens[j], after[i] = token, None, after[j]
+                k = after[i]
+                if k < n:
+                    before[k] = i
+                    if (t := of.get((token, tokens[k]))) is not None:
+                        heappush(line, (t, i))
+                if (h := before[i]) >= 0 and (t := of.get((tokens[h], token))) is not None:
+                    heappush(line, (t, h))
+            return [t for t in tokens if t is not None]
 
         return one
 

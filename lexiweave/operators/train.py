@@ -94,13 +94,21 @@ def train_bpe(strings: Iterable[tuple[bytes, int]], max_tokens: int, min_freq: i
     count; merging goes from the left without overlap.
     """
     rows: list = [(b, None, None, None) for b in BASE]
-    words = [(list(data), n) for data, n in strings]
+    # all strings in one line; where a string ends there is no neighbour
+    tokens, times, after, before = [], [], [], []
+    for data, n in strings:
+        at = len(tokens)
+        tokens += data
+        times += [n] * len(data)
+        after += [*range(at + 1, at + len(data)), -1][: len(data)]
+        before += [-1, *range(at, at + len(data) - 1)][: len(data)]
     count: Counter = Counter()
     where: dict = defaultdict(set)
-    for w, (tokens, n) in enumerate(words):
-        for pair in zip(tokens, tokens[1:]):
-            count[pair] += n
-            where[pair].add(w)
+    for i, j in enumerate(after):
+        if j >= 0:
+            pair = tokens[i], tokens[j]
+            count[pair] += times[i]
+            where[pair].add(i)
     heap = [(-n, -a, -b) for (a, b), n in count.items()]
     heapq.heapify(heap)
     while heap and len(rows) < max_tokens:
@@ -113,29 +121,30 @@ def train_bpe(strings: Iterable[tuple[bytes, int]], max_tokens: int, min_freq: i
             continue
         if now < min_freq:
             break
-        token = len(rows)
+        token, changed = len(rows), set()
         rows.append((rows[a][0] + rows[b][0], a, b, now))
-        changed = set()
-        for w in where.pop(pair):
-            tokens, times = words[w]
-            for p in zip(tokens, tokens[1:]):
-                count[p] -= times
-            merged, i = [], 0
-            while i < len(tokens):
-                if i + 1 < len(tokens) and tokens[i] == a and tokens[i + 1] == b:
-                    merged.append(token)
-                    i += 2
-                else:
-                    merged.append(tokens[i])
-                    i += 1
-            words[w] = merged, times
-            for p in zip(merged, merged[1:]):
-                count[p] += times
-                where[p].add(w)
-                if token in p:
-                    changed.add(p)
+        del count[pair]
+        for i in sorted(where.pop(pair)):
+            j = after[i]
+            if tokens[i] != a or j < 0 or tokens[j] != b:
+                continue  # it overlapped the one before
+            left, right, n = before[i], after[j], times[i]
+            for at, old in ((left, (tokens[left], a)), (j, (b, tokens[right]))):
+                if (at if at != j else right) >= 0 and old != pair:
+                    count[old] -= n
+                    where[old].discard(at)
+            tokens[i], tokens[j], after[i] = token, -1, right
+            if right >= 0:
+                before[right] = i
+            for at, end in ((left, i), (i, right)):
+                if at >= 0 and end >= 0:
+                    new = tokens[at], tokens[end]
+                    count[new] += n
+                    where[new].add(at)
+                    changed.add(new)
         for p in changed:
-            heapq.heappush(heap, (-count[p], -p[0], -p[1]))
+            if count[p] > 0:
+                heapq.heappush(heap, (-count[p], -p[0], -p[1]))
     return rows
 
 

@@ -63,6 +63,29 @@ def test_byte_pairs(texts, merges):
     assert bpe(texts) == merges
 
 
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.text("abc", max_size=14), min_size=1, max_size=8), st.text("abcd", max_size=30))
+def test_merges_replay_in_their_order(spark, texts, other):
+    """Each merge in turn, everywhere from the left: for strings that were trained on and for others."""
+    rows_ = train.train_bpe([(t.encode(), 1) for t in set(texts)], 1 << 16)
+    merges = [(i, r[1], r[2]) for i, r in enumerate(rows_) if r[1] is not None]
+    want = []
+    for t in [*texts, other]:
+        tokens = list(t.encode())
+        for token, left, right in merges:
+            out, i = [], 0
+            while i < len(tokens):
+                if tokens[i : i + 2] == [left, right]:
+                    out.append(token)
+                    i += 2
+                else:
+                    out.append(tokens[i])
+                    i += 1
+            tokens = out
+        want.append(tokens)
+    assert rows(parse.replay(frame(spark, [*texts, other]), merges), "tokens") == want
+
+
 def test_byte_pairs_inside_characters():
     assert [t.hex() for t, _ in bpe(["日日", "日本"])] == ["e697", "e697a5", "e697a5e697a5", "e697a5e6", "e697a5e69c", "e697a5e69cac"]
 
