@@ -20,6 +20,8 @@ KEYS = 8
 MOST_BLOCKS = 1 << 20
 #: Rules up to which the join broadcasts the list; a longer list is joined by shuffle.
 BROADCAST_RULES = 200_000
+#: Shapes of rules (labels of a host by length of a path) up to which each hit has a join of its own.
+JOINS = 16
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -72,7 +74,19 @@ def _with_hits(urls: DataFrame, keys: str, filter_: bytes, blocks: int) -> DataF
     return urls.withColumn("hits", F.filter(F.col(keys), held))
 
 
-def judge(pages: DataFrame, rules: DataFrame, url: str = "url", otherwise: str = "allow") -> DataFrame:
+def _keys(labels: list[int], lengths: list[int], listed: bool) -> Column:
+    """The candidates of a url as keys: an expression for each shape where they are few, else a loop over both lists."""
+    count, size = F.size(F.split("__host", r"\.")), F.length("__path")
+    if listed:
+        ends = [F.when(count >= k, F.substring_index("__host", ".", -k)) for k in sorted(labels)]
+        starts = [F.when(size >= n, F.substring("__path", 1, n)) for n in sorted(lengths)]
+        return F.array_compact(F.array(*[F.concat(h, F.lit("\n"), p) for h in ends for p in starts]))
+    sides = [F.array(*[F.lit(x) for x in sorted(side)]) for side in (labels, lengths)]
+    end = lambda k: F.call_function("substring_index", F.col("__host"), F.lit("."), -k)
+    return F.flatten(F.transform(F.filter(sides[0], lambda k: k <= count), lambda k: F.transform(F.filter(sides[1], lambda n: n <= size), lambda n: F.concat(end(k), F.lit("\n"), F.substring("__path", F.lit(1), n)))))
+
+
+def judge(pages: DataFrame, rules: DataFrame, url: str = "url", otherwise: str = "allow", joins: int = JOINS) -> DataFrame:
     """pages with columns host, path, rule and verdict added (or replaced, if pages has such columns).
 
     rules: (host, path, verdict), hosts in lower case. Of the rules that fit,
@@ -92,17 +106,20 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", otherwise: str =
         return base.select("__row.*", F.col("__host").alias("host"), F.col("__path").alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(otherwise).alias("verdict"))
     blocks = min(MOST_BLOCKS, max(1, -(-shape["n"] // KEYS)))
     filter_ = bloom(listed, blocks)
-    count, size = F.size(F.split("__host", r"\.")), F.length("__path")
-    labels, lengths = (F.array(*[F.lit(x) for x in sorted(shape[c])]) for c in ("labels", "lengths"))
-    end = lambda k: F.call_function("substring_index", F.col("__host"), F.lit("."), -k)
-    every = F.transform(F.filter(labels, lambda k: k <= count), lambda k: F.transform(F.filter(lengths, lambda n: n <= size), lambda n: F.concat(end(k), F.lit("\n"), F.substring("__path", F.lit(1), n))))
-    probed = _with_hits(base.withColumn("keys", F.flatten(every)), "keys", filter_, blocks).drop("keys")
+    shapes = len(shape["labels"]) * len(shape["lengths"])
     exact = listed.select("key", F.struct((F.length("host") + F.length("path")).alias("size"), F.length("host").alias("of_host"), (F.col("rule_verdict") == "allow").alias("allows"), F.concat("host", "path").alias("rule"), "rule_verdict").alias("hit"))
-    if shape["n"] <= BROADCAST_RULES:
-        exact = F.broadcast(exact)
-    # rows without a hit stay where they are
+    few = shape["n"] <= BROADCAST_RULES and shapes <= joins
+    probed = _with_hits(base.withColumn("keys", _keys(shape["labels"], shape["lengths"], shapes <= joins)), "keys", filter_, blocks).drop("keys")
     own_columns = ("__row", "__host", "__path")
-    clear = probed.where(F.size("hits") == 0).select(F.lit(None).cast(exact.schema["hit"].dataType).alias("hit"), *own_columns)
-    met = probed.where(F.size("hits") > 0).withColumn("__n", F.monotonically_increasing_id()).withColumn("key", F.explode("hits")).drop("hits").join(exact, "key", "left")
-    out = met.groupBy("__n").agg(F.max("hit").alias("hit"), *[F.first(c).alias(c) for c in own_columns]).drop("__n").unionByName(clear)
+    if few:  # a row's hits meet the list one after the other, where the row is
+        out = probed
+        for k in range(shapes):
+            out = out.withColumn(f"__k{k}", F.get("hits", F.lit(k))).join(F.broadcast(exact.select(F.col("key").alias(f"__k{k}"), F.col("hit").alias(f"__h{k}"))), f"__k{k}", "left").drop(f"__k{k}")
+        found = [F.col(f"__h{k}") for k in range(shapes)]
+        out = out.select((F.greatest(*found) if shapes > 1 else found[0]).alias("hit"), *own_columns)
+    else:  # rows without a hit stay where they are
+        clear = probed.where(F.size("hits") == 0).select(F.lit(None).cast(exact.schema["hit"].dataType).alias("hit"), *own_columns)
+        met = probed.where(F.size("hits") > 0).withColumn("__n", F.monotonically_increasing_id()).withColumn("key", F.explode("hits")).drop("hits")
+        met = met.join(F.broadcast(exact) if shape["n"] <= BROADCAST_RULES else exact, "key", "left")
+        out = met.groupBy("__n").agg(F.max("hit").alias("hit"), *[F.first(c).alias(c) for c in own_columns]).drop("__n").unionByName(clear)
     return out.select("__row.*", F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("hit.rule").alias("rule"), F.coalesce("hit.rule_verdict", F.lit(otherwise)).alias("verdict"))

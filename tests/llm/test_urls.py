@@ -35,11 +35,12 @@ MANY = [(f"h{i}.org", f"/{i % 7}/", "block") for i in range(500)] + [("org", "/"
 
 
 @pytest.mark.parametrize("rules", [URL_RULES, MANY, [*URL_RULES, (None, "/", "block"), ("x.org", None, "block"), ("", "/", "block")]], ids=["given", "many", "nulls"])
-def test_against_brute_force(spark, rules):
+@pytest.mark.parametrize("joins", [16, 0], ids=["a join for each hit", "hits in rows"])
+def test_against_brute_force(spark, rules, joins):
     found = URLS + [f"http://s.h{i}.org/{i % 5}/x" for i in range(60)]
-    df = frame(spark, found).withColumn("rule", F.lit("own")).withColumn("key", F.lit("k"))
-    out = urls.judge(df, rules_of(spark, rules))
-    assert out.columns == ["page_id", "url", "html", "key", "host", "path", "rule", "verdict"]
+    df = frame(spark, found).withColumn("rule", F.lit("own")).withColumn("key", F.lit("k")).withColumn("__h0", F.lit(1))
+    out = urls.judge(df, rules_of(spark, rules), joins=joins)
+    assert out.columns == ["page_id", "url", "html", "key", "__h0", "host", "path", "rule", "verdict"]
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in out.collect()}
     good = [r for r in rules if r[0] and r[1] is not None]
     assert [got[i] for i in range(len(found))] == [brute(u, good) for u in found]
@@ -53,6 +54,11 @@ def test_long_lists_join_by_shuffle(spark, monkeypatch):
     assert [got[i] for i in range(60)] == [brute(u, MANY)[3] for u in found]
 
 
+def test_no_shuffle_where_shapes_are_few(spark):
+    plan = urls.judge(frame(spark, URLS), rules_of(spark, URL_RULES))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortAggregate" not in plan.split("BroadcastExchange")[0]
+
+
 def test_filter_loses_no_key(spark):
     keys = spark.createDataFrame([(f"k{i}",) for i in range(300)], "key string")
     bits = urls.bloom(keys, 40)
