@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiweave.llm._spark import bounded_batches, drop_stored, numbered, stored
-from lexiweave.llm._text import LOWER, coded, pieces_of, split_words
+from lexiweave.llm._text import LOWER, coded, pieces_of, split_words, trimmed
 
 STATES = 16
 #: Least occurrences of a word with a symbol of its own; a power of two.
@@ -74,7 +74,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
         if held:
             yield from flush()
 
-    return texts.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(trimmed(count), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def own_words(counts: DataFrame) -> DataFrame:
@@ -198,7 +198,7 @@ def _encoded(docs: DataFrame, counts: DataFrame, own: DataFrame, vocabulary: Voc
                 numbers = pa.array(np.full(batch.num_rows, block))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:2], numbers, *_encode(shared.value, batch.column(2), lambda words: table.value(_hashes(words)))], names=_NAMES)
 
-        return stored(docs.mapInArrow(run, _ENCODED.format(kind)))
+        return stored(docs.mapInArrow(trimmed(run), _ENCODED.format(kind)))
 
     def dealt(batches):
         for block, batch in numbered(batches, 2, BLOCK):
@@ -605,7 +605,7 @@ class Trainer:
                 at = np.flatnonzero(emit.any(axis=1))
                 yield from _batches(_packed(first, move, at, emit[at], buckets))
 
-            parts = self.learnt.select("syms").mapInArrow(run, _SUMS)
+            parts = self.learnt.select("syms").mapInArrow(trimmed(run), _SUMS)
         else:
             met = self._met
 
@@ -653,7 +653,7 @@ class Trainer:
                 yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(logs + batch.column(5).to_numpy())], names=out)
 
         if not self.joined:
-            return rows.mapInArrow(run, schema)
+            return rows.mapInArrow(trimmed(run), schema)
         met, names = self._met, self.names
 
         def run_joined(left: pa.Table, right: pa.Table) -> pa.Table:

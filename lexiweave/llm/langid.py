@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexiweave.llm._spark import bounded_batches, by_place
-from lexiweave.llm._text import LOWER, coded, pieces_of, split_words
+from lexiweave.llm._text import LOWER, coded, pieces_of, split_words, trimmed
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Ends of pieces that are looked up together; no piece is longer.
@@ -29,6 +29,8 @@ _MIX = np.uint64(0xD6E8FEB86659FD93)
 #: Probabilities are held times this to the power of the bytes, so that long words don't underflow.
 _LIFT = 8.0
 _OPEN = "▁".encode()
+#: Bytes of text that a task cuts up at a time.
+_SLICE = 2 << 20
 _CACHE: dict = {}
 
 
@@ -256,7 +258,7 @@ def train(rows: DataFrame, languages: list[str], model: str) -> np.ndarray:
             held.clear()
             room = 0
 
-        for batch in pieces_of(batches):
+        for batch in pieces_of(batches, 0, _SLICE):
             flat, ends = split_words(batch.column(0), LOWER)
             codes, distinct = coded(flat)
             lang = np.array([place[x] for x in batch.column(1).to_pylist()], np.int64)
@@ -275,7 +277,7 @@ def train(rows: DataFrame, languages: list[str], model: str) -> np.ndarray:
             some = at[i : i + (1 << 14)]
             yield pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(total[some, k].copy()) for k in range(n)]], names=["piece", *names])
 
-    sums = rows.select("text", "lang").mapInArrow(count, "piece long, " + ", ".join(f"{x} double" for x in names)).groupBy("piece").agg(*[F.sum(x).alias(x) for x in names]).toPandas()
+    sums = rows.select("text", "lang").mapInArrow(trimmed(count), "piece long, " + ", ".join(f"{x} double" for x in names)).groupBy("piece").agg(*[F.sum(x).alias(x) for x in names]).toPandas()
     p = np.zeros((size, n))
     p[sums["piece"].to_numpy()] = sums[names].to_numpy()
     # what a language has not shown falls back on all languages together, and that on the vocabulary's order
@@ -316,10 +318,10 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang:
         known: dict[bytes, int] = {}  # words seen in this task, and their logs
         size = 0
         store = np.zeros((1 << 12, len(languages)))
-        for batch in pieces_of(batches, at):
+        for batch in pieces_of(batches, at, _SLICE):
             flat, ends = split_words(batch.column(at), LOWER)
             codes, distinct = coded(flat)
-            if len(known) > 250_000 or size > _KEPT:
+            if len(known) > 150_000 or size > _KEPT:
                 known.clear()
                 size = 0
             new = [w for w in distinct if w not in known]
@@ -339,7 +341,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang:
             score = share[np.arange(len(best)), best] / share.sum(axis=1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([languages[i] for i in best], pa.string()), pa.array(score)], names=[*own, "lang_pred", "score"])
 
-    out = docs.select(*kept).mapInArrow(run, T.StructType([*[docs.schema[c] for c in own], *added]))
+    out = docs.select(*kept).mapInArrow(trimmed(run), T.StructType([*[docs.schema[c] for c in own], *added]))
     letters = F.coalesce(F.col(f"`{text}`").rlike(_LETTER), F.lit(False))
     return out.select(*kept, held, F.when(letters, F.col("lang_pred")).otherwise("und").alias("lang_pred"), F.when(letters, F.col("score")).otherwise(0.0).alias("score"))
 

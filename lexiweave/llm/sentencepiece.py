@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexiweave.llm._spark import bounded_batches, drop_stored, numbered, stored
-from lexiweave.llm._text import bytes_of, pieces_of
+from lexiweave.llm._text import bytes_of, pieces_of, trimmed
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -232,7 +232,7 @@ def distinct_units(texts: DataFrame, model: str, whole: bool = False) -> DataFra
                 size = 0
         yield from flush()
 
-    return texts.mapInArrow(run, "unit string" if whole else _UNITS).distinct()
+    return texts.mapInArrow(trimmed(run), "unit string" if whole else _UNITS).distinct()
 
 
 def lattice(units: DataFrame, words: Vocabulary, parts: int = 1, chunked: bool = False) -> DataFrame:
@@ -336,7 +336,7 @@ def traced(paths: DataFrame, model: str) -> DataFrame:
                 stops, out = np.concatenate([[0], np.cumsum(more)])[stops], whole
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.ListArray.from_arrays(pa.array(stops.astype(np.int32)), pa.array(out.astype(np.int32)))], names=["h", "h2", "ids"])
 
-    return paths.mapInArrow(run, "h long, h2 long, ids array<int>")
+    return paths.mapInArrow(trimmed(run), "h long, h2 long, ids array<int>")
 
 
 def merged(units: DataFrame, model: str) -> DataFrame:
@@ -349,7 +349,7 @@ def merged(units: DataFrame, model: str) -> DataFrame:
             h, h2 = zip(*(_identity(u.encode()) for u in units))
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(h2, pa.int64()), pa.array([words.ids_of(words.fold(u)) for u in units], pa.list_(pa.int32()))], names=["h", "h2", "ids"])
 
-    return units.mapInArrow(run, "h long, h2 long, ids array<int>")
+    return units.mapInArrow(trimmed(run), "h long, h2 long, ids array<int>")
 
 
 _ADDED = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
@@ -464,7 +464,7 @@ def encode(docs: DataFrame, text: str = "text", model: str = VOCABULARY, order:
             for batch in pieces_of(batches, at, _SLICE):
                 yield pa.RecordBatch.from_arrays([*batch.columns, *_pack(met, batch.column(at))], names=[*own, "ids", "decoded"])
 
-        return base.mapInArrow(run, schema)
+        return base.mapInArrow(trimmed(run), schema)
 
     def dealt(batches):
         for block, batch in numbered(batches, at, BLOCK):

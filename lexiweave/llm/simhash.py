@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexiweave.llm._spark import bounded_batches, by_place, components, drop_stored, forest, stored
-from lexiweave.llm._text import LOWER, bytes_of, pieces_of
+from lexiweave.llm._text import LOWER, bytes_of, pieces_of, trimmed
 
 SHINGLE = 4
 SEED = 42
@@ -104,7 +104,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "fp", shin
             fp = pa.array(fingerprints_of(batch.column(at), shingle).view(np.int64))
             yield pa.RecordBatch.from_arrays([*batch.columns, fp], names=names)
 
-    return docs.select(*[F.col(f"`{c}`") for c in rest]).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in rest]).mapInArrow(trimmed(run), schema)
 
 
 def bit_groups(correlation: np.ndarray, m: int) -> list[list[int]]:
@@ -310,8 +310,8 @@ def links(fps: DataFrame, distance: int = 4, groups: int | None = None, hot: int
 
     keys = ["part", "value", "salt", "slice"]
     schema = "part int, value long, salt int, slice int, {} long"
-    asked = fps.select("fp").mapInArrow(probes, schema.format("a"))
-    held = fps.select("fp").mapInArrow(entries, schema.format("b"))
+    asked = fps.select("fp").mapInArrow(trimmed(probes), schema.format("a"))
+    held = fps.select("fp").mapInArrow(trimmed(entries), schema.format("b"))
     cold = F.col("salt") < 0
     near_ = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
     out = asked.where(cold).join(held.where(cold), ["part", "value"]).where(near_).select("a", "b")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexiweave.llm._spark import bounded_batches, stored
-from lexiweave.llm._text import coded, pieces_of, split_words
+from lexiweave.llm._text import coded, pieces_of, split_words, trimmed
 
 WINDOW = 20
 _MULTIPLIER = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -174,7 +174,7 @@ def repeated_cells(docs: DataFrame, text: str, window: int, bits: int, text_byte
         return pa.table({"line": pa.array([line], pa.int32()), "chunk": pa.array([chunk], pa.int32()), "part": pa.array([salt], pa.int64()), "once": [packed[0]], "twice": [packed[1]]})
 
     columns = "line int, chunk int, part long, once binary, twice binary"
-    merged = docs.select(text).mapInArrow(count, columns)
+    merged = docs.select(text).mapInArrow(trimmed(count), columns)
     # the sketches of some _FAN * _FANNED bytes of text meet at a time, so a task holds as much of a chunk whatever there is in all
     parts = max(1, text_bytes // _FANNED)
     while True:
@@ -265,7 +265,7 @@ def _candidates(docs: DataFrame, window: int, bits: int, twice) -> DataFrame:
         if held:
             yield from flush(held, hot)
 
-    return docs.select("__id", "__tk", "__text").mapInArrow(run, _FOUND)
+    return docs.select("__id", "__tk", "__text").mapInArrow(trimmed(run), _FOUND)
 
 
 def later_starts(docs: DataFrame, window: int, bits: int | None = None) -> DataFrame:
@@ -337,4 +337,4 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
             extra = [pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *extra], names=[f.name for f in schema.fields])
 
-    return joined.mapInArrow(cut, schema)
+    return joined.mapInArrow(trimmed(cut), schema)
