@@ -2,6 +2,7 @@ import random
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 from lexiweave.llm import similar, simhash
 from lexiweave.llm._text import LOWER
@@ -94,3 +95,38 @@ def test_share_of_pairs_proposed(least, more):
         a, b = similar.buckets(similar.fingerprints(sets), groups)
         met += bool((a == b).any())
     assert met / 300 >= more
+
+
+@pytest.mark.parametrize("following", [1, 2, 5, 32])
+def test_buckets_are_compared_whole(following):
+    """Over batches of any size: all pairs of buckets up to the bound, the least with all in hot ones, whose rows come out once each."""
+    g = np.random.default_rng(7)
+    rows = sorted((int(b), int(k)) for b, n in enumerate([1, 2, 3, following, following + 1, following + 2, 40, 1, 77]) for k in g.permutation(1000)[:n])
+    whole = np.array([[b, k, 100, 0, 0] for b, k in rows], np.int64)
+    rule = similar.Rule((4, 5))
+    run, _ = similar._compared(rule, following)
+    for size in (1, 3, 10, 1000):
+        batches = [pa.record_batch([pa.array(c) for c in whole[i : i + size].T], names=list("bknvw")) for i in range(0, len(whole), size)]
+        out = pa.Table.from_batches(list(run(iter(batches)))).to_pylist()
+        got = {(r["a"], r["b"]) for r in out if r["b"] is not None}
+        hot = sorted((r["bucket"], r["a"]) for r in out if r["b"] is None)
+        want, want_hot = set(), []
+        for b in range(9):
+            keys = [k for c, k in rows if c == b]
+            for i, x in enumerate(keys):
+                want |= {(min(x, y), max(x, y)) for y in keys[i + 1 : i + 1 + following]} | {(keys[0], y) for y in keys[1:]}
+            want_hot += [(b, k) for k in keys] if len(keys) > following + 1 else []
+        assert want <= got and hot == sorted(want_hot)
+        assert got <= {(x, y) for b in range(9) for x in [k for c, k in rows if c == b] for y in [k for c, k in rows if c == b] if x < y}
+
+
+def test_hot_buckets_lose_no_link(docs):
+    """With hardly any neighbours compared at first, the second round finds the rest."""
+    rows = list(enumerate(copies()))
+    df = docs(rows).select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), "text")
+    known, tree = similar.groups(df, 5, (4, 5), following=1)
+    root = {r["node"]: r["root"] for r in tree.collect()}
+    ids = {}
+    for r in sorted(known.collect(), key=lambda r: r["id"]):
+        ids.setdefault(root.get(r["key"], r["key"]), r["id"])
+    assert sorted(ids.values()) == kept(rows)
