@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from heapq import heapify, heappop, heappush
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiweave.operators.train import Matcher
+from lexiweave.operators.train import Matcher, every_second
 
 
 def collected(dictionary: DataFrame) -> list[bytes]:
@@ -84,34 +84,86 @@ def parse_native(strings: DataFrame, dictionary: DataFrame) -> DataFrame:
     return strings.join(walked, "s", "left").select("idx", F.coalesce("tokens", F.array().cast("array<int>")).alias("tokens"))
 
 
+def _gathered(batches, column: int = 1, limit: int = _SLICE):
+    """The slices of batches, small ones put together to about `limit` bytes."""
+    held, size = [], 0
+    for batch in slices(batches, column, limit):
+        if held and size + batch.column(column).nbytes > limit:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += batch.column(column).nbytes
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _replayed(strings: list[bytes], keys: np.ndarray, made: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of all strings in a row, and the ends of each string's; keys are the pairs that merge, left << 32 | right, sorted, and made their tokens."""
+    sizes = np.fromiter(map(len, strings), np.int64, len(strings))
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    size = int(ends[-1])
+    # the place after the last stands for no neighbour
+    tokens = np.full(size + 1, -1, np.int64)
+    tokens[:size] = np.frombuffer(b"".join(strings), np.uint8)
+    after, before = np.arange(1, size + 2), np.arange(-1, size)
+    some = np.flatnonzero(sizes)
+    after[ends[some + 1] - 1], before[ends[some]], after[size] = size, size, size
+    line, where = [], {}  # pairs wait by the token that they make
+
+    def put(at: np.ndarray) -> None:
+        """Places whose pairs with what follows merge; a pair's places all come at once, when the newer of its tokens is made."""
+        pairs = tokens[at] << 32 | tokens[after[at]]
+        found = np.searchsorted(keys, pairs)
+        found[found == len(keys)] = 0
+        good = np.flatnonzero(keys[found] == pairs)
+        if not len(good):
+            return
+        token, at = made[found[good]], at[good]
+        order = np.argsort(token, kind="stable")
+        token, at = token[order], at[order]
+        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])).tolist()
+        for t, i, j in zip(token[first].tolist(), first, [*first[1:], len(at)]):
+            where[t] = at[i:j]
+            heappush(line, t)
+
+    pair_of = dict(zip(made.tolist(), keys.tolist()))
+    if len(keys):
+        put(np.flatnonzero(after[:size] < size))
+    while line:
+        token = heappop(line)
+        at, pair = where.pop(token), pair_of[token]
+        at = at[(tokens[at] << 32 | tokens[after[at]]) == pair]
+        if not len(at):
+            continue
+        if pair >> 32 == pair & 0xFFFFFFFF:
+            at = every_second(at, after)
+        second = after[at]
+        right = after[second]
+        tokens[at], tokens[second] = token, -1
+        after[at], before[right] = right, at
+        left = before[at]
+        left = left[(tokens[left] >= 0) & (tokens[left] != token)]  # two new ones side by side are met from the left
+        put(left)
+        put(at[tokens[right] >= 0])
+    here = tokens[:size] >= 0
+    return tokens[:size][here], np.concatenate([[0], np.cumsum(here)])[ends]
+
+
 def replay(strings: DataFrame, merges: list[tuple[int, int, int]]) -> DataFrame:
-    """(idx, tokens) by byte-pair merges (token, left, right) in the order of their ids, each from the left everywhere."""
+    """(idx, tokens) by byte-pair merges (token, left, right) in the order of their ids, each from the left everywhere.
+
+    A merge goes through all the strings that a task holds at a time; strings
+    that come again among these are merged once.
+    """
     shared = strings.sparkSession.sparkContext.broadcast(merges)
 
-    def parser():
-        of = {(left, right): token for token, left, right in shared.value}
-
-        def one(data: bytes) -> list[int]:
-            """Pairs wait by token, then place; a merge puts the pairs with its neighbours in line. These make later tokens."""
-            n = len(data)
-            tokens, after, before = list(data), list(range(1, n + 1)), list(range(-1, n - 1))
-            line = [(of[p], i) for i, p in enumerate(zip(tokens, tokens[1:])) if p in of]
-            heapify(line)
-            while line:
-                token, i = heappop(line)
-                j = after[i] if tokens[i] is not None else n
-                if j >= n or of.get((tokens[i], tokens[j])) != token:
-                    continue  # one of the two has been merged since
-                tokens[i], tokens[j], after[i] = token, None, after[j]
-                k = after[i]
-                if k < n:
-                    before[k] = i
-                    if (t := of.get((token, tokens[k]))) is not None:
-                        heappush(line, (t, i))
-                if (h := before[i]) >= 0 and (t := of.get((tokens[h], token))) is not None:
-                    heappush(line, (t, h))
-            return [t for t in tokens if t is not None]
-
-        return one
-
-    return _mapped(strings, parser)
+    def run(batches):
+        pairs = sorted((left << 32 | right, token) for token, left, right in shared.value)
+        keys, made = np.array(pairs, np.int64).reshape(-1, 2).T.copy()
+        for table in _gathered(batches):
+            once = table.column(1).combine_chunks().cast(pa.binary()).dictionary_encode()
+            tokens, ends = _replayed(once.dictionary.to_pylist(), keys, made)
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens, pa.int32()))
+            yield from pa.table({"idx": table.column(0), "tokens": lists.take(once.indices)}).to_batches()
+
+    return strings.select("idx", "s").mapInArrow(run, "idx long, tokens array<int>")
