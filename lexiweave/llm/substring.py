@@ -32,7 +32,7 @@ _MULTIPLIER = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _MOD = 1 << 64
 _INVERSE = tuple(pow(m, -1, _MOD) for m in _MULTIPLIER)
 #: Bytes of text that a task hashes at a time: a word takes about a hundred bytes meanwhile.
-_SLICE = 2 << 20
+_SLICE = 1 << 20
 #: Odd factors of the sketch's rows.
 _ROWS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 _CHUNK = 20
@@ -192,8 +192,9 @@ def repeated_cells(docs: DataFrame, text: str, window: int, bits: int, text_byte
     return out, np.sort(np.concatenate(hot))
 
 
-#: Rows of candidate windows that a task holds before it sorts and sends them.
+#: Rows of candidate windows that a task holds before it sorts and sends them; in so many parts, and so many rows at a time.
 _HELD = 1 << 20
+_SORTED, _SENT = 8, 1 << 16
 #: A run of consecutive candidate starts of one row that share a minimizer (its hash is `gram`), with the windows' hashes.
 #: A window is known by both hashes, 128 bits. `at` is the first start. Runs of starts that are known to be later have no
 #: hashes but their length in the upper half of `at`, and any gram.
@@ -212,37 +213,60 @@ def _edges(*columns) -> np.ndarray:
     return np.append(np.flatnonzero(first), len(first))
 
 
-def _candidates(docs: DataFrame, window: int, bits: int, twice) -> DataFrame:
-    """Windows estimated to be repeated: the earliest of each in its task's block, and the others as runs."""
-    shared = docs.sparkSession.sparkContext.broadcast(twice)
+def columns_of(held: list[list]) -> list[np.ndarray]:
+    """The columns of what a task holds, each in one piece; empties it, so that no more than a column is there twice."""
+    out = []
+    while held[0]:
+        out.append(np.concatenate([x.pop(0) for x in held]))
+    held.clear()
+    return out
 
-    def flush(held, hot):
-        grams, hashes, ids, keys, starts = (np.concatenate(x) for x in zip(*held))
-        held.clear()
-        order = np.lexsort((starts, ids, hashes, grams))
+
+def first_ones(grams: np.ndarray, hashes: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Whether each window is the earliest of its words; rows that share an id may tie. Sorts a part of the minimizers at a time."""
+    earliest = np.empty(len(grams), bool)
+    part = (grams * np.uint64(_ROWS[1]) >> np.uint64(56)).astype(np.uint8) % _SORTED
+    for p in range(_SORTED):
+        mine = np.flatnonzero(part == p)
+        g, h, i, s = (x[mine] for x in (grams, hashes, ids, starts))
+        order = np.lexsort((s, i, h, g))
         new = np.ones(len(order), bool)
-        new[1:] = (grams[order[1:]] != grams[order[:-1]]) | (hashes[order[1:]] != hashes[order[:-1]])
+        new[1:] = (g[order[1:]] != g[order[:-1]]) | (h[order[1:]] != h[order[:-1]])
         lead = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
-        earliest = np.empty(len(order), bool)
-        earliest[order] = (ids[order] == ids[lead]) & (starts[order] == starts[lead])  # rows that share an id may tie
-        # back in the order of the rows, in which starts are consecutive
-        g, h, i, k, s = (x[earliest] for x in (grams, hashes, ids, keys, starts))
+        earliest[mine[order]] = (i[order] == i[lead]) & (s[order] == s[lead])
+    return earliest
+
+
+def sent(at: np.ndarray):
+    """Places, _SENT at a time."""
+    for a in range(0, len(at), _SENT):
+        yield at[a : a + _SENT]
+
+
+def _found_in(held: list[list], hot: np.ndarray):
+    """Batches of _FOUND of the windows that a task holds (hash of the minimizer, of the window, id, key, start): the earliest of each, and the others as runs."""
+    grams, hashes, ids, keys, starts = columns_of(held)
+    earliest = first_ones(grams, hashes, ids, starts)
+    # in the order of the rows, in which starts are consecutive; a run that goes on beyond what is sent at a time goes as two
+    for at in sent(np.flatnonzero(earliest)):
+        g, h, i, k, s = (x[at] for x in (grams, hashes, ids, keys, starts))
         # a minimizer that is in many places may have more windows than a task should hold: its windows go each for itself
         g = np.where(np.isin(g, hot), (g ^ (h >> np.uint64(1))) * np.uint64(_ROWS[1]), g)
-        edges = _edges(g, i, k, s)
+        ends = _edges(g, i, k, s)
+        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(h.view(np.int64)))
+        at = ends[:-1]
+        yield pa.RecordBatch.from_arrays([pa.array(g[at].view(np.int64)), pa.array(i[at]), pa.array(k[at]), pa.array(s[at].astype(np.int64)), lists], names=_FOUND_NAMES)
+    for at in sent(np.flatnonzero(~earliest)):
+        i, k, s = (x[at] for x in (ids, keys, starts))
+        edges = _edges(i, k, s)
         at = edges[:-1]
-        for a in range(0, len(at), 1 << 15):
-            part = at[a : a + (1 << 15)]
-            ends = edges[a : a + len(part) + 1]
-            lists = pa.ListArray.from_arrays(pa.array((ends - ends[0]).astype(np.int32)), pa.array(h[ends[0] : ends[-1]].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(g[part].view(np.int64)), pa.array(i[part]), pa.array(k[part]), pa.array(s[part].astype(np.int64)), lists], names=_FOUND_NAMES)
-        later = ~earliest
-        if later.any():
-            i, k, s = (x[later] for x in (ids, keys, starts))
-            edges = _edges(i, k, s)
-            at = edges[:-1]
-            s = s[at].astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(i[at] * np.int64(_INVERSE[0] >> 1) + s), pa.array(i[at]), pa.array(k[at]), pa.array(s + (np.diff(edges).astype(np.int64) << 32)), pa.nulls(len(at), pa.list_(pa.int64()))], names=_FOUND_NAMES)
+        s = s[at].astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(i[at] * np.int64(_INVERSE[0] >> 1) + s), pa.array(i[at]), pa.array(k[at]), pa.array(s + (np.diff(edges).astype(np.int64) << 32)), pa.nulls(len(at), pa.list_(pa.int64()))], names=_FOUND_NAMES)
+
+
+def _candidates(docs: DataFrame, window: int, bits: int, twice) -> DataFrame:
+    """Windows estimated to be repeated: the earliest of each in its task's block, and the others as runs."""
+    shared = docs.sparkSession.sparkContext.broadcast(twice)
 
     def run(batches):
         held, n = [], 0
@@ -257,13 +281,13 @@ def _candidates(docs: DataFrame, window: int, bits: int, twice) -> DataFrame:
             if len(at):
                 row = np.searchsorted(words.offsets, at, side="right") - 1
                 ids, keys = (batch.column(i).to_numpy(zero_copy_only=False)[row] for i in (0, 1))
-                held.append((least[at], words.runs(window, 1)[at], ids, keys, (at - words.offsets[row]).astype(np.int32)))
+                held.append([least[at], words.runs(window, 1)[at], ids, keys, (at - words.offsets[row]).astype(np.int32)])
                 n += len(at)
                 if n >= _HELD:
-                    yield from flush(held, hot)
+                    yield from _found_in(held, hot)
                     n = 0
         if held:
-            yield from flush(held, hot)
+            yield from _found_in(held, hot)
 
     return docs.select("__id", "__tk", "__text").mapInArrow(trimmed(run), _FOUND)
 
