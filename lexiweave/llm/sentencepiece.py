@@ -41,10 +41,12 @@ PREFIX = 4
 BLOCK = 32 << 20
 #: Seed of the units' 64-bit hash.
 SEED = 42
-#: Bytes of text that a task cuts up at a time.
-_SLICE = 4 << 20
-#: Distinct units that a task holds, and those whose lattice it makes.
-_KNOWN, _MADE = 250_000, 40_000
+#: Bytes of text that a task cuts up at a time, and those whose units it holds.
+_SLICE, _HELD = 1 << 20, 64 << 20
+#: Distinct units that a task holds, those with their ids, and those whose lattice it makes.
+_MET, _KNOWN, _MADE = 500_000, 100_000, 40_000
+#: Units that are sent at a time.
+_SENT = 1 << 14
 #: Bits of an edge, from the lowest: what it stands for, its cost, its size; then its end in the chunk. Of a place in the fold: what its last piece stands for; then the cost.
 _WHAT, _COST, _SIZE = 21, 30, 6
 _CACHE: dict = {}
@@ -208,10 +210,8 @@ def distinct_units(texts: DataFrame, model: str, whole: bool = False) -> DataFra
         words, met, size = vocabulary(model), set(), 0
 
         def flush():
-            units = [u.replace(b" ", _SPACE).decode() for u in met]
-            met.clear()
-            for i in range(0, len(units), 1 << 16):
-                some = units[i : i + (1 << 16)]
+            while met:
+                some = [met.pop().replace(b" ", _SPACE).decode() for _ in range(min(_SENT, len(met)))]
                 short = some if whole else [u for u in some if len(u) <= CHUNK]
                 if whole:
                     yield pa.record_batch([pa.array(short, pa.string())], names=["unit"])
@@ -227,7 +227,7 @@ def distinct_units(texts: DataFrame, model: str, whole: bool = False) -> DataFra
         for batch in pieces_of(batches, 0, _SLICE):
             met.update(words.cut(batch.column(0))[1])
             size += batch.column(0).nbytes
-            if len(met) > 2 * _KNOWN or size > 16 * _SLICE:
+            if len(met) > _MET or size > _HELD:
                 yield from flush()
                 size = 0
         yield from flush()
@@ -376,7 +376,7 @@ class Known(dict):
 
     def codes(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of all units of the texts, and n+1 offsets by text. Forgets what it knew when that is too much."""
-        if len(self) > _KNOWN or self.room > 8 * _SLICE:
+        if len(self) > _KNOWN or self.room > _HELD // 2:
             self._forget()
         codes, distinct, ends = self.words.cut(text)
         number = np.fromiter(map(self.__getitem__, distinct), np.int64, len(distinct))
@@ -396,7 +396,8 @@ class Pool:
         order = np.argsort(h)
         ends = lists.offsets.to_numpy() - (lists.offsets[0].as_py() if len(lists) else 0)
         flat = lists.flatten().to_numpy()
-        self.keys, self.starts, self.sizes = h[order], ends[:-1][order], np.diff(ends)[order].astype(np.int32)
+        sizes = np.diff(ends)
+        self.keys, self.starts, self.sizes = h[order], ends[:-1][order], sizes[order].astype(np.min_scalar_type(sizes.max(initial=0)))
         self.pool = flat.astype(np.uint16) if not len(flat) or flat.max() < 1 << 16 else flat
 
     def __call__(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -405,7 +406,7 @@ class Pool:
         at = np.searchsorted(self.keys, h)
         if len(units) and (not len(self.keys) or (self.keys[np.minimum(at, len(self.keys) - 1)] != h).any()):
             raise ValueError("a text has a unit that it did not have when the units were collected")
-        sizes = self.sizes[at]
+        sizes = self.sizes[at].astype(np.int32)
         ends = np.cumsum(sizes)
         return sizes, self.pool[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)].astype(np.int32)
 
