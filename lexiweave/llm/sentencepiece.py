@@ -15,17 +15,23 @@ another segmentation. With order="merges" that one is made instead.
 
 from __future__ import annotations
 
+import json
+import mmap
+import pickle
 import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
+from pyspark.serializers import pickle_protocol
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexiweave.llm._spark import bounded_batches, drop_stored, numbered, stored
+from lexiweave.llm._text import _trim as free_memory
 from lexiweave.llm._text import bytes_of, pieces_of, trimmed
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -49,6 +55,8 @@ _MET, _KNOWN, _MADE = 500_000, 100_000, 40_000
 _SENT = 1 << 14
 #: Bits of an edge, from the lowest: what it stands for, its cost, its size; then its end in the chunk. Of a place in the fold: what its last piece stands for; then the cost.
 _WHAT, _COST, _SIZE = 21, 30, 6
+#: What a packed pool begins with, and the bytes up to its arrays but for a few that align them.
+_MARK, _HEAD = b"lexiweave units\n", 256
 _CACHE: dict = {}
 
 
@@ -247,9 +255,10 @@ def lattice(units: DataFrame, words: Vocabulary, parts: int = 1, chunked: bool =
         if len(p) >= PREFIX:
             starts[p[:PREFIX]] = max(starts.get(p[:PREFIX], 0), len(p))
     # by hash, as it makes the smaller table: two prefixes of one hash would only make some substrings in vain
-    reach = spark.createDataFrame(list(starts.items()), "prefix string, reach int").groupBy(F.xxhash64("prefix").alias("prefix")).agg(F.max("reach").alias("reach"))
-    pieces = [(p, (words.cost[p] + words.each << _WHAT) | i) for p, i in words.ids.items()]
-    table = spark.createDataFrame(pieces, "piece string, worth long").withColumn("key", F.xxhash64("piece"))
+    # both from Arrow: a list goes through Python workers of a kind of their own, which stay beside those of the Arrow functions
+    reach = spark.createDataFrame(pa.table({"prefix": pa.array(starts.keys(), pa.string()), "reach": pa.array(starts.values(), pa.int32())})).groupBy(F.xxhash64("prefix").alias("prefix")).agg(F.max("reach").alias("reach"))
+    worths = [(words.cost[p] + words.each << _WHAT) | i for p, i in words.ids.items()]
+    table = spark.createDataFrame(pa.table({"piece": pa.array(words.ids.keys(), pa.string()), "worth": pa.array(worths, pa.int64())})).withColumn("key", F.xxhash64("piece"))
     spans = (
         units.select("unit", "chunk", F.coalesce("h", F.xxhash64("unit")).alias("h"), F.coalesce("h2", F.crc32(F.col("unit").cast("binary"))).alias("h2"))
         .repartition(parts, "h", "h2")
@@ -387,18 +396,77 @@ class Known(dict):
         return number[codes], ends
 
 
+class _Place:
+    """A file that keeps nothing but where the mark of a packed pool is in it."""
+
+    def __init__(self):
+        self.at, self.size = 0, 0
+
+    def write(self, data) -> None:
+        at = bytes(memoryview(data)[:4096]).find(_MARK)
+        if at >= 0:
+            self.at = self.size + at
+        self.size += len(data)
+
+
 class Pool:
     """Ids of units by hash: keys sorted, and where in one pool each one's ids are."""
 
-    def __init__(self, table: pa.Table):
+    def __init__(self, keys: np.ndarray, starts: np.ndarray, sizes: np.ndarray, pool: np.ndarray):
+        self.keys, self.starts, self.sizes, self.pool = keys, starts, sizes, pool
+
+    @classmethod
+    def of(cls, table: pa.Table) -> Pool:
         h, lists = table.column("h").to_numpy().view(np.uint64), table.column("ids").combine_chunks()
         lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
         order = np.argsort(h)
         ends = lists.offsets.to_numpy() - (lists.offsets[0].as_py() if len(lists) else 0)
         flat = lists.flatten().to_numpy()
         sizes = np.diff(ends)
-        self.keys, self.starts, self.sizes = h[order], ends[:-1][order], sizes[order].astype(np.min_scalar_type(sizes.max(initial=0)))
-        self.pool = flat.astype(np.uint16) if not len(flat) or flat.max() < 1 << 16 else flat
+        starts = ends[:-1][order].astype(np.uint32 if len(flat) < 1 << 32 else np.int64)
+        pool = flat.astype(np.uint16) if not len(flat) or flat.max() < 1 << 16 else flat
+        return cls(h[order], starts, sizes[order].astype(np.min_scalar_type(sizes.max(initial=0))), pool)
+
+    def packed(self) -> bytearray:
+        """The pool to broadcast: in the file that Spark makes of it each array begins at a multiple of 8 bytes, so that it can be used where it lies."""
+        arrays = self.keys, self.starts, self.sizes, self.pool
+        out = bytearray(_HEAD + 8 + sum(-(-a.nbytes // 8) * 8 for a in arrays))
+        out[: len(_MARK)] = _MARK
+        pickle.dump(out, place := _Place(), pickle_protocol)
+        gap = -(place.at + _HEAD) % 8
+        out[:_HEAD] = (_MARK + json.dumps([gap, [(a.dtype.str, len(a)) for a in arrays]]).encode()).ljust(_HEAD)
+        at = _HEAD + gap
+        for a in arrays:
+            np.frombuffer(out, a.dtype, len(a), at)[:] = a
+            at += -(-a.nbytes // 8) * 8
+        return out
+
+    @classmethod
+    def unpacked(cls, data, at: int = 0) -> Pool:
+        """The pool whose mark is at this place of data, which stays in use. Arrays that aren't aligned are copied."""
+        gap, kinds = json.loads(bytes(data[at + len(_MARK) : at + _HEAD]))
+        at += _HEAD + gap
+        arrays = []
+        for kind, n in kinds:
+            a = np.frombuffer(data, kind, n, at)
+            arrays.append(a if a.flags.aligned else a.copy())
+            at += -(-a.nbytes // 8) * 8
+        return cls(*arrays)
+
+    @classmethod
+    def shared(cls, table: Broadcast) -> Pool:
+        """A packed pool that was broadcast, mapped from the file that Spark has of it here: an executor's workers share its pages. A copy where there is no plain file (encryption)."""
+        path = getattr(table, "_path", None)
+        if path:
+            try:
+                with open(path, "rb") as f:
+                    data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+            except (OSError, ValueError):
+                return cls.unpacked(table.value)
+            at = data.find(_MARK, 0, 4096)
+            if at >= 0:
+                return cls.unpacked(data, at)
+        return cls.unpacked(table.value)
 
     def __call__(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         digest = xxhash.xxh64_intdigest
@@ -457,11 +525,13 @@ def encode(docs: DataFrame, text: str = "text", model: str = VOCABULARY, order:
         known = stored(merged(distinct_units(texts, model, whole=True), model))
     context = docs.sparkSession.sparkContext
     if known.count() <= broadcast_units:
-        table = context.broadcast(Pool(known.select("h", "ids").toArrow()))
+        pool = Pool.of(known.select("h", "ids").toArrow())
+        free_memory()  # of the table, before the pool is there twice
+        table = context.broadcast(pool.packed())
         drop_stored(known)
 
         def run(batches):
-            met = Known(vocabulary(model), table.value)
+            met = Known(vocabulary(model), Pool.shared(table))
             for batch in pieces_of(batches, at, _SLICE):
                 yield pa.RecordBatch.from_arrays([*batch.columns, *_pack(met, batch.column(at))], names=[*own, "ids", "decoded"])
 
@@ -487,7 +557,7 @@ def encode(docs: DataFrame, text: str = "text", model: str = VOCABULARY, order:
     met = asked.join(known, ["h", "h2"]).select("block", "h", "ids")
 
     def run_joined(left: pa.Table, right: pa.Table) -> pa.Table:
-        met, out = Known(vocabulary(model), Pool(right)), []
+        met, out = Known(vocabulary(model), Pool.of(right)), []
         for batch in left.combine_chunks().to_batches():
             for part in pieces_of([batch], 1, _SLICE):
                 out.append(pa.RecordBatch.from_arrays([*part.column(0).flatten(), *_pack(met, part.column(1))], names=[*own, "ids", "decoded"]))
