@@ -18,7 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiweave.llm._spark import bounded_batches, drop_stored, numbered, stored
-from lexiweave.llm._text import LOWER, coded, pieces_of, split_words, trimmed
+from lexiweave.llm._text import LOWER
+from lexiweave.llm._text import _trim as free_memory
+from lexiweave.llm._text import coded, pieces_of, split_words, trimmed
 
 STATES = 16
 #: Least occurrences of a word with a symbol of its own; a power of two.
@@ -198,7 +200,10 @@ def _encoded(docs: DataFrame, counts: DataFrame, own: DataFrame, vocabulary: Voc
                 numbers = pa.array(np.full(batch.num_rows, block))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:2], numbers, *_encode(shared.value, batch.column(2), lambda words: table.value(_hashes(words)))], names=_NAMES)
 
-        return stored(docs.mapInArrow(trimmed(run), _ENCODED.format(kind)))
+        out = stored(docs.mapInArrow(trimmed(run), _ENCODED.format(kind)))
+        table.destroy()
+        shared.destroy()
+        return out
 
     def dealt(batches):
         for block, batch in numbered(batches, 2, BLOCK):
@@ -233,6 +238,7 @@ def _encoded(docs: DataFrame, counts: DataFrame, own: DataFrame, vocabulary: Voc
 
     out = stored(blocks.groupBy("block").cogroup(met.groupBy("block")).applyInArrow(run_joined, _ENCODED.format(kind)))
     drop_stored(blocks)
+    shared.destroy()
     return out
 
 
@@ -363,6 +369,33 @@ class Model:
         move += back * self.move
 
 
+class Whole:
+    """A model of all symbols, held as expected counts of own words, four bytes each: emissions are made of them as they are asked for."""
+
+    def __init__(self, first: np.ndarray, move: np.ndarray, rare: np.ndarray, sums: np.ndarray, added: np.ndarray, total: np.ndarray):
+        """rare: the classes' emissions. sums: own words' expected counts, to which added (one for each word) comes in all states. total: what the counts are divided by."""
+        self.first, self.move, self.rare, self.sums, self.total = first, move, rare, sums, total
+        # own words go by frequency, so those with the same stand together
+        self.starts = np.flatnonzero(np.diff(added, prepend=np.nan))
+        self.added = added[self.starts]
+
+    def of(self, symbols: np.ndarray, kind=np.float64) -> Model:
+        """The model of these symbols alone."""
+        emit, own = np.empty((len(symbols), len(self.total)), kind), symbols >= _CLASSES
+        emit[~own] = self.rare[symbols[~own]]
+        places = symbols[own] - _CLASSES
+        rows = self.sums[places].astype(np.float64)
+        rows += self.added[np.searchsorted(self.starts, places, side="right") - 1][:, None]
+        rows /= self.total
+        emit[own] = rows
+        return Model(self.first.astype(kind), self.move.astype(kind), emit)
+
+    @property
+    def emit(self) -> np.ndarray:
+        """All emissions."""
+        return self.of(np.arange(_CLASSES + len(self.sums))).emit
+
+
 def classes_of(pairs: np.ndarray, counts: np.ndarray, states: int) -> np.ndarray:
     """A class for each of the most frequent words, from the counts of pairs of neighbours among them: centres far apart, then the nearest mean, in turn."""
     sides = [x / np.maximum(x.sum(axis=1), 1)[:, None] for x in (pairs, pairs.T)]
@@ -494,7 +527,11 @@ def _added(states: int, names: list[str], buckets: int):
 
 
 class Trainer:
-    """Passes of Baum-Welch over learnt (encoded rows); the model has the classes' emissions, and own words' are broadcast or a stored table."""
+    """Passes of Baum-Welch over learnt (encoded rows); the model has the classes' emissions, and own words' are broadcast or a stored table.
+
+    The driver holds the broadcast own words' sums once, four bytes a state, and
+    Arrow's rows of them while they arrive.
+    """
 
     def __init__(self, encoded: DataFrame, own: DataFrame, vocabulary: Vocabulary, states: int, most: int):
         self.encoded, self.learnt, self.own, self.vocabulary, self.states = encoded, encoded.where("not held"), own, vocabulary, states
@@ -519,7 +556,7 @@ class Trainer:
                 syms = syms[syms >= _CLASSES].astype(np.int64)
                 yield pa.record_batch([pa.array(np.full(len(syms), block)), pa.array(syms)], names=["block", "sym"])
 
-    def start(self) -> Model:
+    def start(self) -> Model | Whole:
         """Words of a class lean to its state; all other symbols are in all states alike."""
         v, k = self.vocabulary, self.states
         head = self.own.where(F.col("sym") < _CLASSES + HEAD).orderBy("sym").select("n").toArrow().column("n").to_numpy().astype(float)
@@ -535,18 +572,19 @@ class Trainer:
             move += lean.T @ pairs @ lean
         emit *= np.random.default_rng(7).uniform(0.9, 1.1, emit.shape)
         other = emit[:_CLASSES].mean(axis=0)
-        counts = np.concatenate([v.rare, v.unigram(head)]) * v.whole
+        sums = emit * (np.concatenate([v.rare, v.unigram(head)]) * v.whole)[:, None]
         if not self.joined:
-            own = v.unigram(self.counts) * v.whole
-            whole = np.concatenate([emit * counts[:, None], own[len(head) :, None] * other])
-            return self._made(np.ones(k), move, whole[:_CLASSES], whole[_CLASSES:])
+            own = np.empty((v.own, k), np.float32)
+            own[: len(head)] = sums[_CLASSES:]
+            np.multiply((v.unigram(self.counts[len(head) :]) * v.whole)[:, None], other, out=own[len(head) :], casting="same_kind")
+            return self._made(np.ones(k), move, sums[:_CLASSES], own)
         spark = self.own.sparkSession
         leans = F.broadcast(spark.createDataFrame([(_CLASSES + i, *map(float, row)) for i, row in enumerate(emit[_CLASSES:])], "sym long, " + ", ".join(f"{n} double" for n in self.names)))
         base = F.col("n") + ADDED
         own = self.own.join(leans, "sym", "left").select("sym", "n", *[(base * F.coalesce(n, F.lit(float(other[i])))).alias(n) for i, n in enumerate(self.names)])
-        return self._made(np.ones(k), move, (emit * counts[:, None])[:_CLASSES], own)
+        return self._made(np.ones(k), move, sums[:_CLASSES], own)
 
-    def _made(self, first: np.ndarray, move: np.ndarray, rare: np.ndarray, own) -> Model:
+    def _made(self, first: np.ndarray, move: np.ndarray, rare: np.ndarray, own) -> Model | Whole:
         """The model of expected counts. Unknown words get what words seen once had, and these what words seen twice suggest."""
         v = self.vocabulary
         rare = rare.copy()
@@ -557,9 +595,9 @@ class Trainer:
         move, first = move + 0.1, first + 0.1
         first, move = first / first.sum(), move / move.sum(axis=1)[:, None]
         if not self.joined:
-            own = own + 2.0 * v.unigram(self.counts)[:, None]
-            whole = np.concatenate([rare, own])
-            return Model(first, move, whole / whole.sum(axis=0))
+            plus = 2.0 * v.unigram(self.counts)
+            total = rare.sum(axis=0) + own.sum(axis=0, dtype=np.float64) + plus.sum()
+            return Whole(first, move, rare / total, own, plus, total)
         added = stored(own.select("sym", *[(F.col(n) + 2.0 * (F.col("n") + ADDED) / v.whole).alias(n) for n in self.names]))
         total = rare.sum(axis=0) + np.array(added.agg(*[F.coalesce(F.sum(n), F.lit(0.0)) for n in self.names]).first())
         emit = stored(added.select("sym", *[(F.col(n) / float(total[i])).alias(n) for i, n in enumerate(self.names)]))
@@ -584,11 +622,11 @@ class Trainer:
         at = order[np.searchsorted(keys[order], symbols)]
         return Model(model.first, model.move, emit[at]), symbols, places
 
-    def _shared(self, model: Model, kind=np.float64):
-        return self.context.broadcast(Model(model.first.astype(kind), model.move.astype(kind), model.emit.astype(kind)))
+    def _shared(self, model: Model | Whole, kind=np.float64):
+        return self.context.broadcast(Model(model.first.astype(kind), model.move.astype(kind), model.emit.astype(kind)) if self.joined else model)
 
-    def improved(self, model: Model) -> Model:
-        """One pass over all training texts."""
+    def improved(self, model: Model | Whole) -> Model | Whole:
+        """One pass over all training texts; model is used up."""
         k, size, names = self.states, self.vocabulary.size, self.names
         buckets = max(1, -(-self.vocabulary.own // _BUCKET))
         shared = self._shared(model, np.float32)
@@ -600,7 +638,7 @@ class Trainer:
                     whole = shared.value
                     symbols, places = local(flat, size)
                     mine = np.zeros((len(symbols), k))
-                    Model(whole.first, whole.move, whole.emit[symbols]).expect(places, lengths, first, move, mine)
+                    whole.of(symbols, np.float32).expect(places, lengths, first, move, mine)
                     emit[symbols] += mine
                 at = np.flatnonzero(emit.any(axis=1))
                 yield from _batches(_packed(first, move, at, emit[at], buckets))
@@ -622,22 +660,36 @@ class Trainer:
 
             parts = self._tables(model, self.learnt.select("block", "syms")).applyInArrow(run_joined, _SUMS)
         summed = stored(parts.repartition("bucket").mapInArrow(_added(k, names, buckets), self.summed))
-        few = (summed.where(F.col("key") < _CLASSES) if self.joined else summed).select("key", *names).toArrow()
-        keys, values = few.column("key").to_numpy(), np.stack([few.column(n).to_numpy() for n in names], axis=1).astype(np.float64)
-        first, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros((_CLASSES if self.joined else size, k))
-        first += values[keys == -1].sum(axis=0)
-        moves = keys < -1
-        move[-2 - keys[moves]] = values[moves]
-        emit[keys[keys >= 0]] = values[keys >= 0]
+        shared.destroy()
+        first, move, rare = self._collected(summed, model)
+        free_memory()
         if not self.joined:
             drop_stored(summed)
-            return self._made(first, move, emit[:_CLASSES], emit[_CLASSES:])
+            return self._made(first, move, rare, model.sums)
         own = self.own.join(summed.withColumnRenamed("key", "sym"), "sym", "left").select("sym", "n", *[F.coalesce(n, F.lit(0.0)).alias(n) for n in names])
-        out = self._made(first, move, emit, own)
+        out = self._made(first, move, rare, own)
         drop_stored(summed, model.own)
         return out
 
-    def scored(self, model: Model, kind: str) -> DataFrame:
+    def _collected(self, summed: DataFrame, model: Model | Whole) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The sums of starts, moves and classes; those of broadcast own words take the place of the model's."""
+        k = self.states
+        first, move, rare = np.zeros(k), np.zeros((k, k)), np.zeros((_CLASSES, k))
+        if self.joined:
+            summed = summed.where(F.col("key") < _CLASSES)
+        else:
+            model.sums[:] = 0
+        for batch in summed.select("key", *self.names).toArrow().to_batches():
+            keys, values = batch.column(0).to_numpy(), np.stack([c.to_numpy() for c in batch.columns[1:]], axis=1)
+            moves, classes, words = keys < -1, (keys >= 0) & (keys < _CLASSES), keys >= _CLASSES
+            first += values[keys == -1].sum(axis=0)
+            move[-2 - keys[moves]] = values[moves]
+            rare[keys[classes]] = values[classes]
+            if not self.joined:
+                model.sums[keys[words] - _CLASSES] = values[words]
+        return first, move, rare
+
+    def scored(self, model: Model | Whole, kind: str) -> DataFrame:
         """(id, held, n_tokens, n_known, base, score) of all encoded rows."""
         shared, schema = self._shared(model), f"id {kind}, held boolean, n_tokens long, n_known long, base double, score double"
         out = ["id", "held", "n_tokens", "n_known", "base", "score"]
@@ -649,7 +701,7 @@ class Trainer:
                 whole = shared.value
                 flat = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint32)
                 symbols, places = local(flat, size)
-                logs = Model(whole.first, whole.move, whole.emit[symbols]).likelihoods(places, batch.column(2).to_numpy())
+                logs = whole.of(symbols).likelihoods(places, batch.column(2).to_numpy())
                 yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(logs + batch.column(5).to_numpy())], names=out)
 
         if not self.joined:

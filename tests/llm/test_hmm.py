@@ -1,5 +1,6 @@
 import itertools
 import math
+import os
 import random
 import tracemalloc
 import zlib
@@ -145,6 +146,31 @@ def test_one_long_text_takes_memory_in_proportion_to_its_tokens():
     assert logs[1] == pytest.approx(model.likelihoods(symbols[200_000:200_020], np.array([20]))[0])
 
 
+def test_driver_holds_own_words_once(spark, monkeypatch):
+    """No copies of the model while it is made, and of its broadcasts only that of the scores stays."""
+    sent, send = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(send(self, value)) or sent[-1])
+    words = F.expr("concat_ws(' ', transform(sequence(1, 20000), x -> concat('w', x + 20000 * (id % 10))))")
+    docs = spark.range(150).select(F.col("id").alias("doc_id"), words.alias("text"))
+    tracemalloc.start()
+    out = hmm.score(docs, passes=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 * 200_000
+    assert [os.path.exists(x._path) for x in sent] == [False] * (len(sent) - 1) + [True]
+    assert out.where("score < 0 and n_known = n_tokens").count() == 150
+
+
+def test_emissions_are_made_of_sums():
+    g, added = np.random.default_rng(5), np.array([9.0, 9.0, 4.0, 4.0, 4.0, 2.0])
+    sums, rare = g.random((6, 3)).astype(np.float32), g.random((hmm._CLASSES, 3))
+    whole = hmm.Whole(np.ones(3), np.ones((3, 3)), rare, sums, added, np.array([30.0, 40.0, 50.0]))
+    want = np.concatenate([rare, (sums + added[:, None]) / [30.0, 40.0, 50.0]])
+    at = np.array([hmm._CLASSES + 5, 0, hmm._CLASSES + 1, hmm._CLASSES - 1])
+    assert (whole.emit == want).all() and (whole.of(at).emit == want[at]).all()
+    assert whole.of(at, np.float32).emit.dtype == np.float32 and hmm.Whole(*[np.ones(3)] * 2, rare, sums[:0], added[:0], np.ones(3)).emit.tolist() == rare.tolist()
+
+
 def test_one_state_is_a_distribution(docs):
     """The scores of all outcomes of one token sum to one."""
     v = hmm.Vocabulary(42, 7, 2, {0: (3, 3), 2: (2, 9)}, 0)
